@@ -44,7 +44,7 @@ def grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageModel:
-    """``fit`` on texts and languages, ``scores`` for more texts; equal input, equal model."""
+    """``fit`` on texts and languages, ``scores`` for more texts; equal input, equal model.  Without a text, it knows no language."""
 
     def __init__(self, orders: tuple[int, ...] = ORDERS, landmarks: int = LANDMARKS, ridge: float = RIDGE):
         self.orders, self.landmarks, self.ridge = orders, landmarks, ridge
@@ -55,6 +55,8 @@ class LanguageModel:
 
     def fit(self, texts: list[bytes], langs: list[str]) -> LanguageModel:
         self.classes = sorted(set(langs))
+        if not texts:
+            return self
         own = {c: [t for t, x in zip(texts, langs) if x == c] for c in self.classes}
         each = max(1, self.landmarks // max(1, len(self.classes)))
         marks = [t for c in self.classes for t in own[c][:each]]
