@@ -22,8 +22,8 @@ from .textkit import as_bytes
 
 RATE, DOWN, UP, TAPS = 16_000, 2, 1, 16
 FRAME, HOP, FFT, MELS, PATCH = 200, 100, 256, 24, 8
-#: Hysteresis: a segment begins where a frame is over HIGH dB above the median energy, and ends below LOW dB.
-HIGH_DB, LOW_DB = 0.15, -0.15
+#: Hysteresis: a segment begins where a frame is over HIGH dB above the median energy, and ends where one is below LOW dB above it.
+HIGH_DB, LOW_DB = 0.3, 0.05
 CHUNK = 4096
 
 
