@@ -48,7 +48,7 @@ def label_affected(state: DataFrame, gone: DataFrame, pairs: DataFrame, max_roun
     label = state.select("v", F.col("value").alias("label"))
     ends = gone.join(label.withColumnRenamed("v", "src").withColumnRenamed("label", "a"), "src").join(label.withColumnRenamed("v", "dst").withColumnRenamed("label", "b"), "dst")
     suspect = settled(ends.where(label_depends(F.col("src"), F.col("dst"), F.col("a"), F.col("b"))).select(F.col("a").alias("label")).distinct())
-    group = settled(label.join(suspect, "label", "left_semi"))
+    group = settled(label.join(suspect, "label", "left_semi").select("v", "label"))
     met = settled(group.where(F.col("v") == F.col("label")))
     seen, new, rounds = [met], met, 0
     while not new.isEmpty():
@@ -57,15 +57,15 @@ def label_affected(state: DataFrame, gone: DataFrame, pairs: DataFrame, max_roun
             raise RuntimeError("the label search did not end")
         reached = seen[0]
         for part in seen[1:]:
-            reached = reached.union(part)
+            reached = reached.unionByName(part)
         to = new.select(F.col("v").alias("src"), "label").join(pairs, "src").select(F.col("dst").alias("v"), "label").distinct()
         new = settled(to.join(group, ["v", "label"], "left_semi").join(reached, ["v", "label"], "left_anti"))
         seen.append(new)
         if len(seen) > 8:
-            seen = [settled(reached.union(new))]
+            seen = [settled(reached.unionByName(new))]
     reached = seen[0]
     for part in seen[1:]:
-        reached = reached.union(part)
+        reached = reached.unionByName(part)
     return settled(group.join(reached, ["v", "label"], "left_anti").select("v"))
 
 
