@@ -62,39 +62,48 @@ def improvements(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(current, "v", "left").where("now is null or value < now").select("v", "value", "parent")
 
 
-def propagate(known: DataFrame, frontier: DataFrame, edges: DataFrame, program: MinProgram, max_rounds: int, inside: DataFrame | None = None) -> tuple[DataFrame, int]:
+def propagate(known: DataFrame, frontier: DataFrame, edges: DataFrame, program: MinProgram, max_rounds: int, inside: DataFrame | None = None, bucket: int | None = None) -> tuple[DataFrame, int]:
     """Runs the program from a frontier of better rows until no vertex improves; (state, rounds).
 
     Only improved vertices send.  A round's work follows its frontier: the known rows are filtered by
     the candidates, the improvements are kept as a small table of their own, and the state
-    is rewritten every COMPACT rounds.  With ``inside`` (v), only those vertices may improve.  A graph
-    of few edges, counted here, is solved in one task.
+    is rewritten every COMPACT rounds.  With ``inside`` (v), only those vertices may improve.  With
+    ``bucket``, rounds send from the lowest range of values of that width, which saves repeated improvements on
+    long paths and takes more rounds.  A graph of few edges, counted here, is solved in one task.
     """
     frontier = settled(frontier)
     if edges.count() <= local.LOCAL_PAIRS:
         own = edges if inside is None else edges.join(inside.select(F.col("v").alias("dst")), "dst", "left_semi")
         weighted = own.select("src", "dst", program.weight(F.col("src"), F.col("dst")).alias("w"))
         return settled(local.min_fixed_point(known, frontier, weighted)), 0
-    base, later, rounds = known, [], 0
+    base, later, rounds, waiting = known, [], 0, None
     while not frontier.isEmpty():
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError(f"{program.name} did not converge in {max_rounds} rounds")
         later.append(frontier)
         if len(later) >= COMPACT:
-            for part in later:
-                base = base.unionByName(part)
-            base, later = settled(best(base)), []
-        rows = base
-        for part in later:
-            rows = rows.unionByName(part)
-        found = candidates(frontier, edges, program)
+            base, later = settled(best(_union([base, *later]))), []
+        active = frontier
+        if bucket:  # only the lowest bucket sends; the other better rows wait
+            pending = frontier if waiting is None else settled(best(frontier.unionByName(waiting)))
+            lowest = pending.agg(F.min("value")).first()[0] // bucket
+            near = F.floor(F.col("value") / bucket) == lowest
+            active, waiting = pending.where(near), pending.where(~near)
+        found = candidates(active, edges, program)
         if inside is not None:
             found = found.join(inside.select("v"), "v", "left_semi")
-        frontier = settled(improvements(found, rows))
-    for part in later:
-        base = base.unionByName(part)
-    return settled(best(base)), rounds
+        frontier = settled(improvements(found, _union([base, *later])))
+        if waiting is not None and frontier.isEmpty() and not waiting.isEmpty():
+            frontier, waiting = settled(waiting), None
+    return settled(best(_union([base, *later]))), rounds
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def by_source(edges: DataFrame, n: int) -> DataFrame:
@@ -109,7 +118,7 @@ def clamp(source: int, n: int) -> int:
     return min(max(source, 0), n - 1)
 
 
-def solve(edges: DataFrame, program: MinProgram, n: int, source: int | None = 0, max_rounds: int | None = None) -> DataFrame:
+def solve(edges: DataFrame, program: MinProgram, n: int, source: int | None = 0, max_rounds: int | None = None, bucket: int | None = None) -> DataFrame:
     """(v, value, parent) of every reached vertex of 0 .. n - 1; unreached vertices have no row.
 
     A source out of range is clamped.  The parent is the smallest tight source.
@@ -118,7 +127,7 @@ def solve(edges: DataFrame, program: MinProgram, n: int, source: int | None = 0,
     seeds = program.start(vertex_range(spark, n), clamp(source or 0, n) if program.rooted else None)
     pairs = by_source(edges, n)
     empty = seeds.limit(0)
-    state, _ = propagate(empty, seeds, pairs, program, max_rounds or n + 1)
+    state, _ = propagate(empty, seeds, pairs, program, max_rounds or (n + 1) * (2 if bucket else 1), bucket=bucket)
     return with_parents(state, pairs, program)
 
 

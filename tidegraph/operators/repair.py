@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import depends_on, label_depends
+from ..plans import local
 from ..plans.state import settled
 from .programs import MIN_LABEL, MinProgram, best, by_source, candidates, improvements, propagate, with_parents
 from .topology import apply_batch
@@ -24,6 +25,8 @@ def tree_affected(state: DataFrame, gone: DataFrame, max_rounds: int) -> DataFra
 
     Weights are positive, so parent links form a tree, and every vertex outside keeps its value.
     """
+    if state.count() <= local.LOCAL_PAIRS:
+        return settled(local.tree_closure(state, gone))
     new = settled(state.join(gone.select(F.col("dst").alias("v"), "src"), "v").where(depends_on(F.col("src"), F.col("parent"))).select("v").distinct())
     found, rounds = [new], 0
     while not new.isEmpty():
@@ -45,6 +48,8 @@ def label_affected(state: DataFrame, gone: DataFrame, pairs: DataFrame, max_roun
     edge that can have carried it, its group is searched again from its root, inside the group;
     members that are not met are affected.
     """
+    if pairs.count() + state.count() <= local.LOCAL_PAIRS:
+        return settled(local.label_closure(state, gone, pairs))
     label = state.select("v", F.col("value").alias("label"))
     ends = gone.join(label.withColumnRenamed("v", "src").withColumnRenamed("label", "a"), "src").join(label.withColumnRenamed("v", "dst").withColumnRenamed("label", "b"), "dst")
     suspect = settled(ends.where(label_depends(F.col("src"), F.col("dst"), F.col("a"), F.col("b"))).select(F.col("a").alias("label")).distinct())

@@ -103,3 +103,68 @@ def rank_fixed_point(state: DataFrame, links: DataFrame, epsilon: float, max_rou
 
     rows = _rows(state, 0, "v", "rank", "residual", "double").union(_rows(links, 1, "src", "dst", "share", "double"))
     return rows.coalesce(1).mapInArrow(run, "v bigint, rank double, residual double")
+
+
+def _known(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x in the sorted ids, and whether it is there."""
+    at = np.minimum(np.searchsorted(ids, x), max(len(ids) - 1, 0))
+    return at, (ids[at] == x if len(ids) else np.zeros(len(x), bool))
+
+
+def _closure(start: np.ndarray, first: np.ndarray, to: np.ndarray, ok=None) -> np.ndarray:
+    """Which vertices the started ones reach over an adjacency; ``ok(sources, targets)`` filters its steps."""
+    met = start.copy()
+    new = np.flatnonzero(met)
+    while len(new):
+        e = _out(first, new)
+        d = to[e]
+        keep = ~met[d]
+        if ok is not None:
+            keep &= ok(np.repeat(new, first[new + 1] - first[new]), d)
+        new = np.unique(d[keep])
+        met[new] = True
+    return met
+
+
+def tree_closure(state: DataFrame, gone: DataFrame) -> DataFrame:
+    """(v): vertices under a parent link that is among the vanished edges (src, dst)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _gather(batches)
+        none = [np.empty(0, np.int64)] * 3
+        (v, parent, _), (dst, src, _) = (got.get(k, none) for k in (0, 1))
+        order = np.argsort(v)
+        v, parent = v[order], parent[order]
+        at, there = _known(v, dst)
+        hit = np.zeros(len(v), bool)
+        hit[at[there & (parent[at] == src)] if len(v) else []] = True
+        up, has = _known(v, parent)
+        child = np.flatnonzero(has)
+        by, first = _adjacency(v, up[child])
+        yield pa.RecordBatch.from_arrays([pa.array(v[_closure(hit, first, child[by])])], ["v"])
+
+    rows = _rows(state, 0, "v", "parent", "0").union(_rows(gone, 1, "dst", "src", "0"))
+    return rows.coalesce(1).mapInArrow(run, "v bigint")
+
+
+def label_closure(state: DataFrame, gone: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(v): members of the label groups of vanished edges that the label's root no longer reaches inside its group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _gather(batches)
+        none = [np.empty(0, np.int64)] * 3
+        (v, label, _), (gs, gd, _), (src, dst, _) = (got.get(k, none) for k in (0, 1, 2))
+        order = np.argsort(v)
+        v, label = v[order], label[order]
+        (a, ok), (b, ok2) = _known(v, gs), _known(v, gd)
+        a, b = a[ok & ok2], b[ok & ok2]
+        suspect = np.unique(label[b[(a != b) & (label[a] == label[b]) & (label[b] < v[b])]])
+        group = np.isin(label, suspect)
+        (s, ok), (d, ok2) = _known(v, src), _known(v, dst)
+        s, d = s[ok & ok2], d[ok & ok2]
+        by, first = _adjacency(v, s)
+        met = _closure(group & (v == label), first, d[by], lambda x, y: group[y] & (label[x] == label[y]))
+        yield pa.RecordBatch.from_arrays([pa.array(v[group & ~met])], ["v"])
+
+    rows = _rows(state, 0, "v", "value", "0").union(_rows(gone, 1, "src", "dst", "0")).union(_rows(pairs, 2, "src", "dst", "0"))
+    return rows.coalesce(1).mapInArrow(run, "v bigint")
