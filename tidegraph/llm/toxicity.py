@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -173,7 +174,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(self.features(texts) @ self.weights[:-1] + self.weights[-1])))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     """Coefficients and, last, the constant; a hit never speaks against toxicity."""
     prior = min(max(y.mean(), 0.01), 0.99) if len(y) else 0.1
     w = np.append(np.full(x.shape[1], 0.1), math.log(prior / (1 - prior)))
@@ -194,28 +195,31 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, lexicon: list[str] | None = None) -> ToxicityModel:
     """Learns from at most about ``most`` labelled rows whose crc32 remainder modulo 3 is not 1.
 
-    A term is taken if one in 100 toxic training documents has it, and at least 3, and its share
-    among them is over 20 times its share among the others; ``lexicon`` gives further terms.
+    A term is taken if its different contexts (the words beside it) in toxic training documents are at
+    least 3, and at least one for 100 of them, and their share of these documents is over 20 times the same share for the others.
+    Contexts, not documents, are counted, as copies of one document repeat all its words.  ``lexicon``
+    gives further terms.
     """
     prepare(docs.sparkSession)
     sample = sampled_labels(labels, "toxic", 3, 1, most)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, toxic = [], []
+            found, toxic = [], []
             for t, y in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                own = {plain(x) for x in re.split(r"[\x20\x09-\x0D]+", t.decode("utf-8", "replace"))} - {""}
-                words += own
+                own = [plain(x) for x in re.split(r"[\x20\x09-\x0D]+", t.decode("utf-8", "replace"))]
+                own = {(w, zlib.crc32(f"{a} {b}".encode())) for a, w, b in zip(["", *own], own, [*own[1:], ""]) if w}
+                found += own
                 toxic += [y > 0.5] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.bool_())], ["word", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64()), pa.array(toxic, pa.bool_())], ["word", "context", "toxic"])
 
     sizes = sample.groupBy((F.col("label") > 0.5).alias("toxic")).count().collect()
     n = {bool(r[0]): r[1] for r in sizes}
     bad, good = n.get(True, 0), n.get(False, 0)
     share = (F.col("a") + 0.5) / (bad + 1), (F.col("b") + 0.5) / (good + 1)
     terms = (
-        rows.mapInArrow(distinct, "word string, toxic boolean").groupBy("word")
+        rows.mapInArrow(contexts, "word string, context bigint, toxic boolean").distinct().groupBy("word")
         .agg(F.sum(F.col("toxic").cast("long")).alias("a"), F.sum((~F.col("toxic")).cast("long")).alias("b"))
         .where((F.col("a") >= max(3, math.ceil(bad / 100))) & (share[0] > 20 * share[1]) & (F.length("word") <= 40))
         .orderBy(F.desc(share[0] / share[1]), "word").limit(TERMS).collect()
