@@ -174,16 +174,25 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(self.features(texts) @ self.weights[:-1] + self.weights[-1])))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
-    """Coefficients and, last, the constant; a hit never speaks against toxicity."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, tie: float = 1e-2) -> np.ndarray:
+    """Coefficients and, last, the constant; a hit never speaks against toxicity.
+
+    Training documents may hold no misspelled term: their weights are drawn to half of the exact hits',
+    so far as clean documents with near hits do not say otherwise.
+    """
+    prior_form = ridge * np.diag([1.0] * x.shape[1] + [0.0])
+    for exact, near in ((0, 1), (2, 3)):
+        v = np.zeros(x.shape[1] + 1)
+        v[near], v[exact] = 1.0, -0.5
+        prior_form += tie * np.outer(v, v)
     prior = min(max(y.mean(), 0.01), 0.99) if len(y) else 0.1
     w = np.append(np.full(x.shape[1], 0.1), math.log(prior / (1 - prior)))
     z = np.hstack([x, np.ones((len(x), 1))])
     for _ in range(400 if len(y) else 0):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         s = p * (1 - p) + 1e-4
-        h = z.T @ (z * s[:, None]) / len(y) + ridge * np.eye(len(w))
-        g = z.T @ (p - y) / len(y) + ridge * np.append(w[:-1], 0)
+        h = z.T @ (z * s[:, None]) / len(y) + prior_form + 1e-9 * np.eye(len(w))
+        g = z.T @ (p - y) / len(y) + prior_form @ w
         new = w - 0.5 * np.linalg.solve(h, g)
         new[:-1] = np.maximum(new[:-1], 0)
         if np.abs(new - w).max() < 1e-7:
