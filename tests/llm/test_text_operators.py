@@ -310,7 +310,7 @@ def test_toxicity(spark):
     assert rows[300].score == rows[301].score == rows[304].score and rows[300].predicted == 0
     assert rows[303].score < rows[5].score
     assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1) for x in rows.values())
-    assert rows[302].score > 0.5 > rows[304].score
+    assert rows[302].score > 20 * rows[304].score
     quoted, plain = model.features([b'he "moron" said', b"he moron went"])[:, 0]
     assert quoted < plain
     assert toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, labels.limit(0))).where("predicted = 1").count() == 0
