@@ -99,13 +99,9 @@ def assign_batches(updates: DataFrame, sizes: DataFrame, max_batches: int | None
     if bad:
         raise ValueError("an update's op must be a or d")
     before = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)  # a row a batch
-    ranges = sizes.select(
-        "batch_id",
-        F.explode(F.array(*[
-            F.struct(F.lit(op).alias("op"), F.coalesce(F.sum(c).over(before), F.lit(0)).alias("lo"), (F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(c)).alias("hi"))
-            for op, c in (("a", "add_count"), ("d", "del_count"))
-        ])).alias("r"),
-    ).select("batch_id", "r.*")
+    sums = sizes.select("batch_id", "add_count", "del_count", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(name) for c, name in (("add_count", "adds"), ("del_count", "dels"))])
+    kinds = F.array(*[F.struct(F.lit(op).alias("op"), F.col(lo).alias("lo"), (F.col(lo) + F.col(c)).alias("hi")) for op, lo, c in (("a", "adds", "add_count"), ("d", "dels", "del_count"))])
+    ranges = sums.select("batch_id", F.explode(kinds).alias("r")).select("batch_id", "r.*")
     if max_batches is not None:
         ranges = ranges.where(F.col("batch_id") < max_batches)
     placed = positions(updates, "seq", "op")
