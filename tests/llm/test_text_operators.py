@@ -107,18 +107,40 @@ def test_near_duplicates_odd_rows(spark):
     assert kept.columns == docs.columns and sorted([r.doc_id for r in kept.collect()], key=str) == [5, 9, None]
 
 
-def test_missing_links_need_no_hub(spark, monkeypatch):
+def near_group(seed, n=60):
     """Members of a large near group whose similarity to each other is around the threshold."""
-    r = random.Random(3)
-    base = [f"b{i}" for i in range(120)]
+    r = random.Random(seed)
     texts = []
-    for i in range(60):
-        own = list(base)
+    for i in range(n):
+        own = [f"b{j}" for j in range(120)]
         for _ in range(r.randrange(0, 9)):
             own[r.randrange(len(own))] = f"x{i}_{r.randrange(1000)}"
         texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("postings,hubs", [(64, 256), (2, 5)])
+def test_missing_links_need_no_hub(spark, monkeypatch, postings, hubs):
+    monkeypatch.setattr(neardup, "POSTINGS", postings)
+    monkeypatch.setattr(neardup, "HUBS", hubs)
+    texts = near_group(3)
     out = {x.doc_id: x.component_id for x in neardup.near_duplicates(frame(spark, texts), 3, 85).collect()}
-    assert [out[i] for i in range(60)] == components([shingles(t, 3) for t in texts], 85)
+    assert [out[i] for i in range(len(texts))] == components([shingles(t, 3) for t in texts], 85)
+
+
+@pytest.mark.parametrize("postings", [64, 8, 0])
+@pytest.mark.parametrize("parts", [60, 7])
+def test_missing_links_are_all_links_across_components(spark, monkeypatch, postings, parts):
+    """Whatever the length of posting lists, all pairs of one key that reach the threshold are found, and no others."""
+    monkeypatch.setattr(neardup, "POSTINGS", postings)
+    monkeypatch.setattr(neardup, "HUBS", 5)
+    texts = near_group(4)
+    sets = [shingles(t, 3) for t in texts]
+    rows = spark.createDataFrame([(i, len(sets[i]), t) for i, t in enumerate(texts)], "set long, n long, text string")
+    labels = rows.select("set", (F.col("set") % parts).alias("component"))
+    found = neardup._missing_links(rows.select(F.lit(1).alias("key"), "set"), labels, rows, 3, 85).collect()
+    want = {(i, j) for i in range(60) for j in range(i) if i % parts != j % parts and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert len(want) > 100 and {(max(x), min(x)) for x in found} == want
 
 
 def brute_cut(texts, window):

@@ -8,8 +8,8 @@ chosen from the miss probability at the threshold.
 
 Half keys that only one set has are dropped before pairs are formed.  Within a key, sets are compared with
 one hub, not with each other, and every pair is verified on the full sets.  Sets that share a key
-but are still in different components after that are compared by an exact prefix filter, whose posting lists
-hold only shingles that no hub can stand for (see ``_missing_links``).  Components are found by joins.
+but are still in different components after that are compared by an exact prefix filter (see ``_missing_links``).
+Components are found by joins.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from .runtime import prepare, stored
 from .textkit import Words, as_bytes, blocks, mix, shingle_lists, signed
 
 HALF, MISS = 3, 1e-4
-#: Posting lists of the prefix filter longer than this are left to the hubs.
-POSTINGS = 64
+#: Posting lists of the prefix filter longer than this are worked through in rounds of about HUBS sets a list.
+POSTINGS, HUBS, SALTS = 64, 256, 16
 
 
 def tables(threshold: float, half: int = HALF, miss: float = MISS) -> int:
@@ -98,18 +98,49 @@ def _sized(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
 
 
+def _first_shared(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs that can reach the similarity if the shingle at places ia and ib (from 0) is the first they share."""
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    return pairs.where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b").distinct()
+
+
+def _ends(rows: DataFrame, end: str, *more: str) -> DataFrame:
+    """Posting rows (set, n, component, place, shingle) as one end, ``a`` or ``b``, of pairs."""
+    return rows.select(F.col("set").alias(end), F.col("n").alias(f"n{end}"), F.col("component").alias(f"c{end}"), F.col("place").alias(f"i{end}"), "shingle", *more)
+
+
+def _long_list_rounds(long: DataFrame, percent: int) -> Iterator[DataFrame]:
+    """The candidate pairs of long posting lists, by rounds.
+
+    Every pair of a list across components has an end outside the list's largest component.  These ends are
+    taken about HUBS a list and round, until each has been compared with the whole list, so no pair is left out and a
+    round's rows are HUBS times the lists' rows at most.  Lists are salted.
+    """
+    sizes = long.groupBy("shingle", "component").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), (F.sum("c") - F.max("c")).alias("others"))
+    largest = largest.where("others > 0")
+    rounds = math.ceil((largest.agg(F.max("others")).first()[0] or 0) / HUBS)
+    outside = long.join(largest, "shingle").where("component != largest")
+    left = _ends(long, "a", F.pmod(F.xxhash64("set"), F.lit(SALTS)).alias("salt"))
+    for r in range(rounds):
+        hubs = outside.where(F.pmod(F.xxhash64("set", F.lit(3)), F.lit(rounds)) == r)
+        right = _ends(hubs, "b", "largest", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+        # two outside ends meet twice: the larger one is the hub
+        yield _first_shared(left.join(right, ["shingle", "salt"]).where("ca != cb and (ca = largest or a < b)"), percent)
+
+
 def _missing_links(keys: DataFrame, labels: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between sets that share a key but are in different components.
 
     Where two sets reach the threshold, both have one of their shared shingles among their first
-    n - ceil(t * n) + 1, shingles being ordered by how many of these sets have them.  Posting lists of up to POSTINGS
-    sets give all such pairs.  Sets that share only more frequent first shingles are near their group's common core:
-    they are compared with the hub of each shared key that has the fewest shingles of its own.
+    n - ceil(t * n) + 1, shingles being ordered by how many of these sets have them, and the place of the first
+    shared one bounds the similarity.  Posting lists of up to POSTINGS sets are joined with themselves; longer ones
+    are worked through in rounds.
     """
     marked = keys.join(labels, "set")
     mixed = marked.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("key")
-    marked = stored(marked.join(mixed, "key"), "neardup-mixed")
-    own = sets.join(marked.select("set").distinct(), "set", "left_semi").select("set", "n", "text")
+    marked = marked.join(mixed, "key").select("set").distinct()
+    own = stored(sets.join(marked, "set", "left_semi").select("set", "text"), "neardup-mixed")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,30 +148,23 @@ def _missing_links(keys: DataFrame, labels: DataFrame, sets: DataFrame, k: int,
                 sh = signed(shingle_set(text, k))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sh), s)), pa.array(sh)], ["set", "shingle"])
 
-    shingles = own.select("set", "text").mapInArrow(explode, "set bigint, shingle bigint")
+    shingles = own.mapInArrow(explode, "set bigint, shingle bigint")
     frequent = shingles.groupBy("shingle").agg(F.count("*").alias("f"))
     ranked = shingles.join(frequent, "shingle").groupBy("set").agg(
         F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("list")  # one set's shingles
     )
     n = F.size("list")
     prefix = n - F.ceil(n * percent / 100.0 - 1e-9).cast("int") + 1
-    ranked = stored(
-        ranked.select(
-            "set", n.alias("n"),
-            F.size(F.filter("list", lambda x: x["f"] == 1)).alias("alone"),
-            F.filter(F.slice("list", F.lit(1), prefix), lambda x: (x["f"] > 1) & (x["f"] <= POSTINGS)).alias("list"),
-        ),
-        "neardup-prefix",
-    ).join(labels, "set")
-    rare = ranked.select("set", "n", "component", F.explode("list").alias("x")).select("set", "n", "component", "x.shingle")
-    left = rare.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "shingle")
-    right = rare.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "shingle")
-    by_prefix = _sized(left.join(right, "shingle").where("a < b and ca != cb"), percent)
-    # a set with more than 1 - t of its shingles to itself has no link at all
-    central = marked.join(ranked.select("set", "n", "alone"), "set").where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
-    hubs = central.groupBy("key").agg(F.min(F.struct("alone", "set", "n", "component")).alias("h"))
-    by_hub = central.join(hubs, "key").where("component != h.component").select(F.col("set").alias("a"), F.col("h.set").alias("b"), F.col("n").alias("na"), F.col("h.n").alias("nb"))
-    return _verify(by_prefix.union(_sized(by_hub, percent)).distinct(), sets, k, percent)
+    first = ranked.select("set", n.alias("n"), F.posexplode(F.slice("list", F.lit(1), prefix)).alias("place", "x")).where("x.f > 1")
+    first = stored(first.select("set", "n", "place", "x.shingle").join(labels, "set"), "neardup-prefix")
+    lengths = first.groupBy("shingle").agg(F.count("*").alias("length"), F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("shingle", "length")
+    first = first.join(lengths, "shingle")
+    short, long = first.where(F.col("length") <= POSTINGS), stored(first.where(F.col("length") > POSTINGS), "neardup-long")
+    pairs = _first_shared(_ends(short, "a").join(_ends(short, "b"), "shingle").where("a < b and ca != cb"), percent)
+    links = stored(_verify(pairs, sets, k, percent), "neardup-short-links")
+    for pairs in _long_list_rounds(long, percent):
+        links = links.unionByName(stored(_verify(pairs, sets, k, percent), "neardup-long-links"))
+    return links
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, half: int = HALF, miss: float = MISS) -> DataFrame:
