@@ -137,8 +137,10 @@ def test_missing_links_are_all_links_across_components(spark, monkeypatch, posti
     texts = near_group(4)
     sets = [shingles(t, 3) for t in texts]
     rows = spark.createDataFrame([(i, len(sets[i]), t) for i, t in enumerate(texts)], "set long, n long, text string")
+    bits = [neardup.Sketcher(3, 11, 3)([t.encode()])[3].tolist() for t in texts]
+    nodes = spark.createDataFrame(list(enumerate(bits)), "set long, bits array<long>")
     labels = rows.select("set", (F.col("set") % parts).alias("component"))
-    found = neardup._missing_links(rows.select(F.lit(1).alias("key"), "set"), labels, rows, 3, 85).collect()
+    found = neardup._missing_links(rows.select(F.lit(1).alias("key"), "set"), labels, nodes, rows, 3, 85).collect()
     want = {(i, j) for i in range(60) for j in range(i) if i % parts != j % parts and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
     assert len(want) > 100 and {(max(x), min(x)) for x in found} == want
 

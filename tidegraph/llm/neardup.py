@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -28,7 +28,9 @@ from .textkit import Words, as_bytes, blocks, mix, shingle_lists, signed
 
 HALF, MISS = 3, 1e-4
 #: Posting lists of the prefix filter longer than this are worked through in rounds of about HUBS sets a list.
-POSTINGS, HUBS, SALTS = 64, 256, 16
+POSTINGS, HUBS, SALTS = 64, 1024, 16
+#: Bits of a set's parity bitmap.
+BITS = 1024
 
 
 def tables(threshold: float, half: int = HALF, miss: float = MISS) -> int:
@@ -37,7 +39,11 @@ def tables(threshold: float, half: int = HALF, miss: float = MISS) -> int:
 
 
 class Sketcher:
-    """Size, fingerprint and half keys of the shingle set of each text."""
+    """Size, fingerprint, half keys and parity bitmap of the shingle set of each text.
+
+    A bit of the bitmap is the parity of the shingles that fall on it, so bitmaps of two sets differ in at most
+    as many bits as the sets differ in shingles.
+    """
 
     def __init__(self, k: int, m: int, half: int, seed: int = 1):
         rng = np.random.default_rng(seed)
@@ -46,7 +52,7 @@ class Sketcher:
         self.a = rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1)
         self.b = rng.integers(0, 2**32, n, dtype=np.uint32)
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         sh, off = shingle_lists(Words(texts, fold=True), self.k)
         own = np.repeat(np.arange(len(texts)), np.diff(off))
         order = np.lexsort((sh, own))
@@ -67,7 +73,8 @@ class Sketcher:
                 for j in range(i * self.half, (i + 1) * self.half):
                     key = mix(key * np.uint64(0x100000001B3) + np.minimum.reduceat(low * self.a[j] + self.b[j], heads))
                 keys[have, i] = key
-        return n, print_, keys
+        odd = np.bincount(own * BITS + (sh & np.uint64(BITS - 1)).astype(np.int64), minlength=len(texts) * BITS) & 1
+        return n, print_, keys, np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -93,43 +100,44 @@ def _verify(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFram
     return own.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
-def _sized(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes na and nb allow the similarity."""
-    return pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
+def _alike(percent: int) -> Column:
+    """Whether sizes na, nb and bitmaps xa, xb allow the similarity: differing bits bound the symmetric difference from below."""
+    apart = sum((F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(BITS // 64)), F.lit(0))
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (100 * (F.col("na") + F.col("nb") - apart) >= percent * (F.col("na") + F.col("nb") + apart))
 
 
-def _first_shared(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs that can reach the similarity if the shingle at places ia and ib (from 0) is the first they share."""
+def _first_shared(percent: int) -> Column:
+    """Whether a pair can reach the similarity if the shingle at places ia and ib (from 0) is the first it shares."""
     most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    return pairs.where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b").distinct()
+    return 100 * most >= percent * (F.col("na") + F.col("nb") - most)
 
 
-def _ends(rows: DataFrame, end: str, *more: str) -> DataFrame:
+def _ends(rows: DataFrame, end: str, *more: str | Column) -> DataFrame:
     """Posting rows (set, n, component, place, shingle) as one end, ``a`` or ``b``, of pairs."""
     return rows.select(F.col("set").alias(end), F.col("n").alias(f"n{end}"), F.col("component").alias(f"c{end}"), F.col("place").alias(f"i{end}"), "shingle", *more)
 
 
-def _long_list_rounds(long: DataFrame, percent: int) -> Iterator[DataFrame]:
+def _long_list_pairs(long: DataFrame, percent: int) -> Iterator[DataFrame]:
     """The candidate pairs of long posting lists, by rounds.
 
     Every pair of a list across components has an end outside the list's largest component.  These ends are
     taken about HUBS a list and round, until each has been compared with the whole list, so no pair is left out and a
-    round's rows are HUBS times the lists' rows at most.  Lists are salted.
+    round compares HUBS times the lists' rows at most.  Pairs that sizes, places or bitmaps rule out do not leave the join.  Lists are salted.
     """
     sizes = long.groupBy("shingle", "component").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), (F.sum("c") - F.max("c")).alias("others"))
     largest = largest.where("others > 0")
     rounds = math.ceil((largest.agg(F.max("others")).first()[0] or 0) / HUBS)
     outside = long.join(largest, "shingle").where("component != largest")
-    left = _ends(long, "a", F.pmod(F.xxhash64("set"), F.lit(SALTS)).alias("salt"))
+    left = _ends(long, "a", F.col("bits").alias("xa"), F.pmod(F.xxhash64("set"), F.lit(SALTS)).alias("salt"))
     for r in range(rounds):
         hubs = outside.where(F.pmod(F.xxhash64("set", F.lit(3)), F.lit(rounds)) == r)
-        right = _ends(hubs, "b", "largest", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+        right = _ends(hubs, "b", F.col("bits").alias("xb"), "largest", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
         # two outside ends meet twice: the larger one is the hub
-        yield _first_shared(left.join(right, ["shingle", "salt"]).where("ca != cb and (ca = largest or a < b)"), percent)
+        yield left.join(right, ["shingle", "salt"]).where("ca != cb and (ca = largest or a < b)").where(_first_shared(percent) & _alike(percent)).select("a", "b").distinct()
 
 
-def _missing_links(keys: DataFrame, labels: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+def _missing_links(keys: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between sets that share a key but are in different components.
 
     Where two sets reach the threshold, both have one of their shared shingles among their first
@@ -159,12 +167,12 @@ def _missing_links(keys: DataFrame, labels: DataFrame, sets: DataFrame, k: int,
     first = stored(first.select("set", "n", "place", "x.shingle").join(labels, "set"), "neardup-prefix")
     lengths = first.groupBy("shingle").agg(F.count("*").alias("length"), F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("shingle", "length")
     first = first.join(lengths, "shingle")
-    short, long = first.where(F.col("length") <= POSTINGS), stored(first.where(F.col("length") > POSTINGS), "neardup-long")
-    pairs = _first_shared(_ends(short, "a").join(_ends(short, "b"), "shingle").where("a < b and ca != cb"), percent)
-    links = stored(_verify(pairs, sets, k, percent), "neardup-short-links")
-    for pairs in _long_list_rounds(long, percent):
-        links = links.unionByName(stored(_verify(pairs, sets, k, percent), "neardup-long-links"))
-    return links
+    short = first.where(F.col("length") <= POSTINGS)
+    long = stored(first.where(F.col("length") > POSTINGS).join(nodes.select("set", "bits"), "set"), "neardup-long")
+    pairs = _ends(short, "a").join(_ends(short, "b"), "shingle").where("a < b and ca != cb").where(_first_shared(percent)).select("a", "b")
+    for more in _long_list_pairs(long, percent):
+        pairs = pairs.unionByName(stored(more, "neardup-long-pairs"))
+    return _verify(pairs.distinct(), sets, k, percent)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, half: int = HALF, miss: float = MISS) -> DataFrame:
@@ -185,31 +193,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, half: int =
         for batch in batches:
             texts = as_bytes(batch.column(2))
             for lo, hi in blocks(texts):
-                n, prints, keys = sketch(texts[lo:hi])
+                n, prints, keys, bits = sketch(texts[lo:hi])
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * (2 * m)), pa.array(signed(keys.ravel())))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(signed(prints)), flat], ["row_key", "doc_id", "n", "set", "halves"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(signed(prints)), flat, bits], ["row_key", "doc_id", "n", "set", "halves", "bits"])
 
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
-    rows = stored(keyed.mapInArrow(run, f"row_key bigint, doc_id {kind}, n bigint, set bigint, halves array<bigint>"), "neardup-sketches")
+    rows = stored(keyed.mapInArrow(run, f"row_key bigint, doc_id {kind}, n bigint, set bigint, halves array<bigint>, bits array<bigint>"), "neardup-sketches")
     linked = rows.where("n > 0 and doc_id is not null")
     # one node for each distinct set; the copies' ids meet again at the end
-    nodes = stored(linked.groupBy("set").agg(F.min_by(F.struct("row_key", "n", "halves"), F.struct("doc_id", "row_key")).alias("r")).select("set", "r.*"), "neardup-nodes")
+    nodes = stored(linked.groupBy("set").agg(F.min_by(F.struct("row_key", "n", "halves", "bits"), F.struct("doc_id", "row_key")).alias("r")).select("set", "r.*"), "neardup-nodes")
     halves = nodes.select("set", F.posexplode("halves").alias("i", "h"))
     met = halves.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     both = halves.join(met, "h", "left_semi").groupBy("set").agg(F.collect_list(F.when(F.col("i") < m, F.col("h"))).alias("x"), F.collect_list(F.when(F.col("i") >= m, F.col("h"))).alias("y"))
     keys = both.select("set", F.explode("x").alias("u"), "y").select("set", "u", F.explode("y").alias("v")).select(F.xxhash64("u", "v").alias("key"), "set")
     shared = keys.groupBy("key").agg(F.min("set").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    keys = stored(keys.join(shared.select("key", "hub"), "key").join(nodes.select("set", "n"), "set"), "neardup-keys")
-    sizes = nodes.select(F.col("set").alias("hub"), F.col("n").alias("nb"))
-    stars = stored(_sized(keys.where("set != hub").select("set", "hub", "n").distinct().join(sizes, "hub").select(F.col("set").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), "nb"), percent), "neardup-stars")
+    keys = stored(keys.join(shared.select("key", "hub"), "key"), "neardup-keys")
+    ends = [nodes.select(F.col("set").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"x{e}")) for e in "ab"]
+    stars = keys.where("set != hub").select(F.col("set").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = stored(stars.join(ends[0], "a").join(ends[1], "b").where(_alike(percent)).select("a", "b"), "neardup-stars")
     involved = keys.select("set").distinct()
     texts = stored(
         keyed.join(nodes.join(involved, "set", "left_semi").select("set", "row_key", "n"), "row_key").dropDuplicates(["set"]).select("set", "n", "text"), "neardup-texts"
     )
     links = stored(_verify(stars, texts, k, percent), "neardup-links")
     label = connected_components(involved.select(F.col("set").alias("v")), links, "a", "b").select(F.col("v").alias("set"), "component")
-    more = stored(_missing_links(keys.select("key", "set"), label, texts, k, percent), "neardup-more")
+    more = stored(_missing_links(keys.select("key", "set"), label, nodes, texts, k, percent), "neardup-more")
     links = links.unionByName(more)
     # rows that repeat a doc_id join their sets
     repeated = linked.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a != z")
