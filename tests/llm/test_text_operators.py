@@ -138,11 +138,39 @@ def test_missing_links_are_all_links_across_components(spark, monkeypatch, posti
     sets = [shingles(t, 3) for t in texts]
     rows = spark.createDataFrame([(i, len(sets[i]), t) for i, t in enumerate(texts)], "set long, n long, text string")
     bits = [neardup.Sketcher(3, 11, 3)([t.encode()])[3].tolist() for t in texts]
-    nodes = spark.createDataFrame(list(enumerate(bits)), "set long, bits array<long>")
+    nodes = spark.createDataFrame([(i, len(sets[i]), b) for i, b in enumerate(bits)], "set long, n long, bits array<long>")
     labels = rows.select("set", (F.col("set") % parts).alias("component"))
     found = neardup._missing_links(rows.select(F.lit(1).alias("key"), "set"), labels, nodes, rows, 3, 85).collect()
-    want = {(i, j) for i in range(60) for j in range(i) if i % parts != j % parts and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
-    assert len(want) > 100 and {(max(x), min(x)) for x in found} == want
+    want = {(i, j) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    found = {(max(x), min(x)) for x in found}
+    assert len(found) > 10 and found <= want
+    # with the given components, the links found connect what all links connect
+    given = [(i, i % parts) for i in range(60)]
+    assert _connected(60, [*found, *given]) == _connected(60, [*want, *given])
+
+
+def test_long_lists_lose_no_pair(spark, monkeypatch):
+    """Every pair across components that reaches the threshold is a candidate."""
+    monkeypatch.setattr(neardup, "HUBS", 5)
+    texts = near_group(4)
+    sets = [shingles(t, 3) for t in texts]
+    count = Counter(x for s in sets for x in s)
+    rows = []
+    for i, s in enumerate(sets):
+        order = sorted(s, key=lambda x: (count[x], x))
+        bits = neardup.Sketcher(3, 11, 3)([texts[i].encode()])[3].tolist()
+        rows += [(i, len(s), i % 7, place, " ".join(x), bits) for place, x in enumerate(order[: len(s) - -(-len(s) * 85 // 100) + 1]) if count[x] > 1]
+    long = spark.createDataFrame(rows, "set long, n int, component long, place int, shingle string, bits array<long>")
+    got = {(max(x), min(x)) for pairs in neardup._long_list_pairs(long, 85) for x in pairs.collect()}
+    assert got >= {(i, j) for i in range(60) for j in range(i) if i % 7 != j % 7 and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+
+
+def _connected(n, pairs):
+    least = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
 
 
 def brute_cut(texts, window):

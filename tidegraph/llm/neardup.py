@@ -106,6 +106,11 @@ def _alike(percent: int) -> Column:
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (100 * (F.col("na") + F.col("nb") - apart) >= percent * (F.col("na") + F.col("nb") + apart))
 
 
+def _alike_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    ends = [nodes.select(F.col("set").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"x{e}")) for e in "ab"]
+    return pairs.join(ends[0], "a").join(ends[1], "b").where(_alike(percent)).select("a", "b")
+
+
 def _first_shared(percent: int) -> Column:
     """Whether a pair can reach the similarity if the shingle at places ia and ib (from 0) is the first it shares."""
     most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
@@ -142,13 +147,15 @@ def _missing_links(keys: DataFrame, labels: DataFrame, nodes: DataFrame, sets: D
 
     Where two sets reach the threshold, both have one of their shared shingles among their first
     n - ceil(t * n) + 1, shingles being ordered by how many of these sets have them, and the place of the first
-    shared one bounds the similarity.  Posting lists of up to POSTINGS sets are joined with themselves; longer ones
-    are worked through in rounds.
+    shared one bounds the similarity.  Sets are first compared with the set of each shared key that has the
+    fewest shingles of its own, so that a near group becomes one component by a comparison a set and key.  What is
+    in different components after that is compared over posting lists: those of up to POSTINGS sets are joined with
+    themselves, longer ones are worked through in rounds.
     """
     marked = keys.join(labels, "set")
     mixed = marked.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("key")
-    marked = marked.join(mixed, "key").select("set").distinct()
-    own = stored(sets.join(marked, "set", "left_semi").select("set", "text"), "neardup-mixed")
+    marked = stored(marked.join(mixed, "key"), "neardup-mixed")
+    own = sets.join(marked.select("set").distinct(), "set", "left_semi").select("set", "text")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +171,16 @@ def _missing_links(keys: DataFrame, labels: DataFrame, nodes: DataFrame, sets: D
     n = F.size("list")
     prefix = n - F.ceil(n * percent / 100.0 - 1e-9).cast("int") + 1
     first = ranked.select("set", n.alias("n"), F.posexplode(F.slice("list", F.lit(1), prefix)).alias("place", "x")).where("x.f > 1")
-    first = stored(first.select("set", "n", "place", "x.shingle").join(labels, "set"), "neardup-prefix")
+    first = stored(first.select("set", "n", "place", "x.shingle"), "neardup-prefix")
+    # a set without a row here shares none of its first shingles, and so has no link
+    central = marked.join(first.groupBy("set").agg(F.min("place").alias("alone")), "set")
+    hubs = central.groupBy("key").agg(F.min(F.struct("alone", "set", "component")).alias("h"))
+    near = central.join(hubs, "key").where("component != h.component").select(F.col("set").alias("a"), F.col("h.set").alias("b")).distinct()
+    links = stored(_verify(_alike_pairs(near, nodes, percent), sets, k, percent), "neardup-central")
+    ends = [labels.select(F.col("set").alias(e), F.col("component").alias(f"c{e}")) for e in "ab"]
+    merged = connected_components(labels.select(F.col("component").alias("v")).distinct(), links.join(ends[0], "a").join(ends[1], "b").select("ca", "cb"), "ca", "cb")
+    labels = labels.withColumnRenamed("component", "v").join(merged, "v").select("set", "component")
+    first = stored(first.join(labels, "set"), "neardup-first")
     lengths = first.groupBy("shingle").agg(F.count("*").alias("length"), F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("shingle", "length")
     first = first.join(lengths, "shingle")
     short = first.where(F.col("length") <= POSTINGS)
@@ -172,7 +188,7 @@ def _missing_links(keys: DataFrame, labels: DataFrame, nodes: DataFrame, sets: D
     pairs = _ends(short, "a").join(_ends(short, "b"), "shingle").where("a < b and ca != cb").where(_first_shared(percent)).select("a", "b")
     for more in _long_list_pairs(long, percent):
         pairs = pairs.unionByName(stored(more, "neardup-long-pairs"))
-    return _verify(pairs.distinct(), sets, k, percent)
+    return links.unionByName(_verify(pairs.distinct(), sets, k, percent))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, half: int = HALF, miss: float = MISS) -> DataFrame:
@@ -210,9 +226,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, half: int =
     keys = both.select("set", F.explode("x").alias("u"), "y").select("set", "u", F.explode("y").alias("v")).select(F.xxhash64("u", "v").alias("key"), "set")
     shared = keys.groupBy("key").agg(F.min("set").alias("hub"), F.count("*").alias("c")).where("c > 1")
     keys = stored(keys.join(shared.select("key", "hub"), "key"), "neardup-keys")
-    ends = [nodes.select(F.col("set").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"x{e}")) for e in "ab"]
     stars = keys.where("set != hub").select(F.col("set").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = stored(stars.join(ends[0], "a").join(ends[1], "b").where(_alike(percent)).select("a", "b"), "neardup-stars")
+    stars = stored(_alike_pairs(stars, nodes, percent), "neardup-stars")
     involved = keys.select("set").distinct()
     texts = stored(
         keyed.join(nodes.join(involved, "set", "left_semi").select("set", "row_key", "n"), "row_key").dropDuplicates(["set"]).select("set", "n", "text"), "neardup-texts"
