@@ -390,7 +390,7 @@ def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def majority_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.majority_component(weak_components(spark, sf_dir))
+    return analytics.majority_component(weak_components_whole(spark, sf_dir))
 
 
 _STRONG = """reach(a, b) AS (SELECT v, v FROM verts UNION SELECT a, dst FROM reach JOIN g ON g.src = b),
@@ -466,3 +466,52 @@ def exported_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = all_vertices(solve(settled(sparse_graph(spark, sf_dir)), BFS, n, ROOT), n)
     return state.select("v", F.coalesce(F.col("value").cast("string"), F.lit("INF")).alias("distance"))
 
+
+
+# -- the same on all lines: the queries above with _SPARSE or quantity >= 49 keep their SQL and its filter ------
+
+
+@query(f"WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'label')} SELECT v, value AS label FROM s")
+def min_label_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = solve(settled(part_graph(spark, sf_dir)), MIN_LABEL, vertex_count(spark, sf_dir), ROOT)
+    return state.select("v", F.col("value").alias("label"))
+
+
+@query("SELECT 0::BIGINT AS wrong")
+def min_label_check_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, edges = vertex_count(spark, sf_dir), settled(part_graph(spark, sf_dir))
+    return checks.label_check(edges, solve(edges, MIN_LABEL, n, ROOT), n).agg(F.count("*").alias("wrong"))
+
+
+@query(f"WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'bfs')} SELECT count(*) AS reachable FROM s")
+def reachable_count_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.reachable_count(_solved(spark, sf_dir, BFS)[1])
+
+
+@query(f"WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'bfs')} SELECT verts.v, coalesce(value::VARCHAR, 'INF') AS distance FROM verts LEFT JOIN s ON s.v = verts.v")
+def exported_distances_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, state, n = _solved(spark, sf_dir, BFS)
+    return all_vertices(state, n).select("v", F.coalesce(F.col("value").cast("string"), F.lit("INF")).alias("distance"))
+
+
+@query(f"WITH {_graph()} SELECT v, row_number() OVER (ORDER BY v) - 1 AS local FROM (SELECT src AS v FROM g UNION SELECT dst FROM g)")
+def local_ids_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = part_graph(spark, sf_dir)
+    return analytics.local_ids(edges.select(F.col("src").alias("v")).union(edges.select("dst")))
+
+
+@query(f"WITH RECURSIVE {_graph()}, {_WEAK} SELECT v, c AS component FROM wcc")
+def weak_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected_components(vertex_range(spark, vertex_count(spark, sf_dir)), settled(part_graph(spark, sf_dir)))
+
+
+@query()
+def strong_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.strong_components(vertex_range(spark, vertex_count(spark, sf_dir)), settled(part_graph(spark, sf_dir)))
+
+
+@query()
+def critical_levels_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = settled(part_graph(spark, sf_dir))
+    components = settled(regions.strong_components(vertex_range(spark, vertex_count(spark, sf_dir)), edges))
+    return regions.levels(components.select(F.col("component").alias("v")).distinct(), settled(regions.condensation(edges, components)))
