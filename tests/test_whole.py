@@ -57,3 +57,33 @@ def test_labels_and_components_of_the_whole_graph(spark, tables):
     votes = Counter(weak.values())
     row = QUERIES["majority_component"](spark, folder).first()
     assert row is None or row.votes <= votes[row.component] and row.component in votes
+
+
+def test_every_batch_is_applied_in_order(spark, tables):
+    folder, edges = tables
+    bag = Counter((u, v) for u, v, year, _ in edges if year <= 1998)
+    batches = [[("a", u, v) for u, v, y, _ in edges if y == year] for year in (1999, 2000, 2001)]
+    batches[0] += [("d", u, v) for u, v, y, flag in edges if flag == "R" and y <= 1999]
+    want = {"edges": set(), "metrics": set(), "bfs": set(), "min_label": set(), "final": set()}
+    epochs = [bag]
+    for b, batch in enumerate(batches):
+        gd, ga, total = oracle.apply(N, bag, batch)
+        for phase, g in (("delete", gd), ("add", ga)):
+            want["edges"] |= {(b, phase, u, v, c) for (u, v), c in g.items()}
+            for program in ("bfs", "min_label"):
+                want[program] |= {(b, phase, v, x) for v, x in oracle.solve(program, N, g, 1).items()}
+        want["metrics"].add((b, *total.values(), sum(ga.values())))
+        want["final"] |= {(b, v, x) for v, x in oracle.solve("sssp", N, ga, 1).items()}
+        bag = ga
+        epochs.append(bag)
+    got = lambda name, *cols: {tuple(r) for r in QUERIES[name](spark, folder).select(*cols).collect()}
+    assert got("edges_after_every_batch", "batch_id", "phase", "src", "dst", "cnt") == want["edges"]
+    assert got("metrics_every_batch", "*") == want["metrics"]
+    assert got("bfs_after_every_batch", "*") == want["bfs"]
+    assert got("min_label_after_every_batch", "*") == want["min_label"]
+    assert got("sssp_final_every_batch", "*") == want["final"]
+    assert got("topology_audit_every_batch", "*") == {(b, 0) for b in range(3)}
+    ranks = {(r.batch_id, r.v): r["rank"] for r in QUERIES["pagerank_after_every_batch"](spark, folder).collect()}
+    for b, g in enumerate(epochs[1:]):
+        assert all(abs(ranks[b, v] - x) < 2e-3 for v, x in enumerate(oracle.pagerank(N, g)))
+    assert {r.batch_id for r in QUERIES["cache_admission_every_batch"](spark, folder).collect()} == {-1, 0, 1, 2}

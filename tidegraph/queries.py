@@ -515,3 +515,161 @@ def critical_levels_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = settled(part_graph(spark, sf_dir))
     components = settled(regions.strong_components(vertex_range(spark, vertex_count(spark, sf_dir)), edges))
     return regions.levels(components.select(F.col("component").alias("v")).distinct(), settled(regions.condensation(edges, components)))
+
+
+# -- all batches in order, each from the state of the one before; the queries of the first batch keep their SQL ---
+
+Each = Callable[[DataFrame, DataFrame, topology.Applied, int], DataFrame]
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[int, DataFrame]], int]:
+    initial, batches = evolving_graph(spark, sf_dir)
+    batches = settled(batches)
+    ids = sorted(r.batch_id for r in batches.select("batch_id").distinct().collect())
+    return settled(initial), [(b, batches.where(F.col("batch_id") == b).select("op", "src", "dst", "cnt")) for b in ids], vertex_count(spark, sf_dir)
+
+
+def _by_batch(parts: list[tuple[int, DataFrame]]) -> DataFrame:
+    out = [x.select(F.lit(b).cast("long").alias("batch_id"), "*") for b, x in parts]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
+
+
+def _replayed(spark: SparkSession, sf_dir: str, each: Each) -> DataFrame:
+    """The rows of ``each`` (edges before, batch, outcome, n) of every batch."""
+    edges, batches, n = _batches(spark, sf_dir)
+    parts = []
+    for b, batch in batches:
+        done = topology.apply_batch(edges, batch, n)
+        parts.append((b, each(edges, batch, done, n)))
+        edges = settled(done.after_add)
+    return _by_batch(parts)
+
+
+@query()
+def metrics_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir, lambda e, b, done, n: done.metrics.join(F.broadcast(done.after_add.agg(F.sum("cnt").alias("graph_edges")))))
+
+
+@query()
+def delta_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir, lambda e, b, done, n: done.effective)
+
+
+@query()
+def missing_deletes_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir, lambda e, b, done, n: topology.planned(e, b, n).select("src", "dst", (F.col("dels") - F.col("gone")).alias("missing")).where("missing > 0"))
+
+
+@query()
+def edges_after_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir, lambda e, b, done, n: done.after_delete.withColumn("phase", F.lit("delete")).unionByName(done.after_add.withColumn("phase", F.lit("add"))))
+
+
+@query()
+def digests_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir, lambda e, b, done, n: topology.digests(done.after_add))
+
+
+@query()
+def changed_sources_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir, lambda e, b, done, n: topology.changed_sources(b.where("op = 'd'"), b.where("op = 'a'")))
+
+
+@query()
+def latest_versions_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    degree = lambda edges: edges.groupBy("src").agg(F.sum("cnt").alias("degree"))
+    return _replayed(spark, sf_dir, lambda e, b, done, n: topology.latest_versions(b.where("op = 'a'").select("src", F.col("cnt").alias("version")), degree(done.after_add)))
+
+
+@query()
+def survivors_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir, lambda e, b, done, n: topology.ordered_survivors(e, done.after_add))
+
+
+@query()
+def dependency_log_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.dependency_log(*evolving_graph(spark, sf_dir))
+
+
+@query()
+def topology_audit_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each batch applied by bag arithmetic against the interval log of all batches at the same epoch."""
+    edges, batches, n = _batches(spark, sf_dir)
+    log = settled(dependency_log_every_batch(spark, sf_dir))
+    parts = []
+    for b, batch in batches:
+        edges = settled(topology.apply_batch(edges, batch, n).after_add)
+        parts.append((b, topology.topology_mismatches(edges, topology.as_of(log, b + 1)).agg(F.count("*").alias("mismatches"))))
+    return _by_batch(parts)
+
+
+def _repaired(spark: SparkSession, sf_dir: str, program: MinProgram, column: str) -> DataFrame:
+    edges, batches, n = _batches(spark, sf_dir)
+    state, parts = solve(edges, program, n, ROOT), []
+    for b, batch in batches:
+        done = repair.update(edges, state, batch, program, n)
+        parts.append((b, _both(done, column)))
+        edges, state = done.edges, done.state
+    return _by_batch(parts)
+
+
+@query()
+def bfs_after_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir, BFS, "hops")
+
+
+@query()
+def sssp_after_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir, SSSP, "dist")
+
+
+@query()
+def min_label_after_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir, MIN_LABEL, "label")
+
+
+@query()
+def sssp_final_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, batches, n = _batches(spark, sf_dir)
+    state, parts = solve(edges, SSSP, n, ROOT), []
+    for b, batch in batches:
+        state = repair.final_state_update(edges, state, batch, SSSP, n)
+        parts.append((b, state.select("v", F.col("value").alias("dist"))))
+        edges = settled(topology.apply_batch(edges, batch, n).after_add)
+    return _by_batch(parts)
+
+
+@query()
+def pagerank_after_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, batches, n = _batches(spark, sf_dir)
+    state, parts = pagerank.pagerank(edges, n, 1e-7), []
+    for b, batch in batches:
+        new = settled(topology.apply_batch(edges, batch, n).after_add)
+        state = settled(pagerank.update_pagerank(edges, state, batch, n, 1e-7)[1])
+        parts.append((b, state.select("v", F.round("rank", 3).alias("rank"))))
+        edges = new
+    return _by_batch(parts)
+
+
+def _admitted(spark: SparkSession, sf_dir: str) -> list[tuple[int, DataFrame]]:
+    """(batch_id, what is admitted after it), with -1 for the initial graph; the hits of graph batch b are those of its year, b + 9."""
+    edges, batches, n = _batches(spark, sf_dir)
+    scores, out = settled(analytics.activity(_hits(spark, sf_dir))), []
+    for b, batch in [(-1, None), *batches]:
+        edges = edges if batch is None else settled(topology.apply_batch(edges, batch, n).after_add)
+        degree = edges.groupBy(F.col("src").alias("v")).agg(F.sum("cnt").alias("degree"))
+        out.append((b, settled(analytics.admission(scores.where(F.col("batch_id") == b + 9).select("v", "score"), degree, CAPACITY))))
+    return out
+
+
+@query()
+def cache_admission_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_batch(_admitted(spark, sf_dir))
+
+
+@query()
+def cache_diff_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _admitted(spark, sf_dir)
+    return _by_batch([(b, analytics.cache_diff(old, new)) for (_, old), (b, new) in zip(kept, kept[1:])])
