@@ -87,3 +87,20 @@ def test_every_batch_is_applied_in_order(spark, tables):
     for b, g in enumerate(epochs[1:]):
         assert all(abs(ranks[b, v] - x) < 2e-3 for v, x in enumerate(oracle.pagerank(N, g)))
     assert {r.batch_id for r in QUERIES["cache_admission_every_batch"](spark, folder).collect()} == {-1, 0, 1, 2}
+
+
+def test_all_destinations_and_regions(spark, tables):
+    folder, edges = tables
+    bag = Counter((u, v) for u, v, *_ in edges)
+    bfs = oracle.solve("bfs", N, bag, 1)
+    got = lambda name: {tuple(r) for r in QUERIES[name](spark, folder).collect()}
+    assert got("incoming_rows_whole") == {(v, u, c) for (u, v), c in bag.items()}
+    assert got("boundary_edges_whole") == {(v % 4, u, v, c, u % 4 == v % 4) for (u, v), c in bag.items()}
+    want = set()
+    for k in range(4):
+        into = [(u, v, c) for (u, v), c in bag.items() if v % 4 == k]
+        over = [x for x in into if x[0] % 4 != k]
+        near = [x for x in over if x[0] in bfs]
+        total = lambda rows: sum(x[2] for x in rows)
+        want.add((k, total(into), total(into) - total(over), total(over), len({x[0] for x in over}), total(near), len({x[1] for x in near})))
+    assert got("region_report_whole") == want

@@ -102,6 +102,24 @@ def region_report(edges: DataFrame, region: DataFrame, state: DataFrame) -> Data
     )
 
 
+def partition_edges(edges: DataFrame, regions: DataFrame) -> DataFrame:
+    """(region, src, dst, cnt, internal) of every edge whose destination has a region, from (v, region)."""
+    to = regions.select(F.col("v").alias("dst"), "region")
+    own = regions.select(F.col("v").alias("src"), F.col("region").alias("from"))
+    return edges.join(to, "dst").join(own, "src", "left").select("region", "src", "dst", "cnt", F.coalesce(F.col("from") == F.col("region"), F.lit(False)).alias("internal"))
+
+
+def partition_report(edges: DataFrame, regions: DataFrame, state: DataFrame) -> DataFrame:
+    """``region_report`` of every region of (v, region) with an incoming edge, one row each."""
+    rows = partition_edges(edges, regions).join(state.where("value is not null").select(F.col("v").alias("src"), F.lit(True).alias("ok")), "src", "left")
+    rows = rows.withColumn("finite", ~F.col("internal") & F.coalesce("ok", F.lit(False)))
+    z = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return rows.groupBy("region").agg(
+        z("cnt", "incoming"), z(F.when(F.col("internal"), F.col("cnt")), "internal"), z(F.when(~F.col("internal"), F.col("cnt")), "boundary"),
+        F.count_distinct(F.when(~F.col("internal"), F.col("src"))).alias("boundary_sources"), z(F.when(F.col("finite"), F.col("cnt")), "finite_boundary"), F.count_distinct(F.when(F.col("finite"), F.col("dst"))).alias("seeds"),
+    )
+
+
 def local_ids(vertices: DataFrame) -> DataFrame:
     """(v, local): dense ids from 0 in the order of v."""
     return running_sum(vertices.select("v").distinct(), [F.col("v")], F.lit(1), "local")

@@ -673,3 +673,31 @@ def cache_admission_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_diff_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = _admitted(spark, sf_dir)
     return _by_batch([(b, analytics.cache_diff(old, new)) for (_, old), (b, new) in zip(kept, kept[1:])])
+
+
+# -- all destinations and all regions; the queries of one residue keep their SQL ------------------------------
+
+
+@query(f"WITH {_graph()} SELECT dst, src, cnt FROM g")
+def incoming_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.incoming(part_graph(spark, sf_dir), vertex_range(spark, vertex_count(spark, sf_dir)))
+
+
+REGIONS = 4
+
+
+@query(f"WITH {_graph()} SELECT dst % {REGIONS} AS region, src, dst, cnt, src % {REGIONS} = dst % {REGIONS} AS internal FROM g")
+def boundary_edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.partition_edges(part_graph(spark, sf_dir), _regions(spark, sf_dir))
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertex_range(spark, vertex_count(spark, sf_dir)).select("v", (F.col("v") % REGIONS).alias("region"))
+
+
+@query(f"""WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'bfs')}, e AS (SELECT g.*, dst % {REGIONS} AS region, src % {REGIONS} = dst % {REGIONS} AS internal, s.v IS NOT NULL AS ok FROM g LEFT JOIN s ON s.v = g.src)
+SELECT region, sum(cnt)::BIGINT AS incoming, coalesce(sum(cnt) FILTER (WHERE internal), 0)::BIGINT AS internal, coalesce(sum(cnt) FILTER (WHERE NOT internal), 0)::BIGINT AS boundary, count(DISTINCT src) FILTER (WHERE NOT internal) AS boundary_sources,
+coalesce(sum(cnt) FILTER (WHERE NOT internal AND ok), 0)::BIGINT AS finite_boundary, count(DISTINCT dst) FILTER (WHERE NOT internal AND ok) AS seeds FROM e GROUP BY region""")
+def region_report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, state, _ = _solved(spark, sf_dir, BFS)
+    return analytics.partition_report(edges, _regions(spark, sf_dir), state)
