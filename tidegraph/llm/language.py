@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .runtime import prepare, remainder
 from .textkit import FOLD_BYTES, as_bytes, blocks
 
-#: Bounds of the training sample: rows a language, languages, bytes a text.
-ROWS_PER_LANGUAGE, LANGUAGES, TEXT_BYTES = 400, 64, 20_000
+#: Bounds of the training sample: rows a language, and bytes a text where a language has such texts.
+ROWS_PER_LANGUAGE, TEXT_BYTES = 400, 20_000
 LANDMARKS, ORDERS, RIDGE, SHARPNESS = 128, (1, 2, 3), 1e-2, 6.0
 _ASCII_LETTER, _LETTER = re.compile(rb"[A-Za-z]"), re.compile(r"[^\W\d_]")
 
@@ -104,15 +104,15 @@ class LanguageModel:
 
 
 def training_rows(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> tuple[list[bytes], list[str]]:
-    """A bounded sample: of the most frequent languages, rows with the least hash of doc_id, of texts not over TEXT_BYTES."""
-    rows = docs.select("doc_id", "text", "lang").where(
-        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= TEXT_BYTES) & F.col("text").rlike(r"\p{L}") & (remainder(F.col("doc_id"), 5) != 0)
+    """A sample of every language, rows with the least hash of doc_id; texts over TEXT_BYTES only where a language has no others."""
+    rows = docs.select("doc_id", "text", "lang", (F.octet_length("text") <= TEXT_BYTES).alias("short")).where(
+        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (remainder(F.col("doc_id"), 5) != 0)
     )
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return [], []
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], float(min(1.0, per_language / r[1])))])
-    got = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 30)).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.when(F.col("short"), 1)).alias("shorts"), F.count("*").alias("all"))
+    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.when(F.col("shorts") > 0, F.col("shorts")).otherwise(F.col("all")))
+    sizes = counts.select(F.col("lang").alias("own"), (F.col("shorts") == 0).alias("long"), share.alias("share"))
+    taken = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    got = rows.join(F.broadcast(sizes), F.col("lang") == F.col("own")).where((F.col("short") | F.col("long")) & taken).select("doc_id", "text", "lang").collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.lang, r.text))
     return [r.text.encode() for r in got], [r.lang for r in got]
 
