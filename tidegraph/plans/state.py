@@ -19,8 +19,38 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, and later rounds start from it, not from its plan."""
-    path = f"{shared_folder(df.sparkSession)}/rounds/{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def new_path(spark: SparkSession, name: str = "rounds") -> str:
+    return f"{shared_folder(spark)}/{name}/{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str = "rounds", codec: str = "lz4", key: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, and later rounds start from it, not from its plan.
+
+    With ``key``, the table is dealt out by that column, one file a shuffle partition, and the catalog
+    knows it: joins and aggregations by the key do not move it again.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    if key is None:
+        df.write.option("compression", codec).parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    else:
+        parts, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"settled_{uuid.uuid4().hex}"
+        df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).option("compression", codec).format("parquet").saveAsTable(table)
+        out = spark.table(table)
+        out._settled_table = table
+    out._settled_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes settled tables that no later plan reads; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "_settled_path", None) if df is not None else None
+        if path is None:
+            continue
+        spark = df.sparkSession
+        if getattr(df, "_settled_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {df._settled_table}")
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
