@@ -1,13 +1,16 @@
-"""Session settings and shared storage used by the text operators."""
+"""Session settings, row identities and shared storage used by the text operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.state import discard, settled
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "discard", "fresh", "prepare", "remainder", "row_hash", "sampled_labels", "stored", "table"]
+
 #: Rows and bytes of an Arrow batch; with texts of a few KB, a Python worker holds some MB.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -18,32 +21,34 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        folder = context.getCheckpointDir()
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tidegraph-"))
-            folder = context.getCheckpointDir()
-    return folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return settled(df, name, "zstd", key)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column of that name is taken."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_hash(columns: Iterable[str], seed: int = 0) -> Column:
+    """A 64-bit hash of the columns' values, nulls told from other values; another seed gives an independent hash."""
+    parts = [F.lit(seed)]
+    for c in columns:
+        parts += [F.col(f"`{c}`").isNull(), F.col(f"`{c}`")]
+    return F.xxhash64(*parts)
+
+
 def remainder(doc_id: Column, k: int) -> Column:
     """crc32 of doc_id as text, modulo k; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
