@@ -23,11 +23,12 @@ def new_path(spark: SparkSession, name: str = "rounds") -> str:
     return f"{shared_folder(spark)}/{name}/{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, name: str = "rounds", codec: str = "lz4", key: str | None = None) -> DataFrame:
+def settled(df: DataFrame, name: str = "rounds", codec: str = "lz4", key: str | None = None, dealt: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and later rounds start from it, not from its plan.
 
     With ``key``, the table is dealt out by that column, one file a shuffle partition, and the catalog
-    knows it: joins and aggregations by the key do not move it again.
+    knows it: joins and aggregations by the key do not move it again.  ``dealt`` says that ``df`` ends in
+    an exchange by the key already.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -36,7 +37,7 @@ def settled(df: DataFrame, name: str = "rounds", codec: str = "lz4", key: str |
         out = spark.read.schema(df.schema).parquet(path)
     else:
         parts, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"settled_{uuid.uuid4().hex}"
-        df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).option("compression", codec).format("parquet").saveAsTable(table)
+        (df if dealt else df.repartition(parts, key)).write.bucketBy(parts, key).option("path", path).option("compression", codec).format("parquet").saveAsTable(table)
         out = spark.table(table)
         out._settled_table = table
     out._settled_path = path
