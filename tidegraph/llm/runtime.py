@@ -21,9 +21,9 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def stored(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, key: str | None = None, dealt: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    return settled(df, name, "zstd", key)
+    return settled(df, name, "zstd", key, dealt)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,19 +1,19 @@
 """Substring deduplication on a compacted de Bruijn graph.
 
 The graph's edges are the corpus's windows of ``window`` words; an edge leads from its first to its
-last ``window - 1`` words.  Edges are partitioned by their minimizer, the least-hash k-mer they hold,
+last ``window - 1`` words, the nodes.  Edges are partitioned by their minimizer, the least-hash k-mer they hold,
 so all places of an edge meet at one minimizer, and neighbouring edges of a text with the same
-minimizer travel as one run, a path of the graph.
+minimizer travel as one run.
 
 * Minimizers that occur once have no repeated edge: their runs are dropped.
-* A minimizer whose runs are all equal is a path without a branch: it is compacted, all its edges
-  are repeated, and no edge is looked at by itself.
-* Runs of the other, branching minimizers are opened into edges, which are counted by two
-  independent 64-bit hashes.
-
-Counts are aggregated before they are shuffled and joined back to the source coordinates (document, first word), and
-the covered words are cut from the texts.  Only documents with repeated spans have their text moved
-twice; the others get their result where they are read.
+* Where all runs of a minimizer are equal, all their edges are repeated, and none is looked at by itself.
+* Runs of the other minimizers are opened into edges, which are counted by two independent 64-bit hashes.
+* Repeated edges compact into paths: a join on nodes gives their degrees, and neighbouring edges of the
+  text that stands for them are one path up to the next node with more than one repeated edge in or out.
+* A document's repeated edges are then spans of paths.  Each span is verified against the words at the
+  path's source coordinates, by digests of the words of either side; what differs is not removed.
+
+Texts are dealt out by row once, and every later step brings its small tables to them.
 """
 
 from __future__ import annotations
@@ -23,13 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .runtime import prepare, stored
+from .runtime import discard, prepare, row_hash, stored
 from .textkit import Spans, Words, as_bytes, blocks, signed
 
 WINDOW, KMER = 35, 12
+#: Words of a source that are verified by one digest, so that a source of n words has O(n) different digests to give.
+BLOCK = 64
 
 
 def first_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -76,60 +81,206 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(step)[:n] > 0
 
 
-def _words(text: bytes) -> list[bytes]:
-    return text.split()
+def flat(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets, and the values of each field, of a column of lists of structs; a null list is empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), [x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten()]
 
 
-def repeated_spans(keyed: DataFrame, window: int = WINDOW, k: int = KMER) -> tuple[DataFrame, DataFrame]:
-    """From (row_key, text): the texts with repeated minimizers, and the coordinates of their repeated edges.
+def expanded(first: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """All edges of the runs, in order."""
+    edges = edges.astype(np.int64)
+    return np.repeat(first.astype(np.int64) - np.concatenate(([0], np.cumsum(edges)[:-1])), edges) + np.arange(edges.sum())
 
-    The first table is (row_key, times, text, sure array<struct<first,edges>>), a row for each distinct
-    row_key; the second (row_key, starts array<int>), of edges that were opened.  Equal row_keys are
-    equal texts of one document id.
-    """
-    prepare(keyed.sparkSession)
+
+def _batch(key: pa.Array, rows: np.ndarray, columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([key.take(pa.array(rows)), *[x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()]], ["_k", *columns])
+
+
+def _bag(*fields: str) -> Column:
+    return F.collect_set(F.struct(*fields))  # of one text: at most one for each word, or each two ends in a block of BLOCK words
+
+
+def meeting_runs(texts: DataFrame, window: int, k: int) -> DataFrame:
+    """(_k, runs array<first, edges, branching, source, place>): of each text the runs whose minimizer another run has; a run that is like all others of its minimizer has the first of them as its source."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = as_bytes(batch.column(1)), batch.column(0)
-            for lo, hi in blocks(texts):
-                r = runs(Words(texts[lo:hi]), window, k)
+            own = as_bytes(batch.column(1))
+            for lo, hi in blocks(own):
+                r = runs(Words(own[lo:hi]), window, k)
                 if len(r["row"]):
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(lo + r["row"])), pa.array(r["first"].astype(np.int32)), pa.array(r["edges"].astype(np.int32)), pa.array(r["minimizer"]), pa.array(r["path1"]), pa.array(r["path2"])], ["row_key", "first", "edges", "minimizer", "path1", "path2"])
+                    yield _batch(batch.column(0), lo + r["row"], {"first": r["first"].astype(np.int32), "edges": r["edges"].astype(np.int32), "minimizer": r["minimizer"], "path": r["path1"]})
 
-    paths = keyed.select("row_key", "text").mapInArrow(emit, "row_key bigint, first int, edges int, minimizer bigint, path1 bigint, path2 bigint")
+    found = texts.mapInArrow(emit, "_k bigint, first int, edges int, minimizer bigint, path bigint")
     met = (
-        paths.groupBy("minimizer")
-        .agg(F.count("*").alias("n"), F.min("path1").alias("a1"), F.max("path1").alias("b1"), F.min("path2").alias("a2"), F.max("path2").alias("b2"))
-        .where("n > 1").select("minimizer", ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))).alias("branching"))
+        found.groupBy("minimizer").agg(F.count("*").alias("n"), F.min("path").alias("a"), F.max("path").alias("b"), F.min(F.struct("_k", "first")).alias("s"))
+        .where("n > 1").select("minimizer", (F.col("a") != F.col("b")).alias("branching"), F.col("s._k").alias("source"), F.col("s.first").alias("place"))
     )
-    spans = (
-        paths.select("row_key", "first", "edges", "minimizer").join(met, "minimizer")
-        .groupBy("row_key").agg(F.collect_set(F.struct("first", "edges", "branching")).alias("spans"))  # at most one for each word of the text
-    )
-    spans = spans.select(
-        "row_key",
-        F.filter("spans", lambda x: ~x["branching"]).alias("sure"),
-        F.filter("spans", lambda x: x["branching"]).alias("open"),
-    )
-    texts = stored(keyed.join(spans, "row_key").select("row_key", "text", "sure", "open"), "repeated-texts")
+    return found.select("_k", "first", "edges", "minimizer").join(met, "minimizer").groupBy("_k").agg(_bag("first", "edges", "branching", "source", "place").alias("runs"))
+
+
+def opened_edges(texts: DataFrame, opened: DataFrame, window: int) -> DataFrame:
+    """(_k, start, edge1, edge2) of every edge of the branching runs."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, (off, (first, edges)) = as_bytes(batch.column(1)), flat(batch.column(2))
+            for lo, hi in blocks(own):
+                w, part = Words(own[lo:hi]), slice(off[lo], off[hi])
+                row = np.repeat(np.repeat(np.arange(hi - lo), np.diff(off[lo:hi + 1])), edges[part])
+                start = expanded(first[part], edges[part])
+                if len(row):
+                    s = start + w.off[row]
+                    yield _batch(batch.column(0), lo + row, {"start": start.astype(np.int32), "edge1": signed(Spans(w.h)(s, s + window)), "edge2": signed(Spans(w.h, 1)(s, s + window))})
+
+    return texts.join(opened, "_k").mapInArrow(emit, "_k bigint, start int, edge1 bigint, edge2 bigint")
+
+
+def path_ends(texts: DataFrame, sources: DataFrame, window: int) -> DataFrame:
+    """(_k, cuts array<int>): of each source text, the places of nodes with more than one repeated edge in or out.
+
+    ``sources`` (_k, own array<first, edges>) has each distinct repeated edge at one place.  Degrees are counted by a
+    join on nodes, the window - 1 words between two edges.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, (off, (first, edges)) = as_bytes(batch.column(1)), flat(batch.column(2))
+            for lo, hi in blocks(own):
+                w, part = Words(own[lo:hi]), slice(off[lo], off[hi])
+                row = np.repeat(np.repeat(np.arange(hi - lo), np.diff(off[lo:hi + 1])), edges[part])
+                e = expanded(first[part], edges[part]) + w.off[row]  # each edge as the place of its first word
+                if not len(e):
+                    continue
+                tails = np.unique(e)
+                nodes = np.unique(np.concatenate([tails, tails + 1]))
+                out = pa.array(np.isin(nodes, tails).astype(np.int32))
+                into = pa.array(np.isin(nodes - 1, tails).astype(np.int32))
+                at = np.searchsorted(w.off, nodes, "right") - 1
+                at = np.where(np.isin(nodes, tails), at, np.searchsorted(w.off, nodes - 1, "right") - 1)
+                yield _batch(batch.column(0), lo + at, {"place": (nodes - w.off[at]).astype(np.int32), "node": signed(Spans(w.h)(nodes, nodes + window - 1)), "into": into, "out": out})
+
+    nodes = texts.join(sources, "_k").mapInArrow(emit, "_k bigint, place int, node bigint, into int, out int")
+    branching = nodes.groupBy("node").agg(F.sum("into").alias("i"), F.sum("out").alias("o")).where("i > 1 or o > 1").select("node")
+    return nodes.select("_k", "place", "node").join(branching, "node").groupBy("_k").agg(F.collect_set("place").alias("cuts"))
+
+
+def compacted(repeated: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(edge1, edge2, source, path, place) of repeated edges (edge1, edge2, source, place): the path is named by the place of its first edge in its source text."""
+    order = Window.partitionBy("source").orderBy("place")  # the edges of one text
+    begins = (F.col("place") != F.lag("place", 1, -9).over(order) + 1) | F.coalesce(F.array_contains("cuts", F.col("place")), F.lit(False))
+    marked = repeated.join(cuts.withColumnRenamed("_k", "source"), "source", "left").withColumn("begin", F.when(begins, F.col("place")))
+    return marked.select("edge1", "edge2", "source", F.max("begin").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("path"), "place")
+
 
-    def open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def segments(batch: pa.RecordBatch, lo: int, hi: int, first: int) -> tuple[np.ndarray, ...]:
+    """The compacted spans of the texts lo to hi: row, first edge, edges, source and place there; from the columns first (hits) and first + 1 (runs)."""
+    off, (start, source, path, place) = flat(batch.column(first))
+    off2, (start2, edges2, source2, place2) = flat(batch.column(first + 1))
+    a, b = slice(off[lo], off[hi]), slice(off2[lo], off2[hi])
+    row, start, source, path, place = np.repeat(np.arange(lo, hi), np.diff(off[lo:hi + 1])), start[a], source[a], path[a], place[a]
+    order = np.lexsort((start, row))
+    row, start, source, path, place = (x[order] for x in (row, start, source, path, place))
+    same = (row[1:] == row[:-1]) & (start[1:] == start[:-1] + 1) & (source[1:] == source[:-1]) & (path[1:] == path[:-1]) & (place[1:] == place[:-1] + 1)
+    head = np.flatnonzero(np.concatenate(([True], ~same))) if len(row) else np.empty(0, np.int64)
+    size = np.diff(np.append(head, len(row)))
+    row2 = np.repeat(np.arange(lo, hi), np.diff(off2[lo:hi + 1]))
+    return tuple(np.concatenate([x, y]).astype(np.int64) for x, y in zip((row[head], start[head], size, source[head], place[head]), (row2, start2[b], edges2[b], source2[b], place2[b])))
+
+
+def _pieces(first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of words, cut at multiples of BLOCK: which span, and the piece's first and last words."""
+    many = (first + words - 1) // BLOCK - first // BLOCK + 1
+    own = np.repeat(np.arange(len(first)), many)
+    block = expanded(first // BLOCK, many)
+    return own, np.maximum(block * BLOCK, first[own]), np.minimum((block + 1) * BLOCK, (first + words)[own])
+
+
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def unlike(texts: DataFrame, marked: DataFrame, window: int) -> DataFrame:
+    """(_k, bad array<lo, hi>): spans of words that differ from those at their source coordinates; empty but for collisions of hashes.
+
+    ``marked`` (_k, hits, runs) are the texts' repeated edges.  Texts give digests of their spans, equal ones are
+    merged, and each source text compares them with its own words.
+    """
+
+    def own_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts_, keys = as_bytes(batch.column(1)), batch.column(0).to_numpy()
+            for lo, hi in blocks(texts_):
+                row, start, edges, source, place = segments(batch, lo, hi, 2)
+                other = (keys[row] != source) | (start != place)
+                row, start, edges, source, place = (x[other] for x in (row, start, edges, source, place))
+                span, a, b = _pieces(place, edges + window - 1)
+                shift = (start - place)[span]
+                split = {i: texts_[i].split() for i in np.unique(row).tolist()}
+                marks = [digest(split[r][x:y]) for r, x, y in zip(row[span].tolist(), (a + shift).tolist(), (b + shift).tolist())]
+                if len(span):
+                    yield _batch(batch.column(0), row[span], {"source": source[span], "a": a.astype(np.int32), "b": b.astype(np.int32), "mark": pa.array(marks, pa.binary()), "lo": (a + shift).astype(np.int32)})
+
+    given = texts.join(marked, "_k").mapInArrow(own_side, "_k bigint, source bigint, a int, b int, mark binary, lo int")
+    asked = given.select("source", "a", "b", "mark").distinct().groupBy("source").agg(_bag("a", "b", "mark").alias("asked")).withColumnRenamed("source", "_k")
+
+    def source_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys, opened = as_bytes(batch.column(1)), batch.column(0), batch.column(2).to_pylist()
-            for lo, hi in blocks(texts):
-                w = Words(texts[lo:hi])
-                at = [np.concatenate([np.empty(0, np.int64), *[np.arange(x["first"], x["first"] + x["edges"]) for x in own]]) for own in opened[lo:hi]]
-                row = np.repeat(np.arange(lo, hi), [len(x) for x in at])
-                own = np.concatenate(at)
-                if len(own):
-                    s = own + w.off[row - lo]
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(own.astype(np.int32)), pa.array(signed(Spans(w.h)(s, s + window))), pa.array(signed(Spans(w.h, 1)(s, s + window)))], ["row_key", "start", "edge1", "edge2"])
-
-    edges = texts.where(F.size("open") > 0).select("row_key", "text", "open").mapInArrow(open_runs, "row_key bigint, start int, edge1 bigint, edge2 bigint")
-    again = edges.groupBy("edge1", "edge2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    starts = edges.join(again, ["edge1", "edge2"]).groupBy("row_key").agg(F.collect_set("start").alias("starts"))
-    return texts, starts
+            own, (off, (a, b, mark)) = as_bytes(batch.column(1)), flat(batch.column(2))
+            for i, text in enumerate(own):
+                split, memo = text.split(), {}
+                bad = []
+                for x, y, m in zip(a[off[i]:off[i + 1]].tolist(), b[off[i]:off[i + 1]].tolist(), mark[off[i]:off[i + 1]]):
+                    if (x, y) not in memo:
+                        memo[x, y] = digest(split[x:y])
+                    if memo[x, y] != m:
+                        bad.append((x, y, m))
+                if bad:
+                    yield _batch(batch.column(0), np.full(len(bad), i), {"a": pa.array([x[0] for x in bad], pa.int32()), "b": pa.array([x[1] for x in bad], pa.int32()), "mark": pa.array([x[2] for x in bad], pa.binary())})
+
+    differ = stored(texts.join(asked, "_k").mapInArrow(source_side, "_k bigint, a int, b int, mark binary"), "repeat-differences")
+    if differ.isEmpty():
+        return differ.select("_k", F.array(F.struct(F.col("a").alias("lo"), F.col("b").alias("hi"))).alias("bad"))
+    rows = given.join(F.broadcast(differ.withColumnRenamed("_k", "source")) if differ.count() < 10_000 else differ.withColumnRenamed("_k", "source"), ["source", "a", "b", "mark"])
+    return rows.groupBy("_k").agg(F.collect_set(F.struct("lo", (F.col("lo") + F.col("b") - F.col("a")).alias("hi"))).alias("bad"))
+
+
+def repeated_spans(texts: DataFrame, window: int = WINDOW, k: int = KMER) -> DataFrame:
+    """(_k, hits array<start, source, path, place>, runs array<first, edges, source, place>): the repeated edges of each text of (_k, text), dealt out by _k.
+
+    Equal _k are rows of one text, which count as often as they are there.
+    """
+    prepare(texts.sparkSession)
+    met = stored(meeting_runs(texts, window, k), "repeat-runs", key="_k", dealt=True)
+    runs_ = F.filter("runs", lambda x: ~x["branching"])
+    opened = met.select("_k", F.transform(F.filter("runs", lambda x: x["branching"]), lambda x: F.struct(x["first"].alias("first"), x["edges"].alias("edges"))).alias("opened")).where(F.size("opened") > 0)
+    sure = met.select("_k", F.transform(runs_, lambda x: F.struct(x["first"].alias("first"), x["edges"].alias("edges"), x["source"].alias("source"), x["place"].alias("place"))).alias("runs")).where(F.size("runs") > 0)
+    edges = opened_edges(texts, opened, window)
+    repeated = stored(
+        edges.groupBy("edge1", "edge2").agg(F.count("*").alias("n"), F.min(F.struct("_k", "start")).alias("s")).where("n > 1")
+        .select("edge1", "edge2", F.col("s._k").alias("source"), F.col("s.start").alias("place")),
+        "repeated-edges",
+    )
+    # each distinct repeated edge at its source: opened ones, and those of runs that are their minimizer's first
+    first_runs = sure.select("_k", F.explode("runs").alias("x")).where("x.source = _k and x.first = x.place").select("_k", "x.first", "x.edges")
+    sources = repeated.select(F.col("source").alias("_k"), F.col("place").alias("first"), F.lit(1).alias("edges")).unionByName(first_runs)
+    cuts = path_ends(texts, sources.groupBy("_k").agg(_bag("first", "edges").alias("own")), window)
+    paths = stored(compacted(repeated, cuts), "repeat-paths")
+    discard(repeated)
+    hits = edges.join(paths, ["edge1", "edge2"]).groupBy("_k").agg(_bag("start", "source", "path", "place").alias("hits"))
+    marked = stored(hits.join(sure, "_k", "full"), "repeat-spans", key="_k", dealt=True)
+    discard(met, paths)
+    return marked
+
+
+def _cut(text: bytes, starts: np.ndarray, edges: np.ndarray, bad: list[tuple[int, int]], window: int) -> tuple[list[bytes], np.ndarray]:
+    """A text's words, and which of them are covered by its repeated edges that no differing span touches."""
+    own = text.split()
+    at = expanded(starts, edges)
+    for lo, hi in bad:
+        at = at[(at + window <= lo) | (at >= hi)]
+    return own, covered(len(own), at, window)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, with_text: bool = False) -> DataFrame:
@@ -139,40 +290,46 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, with_te
     too, in the same document or another; all places of a repeated window go.  Windows are judged on the
     input.  Null and empty texts have no words; texts shorter than a window lose none.  A repeated row
     repeats its windows.  In ``text``, kept words are joined by one space where words were removed,
-    and a text that loses nothing stays as it is.
+    and a text that loses nothing stays as it is; columns of ``docs`` named n_words or n_removed are replaced.
+    Other columns are carried along, whatever their names.
     """
     prepare(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
-    texts, starts = repeated_spans(keyed, window, k)
-    cut_rows = texts.dropDuplicates(["row_key"]).select("row_key", "text", "sure").join(starts, "row_key", "left")
+    carried = [c for c in docs.columns if c not in ("n_words", "n_removed")] if with_text else ["doc_id", "text"]
+    # the row's key: another seed where two different rows have one key
+    for seed in range(16):
+        names = [f"c{i}" for i in range(len(carried))]  # names of any kind and case, put back at the end
+        texts = stored(
+            docs.select(row_hash(["doc_id", "text"], seed).alias("_k"), F.coalesce("text", F.lit("")).alias("text"), row_hash(["doc_id", "text"], 1000 + seed).alias("_other"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names) if c != "text"], F.col("text").isNull().alias("_none")),
+            "repeat-texts", key="_k",
+        )
+        if texts.groupBy("_k").agg(F.min("_other").alias("a"), F.max("_other").alias("b")).where("a != b").isEmpty():
+            break
+        discard(texts)
+    body = texts.select("_k", "text")
+    marked = repeated_spans(body, window, k)
+    bad = unlike(body, marked, window)
+
+    kept_columns = [n for c, n in zip(carried, names) if c != "text"]
+    own = texts.select("_k", "text", "_none", *kept_columns).join(marked, "_k", "left").join(bad, "_k", "left").select("text", "_none", "hits", "runs", "bad", *kept_columns)
+    out_schema = T.StructType([*[texts.schema[n] for n in kept_columns], T.StructField("_result", T.StringType()), T.StructField("_words", T.LongType()), T.StructField("_removed", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, shas, kept_texts = [], [], []
-            for text, sure, more in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                own = _words(text)
-                at = np.concatenate([np.array(more or [], np.int64), *[np.arange(x["first"], x["first"] + x["edges"]) for x in sure]])
-                gone = covered(len(own), at, window)
-                kept = b" ".join(w for w, g in zip(own, gone) if not g)
+            off, (start, *_) = flat(batch.column(2))
+            off2, (start2, edges2, *_) = flat(batch.column(3))
+            many, removed, results = [], [], []
+            originals, none = batch.column(0).to_pylist() if with_text else None, batch.column(1).to_pylist()
+            for i, (text, differ) in enumerate(zip(as_bytes(batch.column(0)), batch.column(4).to_pylist())):
+                a, b = slice(off[i], off[i + 1]), slice(off2[i], off2[i + 1])
+                words, gone = _cut(text, np.concatenate([start[a], start2[b]]), np.concatenate([np.ones(a.stop - a.start, np.int64), edges2[b]]), [(x["lo"], x["hi"]) for x in differ or []], window)
+                kept = b" ".join(w for w, g in zip(words, gone) if not g) if gone.any() else b" ".join(words) if not with_text else b""
+                many.append(len(words))
                 removed.append(int(gone.sum()))
-                shas.append(hashlib.sha256(kept).hexdigest())
-                kept_texts.append(kept.decode("utf-8", "replace") if with_text and gone.any() else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept_texts, pa.string())], ["row_key", "n_removed", "cut_sha256", "cut_text"])
-
-    changed = cut_rows.select("row_key", "text", "sure", "starts").mapInArrow(cut, "row_key bigint, n_removed bigint, cut_sha256 string, cut_text string").where("n_removed > 0")
-
-    if with_text:
-        own = docs.drop("n_words", "n_removed").withColumn("_key", F.xxhash64("doc_id", "text")).withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint"))
-        out = own.join(changed.withColumnRenamed("row_key", "_key"), "_key", "left")
-        columns = [F.coalesce("cut_text", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "n_removed")]
-        return out.select(*columns, "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [_words(t) for t in as_bytes(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in own], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in own], pa.string())], ["row_key", "doc_id", "n_words", "all_sha256"])
+                results.append(hashlib.sha256(kept).hexdigest() if not with_text else kept.decode("utf-8", "replace") if gone.any() else None if none[i] else originals[i])
+            yield pa.RecordBatch.from_arrays([*batch.columns[5:], pa.array(results, pa.string()), pa.array(many, pa.int64()), pa.array(removed, pa.int64())], [*batch.schema.names[5:], "_result", "_words", "_removed"])
 
-    every = keyed.mapInArrow(whole, f"row_key bigint, doc_id {kind}, n_words bigint, all_sha256 string")
-    out = every.join(changed.drop("cut_text"), "row_key", "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("cut_sha256", "all_sha256").alias("kept_sha256"))
+    out = own.mapInArrow(cut, out_schema)
+    if not with_text:
+        return out.select(F.col("c0").alias("doc_id"), F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"), F.col("_result").alias("kept_sha256"))
+    back = [F.col("_result").alias("text") if c == "text" else F.col(n).alias(c) for c, n in zip(carried, names)]
+    return out.select(*back, F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"))
