@@ -1,10 +1,10 @@
 """Toxicity: a learned lexicon matched with Levenshtein automata, weighed by context.
 
 The lexicon holds terms that training documents labelled toxic have far more often than the
-others.  A trie of the terms is intersected with Levenshtein automata: the states of the product
-(trie node, term position, edits) are determinised as texts need them, so a word costs one table
-step a character.  A hit counts less where its context window quotes or reports it.  A logistic
-model, fitted on labelled documents, joins the hit counts.
+others: whole words, and stems, which stand for all words that begin with them.  A trie of the terms is
+intersected with Levenshtein automata: the states of the product (trie node, term position, edits) are
+determinised as texts need them, so a word costs one table step a character.  A hit counts less where its
+context window quotes or reports it.  A logistic model, fitted on labelled documents, joins the hit counts.
 """
 
 from __future__ import annotations
@@ -16,14 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, remainder, sampled_labels
+from .runtime import discard, prepare, remainder, sampled_labels, stored
 from .textkit import Words, as_bytes, blocks
 
-#: Bounds: labelled training rows, lexicon terms, words remembered by a worker.
-TRAIN_ROWS, TERMS, MEMORY = 10_000, 2_000, 500_000
+#: Bounds: labelled training rows; words remembered by a worker.
+TRAIN_ROWS, MEMORY = 10_000, 500_000
+#: A term is learned from at least SUPPORT different toxic training documents, if its contexts are over RATIO times as
+#: common in toxic documents, and the log-likelihood ratio of that is over EVIDENCE.  Stems have STEM to LONGEST letters.
+SUPPORT, RATIO, EVIDENCE, STEM, LONGEST = 5, 20.0, 30.0, 5, 24
 WINDOW, QUOTED_WEIGHT = 8, 0.25
 _EDGES = "\"'`.,;:!?()[]{}<>*_~-‘’‚“”„«»‹›¿¡"
 _OPENING, _CLOSING = tuple("\"'‘“„‚«‹`"), tuple("\"'’”“»›`")
@@ -135,17 +138,28 @@ FEATURES = 4
 
 
 class ToxicityModel:
-    def __init__(self, terms: list[str], weights: np.ndarray | None = None):
-        self.terms, self.weights = terms, weights
+    """``terms`` are whole words; those in ``stems`` also stand for every word that begins with them."""
+
+    def __init__(self, terms: list[str], weights: np.ndarray | None = None, stems: frozenset[str] = frozenset()):
+        self.terms, self.weights, self.stems = terms, weights, stems
+        self.shortest, self.longest = (min(map(len, stems)), max(map(len, stems))) if stems else (1, 0)
         self._trie: LevenshteinTrie | None = None
         self._known: dict[int, tuple[int, int] | None] = {}
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "weights": self.weights, "_trie": None, "_known": {}}
+        return self.__dict__ | {"_trie": None, "_known": {}}
+
+    def find(self, word: str) -> tuple[int, int] | None:
+        """(term, edits) of a word: a stem at its beginning, or else the best whole term within the edits that its length allows."""
+        for n in range(self.shortest, min(self.longest, len(word)) + 1):
+            if word[:n] in self.stems:
+                return self._at[word[:n]], 0
+        return self._trie.find(word)
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         """By text: exact and misspelled hits (quoted ones count QUOTED_WEIGHT), each as log(1 + x), and both per 100 words."""
-        self._trie = self._trie or LevenshteinTrie(self.terms)
+        if self._trie is None:
+            self._trie, self._at = LevenshteinTrie(self.terms), {t: i for i, t in enumerate(self.terms)}
         out = np.zeros((len(texts), FEATURES))
         w = Words(texts, fold=True)
         fresh, first, index = np.unique(w.h, return_index=True, return_inverse=True)
@@ -156,7 +170,7 @@ class ToxicityModel:
         for j, (h, i) in enumerate(zip(fresh.tolist(), first.tolist())):
             hit = self._known.get(h, 0)
             if hit == 0:
-                hit = self._trie.find(plain(raw[w.start[i]:w.end[i]].decode("utf-8", "replace")))
+                hit = self.find(plain(raw[w.start[i]:w.end[i]].decode("utf-8", "replace")))
                 self._known[h] = hit
             if hit is not None:
                 kinds[j] = 1 if hit[1] == 0 else 2
@@ -201,39 +215,83 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, tie: float = 3e-
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, lexicon: list[str] | None = None) -> ToxicityModel:
-    """Learns from at most about ``most`` labelled rows whose crc32 remainder modulo 3 is not 1.
+def _copy_mark(words: list[str]) -> int:
+    """The least hash of a text's word pairs: near copies of a text mostly have the same."""
+    return min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:])), default=zlib.crc32(" ".join(words).encode()))
+
+
+def _evidence(a: Column, b: Column, bad: float, good: float) -> Column:
+    """Log-likelihood ratio of a and b events in bad and good documents against one common rate."""
+    rate = (a + b) / F.lit(bad + good)
+    part = lambda x, n: F.when(x > 0, x * F.log(x / (rate * n))).otherwise(0.0)
+    return 2 * (part(a, F.lit(bad)) + part(b, F.lit(good)))
+
 
-    A term is taken if its different contexts (the words beside it) in toxic training documents are at
-    least 3, and at least one for 100 of them, and their share of these documents is over 20 times the same share for the others.
-    Contexts, not documents, are counted, as copies of one document repeat all its words.  ``lexicon``
-    gives further terms.
+def learned_terms(rows: DataFrame, support: int = SUPPORT, ratio: float = RATIO, evidence: float = EVIDENCE) -> tuple[list[str], list[str]]:
+    """Whole words and stems from training rows (doc_id, text, label).
+
+    An occurrence is counted by its context, the word with the words beside it, and a document by the least hash of its word pairs, so
+    copies of one text count once.  A stem is taken at its longest form that has nearly all of its occurrences, and only
+    if two different words with it are; it then stands for all words that begin with it.
     """
-    prepare(docs.sparkSession)
-    sample = sampled_labels(labels, "toxic", 3, 1, most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, toxic = [], []
+            word, context, toxic, mark = [], [], [], []
             for t, y in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                own = [plain(x) for x in re.split(r"[\x20\x09-\x0D]+", t.decode("utf-8", "replace"))]
-                own = {(w, zlib.crc32(f"{a} {b}".encode())) for a, w, b in zip(["", *own], own, [*own[1:], ""]) if w}
-                found += own
-                toxic += [y > 0.5] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64()), pa.array(toxic, pa.bool_())], ["word", "context", "toxic"])
-
-    sizes = sample.groupBy((F.col("label") > 0.5).alias("toxic")).count().collect()
-    n = {bool(r[0]): r[1] for r in sizes}
-    bad, good = n.get(True, 0), n.get(False, 0)
+                own = [x for x in (plain(x) for x in re.split(r"[\x20\x09-\x0D]+", t.decode("utf-8", "replace"))) if x]
+                found = {(w, zlib.crc32(f"{a} {b}".encode())) for a, w, b in zip(["", *own], own, [*own[1:], ""])}
+                word += [x[0] for x in found]
+                context += [x[1] for x in found]
+                toxic += [y > 0.5] * len(found)
+                mark += [_copy_mark(own)] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(context, pa.int64()), pa.array(toxic, pa.bool_()), pa.array(mark, pa.int64())], ["word", "context", "toxic", "mark"])
+
+    sizes = {bool(r[0]): r[1] for r in rows.groupBy((F.col("label") > 0.5).alias("toxic")).count().collect()}
+    bad, good = float(sizes.get(True, 0)), float(sizes.get(False, 0))
+    if not bad or not good:
+        return [], []
+    seen = stored(rows.mapInArrow(contexts, "word string, context bigint, toxic boolean, mark bigint").groupBy("word", "context", "toxic").agg(F.min("mark").alias("mark")), "toxicity-contexts")
+    count = lambda c: F.sum(c.cast("long"))
+    counted = seen.groupBy("word").agg(count(F.col("toxic")).alias("a"), count(~F.col("toxic")).alias("b"))
+    stem = F.explode(F.transform(F.sequence(F.lit(STEM), F.least(F.length("word"), F.lit(LONGEST))), lambda n: F.substring("word", F.lit(1), n)))
+    long = F.length("word") >= STEM
+    # documents by term, of toxic rows only; (term, whole): a word by itself, or as a stem
+    ill = seen.where("toxic").select("word", "mark").distinct()
+    docs = ill.select(F.col("word").alias("term"), F.lit(True).alias("whole"), "mark").unionByName(ill.where(long).select(stem.alias("term"), F.lit(False).alias("whole"), "mark"))
+    docs = docs.groupBy("term", "whole").agg(F.count_distinct("mark").alias("docs")).where(F.col("docs") >= support)
+    terms = counted.select(F.col("word").alias("term"), F.lit(True).alias("whole"), "a", "b").unionByName(counted.where(long).select(stem.alias("term"), F.lit(False).alias("whole"), "a", "b"))
+    terms = terms.groupBy("term", "whole").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("words"))
     share = (F.col("a") + 0.5) / (bad + 1), (F.col("b") + 0.5) / (good + 1)
-    terms = (
-        rows.mapInArrow(contexts, "word string, context bigint, toxic boolean").distinct().groupBy("word")
-        .agg(F.sum(F.col("toxic").cast("long")).alias("a"), F.sum((~F.col("toxic")).cast("long")).alias("b"))
-        .where((F.col("a") >= max(3, math.ceil(bad / 100))) & (share[0] > 20 * share[1]) & (F.length("word") <= 40))
-        .orderBy(F.desc(share[0] / share[1]), "word").limit(TERMS).collect()
-    )
-    model = ToxicityModel(sorted({r.word for r in terms} | {plain(x) for x in lexicon or [] if plain(x)}))
+    passing = terms.join(docs, ["term", "whole"]).where((share[0] > ratio * share[1]) & (_evidence(F.col("a"), F.col("b"), bad, good) > evidence))
+    got = passing.collect()  # at most the words and prefixes that some training documents share
+    discard(seen)
+    words = sorted(r.term for r in got if r.whole)
+    found = {r.term: r.a for r in got if not r.whole and r.words > 1}
+    best: dict[str, int] = {}  # of each stem, the largest count of a longer one
+    for t, a in found.items():
+        for n in range(STEM, len(t)):
+            best[t[:n]] = max(best.get(t[:n], 0), a)
+    stems: set[str] = set()
+    for t in sorted((t for t, a in found.items() if best.get(t, 0) < 0.95 * a), key=lambda t: (len(t), t)):
+        if not any(t[:n] in stems for n in range(STEM, len(t))):
+            stems.add(t)
+    words = [w for w in words if not any(w[:n] in stems for n in range(STEM, len(w)))]
+    return words, sorted(stems)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, lexicon: list[str] | None = None, **settings: float) -> ToxicityModel:
+    """Learns from at most about ``most`` labelled documents whose crc32 remainder modulo 3 is not 1.
+
+    Of rows that repeat a doc_id, the least text counts.  ``lexicon`` gives further whole terms; ``settings`` are
+    those of ``learned_terms``.  Without toxic or without clean training rows, no term is learned.
+    """
+    prepare(docs.sparkSession)
+    sample = sampled_labels(labels, "toxic", 3, 1, most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+    rows = stored(rows, "toxicity-training")
+    words, stems = learned_terms(rows, **settings)
+    model = ToxicityModel(sorted({*words, *stems} | {plain(x) for x in lexicon or [] if plain(x)}), stems=frozenset(stems))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,6 +300,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, lex
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x[:, i]) for i in range(FEATURES)]], ["doc_id", "label", *[f"x{i}" for i in range(FEATURES)]])
 
     got = sorted(rows.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label double, " + ", ".join(f"x{i} double" for i in range(FEATURES))).collect())
+    discard(rows)
     model.weights = logistic(np.array([r[2:] for r in got]).reshape(-1, FEATURES), np.array([r[1] for r in got]))
     return model
 
