@@ -1,8 +1,9 @@
 """Audio columns: lossless 8-bit samples, log-mel tensors and energy segments.
 
-A payload is stored as an 8-bit mono WAV file.  Features are computed from the stored bytes:
-polyphase resampling, overlapped frames, log-mel filterbanks, and segments found by hysteresis
-on the frame energy.  Every segment has a time span and a fixed-shape tensor (PATCH x MELS).
+A payload is stored as an 8-bit mono WAV file, a binary column of a table.  Features are computed from the
+bytes as read back from it: polyphase resampling, overlapped frames, log-mel filterbanks, and segments found by hysteresis
+on the frame energy.  Every segment has a time span and a fixed-shape tensor (PATCH x MELS); a document's are stored
+as an Arrow IPC stream with columns start_s, end_s and tensor, of Arrow's fixed-shape tensor type.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .runtime import prepare
+from .runtime import prepare, stored
 from .textkit import as_bytes
 
 RATE, DOWN, UP, TAPS = 16_000, 2, 1, 16
@@ -86,13 +88,13 @@ def _mel(rate: float) -> np.ndarray:
     return np.maximum(0, np.minimum((f[:, None] - low) / (mid - low), (high - f[:, None]) / (high - mid))).astype(np.float32)
 
 
-_HANN = np.hanning(FRAME).astype(np.float32)
+#: Without zeros at its ends, so that every sample counts.
+_HANN = np.hanning(FRAME + 2)[1:-1].astype(np.float32)
 
 
 def log_mel(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Frames x MELS log energies, and frame energies in dB; a signal shorter than a frame is padded with zeros."""
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x), np.float32)])
+    """Frames x MELS log energies, and frame energies in dB; zeros are added up to a whole frame and whole hops, so every sample is in a frame."""
+    x = np.concatenate([x, np.zeros(max(FRAME - len(x), (FRAME - len(x)) % HOP), np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     mel, energy = np.empty((len(frames), MELS), np.float32), np.empty(len(frames), np.float32)
     for lo in range(0, len(frames), CHUNK):
@@ -131,9 +133,29 @@ def analyse(media: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.stack([spans[:, 0] * HOP / low, ((spans[:, 1] - 1) * HOP + FRAME) / low], 1), tensors, mel
 
 
-def digest(media: bytes) -> str:
+KIND = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS))
+TENSORS = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", KIND)])
+
+
+def to_ipc(spans: np.ndarray, tensors: np.ndarray) -> bytes:
+    """An Arrow IPC stream of segments: time spans and fixed-shape tensors."""
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1).astype(np.float32)), PATCH * MELS)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, TENSORS) as writer:
+        writer.write_batch(pa.RecordBatch.from_arrays([pa.array(spans[:, 0].astype(np.float64)), pa.array(spans[:, 1].astype(np.float64)), pa.ExtensionArray.from_storage(KIND, storage)], schema=TENSORS))
+    return sink.getvalue().to_pybytes()
+
+
+def from_ipc(stored_bytes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Time spans and tensors (n x PATCH x MELS) of a stream of ``to_ipc``."""
+    found = pa.ipc.open_stream(stored_bytes).read_all()
+    spans = np.stack([found.column(c).to_numpy() for c in ("start_s", "end_s")], 1)
+    parts = [c.to_numpy_ndarray() for c in found.column("tensor").chunks if len(c)]
+    return spans, np.concatenate([np.empty((0, PATCH, MELS), np.float32), *parts])
+
+
+def digest(spans: np.ndarray, tensors: np.ndarray, mel: np.ndarray) -> str:
     """Frames, segments, mean level and a hash of the rounded features."""
-    spans, tensors, mel = analyse(media)
     whole = hashlib.sha256(np.round(spans, 3).tobytes() + np.round(tensors * 8).astype(np.int16).tobytes()).hexdigest()[:32]
     return f"frames={len(mel)};segments={len(spans)};mean={float(mel.mean()):.2f};sha={whole}"
 
@@ -141,51 +163,52 @@ def digest(media: bytes) -> str:
 _OUT = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
+def store_media(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media): each document's payload as a WAV file, written to a table in the shared folder.
+
+    A null text is empty (64 zero bytes).  Equal texts give equal files, repeated rows a row each; other columns are ignored.
+    """
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([to_wav(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    return stored(docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])), "media")
+
+
 def media_digests(docs: DataFrame) -> DataFrame:
     """A digest row for each document: its payload as read back from the stored file, the file, and its features.
 
     A null text is empty (64 zero bytes).  Equal texts give equal values, repeated rows a row each;
     other columns of ``docs`` are ignored.
     """
-    prepare(docs.sparkSession)
+    media_table = store_media(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in as_bytes(batch.column(1)):
-                media = to_wav(padded(text))
+            for n, media in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 back = from_wav(media)[0]
-                rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), digest(media)))
+                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), digest(*analyse(media))))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_OUT)]], ["doc_id", *_OUT.names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    out = T.StructType([docs.schema["doc_id"], *[T.StructField(f.name, T.StringType() if f.type == pa.string() else T.LongType()) for f in _OUT]])
+    return media_table.mapInArrow(run, out)
 
 
-def audio_segments(docs: DataFrame) -> DataFrame:
-    """(doc_id, media, start_s, end_s, tensor) - a row for each segment; tensor has PATCH * MELS floats, row by row.
+def audio_features(media_table: DataFrame) -> DataFrame:
+    """(doc_id, segments, tensors) of each row of (doc_id, media): the number of segments, and an Arrow IPC stream of their time spans and fixed-shape tensors, which ``from_ipc`` reads.
 
-    A document without a segment gives one row with null span and tensor.
+    A null file gives a null stream.  The media is not repeated.
     """
-    prepare(docs.sparkSession)
+    prepare(media_table.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(as_bytes(batch.column(1))):
-                media = to_wav(padded(text))
-                spans, tensors, _ = analyse(media)
-                n = max(1, len(spans))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([i] * n)), pa.array([media] * n, pa.binary()), *[pa.array(spans[:, k].tolist() or [None], pa.float64()) for k in (0, 1)], pa.array([x.ravel().tolist() for x in tensors] or [None], pa.list_(pa.float32()))],
-                    ["doc_id", "media", "start_s", "end_s", "tensor"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary, start_s double, end_s double, tensor array<float>")
-
-
-def as_tensors(segments_table: pa.Table) -> pa.Table:
-    """The rows with a segment, with ``tensor`` as Arrow's fixed-shape tensor type (PATCH x MELS)."""
-    rows = segments_table.filter(pa.compute.is_valid(segments_table["tensor"]))
-    flat = pa.concat_arrays([c.values if c.offset == 0 and len(c.values) == len(c) * PATCH * MELS else c.flatten() for c in rows["tensor"].chunks] or [pa.array([], pa.float32())])
-    kind = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS))
-    storage = pa.FixedSizeListArray.from_arrays(flat, PATCH * MELS)
-    return rows.set_column(rows.schema.get_field_index("tensor"), "tensor", pa.ExtensionArray.from_storage(kind, storage))
+            found = [None if media is None else analyse(media)[:2] for media in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([0 if x is None else len(x[0]) for x in found], pa.int64()), pa.array([None if x is None else to_ipc(*x) for x in found], pa.binary())], ["doc_id", "segments", "tensors"])
+
+    out = T.StructType([media_table.schema["doc_id"], T.StructField("segments", T.LongType()), T.StructField("tensors", T.BinaryType())])
+    return media_table.select("doc_id", "media").mapInArrow(run, out)
