@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from .runtime import prepare, stored
+from .runtime import discard, fresh, prepare, row_hash, stored
 from .textkit import Words, as_bytes, blocks, mix, shingle_lists, signed
 
 HALF, MISS = 3, 1e-4
@@ -39,7 +40,7 @@ def tables(threshold: float, half: int = HALF, miss: float = MISS) -> int:
 
 
 class Sketcher:
-    """Size, fingerprint, half keys and parity bitmap of the shingle set of each text.
+    """Size, two fingerprints, half keys and parity bitmap of the shingle set of each text.
 
     A bit of the bitmap is the parity of the shingles that fall on it, so bitmaps of two sets differ in at most
     as many bits as the sets differ in shingles.
@@ -48,11 +49,11 @@ class Sketcher:
     def __init__(self, k: int, m: int, half: int, seed: int = 1):
         rng = np.random.default_rng(seed)
         n = 2 * m * half
-        self.k, self.m, self.half = k, m, half
+        self.k, self.m, self.half, self.seed = k, m, half, seed
         self.a = rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1)
         self.b = rng.integers(0, 2**32, n, dtype=np.uint32)
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         sh, off = shingle_lists(Words(texts, fold=True), self.k)
         own = np.repeat(np.arange(len(texts)), np.diff(off))
         order = np.lexsort((sh, own))
@@ -61,12 +62,14 @@ class Sketcher:
             fresh = np.concatenate(([True], (sh[1:] != sh[:-1]) | (own[1:] != own[:-1])))
             sh, own = sh[fresh], own[fresh]
         n = np.bincount(own, minlength=len(texts))
-        print_ = np.zeros(len(texts), np.uint64)
+        print_, other = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
         keys = np.zeros((len(texts), 2 * self.m), np.uint64)
         have = np.flatnonzero(n)
         if len(have):
             heads = np.concatenate(([0], np.cumsum(n[have])))[:-1]
-            print_[have] = mix(np.add.reduceat(mix(sh), heads) + n[have].astype(np.uint64))
+            seeded = mix(sh + np.uint64(self.seed))
+            print_[have] = mix(np.add.reduceat(seeded, heads) + n[have].astype(np.uint64))
+            other[have] = np.add.reduceat(mix(seeded ^ np.uint64(0x94D049BB133111EB)), heads)
             low = (sh >> np.uint64(32)).astype(np.uint32)
             for i in range(2 * self.m):
                 key = np.full(len(have), i + 1, np.uint64)
@@ -74,7 +77,7 @@ class Sketcher:
                     key = mix(key * np.uint64(0x100000001B3) + np.minimum.reduceat(low * self.a[j] + self.b[j], heads))
                 keys[have, i] = key
         odd = np.bincount(own * BITS + (sh & np.uint64(BITS - 1)).astype(np.int64), minlength=len(texts) * BITS) & 1
-        return n, print_, keys, np.packbits(odd.astype(np.uint8)).view(np.int64)
+        return n, print_, other, keys, np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -191,8 +194,38 @@ def _missing_links(keys: DataFrame, labels: DataFrame, nodes: DataFrame, sets: D
     return links.unionByName(_verify(pairs.distinct(), sets, k, percent))
 
 
+def _sketched(docs: DataFrame, k: int, percent: int, half: int, miss: float) -> tuple[DataFrame, int, int]:
+    """Stored (row_key, doc_id, n, set, halves, bits) rows, half keys a collection, and the seed of the row keys.
+
+    Row keys and set fingerprints have 64 bits; where a second 64-bit hash shows that two different rows or sets have one, another seed is taken.
+    """
+    for seed in range(1, 16):
+        sketch = Sketcher(k, tables(percent / 100, half, miss), half, seed)
+        m = sketch.m
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = as_bytes(batch.column(2))
+                for lo, hi in blocks(texts):
+                    n, prints, others, keys, bits = sketch(texts[lo:hi])
+                    bits = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits))
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * (2 * m)), pa.array(signed(keys.ravel())))
+                    part = batch.slice(lo, hi - lo)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(signed(prints)), flat, bits, part.column(3), pa.array(signed(others))], ["row_key", "doc_id", "n", "set", "halves", "bits", "row_other", "set_other"])
+
+        keyed = docs.select(row_hash(["doc_id", "text"], seed).alias("row_key"), "doc_id", "text", row_hash(["doc_id", "text"], 1000 + seed).alias("row_other"))
+        out = T.StructType([T.StructField("row_key", T.LongType()), docs.schema["doc_id"], *[T.StructField(c, kind) for c, kind in (("n", T.LongType()), ("set", T.LongType()), ("halves", T.ArrayType(T.LongType())), ("bits", T.ArrayType(T.LongType())), ("row_other", T.LongType()), ("set_other", T.LongType()))]])
+        rows = stored(keyed.mapInArrow(run, out), "neardup-sketches")
+        both = [rows.select(F.lit(i).alias("kind"), F.col(x).alias("a"), F.col(y).alias("b")) for i, (x, y) in enumerate((("row_key", "row_other"), ("set", "set_other")))]
+        clash = both[0].unionByName(both[1].where("a != 0 or b != 0")).groupBy("kind", "a").agg(F.min("b").alias("x"), F.max("b").alias("y")).where("x != y")
+        if clash.isEmpty():
+            return rows.drop("row_other", "set_other"), m, seed
+        discard(rows)
+    raise RuntimeError("no seed tells the rows apart")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, half: int = HALF, miss: float = MISS) -> DataFrame:
-    """(row_key, doc_id, n_shingles, component_id, kept) for each document row; row_key is a hash of doc_id and text.
+    """(row_key, doc_id, n_shingles, component_id, kept) for each document row; row_key is a hash of doc_id and text, different where these are.
 
     Words are lower-cased in A-Z.  A text of fewer than k words is one shingle; null, empty and
     blank texts have none and are linked with nothing.  Documents with 100 * intersection >= percent * union
@@ -200,23 +233,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, half: int =
     Rows that repeat an id share one component.  A null doc_id is in no component: its component_id is null and
     it is kept.  Equal sets are one node of the graph; other columns of ``docs`` are ignored.
     """
-    prepare(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sketch = Sketcher(k, tables(percent / 100, half, miss), half)
-    m = sketch.m
+    return _near_duplicates(docs, k, percent, half, miss)[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_bytes(batch.column(2))
-            for lo, hi in blocks(texts):
-                n, prints, keys, bits = sketch(texts[lo:hi])
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * (2 * m)), pa.array(signed(keys.ravel())))
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(signed(prints)), flat, bits], ["row_key", "doc_id", "n", "set", "halves", "bits"])
-
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
-    rows = stored(keyed.mapInArrow(run, f"row_key bigint, doc_id {kind}, n bigint, set bigint, halves array<bigint>, bits array<bigint>"), "neardup-sketches")
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, half: int = HALF, miss: float = MISS) -> tuple[DataFrame, int]:
+    """``near_duplicates``, and the seed of its row keys."""
+    prepare(docs.sparkSession)
+    rows, m, seed = _sketched(docs, k, percent, half, miss)
+    keyed = docs.select(row_hash(["doc_id", "text"], seed).alias("row_key"), "text")
     linked = rows.where("n > 0 and doc_id is not null")
     # one node for each distinct set; the copies' ids meet again at the end
     nodes = stored(linked.groupBy("set").agg(F.min_by(F.struct("row_key", "n", "halves", "bits"), F.struct("doc_id", "row_key")).alias("r")).select("set", "r.*"), "neardup-nodes")
@@ -247,7 +271,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, half: int =
     names = ids.select("set", "component").join(least, "component").select("set", "component_id")
     named = rows.withColumn("_s", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set"))).join(names.withColumnRenamed("set", "_s"), "_s", "left")
     out = named.select("row_key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), seed
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -255,8 +279,10 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
 
     Documents without words, and rows without a doc_id, are kept; of equal rows one stays.
     """
-    found = near_duplicates(docs, k, percent).where("kept")
-    own = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("row_key").alias("_key")).select("_key")
-    none = found.where("doc_id is null").select(F.col("row_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(own.union(none), "_key").dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    private = fresh(docs.columns, "row_key")[0]
+    every, seed = _near_duplicates(docs, k, percent)
+    found = every.where("kept")
+    own = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("row_key").alias(private)).select(private)
+    none = found.where("doc_id is null").select(F.col("row_key").alias(private)).distinct()
+    marked = docs.withColumn(private, row_hash(["doc_id", "text"], seed))
+    return marked.join(own.union(none), private).dropDuplicates([private]).select(*[F.col(f"`{c}`") for c in docs.columns])
