@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .runtime import prepare, remainder
 from .textkit import FOLD_BYTES, as_bytes, blocks
@@ -23,6 +24,8 @@ from .textkit import FOLD_BYTES, as_bytes, blocks
 #: Bounds of the training sample: rows a language, and bytes a text where a language has such texts.
 ROWS_PER_LANGUAGE, TEXT_BYTES = 400, 20_000
 LANDMARKS, ORDERS, RIDGE, SHARPNESS = 128, (1, 2, 3), 1e-2, 6.0
+#: Texts of one matrix product.
+ROWS = 128
 _ASCII_LETTER, _LETTER = re.compile(rb"[A-Za-z]"), re.compile(r"[^\W\d_]")
 
 
@@ -61,7 +64,7 @@ class LanguageModel:
         each = max(1, self.landmarks // max(1, len(self.classes)))
         marks = [t for c in self.classes for t in own[c][:each]]
         self.vocabulary = {n: np.unique(grams(marks, n)[1]) for n in self.orders}
-        self.marks = {n: x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) for n, x in self._presence(marks).items()}
+        self.marks = {n: x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) for n, x in self._presence(marks).items()}  # a row a landmark
         w = self._kernel(marks)
         values, vectors = np.linalg.eigh((w + w.T).astype(np.float64) / 2)
         keep = values > 1e-6 * values[-1]
@@ -89,10 +92,12 @@ class LanguageModel:
         return out
 
     def _kernel(self, texts: list[bytes]) -> np.ndarray:
-        total: np.ndarray | float = 0.0
-        for n, x in self._presence(texts).items():
-            total = total + (x @ self.marks[n].T) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-        return total / len(self.orders)
+        """Kernel values of the texts with the landmarks, ROWS texts at a time: presence rows are dense."""
+        out = np.zeros((len(texts), len(self.marks[self.orders[0]])), np.float32)
+        for lo in range(0, len(texts), ROWS):
+            for n, x in self._presence(texts[lo:lo + ROWS]).items():
+                out[lo:lo + ROWS] += (x @ self.marks[n].T) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        return out / len(self.orders)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Softmax of the one-versus-rest outputs, a row for each text."""
@@ -129,7 +134,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
     prepare(docs.sparkSession)
     docs = docs.drop("lang_pred", "lang_score")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "lang_score double"])
+    schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
