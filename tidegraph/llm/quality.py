@@ -1,8 +1,8 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of 64 words.  Each passage is a vector of surface statistics,
-encoded by a tanh layer; gated attention weighs the passages; the weighted sum gives the
-document's probability of label 1.  Only document labels are used for training.
+A document is a bag of passages of 64 words.  A passage is a vector of hashed words, hashed pairs of
+neighbouring words' shapes, and surface statistics; a tanh layer encodes it, gated attention weighs the
+passages, and the weighted sum gives the document's probability of label 1.  Only document labels are used for training.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ from .runtime import prepare, remainder, sampled_labels
 from .textkit import Words, as_bytes, blocks
 
 PASSAGE = 64
-#: Bounds of the training sample: rows, and bytes a text.
-TRAIN_ROWS, TEXT_BYTES = 3000, 200_000
-HIDDEN, GATE, STEPS, RATE, DECAY = 16, 8, 250, 0.03, 1e-3
+#: Bounds of the training sample: rows, and passages a text, which are taken evenly over the whole text.
+TRAIN_ROWS, TRAIN_PASSAGES = 3000, 256
+#: Buckets of hashed words and of hashed shape pairs.
+WORDS, SHAPES = 256, 64
+HIDDEN, GATE, EPOCHS, GROUP, RATE, DECAY = 24, 12, 24, 128, 0.01, 1e-3
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -32,7 +34,9 @@ def _class(chars: bytes) -> np.ndarray:
 _UPPER, _LOWER, _DIGIT = _class(bytes(range(65, 91))), _class(bytes(range(97, 123))), _class(b"0123456789")
 _HIGH, _STOP, _MARK, _BAR, _SIGN = _class(bytes(range(128, 256))), _class(b".,;:"), _class(b"!?"), _class(b"|<>{}[]/\\=_~"), _class(b"#$%&*@^+")
 _CLASSES = (_UPPER, _LOWER, _DIGIT, _HIGH, _STOP, _MARK, _BAR, _SIGN)
-FEATURES = len(_CLASSES) + 8
+_KIND = sum(((i + 1) * c.astype(np.uint64) for i, c in enumerate(_CLASSES)), np.zeros(256, np.uint64))
+SURFACE = len(_CLASSES) + 8
+FEATURES = SURFACE + WORDS + SHAPES
 
 
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,30 +74,55 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         x[p, k + 5] = np.add.reduceat(first_upper, heads, dtype=np.int64) / count
         x[p, k + 6] = np.add.reduceat(ends, heads, dtype=np.int64) / count
         x[p, k + 7] = np.minimum(count / PASSAGE, 1)
+        for at, size, code, where in (
+            (SURFACE, WORDS, w.h >> np.uint64(40), own),
+            (SURFACE + WORDS, SHAPES, *_shape_pairs(w, length, own)),
+        ):
+            counted = np.bincount(where * size + (code % np.uint64(size)).astype(np.int64), minlength=off[-1] * size).reshape(-1, size)
+            counted = np.log1p(counted).astype(np.float32)
+            x[:, at:at + size] = counted / np.maximum(np.sqrt((counted**2).sum(1, keepdims=True)), 1)
     return x, off
 
 
+def _shape_pairs(w: Words, length: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the shapes of neighbouring words (kinds of the first and last byte, and length), and their passages."""
+    first, last = _KIND[w.buf[w.start]], _KIND[w.buf[w.end - 1]]
+    shape = (first * 9 + last) * 4 + np.minimum(np.log2(length), 3).astype(np.uint64)
+    pairs = shape[:-1] * np.uint64(0x9E3779B97F4A7C15) + shape[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    inside = own[1:] == own[:-1]
+    return (pairs[inside] >> np.uint64(33)), own[1:][inside]
+
+
 class AttentionModel:
-    """Gated attention over encoded passages, trained by Adam from a fixed seed."""
+    """Gated attention over encoded passages, trained by Adam on groups of documents from a fixed seed."""
 
-    def __init__(self, hidden: int = HIDDEN, gate: int = GATE, steps: int = STEPS):
-        self.hidden, self.gate, self.steps = hidden, gate, steps
+    def __init__(self, hidden: int = HIDDEN, gate: int = GATE, epochs: int = EPOCHS):
+        self.hidden, self.gate, self.epochs = hidden, gate, epochs
 
     def fit(self, bags: list[np.ndarray], labels: np.ndarray) -> AttentionModel:
         rng = np.random.default_rng(5)
         if not bags:
             bags, labels = [np.zeros((1, FEATURES), np.float32)], np.array([0.5])
-        x, off = np.vstack(bags), np.concatenate(([0], np.cumsum([len(b) for b in bags])))
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
-        f, h, g = x.shape[1], self.hidden, self.gate
+        off = np.concatenate(([0], np.cumsum([len(b) for b in bags])))
+        total = sum(b.sum(0, dtype=np.float64) for b in bags)
+        self.mean = (total / off[-1]).astype(np.float32)
+        self.scale = (np.sqrt(sum(((b - self.mean) ** 2).sum(0, dtype=np.float64) for b in bags) / off[-1]) + 1e-3).astype(np.float32)
+        f, h, g = bags[0].shape[1], self.hidden, self.gate
         draw = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
         prior = np.clip(labels.mean(), 0.01, 0.99)
         self.w = [draw(f, h), np.zeros(h), draw(h, g), draw(h, g), draw(g, 1)[:, 0], draw(h, 1)[:, 0], np.array(np.log(prior / (1 - prior)))]
         m, v = [np.zeros_like(p) for p in self.w], [np.zeros_like(p) for p in self.w]
-        for t in range(1, self.steps + 1):
-            for i, d in enumerate(self._gradients(x, off, labels)):
-                m[i], v[i] = 0.9 * m[i] + 0.1 * d, 0.999 * v[i] + 0.001 * d * d
-                self.w[i] = self.w[i] - RATE * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+        t = 0
+        for epoch in range(self.epochs):
+            order = rng.permutation(len(bags))
+            for lo in range(0, len(order), GROUP):
+                t += 1
+                own = order[lo:lo + GROUP]
+                x, at = np.vstack([bags[i] for i in own]), np.concatenate(([0], np.cumsum([len(bags[i]) for i in own])))
+                step = RATE * (1 - epoch / self.epochs)
+                for i, d in enumerate(self._gradients(x, at, labels[own])):
+                    m[i], v[i] = 0.9 * m[i] + 0.1 * d, 0.999 * v[i] + 0.001 * d * d
+                    self.w[i] = self.w[i] - step * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
         return self
 
     def _forward(self, x: np.ndarray, off: np.ndarray) -> tuple:
@@ -121,23 +150,30 @@ class AttentionModel:
         return [g + DECAY * w if i != 6 else g for i, (g, w) in enumerate(zip(grads, self.w))]
 
     def scores(self, x: np.ndarray, off: np.ndarray) -> np.ndarray:
-        return self._forward(x.astype(np.float64), off)[-1]
+        return self._forward(x, off)[-1]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> AttentionModel:
-    """Learns from at most about ``most`` labelled rows whose crc32 remainder modulo 5 is not 0."""
+    """Learns from at most about ``most`` labelled documents whose crc32 remainder modulo 5 is not 0.
+
+    Of rows that repeat a doc_id, the least text counts; of a text with more passages than TRAIN_PASSAGES, that many, evenly spaced.
+    """
     prepare(docs.sparkSession)
     sample = sampled_labels(labels, "quality", 5, 0, most)
-    rows = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= TEXT_BYTES).join(F.broadcast(sample), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, off = passages(as_bytes(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[a:b].tobytes() for a, b in zip(off, off[1:])], pa.binary())], ["doc_id", "label", "bag"])
+            bags = []
+            for text in as_bytes(batch.column(1)):
+                x = passages([text])[0]
+                x = x[np.arange(TRAIN_PASSAGES) * len(x) // TRAIN_PASSAGES] if len(x) > TRAIN_PASSAGES else x
+                bags.append(x.astype(np.float16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bags, pa.binary())], ["doc_id", "label", "bag"])
 
     got = rows.select("doc_id", "text", "label").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label double, bag binary").collect()
-    got.sort(key=lambda r: (r.doc_id, bytes(r.bag)))
-    return AttentionModel().fit([np.frombuffer(r.bag, np.float32).reshape(-1, FEATURES).astype(np.float64) for r in got], np.array([r.label for r in got]))
+    got.sort(key=lambda r: r.doc_id)
+    return AttentionModel().fit([np.frombuffer(r.bag, np.float16).reshape(-1, FEATURES).astype(np.float32) for r in got], np.array([r.label for r in got]))
 
 
 def quality_scores(docs: DataFrame, model: AttentionModel) -> DataFrame:
