@@ -17,7 +17,7 @@ from .quality import fit_quality, quality_scores
 from .runtime import remainder, table
 from .substring import remove_repeats
 from .toxicity import fit_toxicity, toxicity_scores
-from .urls import filter_urls, page_outcomes
+from .urls import SUFFIXES, filter_urls, page_outcomes
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,8 @@ WITH u AS (SELECT page_id, url,
   coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 j AS (SELECT doc_id, min(CASE WHEN coalesce(quality, 1) <> 1 OR coalesce(toxic, 0) = 1 THEN 0 ELSE 1 END) AS good FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
 o AS (SELECT host, good FROM u JOIN j ON j.doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})(?:\.html)?/?$', 1), '') AS BIGINT) WHERE host <> ''),
-h AS (SELECT host, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS good, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM o GROUP BY host),
+h AS (SELECT host, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS good, CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({suffixes}) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
+  CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({suffixes}) THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE string_split(host, '.')[-1] END AS suffix FROM o GROUP BY host),
 m0 AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM h),
 g1 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(m0.m) AS m FROM h, m0 GROUP BY suffix),
 k1 AS (SELECT {strength} AS k FROM g1),
@@ -137,11 +138,12 @@ f AS (SELECT u.*, CASE
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
   WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM u)
 SELECT page_id, f.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN f.host <> '' AND coalesce(upper < 0.75, false) THEN 'block' ELSE 'allow' END AS verdict
+  WHEN f.host <> '' AND coalesce(upper < (SELECT m FROM m0), false) THEN 'block' ELSE 'allow' END AS verdict
 FROM f LEFT JOIN b ON b.host = f.host
 """
-_STRENGTH = """coalesce(least(greatest(CASE WHEN r > 0 THEN 1 / r - 1 ELSE 1000.0 END, 2.0), 1000.0), 1000.0)"""
-_MOMENTS = "((sum(n * (good / n - m) * (good / n - m)) FILTER (WHERE n > 1) - sum(m * (1 - m)) FILTER (WHERE n > 1)) / nullif(sum((n - 1) * m * (1 - m)) FILTER (WHERE n > 1), 0))"
+_RHO = "((sum(n * (good / n - m) * (good / n - m)) FILTER (WHERE n > 1) - sum(m * (1 - m)) FILTER (WHERE n > 1)) / nullif(sum((n - 1) * m * (1 - m)) FILTER (WHERE n > 1), 0))"
+_ERROR = "(sqrt(2.0 * sum(m * (1 - m) * m * (1 - m)) FILTER (WHERE n > 1)) / nullif(sum((n - 1) * m * (1 - m)) FILTER (WHERE n > 1), 0))"
+_STRENGTH = f"coalesce(greatest(1 / (CASE WHEN {_RHO} > 0 THEN {_RHO} ELSE 0.0 END + {_ERROR}) - 1, 2.0), 100.0)"
 
 _OP7 = f"""
 WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
@@ -169,7 +171,7 @@ SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM
 ORACLE_SQL: dict[str, str] = {
     "op3_neardup": _OP3,
     "op5_mixing": _OP5,
-    "op6_urls": _OP6.replace("{strength}", _STRENGTH.replace("r > 0", f"{_MOMENTS} > 0").replace("1 / r", f"1 / {_MOMENTS}")),
+    "op6_urls": _OP6.replace("{strength}", _STRENGTH).replace("{suffixes}", ", ".join(f"'{x}'" for x in SUFFIXES)),
     "op7_substrings": _OP7,
     "op10_decontamination": _OP10,
 }
