@@ -137,7 +137,7 @@ def test_missing_links_are_all_links_across_components(spark, monkeypatch, posti
     texts = near_group(4)
     sets = [shingles(t, 3) for t in texts]
     rows = spark.createDataFrame([(i, len(sets[i]), t) for i, t in enumerate(texts)], "set long, n long, text string")
-    bits = [neardup.Sketcher(3, 11, 3)([t.encode()])[3].tolist() for t in texts]
+    bits = [neardup.Sketcher(3, 11, 3)([t.encode()])[4].tolist() for t in texts]
     nodes = spark.createDataFrame([(i, len(sets[i]), b) for i, b in enumerate(bits)], "set long, n long, bits array<long>")
     labels = rows.select("set", (F.col("set") % parts).alias("component"))
     found = neardup._missing_links(rows.select(F.lit(1).alias("key"), "set"), labels, nodes, rows, 3, 85).collect()
@@ -158,7 +158,7 @@ def test_long_lists_lose_no_pair(spark, monkeypatch):
     rows = []
     for i, s in enumerate(sets):
         order = sorted(s, key=lambda x: (count[x], x))
-        bits = neardup.Sketcher(3, 11, 3)([texts[i].encode()])[3].tolist()
+        bits = neardup.Sketcher(3, 11, 3)([texts[i].encode()])[4].tolist()
         rows += [(i, len(s), i % 7, place, " ".join(x), bits) for place, x in enumerate(order[: len(s) - -(-len(s) * 85 // 100) + 1]) if count[x] > 1]
     long = spark.createDataFrame(rows, "set long, n int, component long, place int, shingle string, bits array<long>")
     got = {(max(x), min(x)) for pairs in neardup._long_list_pairs(long, 85) for x in pairs.collect()}
@@ -293,7 +293,7 @@ def test_quality(spark):
     assert np.mean([(rows[i].score > 0.5) == bool(i % 3) for i in range(200, 240)]) > 0.95
     assert rows[240].score == rows[241].score and 0 <= rows[240].score <= 1
     assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0) for x in rows.values())
-    numeric = quality.AttentionModel(steps=1).fit([np.random.default_rng(0).normal(size=(3, quality.FEATURES)) for _ in range(4)], np.array([0, 1, 1, 0.0]))
+    numeric = quality.AttentionModel(epochs=1).fit([np.random.default_rng(0).normal(size=(3, quality.FEATURES)) for _ in range(4)], np.array([0, 1, 1, 0.0]))
     x, off, y = np.random.default_rng(1).normal(size=(9, quality.FEATURES)), np.array([0, 2, 5, 9]), np.array([1.0, 0, 1])
     loss = lambda: -np.mean(y * np.log(p := numeric.scores(x, off)) + (1 - y) * np.log(1 - p)) + quality.DECAY / 2 * sum((w**2).sum() for w in numeric.w[:6])
     grads = numeric._gradients(x, off, y)
@@ -386,10 +386,49 @@ def test_audio(spark):
     assert tensors.shape == (1, audio.PATCH, audio.MELS) and mel.shape[1] == audio.MELS
     peak = 700 * (10 ** (np.linspace(2595 * np.log10(1 + 60 / 700), 2595 * np.log10(1 + 4000 / 700), audio.MELS + 2)[1:-1] / 2595) - 1)
     assert abs(peak[tensors[0][3].argmax()] - 1000) < 150
-    import pyarrow as pa
-
-    table = pa.Table.from_pandas(audio.audio_segments(frame(spark, texts)).toPandas(), schema=pa.schema([("doc_id", pa.int64()), ("media", pa.binary()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", pa.list_(pa.float32()))]))
-    assert audio.as_tensors(table)["tensor"].type == pa.fixed_shape_tensor(pa.float32(), (audio.PATCH, audio.MELS))
+    media = audio.store_media(frame(spark, texts))
+    features = {x.doc_id: x for x in audio.audio_features(media).collect()}
+    for x in media.collect():
+        spans, tensors = audio.from_ipc(bytes(features[x.doc_id].tensors))
+        want = audio.analyse(bytes(x.media))
+        assert features[x.doc_id].segments == len(spans) and np.array_equal(spans, want[0]) and np.array_equal(tensors, want[1]) and tensors.shape[1:] == (audio.PATCH, audio.MELS)
+
+
+def test_every_sample_is_in_a_frame():
+    for n in (1, 150, 200, 201, 299, 300, 301, 1234):
+        x = np.zeros(n, "f4")
+        x[-1] = 1.0
+        assert audio.log_mel(x, 8000)[1].max() > -60
+        assert len(audio.log_mel(x, 8000)[0]) == max(1, -(-(n - audio.FRAME) // audio.HOP) + 1)
+
+
+def test_log_mel_equals_a_direct_transform():
+    r = np.random.default_rng(3)
+    x = r.normal(size=900).astype("f4")
+    mel, energy = audio.log_mel(x, 8000)
+    filters = audio._mel(8000)
+    for i in range(len(mel)):
+        own = x[i * audio.HOP:i * audio.HOP + audio.FRAME] * np.hanning(audio.FRAME + 2)[1:-1]
+        k = np.arange(audio.FFT // 2 + 1)[:, None]
+        wave = (own * np.exp(-2j * np.pi * k * np.arange(audio.FRAME) / audio.FFT)).sum(1)
+        assert np.allclose(mel[i], np.log(np.abs(wave) ** 2 @ filters + 1e-6), atol=1e-3)
+        assert np.isclose(energy[i], 10 * np.log10((own**2).sum() + 1e-9), atol=1e-3)
+
+
+def test_segments_by_a_plain_loop():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        energy = r.normal(size=80).cumsum()
+        level, on, first, want = np.median(energy), False, 0, []
+        for i, e in enumerate(energy):
+            if not on and e > level + audio.HIGH_DB:
+                on, first = True, i
+            elif on and e < level + audio.LOW_DB:
+                on = False
+                want.append((first, i))
+        if on:
+            want.append((first, len(energy)))
+        assert [tuple(x) for x in audio.segments(energy).tolist()] == want
 
 
 @pytest.mark.parametrize("up,down", [(1, 2), (5, 8), (3, 2)])
