@@ -5,33 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.state import settled
+from ..plans import local
+from ..plans.state import discard, settled
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, small: int = -1) -> DataFrame:
     """(v, component) for each vertex; component is the smallest vertex id of its weakly connected component.
 
     ``vertices`` has one column ``v``; edge ends outside of it are ignored in the result.  Each
-    round is aggregations and joins on the edges; the driver reads one row, a count and a
-    fingerprint of the edges, and stops when they stay the same.
+    round is aggregations and joins on the edges.  Rounds end when the edges are stars: every vertex has one edge, to a
+    vertex without one; the driver reads one row a round.  At most ``small`` edges are joined in one task.
     """
     u, v = F.col(src), F.col(dst)
     own = settled(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).distinct())
-    mark = None
+    if own.count() <= small:
+        return local.components(vertices, own.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     for _ in range(max_rounds):
+        roots = own.select(F.col("b").alias("a")).distinct().withColumn("root", F.lit(1))
+        row = own.groupBy("a").agg(F.count("*").alias("n")).join(roots, "a", "left").agg(F.max("n"), F.max("root")).first()
+        if row[1] is None and (row[0] or 0) <= 1:
+            break
         both = own.union(own.select("b", "a"))
         # large star: larger neighbours are joined to the least of the neighbourhood
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         # small star: smaller neighbours and the vertex itself are joined to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        own = settled(small)
-        now = own.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
-        if now == mark:
-            break
-        mark = now
+        joined = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        old, own = own, settled(joined)
+        discard(old)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    found = own.groupBy("a").agg(F.min("b").alias("component"))
-    return vertices.select("v").join(found, F.col("v") == F.col("a"), "left").select("v", F.coalesce("component", "v").alias("component"))
+    return vertices.select("v").join(own, F.col("v") == F.col("a"), "left").select("v", F.coalesce("b", "v").alias("component"))

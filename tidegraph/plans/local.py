@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 LOCAL_PAIRS = 2_000_000
 
 
+def limit(small: int | None) -> int:
+    """The edges up to which one task solves: LOCAL_PAIRS, unless the caller says otherwise."""
+    return LOCAL_PAIRS if small is None else small
+
+
 def _rows(df: DataFrame, kind: int, a: str, b: str, c: str, numeric: str = "bigint") -> DataFrame:
     return df.select(F.lit(kind).alias("kind"), F.col(a).cast("bigint").alias("a"), F.expr(b).cast(numeric).alias("b"), F.expr(c).cast(numeric).alias("c"))
 
@@ -43,66 +48,162 @@ def _out(first: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.repeat(first[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
 
 
-def min_fixed_point(known: DataFrame, frontier: DataFrame, weighted: DataFrame) -> DataFrame:
-    """(v, value, parent) from known rows, better rows of a frontier, and edges (src, dst, w)."""
+class _Search:
+    """Values of vertices over one set of edges, improved until none changes."""
+
+    def __init__(self, ids: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray):
+        self.ids = ids
+        s, d = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+        order, self.first = _adjacency(ids, s)
+        self.src, self.dst, self.w = s[order], d[order], w[order]
+        self.rounds = 0
+
+    def improve(self, value: np.ndarray, v: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Takes each vertex's least value where it is better; the places that changed."""
+        order = np.lexsort((x, v))
+        v, x = v[order], x[order]
+        head = np.concatenate(([True], v[1:] != v[:-1])) if len(v) else np.empty(0, bool)
+        v, x = v[head], x[head]
+        ok = x < value[v]
+        value[v[ok]] = x[ok]
+        return v[ok]
+
+    def run(self, value: np.ndarray, new: np.ndarray) -> None:
+        while len(new):
+            self.rounds += 1
+            e = _out(self.first, new)
+            at = np.repeat(new, self.first[new + 1] - self.first[new])
+            new = self.improve(value, self.dst[e], value[at] + self.w[e])
+
+    def parents(self, value: np.ndarray, rooted: bool) -> np.ndarray:
+        """The smallest tight source of each reached vertex but roots; -1 for none."""
+        far = np.iinfo(np.int64).max
+        on = (value[self.src] < far) & (self.src != self.dst)
+        s, d = self.src[on], self.dst[on]
+        ok = value[s] + self.w[on] == value[d]
+        parent = np.full(len(self.ids), len(self.ids))
+        np.minimum.at(parent, d[ok], s[ok])
+        root = value == 0 if rooted else value == self.ids
+        none = (parent == len(self.ids)) | root | (value == far)
+        return np.where(none, -1, self.ids[np.minimum(parent, max(len(self.ids) - 1, 0))] if len(self.ids) else parent)
+
+
+def _state_batch(ids: np.ndarray, value: np.ndarray, parent: np.ndarray, phase: int, rounds: int) -> pa.RecordBatch:
+    on = value < np.iinfo(np.int64).max
+    n = int(on.sum())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[on]), pa.array(value[on]), pa.array(parent[on], mask=parent[on] < 0), pa.array(np.full(n, phase, np.int32)), pa.array(np.full(n, rounds))], ["v", "value", "parent", "phase", "rounds"])
+
+
+_STATE = "v bigint, value bigint, parent bigint, phase int, rounds bigint"
+
+
+def min_fixed_point(known: DataFrame, frontier: DataFrame, weighted: DataFrame, rooted: bool) -> DataFrame:
+    """(v, value, parent, phase, rounds) from known rows, better rows of a frontier, and edges (src, dst, w); parents are the smallest tight sources."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _gather(batches)
         none = [np.empty(0, np.int64)] * 3
-        (kv, kx, kp), (fv, fx, fp), (src, dst, w) = (got.get(k, none) for k in (0, 1, 2))
+        (kv, kx, _), (fv, fx, _), (src, dst, w) = (got.get(k, none) for k in (0, 1, 2))
         ids = np.unique(np.concatenate([kv, fv, src, dst]))
-        far = np.iinfo(np.int64).max
-        value, parent = np.full(len(ids), far), np.full(len(ids), -1)
-
-        def improve(v: np.ndarray, x: np.ndarray, p: np.ndarray) -> np.ndarray:
-            """Takes each vertex's least (value, parent) where it is better; the places that changed."""
-            order = np.lexsort((p, x, v))
-            v, x, p = v[order], x[order], p[order]
-            head = np.concatenate(([True], v[1:] != v[:-1])) if len(v) else np.empty(0, bool)
-            v, x, p = v[head], x[head], p[head]
-            ok = x < value[v]
-            value[v[ok]], parent[v[ok]] = x[ok], p[ok]
-            return v[ok]
-
+        search = _Search(ids, src, dst, w)
+        value = np.full(len(ids), np.iinfo(np.int64).max)
         place = lambda x: np.searchsorted(ids, x)
-        improve(place(kv), kx, kp)
-        new = improve(place(fv), fx, fp)
-        s, d = place(src), place(dst)
-        order, first = _adjacency(ids, s)
-        d, w = d[order], w[order]
-        new = np.unique(np.concatenate([new, place(fv)])) if len(fv) else new
-        while len(new):
-            e = _out(first, new)
-            at = np.repeat(new, first[new + 1] - first[new])
-            new = improve(d[e], value[at] + w[e], ids[at])
-        on = value < far
-        yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(value[on]), pa.array(parent[on], mask=parent[on] < 0)], ["v", "value", "parent"])
+        search.improve(value, place(kv), kx)
+        search.improve(value, place(fv), fx)
+        search.run(value, np.unique(place(fv)))
+        yield _state_batch(ids, value, search.parents(value, rooted), 0, search.rounds)
 
     rows = _rows(known, 0, "v", "value", "parent").union(_rows(frontier, 1, "v", "value", "parent")).union(_rows(weighted, 2, "src", "dst", "w"))
-    return rows.coalesce(1).mapInArrow(run, "v bigint, value bigint, parent bigint")
+    return rows.coalesce(1).mapInArrow(run, _STATE)
 
 
-def rank_fixed_point(state: DataFrame, links: DataFrame, epsilon: float, max_rounds: int) -> DataFrame:
-    """(v, rank, residual) after at most so many rounds over links (src, dst, share)."""
+def min_repair(state: DataFrame, edges: DataFrame, gone: DataFrame, added: DataFrame, rooted: bool) -> DataFrame:
+    """(v, value, parent, phase, rounds): the state after a batch's deletes (phase 0), after its adds (phase 1), and the affected vertices (phase 2).
+
+    ``edges`` (src, dst, w) are those after the deletes, ``gone`` (src, dst) vanished pairs, ``added`` (src, dst, w) new ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _gather(batches)
+        none = [np.empty(0, np.int64)] * 3
+        (v, x, p), (src, dst, w), (gs, gd, _), (a_src, a_dst, a_w) = (got.get(k, none) for k in range(4))
+        ids = np.unique(np.concatenate([v, src, dst, a_src, a_dst]))
+        far = np.iinfo(np.int64).max
+        value, parent = np.full(len(ids), far), np.full(len(ids), -1)
+        at = np.searchsorted(ids, v)
+        value[at], parent[at] = x, p
+        search = _Search(ids, src, dst, w)
+        hit = _tree_hit(ids, parent, gs, gd) if rooted else _label_hit(ids, value, gs, gd, search)
+        hit &= value < far
+        lost = np.flatnonzero(hit)
+        if len(lost):
+            value[hit] = far
+            if not rooted:
+                value[hit] = ids[hit]
+            into = hit[search.dst] & ~hit[search.src] & (value[search.src] < far)
+            new = search.improve(value, search.dst[into], value[search.src[into]] + search.w[into])
+            search.run(value, new if rooted else np.unique(np.concatenate([new, lost])))
+            parent = search.parents(value, rooted)
+        yield _state_batch(ids, value, parent, 0, search.rounds)
+        yield _state_batch(ids[lost], np.zeros(len(lost), np.int64), np.full(len(lost), -1), 2, search.rounds)
+        if len(a_src):
+            more = _Search(ids, np.concatenate([src, a_src]), np.concatenate([dst, a_dst]), np.concatenate([w, a_w]))
+            s, d = np.searchsorted(ids, a_src), np.searchsorted(ids, a_dst)
+            on = value[s] < far
+            more.run(value, more.improve(value, d[on], value[s[on]] + a_w[on]))
+            yield _state_batch(ids, value, more.parents(value, rooted), 1, search.rounds + more.rounds)
+        else:
+            yield _state_batch(ids, value, parent, 1, search.rounds)
+
+    rows = _rows(state, 0, "v", "value", "parent").union(_rows(edges, 1, "src", "dst", "w")).union(_rows(gone, 2, "src", "dst", "0")).union(_rows(added, 3, "src", "dst", "w"))
+    return rows.coalesce(1).mapInArrow(run, _STATE)
+
+
+def rank_fixed_point(state: DataFrame, edges: DataFrame, before: DataFrame | None, touched: DataFrame | None, damping: float, epsilon: float, max_rounds: int, jacobi: float | None = None) -> DataFrame:
+    """(v, rank, residual, rounds) over a bag (src, dst, cnt), all of whose sources are in the state.
+
+    With ``before``, the old rows of the ``touched`` sources, what these have sent is taken back first, and their rank is sent along
+    their new rows.  With ``jacobi``, that base is added in each of exactly max_rounds full rounds, and there are no residuals.
+    """
+
+    def links(got: list[np.ndarray], v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        src, dst, cnt = got
+        s = np.searchsorted(v, src)
+        share = damping * cnt / np.maximum(np.bincount(s, cnt, len(v)), 1)[s]
+        d, ok = _known(v, dst)
+        return s[ok], d[ok], share[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _gather(batches)
-        none = [np.empty(0, np.int64), np.empty(0), np.empty(0)]
-        (v, rank, residual), (src, dst, share) = (got.get(k, none) for k in (0, 1))
+        none = [np.empty(0)] * 3
+        (v, rank, residual), after, old, (t, _, _) = (got.get(k, none) for k in range(4))
         order = np.argsort(v)
         v, rank, residual = v[order], rank[order].copy(), residual[order].copy()
-        s, d = np.searchsorted(v, src), np.searchsorted(v, dst.astype(np.int64))
-        for _ in range(max_rounds):
+        s, d, share = links(after, v)
+        mark = np.zeros(len(v), bool)
+        mark[_known(v, t)[0][_known(v, t)[1]] if len(v) else []] = True
+        os, od, oshare = links(old, v)
+        residual += np.bincount(d, np.where(mark[s], rank[s], 0) * share, len(v)) - np.bincount(od, np.where(mark[os], rank[os], 0) * oshare, len(v))
+        rounds = 0
+        while rounds < max_rounds:
+            if jacobi is not None:
+                rank = jacobi + np.bincount(d, rank[s] * share, len(v))
+                rounds += 1
+                continue
             on = np.abs(residual) > epsilon
             if not on.any():
                 break
+            rounds += 1
             sent = np.where(on, residual, 0.0)
             rank += sent
             residual = np.where(on, 0.0, residual) + np.bincount(d, sent[s] * share, len(v))
-        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(rank), pa.array(residual)], ["v", "rank", "residual"])
+        yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)), pa.array(rank), pa.array(residual), pa.array(np.full(len(v), rounds))], ["v", "rank", "residual", "rounds"])
 
-    rows = _rows(state, 0, "v", "rank", "residual", "double").union(_rows(links, 1, "src", "dst", "share", "double"))
-    return rows.coalesce(1).mapInArrow(run, "v bigint, rank double, residual double")
+    rows = _rows(state, 0, "v", "rank", "residual", "double").union(_rows(edges, 1, "src", "dst", "cnt", "double"))
+    if before is not None:
+        rows = rows.union(_rows(before, 2, "src", "dst", "cnt", "double")).union(_rows(touched, 3, "src", "0", "0", "double"))
+    return rows.coalesce(1).mapInArrow(run, "v bigint, rank double, residual double, rounds bigint")
 
 
 def _known(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +227,26 @@ def _closure(start: np.ndarray, first: np.ndarray, to: np.ndarray, ok=None) -> n
     return met
 
 
+def _tree_hit(v: np.ndarray, parent: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Which vertices are under a parent link that is among the pairs (src, dst)."""
+    at, there = _known(v, dst)
+    hit = np.zeros(len(v), bool)
+    hit[at[there & (parent[at] == src)] if len(v) else []] = True
+    up, has = _known(v, parent)
+    child = np.flatnonzero(has & (parent >= 0))
+    by, first = _adjacency(v, up[child])
+    return _closure(hit, first, child[by])
+
+
+def _label_hit(v: np.ndarray, label: np.ndarray, gs: np.ndarray, gd: np.ndarray, search: _Search) -> np.ndarray:
+    """Members of the label groups of vanished pairs that the label's root no longer reaches inside its group."""
+    (a, ok), (b, ok2) = _known(v, gs), _known(v, gd)
+    a, b = a[ok & ok2], b[ok & ok2]
+    suspect = np.unique(label[b[(a != b) & (label[a] == label[b]) & (label[b] < v[b])]])
+    group = np.isin(label, suspect)
+    return group & ~_closure(group & (v == label), search.first, search.dst, lambda x, y: group[y] & (label[x] == label[y]))
+
+
 def tree_closure(state: DataFrame, gone: DataFrame) -> DataFrame:
     """(v): vertices under a parent link that is among the vanished edges (src, dst)."""
 
@@ -134,37 +255,94 @@ def tree_closure(state: DataFrame, gone: DataFrame) -> DataFrame:
         none = [np.empty(0, np.int64)] * 3
         (v, parent, _), (dst, src, _) = (got.get(k, none) for k in (0, 1))
         order = np.argsort(v)
-        v, parent = v[order], parent[order]
-        at, there = _known(v, dst)
-        hit = np.zeros(len(v), bool)
-        hit[at[there & (parent[at] == src)] if len(v) else []] = True
-        up, has = _known(v, parent)
-        child = np.flatnonzero(has)
-        by, first = _adjacency(v, up[child])
-        yield pa.RecordBatch.from_arrays([pa.array(v[_closure(hit, first, child[by])])], ["v"])
+        yield pa.RecordBatch.from_arrays([pa.array(v[order][_tree_hit(v[order], parent[order], src, dst)])], ["v"])
 
     rows = _rows(state, 0, "v", "parent", "0").union(_rows(gone, 1, "dst", "src", "0"))
     return rows.coalesce(1).mapInArrow(run, "v bigint")
 
 
-def label_closure(state: DataFrame, gone: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(v): members of the label groups of vanished edges that the label's root no longer reaches inside its group."""
+def components(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(v, component): the smallest vertex of each weakly connected component of (src, dst)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _gather(batches)
         none = [np.empty(0, np.int64)] * 3
-        (v, label, _), (gs, gd, _), (src, dst, _) = (got.get(k, none) for k in (0, 1, 2))
-        order = np.argsort(v)
-        v, label = v[order], label[order]
-        (a, ok), (b, ok2) = _known(v, gs), _known(v, gd)
-        a, b = a[ok & ok2], b[ok & ok2]
-        suspect = np.unique(label[b[(a != b) & (label[a] == label[b]) & (label[b] < v[b])]])
-        group = np.isin(label, suspect)
-        (s, ok), (d, ok2) = _known(v, src), _known(v, dst)
-        s, d = s[ok & ok2], d[ok & ok2]
-        by, first = _adjacency(v, s)
-        met = _closure(group & (v == label), first, d[by], lambda x, y: group[y] & (label[x] == label[y]))
-        yield pa.RecordBatch.from_arrays([pa.array(v[group & ~met])], ["v"])
+        (own, _, _), (src, dst, _) = (got.get(k, none) for k in (0, 1))
+        ids = np.unique(np.concatenate([own, src, dst]))
+        a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+        low = np.arange(len(ids))
+        while len(a):  # each root takes the least root beside it, then paths are cut short
+            x, y = low[a], low[b]
+            on = x != y
+            a, b, x, y = a[on], b[on], x[on], y[on]
+            np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+            while (low[low] != low).any():
+                low = low[low]
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids[low[np.searchsorted(ids, own)]])], ["v", "component"])
+
+    rows = _rows(vertices, 0, "v", "0", "0").union(_rows(pairs, 1, "src", "dst", "0"))
+    return rows.coalesce(1).mapInArrow(run, "v bigint, component bigint")
+
+
+def strong(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(v, component, level): strong components by one depth-first search, named by their smallest vertex, and the most edges of a path of components that ends at each."""
 
-    rows = _rows(state, 0, "v", "value", "0").union(_rows(gone, 1, "src", "dst", "0")).union(_rows(pairs, 2, "src", "dst", "0"))
-    return rows.coalesce(1).mapInArrow(run, "v bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _gather(batches)
+        none = [np.empty(0, np.int64)] * 3
+        (ids, _, _), (src, dst, _) = (got.get(k, none) for k in (0, 1))
+        ids = np.unique(ids)
+        (s, ok), (d, ok2) = _known(ids, src), _known(ids, dst)
+        s, d = s[ok & ok2], d[ok & ok2]
+        order, first = _adjacency(ids, s)
+        to, start = d[order].tolist(), first.tolist()
+        n = len(ids)
+        index, low, name, on = [-1] * n, [0] * n, [-1] * n, [False] * n
+        stack: list[int] = []
+        found: list[list[int]] = []  # components, those that are reached first
+        turn = 0
+        for root in range(n):
+            if index[root] >= 0:
+                continue
+            work = [(root, start[root])]
+            index[root] = low[root] = turn
+            turn += 1
+            stack.append(root)
+            on[root] = True
+            while work:
+                v, e = work.pop()
+                while e < start[v + 1]:
+                    u = to[e]
+                    e += 1
+                    if index[u] < 0:
+                        work.append((v, e))
+                        index[u] = low[u] = turn
+                        turn += 1
+                        stack.append(u)
+                        on[u] = True
+                        work.append((u, start[u]))
+                        break
+                    if on[u]:
+                        low[v] = min(low[v], index[u])
+                else:
+                    if low[v] == index[v]:
+                        own = []
+                        while not own or own[-1] != v:
+                            u = stack.pop()
+                            on[u] = False
+                            name[u] = len(found)
+                            own.append(u)
+                        found.append(own)
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[v])
+        level = [0] * len(found)
+        for c in range(len(found) - 1, -1, -1):  # sources come last
+            for v in found[c]:
+                for e in range(start[v], start[v + 1]):
+                    if name[to[e]] != c:
+                        level[name[to[e]]] = max(level[name[to[e]]], level[c] + 1)
+        least = [min(own) for own in found]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([int(ids[least[c]]) for c in name], pa.int64()), pa.array([level[c] for c in name], pa.int64())], ["v", "component", "level"])
+
+    rows = _rows(vertices, 0, "v", "0", "0").union(_rows(pairs, 1, "src", "dst", "0"))
+    return rows.coalesce(1).mapInArrow(run, "v bigint, component bigint, level bigint")
