@@ -188,7 +188,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(self.features(texts) @ self.weights[:-1] + self.weights[-1])))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, tie: float = 3e-4) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, tie: float = 1e-3) -> np.ndarray:
     """Coefficients and, last, the constant; a hit never speaks against toxicity.
 
     Training documents may hold no misspelled term: their weights are drawn to half of the exact hits',
