@@ -126,15 +126,15 @@ def fit_language(docs: DataFrame) -> LanguageModel:
     return LanguageModel().fit(*training_rows(docs))
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` with lang_pred and lang_score (clashing columns of those names are replaced).
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """All columns of ``docs``, with the prediction and its score under ``names`` (clashing columns of those names are replaced).
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text where the model
     has learned no language.  Repeated rows get equal values; a tie goes to the first language by name.
     """
     prepare(docs.sparkSession)
-    docs = docs.drop("lang_pred", "lang_score")
-    schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +147,6 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     p = model.scores([texts[i] for i in some])
                     for i, c, s in zip(some, p.argmax(1), p.max(1)):
                         lang[i], score[i] = model.classes[c], s
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)

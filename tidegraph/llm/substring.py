@@ -283,23 +283,23 @@ def _cut(text: bytes, starts: np.ndarray, edges: np.ndarray, bad: list[tuple[int
     return own, covered(len(own), at, window)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) for each document row; with ``with_text``, all columns of ``docs``, the kept text in ``text``, and n_words and n_removed.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, with_text: bool = False, names: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) for each document row; with ``with_text``, all columns of ``docs``, the kept text in ``text``, and both counts under ``names``.
 
     A word goes if it is covered by a window of ``window`` words whose sequence starts anywhere else
     too, in the same document or another; all places of a repeated window go.  Windows are judged on the
     input.  Null and empty texts have no words; texts shorter than a window lose none.  A repeated row
     repeats its windows.  In ``text``, kept words are joined by one space where words were removed,
-    and a text that loses nothing stays as it is; columns of ``docs`` named n_words or n_removed are replaced.
+    and a text that loses nothing stays as it is; columns of ``docs`` of these names are replaced.
     Other columns are carried along, whatever their names.
     """
     prepare(docs.sparkSession)
-    carried = [c for c in docs.columns if c not in ("n_words", "n_removed")] if with_text else ["doc_id", "text"]
+    carried = [c for c in docs.columns if c not in names] if with_text else ["doc_id", "text"]
     # the row's key: another seed where two different rows have one key
     for seed in range(16):
-        names = [f"c{i}" for i in range(len(carried))]  # names of any kind and case, put back at the end
+        own_names = [f"c{i}" for i in range(len(carried))]  # names of any kind and case, put back at the end
         texts = stored(
-            docs.select(row_hash(["doc_id", "text"], seed).alias("_k"), F.coalesce("text", F.lit("")).alias("text"), row_hash(["doc_id", "text"], 1000 + seed).alias("_other"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names) if c != "text"], F.col("text").isNull().alias("_none")),
+            docs.select(row_hash(["doc_id", "text"], seed).alias("_k"), F.coalesce("text", F.lit("")).alias("text"), row_hash(["doc_id", "text"], 1000 + seed).alias("_other"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carried, own_names) if c != "text"], F.col("text").isNull().alias("_none")),
             "repeat-texts", key="_k",
         )
         if texts.groupBy("_k").agg(F.min("_other").alias("a"), F.max("_other").alias("b")).where("a != b").isEmpty():
@@ -309,7 +309,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, with_te
     marked = repeated_spans(body, window, k)
     bad = unlike(body, marked, window)
 
-    kept_columns = [n for c, n in zip(carried, names) if c != "text"]
+    kept_columns = [n for c, n in zip(carried, own_names) if c != "text"]
     own = texts.select("_k", "text", "_none", *kept_columns).join(marked, "_k", "left").join(bad, "_k", "left").select("text", "_none", "hits", "runs", "bad", *kept_columns)
     out_schema = T.StructType([*[texts.schema[n] for n in kept_columns], T.StructField("_result", T.StringType()), T.StructField("_words", T.LongType()), T.StructField("_removed", T.LongType())])
 
@@ -331,5 +331,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER, with_te
     out = own.mapInArrow(cut, out_schema)
     if not with_text:
         return out.select(F.col("c0").alias("doc_id"), F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"), F.col("_result").alias("kept_sha256"))
-    back = [F.col("_result").alias("text") if c == "text" else F.col(n).alias(c) for c, n in zip(carried, names)]
-    return out.select(*back, F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"))
+    back = [F.col("_result").alias("text") if c == "text" else F.col(n).alias(c) for c, n in zip(carried, own_names)]
+    return out.select(*back, F.col("_words").alias(names[0]), F.col("_removed").alias(names[1]))
