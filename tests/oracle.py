@@ -52,6 +52,7 @@ def apply(n: int, bag: Counter, batch: list[tuple[str, int, int]]) -> tuple[Coun
             else:
                 invalid += 1
     total = {"additions": sum(b[0] == "a" for b in batch), "deletions": sum(b[0] == "d" for b in batch), "touched_sources": len(touched), "changed_sources": len(changed), "missing_deletes": missing, "invalid_additions": invalid}
+    total["max_source_work"] = max(Counter(u for _, u, _ in batch).values(), default=0)
     return +after, +last, total
 
 

@@ -24,6 +24,19 @@ def test_text_formats(spark, tmp_path):
         text.read_matrix_market(spark, str(tmp_path / "bad"))
     (tmp_path / "p").write_bytes(b"".join((a << 32 | b).to_bytes(8, "little") for a, b in ((1, 2), (4294967295, 7))))
     assert sorted(map(tuple, text.read_packed_pairs(spark, str(tmp_path / "p")).collect())) == [(1, 2), (4294967295, 7)]
+    (tmp_path / "d").write_bytes(b"".join(x.to_bytes(2, "little") for x in (0, 1, 1)))
+    assert sorted(map(tuple, text.read_domain_map(spark, str(tmp_path / "d")).collect())) == [(0, 0), (1, 1), (2, 1)]
+    (tmp_path / "wrong").write_bytes(b"\2\0")
+    with pytest.raises(Exception, match="0 or 1"):
+        text.read_domain_map(spark, str(tmp_path / "wrong")).collect()
+
+
+def test_updates_keep_the_order_of_files_and_lines(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    for i in range(4):
+        (tmp_path / "many" / f"{i}.txt").write_text("# x\n" + "".join(f"a {i} {j} 1\n" for j in range(50)))
+    rows = text.read_updates(spark, str(tmp_path / "many")).orderBy("seq").collect()
+    assert [(r.seq, r.src, r.dst) for r in rows] == [(50 * i + j, i, j) for i in range(4) for j in range(50)]
 
 
 def test_batches_take_adds_and_deletes_by_count(spark, tmp_path):
@@ -76,7 +89,9 @@ def test_stream_is_applied_once(spark, tmp_path):
     assert {r.v: r.value for r in graph.state().collect()} == oracle.solve("bfs", 4, bag)
     graph.run(str(tmp_path / "stream"), str(tmp_path / "c2")).awaitTermination()  # delivered again, as after a lost checkpoint
     assert graph.published() == 3 and Counter({(r.src, r.dst): r.cnt for r in graph.edges().collect()}) == bag
-    assert {r.v: r.value for r in graph.state(0).collect()} == {0: 0, 1: 1, 2: 2, 3: 1}
+    assert sorted(x.name for x in (tmp_path / "graph" / "state").iterdir()) == ["2", "3"]  # older epochs are deleted
+    with pytest.raises(ValueError):
+        graph.store(0)
     with pytest.raises(ValueError):
         graph.apply(7, edges.limit(0).select(F.lit("a").alias("op"), "src", "dst"))
     ranks = StreamingGraph(spark, str(tmp_path / "ranks"), None, 4)

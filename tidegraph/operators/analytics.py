@@ -71,14 +71,14 @@ def needs_refresh(published: DataFrame | None, desired: DataFrame) -> bool:
 
 
 def cache_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """One row (admitted, evicted, degree_changed, kept, patch_edges) from two candidate lists (v, degree)."""
+    """One row (admitted, evicted, degree_changed, kept, patch_edges, patch_bytes) from two candidate lists (v, degree); an edge of the patch has 4 bytes."""
     both = previous.select("v", F.col("degree").alias("old")).join(current.select("v", F.col("degree").alias("new")), "v", "full_outer")
     old, new = F.col("old"), F.col("new")
     total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
     came, went, other = old.isNull(), new.isNull(), old.isNotNull() & new.isNotNull() & (old != new)
     return both.agg(
         total(came.cast("long"), "admitted"), total(went.cast("long"), "evicted"), total(other.cast("long"), "degree_changed"),
-        total((old.isNotNull() & new.isNotNull() & (old == new)).cast("long"), "kept"), total(F.when(came | other, new).otherwise(0), "patch_edges"),
+        total((old.isNotNull() & new.isNotNull() & (old == new)).cast("long"), "kept"), total(F.when(came | other, new).otherwise(0), "patch_edges"), total(F.when(came | other, new * 4).otherwise(0), "patch_bytes"),
     )
 
 
@@ -136,17 +136,52 @@ def smallest_ranks(ranked: DataFrame, k: int) -> DataFrame:
     return ranked.orderBy(unsigned, "occ").limit(k)
 
 
-def ratio_pools(edges: DataFrame, size: int, seed: int = 1) -> DataFrame:
-    """(occ_src, occ_dst, i, pool): ``size`` insert and ``size`` delete occurrences, disjoint, by hashed rank.
+def numbered_occurrences(source: DataFrame, base: DataFrame) -> DataFrame:
+    """(src, dst, occ, in_base, base_cnt) of every occurrence of a bag, numbered from 0 in the order of (src, dst); the first of each pair are those of the base.
 
-    An occurrence is the i-th of its pair; its number is a hash of (src, dst, i), so it does not depend on partitions.
+    A base that is not part of the source is an error.
     """
-    occ = edges.select("src", "dst", F.explode(F.sequence(F.lit(1).cast("long"), F.col("cnt"))).alias("i"))
-    number = F.xxhash64("src", "dst", "i")
-    first = smallest_ranks(hashed_ranks(occ.withColumn("occ", number), seed), 2 * size)
+    both = source.join(base.select("src", "dst", F.col("cnt").alias("base_cnt")), ["src", "dst"], "full")
+    over = both.where("cnt is null or base_cnt > cnt").limit(1).count()
+    if over:
+        raise ValueError("the base is not a part of the source")
+    placed = running_sum(both.withColumn("base_cnt", F.coalesce("base_cnt", F.lit(0).cast("long"))), [F.col("src"), F.col("dst")], F.col("cnt"), "before")
+    each = placed.select("src", "dst", "before", "base_cnt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cnt") - 1)).alias("i"))
+    return each.select("src", "dst", (F.col("before") + F.col("i")).alias("occ"), (F.col("i") < F.col("base_cnt")).alias("in_base"), "base_cnt")
+
+
+def ratio_pools(source: DataFrame, base: DataFrame, size: int, seed: int = 1) -> DataFrame:
+    """(pool, src, dst, occ, multiplicity, degree): ``size`` deletes of a base graph, and ``size`` inserts that it does not have.
+
+    Deletes are the base's occurrences of smallest hashed rank.  Inserts are taken from the 2 * size other occurrences of smallest rank:
+    those whose pair is in the base are rejected, and those that repeat a pair.  multiplicity counts the pair
+    in the base, degree its source.  A pool that falls short is an error; nothing else is drawn instead.
+    """
+    ranked = hashed_ranks(numbered_occurrences(source, base), seed)
     unsigned = F.col("rank").bitwiseXOR(F.lit(-(2**63)).cast("long"))
-    placed = first.withColumn("place", F.row_number().over(Window.orderBy(unsigned, "occ")))  # 2 * size rows
-    return placed.select(F.col("src").alias("occ_src"), F.col("dst").alias("occ_dst"), "i", F.when(F.col("place") <= size, "insert").otherwise("delete").alias("pool"))
+    deletes = smallest_ranks(ranked.where("in_base"), size).withColumn("pool", F.lit("delete"))
+    drawn = smallest_ranks(ranked.where(~F.col("in_base")), 2 * size).where("base_cnt = 0")  # 2 * size rows
+    first = drawn.groupBy("src", "dst").agg(F.min(F.struct(unsigned.alias("u"), "occ")).alias("x"))
+    inserts = first.select("src", "dst", "x.*").orderBy("u", "occ").limit(size).select("src", "dst", "occ", F.lit(0).cast("long").alias("base_cnt"), F.lit("insert").alias("pool"))
+    pools = settled(deletes.select("src", "dst", "occ", "base_cnt", "pool").unionByName(inserts))
+    sizes = {r.pool: r["count"] for r in pools.groupBy("pool").count().collect()}
+    for pool in ("delete", "insert"):
+        if sizes.get(pool, 0) != size:
+            raise ValueError(f"the {pool} pool has {sizes.get(pool, 0)} of {size}")
+    degree = base.join(pools.select("src").distinct(), "src", "left_semi").groupBy("src").agg(F.sum("cnt").alias("degree"))
+    return pools.join(degree, "src", "left").select("pool", "src", "dst", "occ", F.col("base_cnt").alias("multiplicity"), F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+
+
+def rescored(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """Scored vertices (v, score, degree) after changes of the same form, one row a vertex; a change to score 0 takes a vertex out."""
+    return rows.join(changes.select("v"), "v", "left_anti").unionByName(changes.select("v", "score", "degree")).where("score > 0")
+
+
+def prefix_counts(rows: DataFrame, capacities: list[int]) -> DataFrame:
+    """(capacity, candidates): how many vertices, by score down and id up, have degrees that sum to less than each capacity."""
+    placed = running_sum(rows, [F.desc("score"), F.asc("v")], F.col("degree"), "before")
+    counts = placed.select(*[F.count(F.when(F.col("before") + F.col("degree") < c, 1)).alias(f"c{i}") for i, c in enumerate(capacities)])  # one row, one pass
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).cast("long").alias("capacity"), F.col(f"c{i}").alias("candidates")) for i, c in enumerate(capacities)])).alias("x")).select("x.*")
 
 
 def reach_from_all(edges: DataFrame, roots: DataFrame, max_rounds: int) -> DataFrame:
@@ -192,8 +227,7 @@ def choose_plan(costs: DataFrame) -> DataFrame:
     return costs.where("eligible").agg(F.min_by("name", F.struct("cost", "name")).alias("chosen"), F.min("cost").alias("cost"))
 
 
-def majority_component(labels: DataFrame, samples: int = 256) -> DataFrame:
-    """One row (component, votes): the commonest component of a fixed sample of vertices, the smallest where votes tie."""
-    own = labels.where(F.pmod(F.xxhash64("v"), F.lit(1024)) < samples)
+def majority_component(labels: DataFrame, samples: int = 256, seed: int = 1) -> DataFrame:
+    """One row (component, votes): the commonest component of the ``samples`` vertices of smallest hashed rank, the smallest where votes tie."""
+    own = smallest_ranks(hashed_ranks(labels.withColumn("occ", F.col("v")), seed), samples)
     return own.groupBy("component").agg(F.count("*").alias("votes")).orderBy(F.desc("votes"), "component").limit(1)
-

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import Weight, endpoint_weight, no_weight, unit_weight
 from ..plans import local
-from ..plans.state import settled
+from ..plans.state import discard, settled
 
 #: Rounds after which the improvements of a run are merged into its base state.
 COMPACT = 8
@@ -62,20 +62,24 @@ def improvements(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(current, "v", "left").where("now is null or value < now").select("v", "value", "parent")
 
 
-def propagate(known: DataFrame, frontier: DataFrame, edges: DataFrame, program: MinProgram, max_rounds: int, inside: DataFrame | None = None, bucket: int | None = None) -> tuple[DataFrame, int]:
+def propagate(
+    known: DataFrame, frontier: DataFrame, edges: DataFrame, program: MinProgram, max_rounds: int, inside: DataFrame | None = None, bucket: int | None = None, size: int | None = None, small: int | None = None
+) -> tuple[DataFrame, int]:
     """Runs the program from a frontier of better rows until no vertex improves; (state, rounds).
 
     Only improved vertices send.  A round's work follows its frontier: the known rows are filtered by
     the candidates, the improvements are kept as a small table of their own, and the state
     is rewritten every COMPACT rounds.  With ``inside`` (v), only those vertices may improve.  With
     ``bucket``, rounds send from the lowest range of values of that width, which saves repeated improvements on
-    long paths and takes more rounds.  A graph of few edges, counted here, is solved in one task.
+    long paths and takes more rounds.  A graph of at most ``small`` edges (``size``, or else counted here) is solved in one task.
     """
-    frontier = settled(frontier)
-    if edges.count() <= local.LOCAL_PAIRS:
+    if (edges.count() if size is None else size) <= local.limit(small):
         own = edges if inside is None else edges.join(inside.select(F.col("v").alias("dst")), "dst", "left_semi")
         weighted = own.select("src", "dst", program.weight(F.col("src"), F.col("dst")).alias("w"))
-        return settled(local.min_fixed_point(known, frontier, weighted)), 0
+        out = settled(local.min_fixed_point(known, frontier, weighted, program.rooted))
+        first = out.select("rounds").first()
+        return out.select("v", "value", "parent"), first[0] if first else 0
+    frontier = settled(frontier)
     base, later, rounds, waiting = known, [], 0, None
     while not frontier.isEmpty():
         rounds += 1
@@ -83,7 +87,12 @@ def propagate(known: DataFrame, frontier: DataFrame, edges: DataFrame, program:
             raise RuntimeError(f"{program.name} did not converge in {max_rounds} rounds")
         later.append(frontier)
         if len(later) >= COMPACT:
+            old, done = base, later
             base, later = settled(best(_union([base, *later]))), []
+            if old is not known:
+                discard(old)
+            if not bucket:
+                discard(*done[:-1])
         active = frontier
         if bucket:  # only the lowest bucket sends; the other better rows wait
             pending = frontier if waiting is None else settled(best(frontier.unionByName(waiting)))
@@ -106,10 +115,15 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def by_source(edges: DataFrame, n: int) -> DataFrame:
-    """Edges with both ends in range, as distinct pairs, dealt out by source and kept for the rounds."""
+def in_range_pairs(edges: DataFrame, n: int) -> DataFrame:
+    """Edges with both ends in range, as distinct pairs."""
     ok = (F.col("src") >= 0) & (F.col("src") < n) & (F.col("dst") >= 0) & (F.col("dst") < n)
-    return settled(edges.where(ok).select("src", "dst").distinct().repartition("src"))
+    return edges.where(ok).select("src", "dst").distinct()
+
+
+def by_source(edges: DataFrame, n: int) -> DataFrame:
+    """``in_range_pairs``, ordered by source and kept for the rounds: a round's join by source does not move them."""
+    return settled(in_range_pairs(edges, n), key="src")
 
 
 def clamp(source: int, n: int) -> int:
@@ -118,27 +132,37 @@ def clamp(source: int, n: int) -> int:
     return min(max(source, 0), n - 1)
 
 
-def solve(edges: DataFrame, program: MinProgram, n: int, source: int | None = 0, max_rounds: int | None = None, bucket: int | None = None) -> DataFrame:
+def solve(edges: DataFrame, program: MinProgram, n: int, source: int | None = 0, max_rounds: int | None = None, bucket: int | None = None, small: int | None = None) -> DataFrame:
     """(v, value, parent) of every reached vertex of 0 .. n - 1; unreached vertices have no row.
 
     A source out of range is clamped.  The parent is the smallest tight source.
     """
+    return solved(edges, program, n, source, max_rounds, bucket, small)[0]
+
+
+def solved(edges: DataFrame, program: MinProgram, n: int, source: int | None = 0, max_rounds: int | None = None, bucket: int | None = None, small: int | None = None) -> tuple[DataFrame, int]:
+    """``solve``, and its rounds."""
     spark = edges.sparkSession
     seeds = program.start(vertex_range(spark, n), clamp(source or 0, n) if program.rooted else None)
+    empty, limit = seeds.limit(0), max_rounds or (n + 1) * (2 if bucket else 1)
+    pairs, size = in_range_pairs(edges, n), edges.count()
+    if size <= local.limit(small):  # parents come with the values
+        return propagate(empty, seeds, pairs, program, limit, size=size, small=small)
     pairs = by_source(edges, n)
-    empty = seeds.limit(0)
-    state, _ = propagate(empty, seeds, pairs, program, max_rounds or (n + 1) * (2 if bucket else 1), bucket=bucket)
-    return with_parents(state, pairs, program)
+    state, rounds = propagate(empty, seeds, pairs, program, limit, bucket=bucket, size=size, small=small)
+    return with_parents(state, pairs, program), rounds
 
 
-def with_parents(state: DataFrame, pairs: DataFrame, program: MinProgram) -> DataFrame:
-    """The state with each vertex's smallest tight source as its parent; roots have none.
+def with_parents(state: DataFrame, pairs: DataFrame, program: MinProgram, only: DataFrame | None = None) -> DataFrame:
+    """The state, or its vertices ``only`` (v), with each vertex's smallest tight source as its parent; roots have none.
 
     Labels have no order among equal values, so for programs without a root any same-label source counts.
     """
+    every = state
+    state = state if only is None else state.join(only, "v", "left_semi")
     target = state.select(F.col("v").alias("dst"), F.col("value").alias("own"))
     tight = (
-        pairs.where("src != dst").join(state.select(F.col("v").alias("src"), "value"), "src").join(target, "dst")
+        pairs.where("src != dst").join(every.select(F.col("v").alias("src"), "value"), "src").join(target, "dst")
         .where(F.col("value") + program.weight(F.col("src"), F.col("dst")) == F.col("own")).groupBy("dst").agg(F.min("src").alias("tight"))
     )
     root = F.col("value") == 0 if program.rooted else F.col("value") == F.col("v")
@@ -148,3 +172,15 @@ def with_parents(state: DataFrame, pairs: DataFrame, program: MinProgram) -> Dat
 def all_vertices(state: DataFrame, n: int) -> DataFrame:
     """A row for every vertex; value and parent are null where it is not reached."""
     return vertex_range(state.sparkSession, n).join(state, "v", "left").select("v", "value", "parent")
+
+
+def refreshed(old: DataFrame, values: DataFrame, pairs: DataFrame, touched: DataFrame, program: MinProgram) -> DataFrame:
+    """New values (v, value) with parents: only vertices that changed, the ones behind them, and the destinations ``touched`` (v) look theirs up again."""
+    now, was = values.select("v", F.col("value").alias("now")), old.select("v", F.col("value").alias("was"))
+    changed = settled(now.join(was, "v", "full").where(~F.col("now").eqNullSafe(F.col("was"))).select("v"))
+    behind = pairs.join(changed.select(F.col("v").alias("src")), "src", "left_semi").select(F.col("dst").alias("v"))
+    dirty = settled(changed.union(behind).union(touched.select("v")).distinct())
+    into = pairs.join(dirty.select(F.col("v").alias("dst")), "dst", "left_semi")
+    fresh = with_parents(values.select("v", "value"), into, program, dirty)
+    kept = values.select("v", "value").join(dirty, "v", "left_anti").join(old.select("v", "parent"), "v", "left").select("v", "value", "parent")
+    return kept.unionByName(fresh)

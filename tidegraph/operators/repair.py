@@ -10,22 +10,17 @@ from pyspark.sql import functions as F
 from ..functions.columns import depends_on, label_depends
 from ..plans import local
 from ..plans.state import settled
-from .programs import MIN_LABEL, MinProgram, best, by_source, candidates, improvements, propagate, with_parents
-from .topology import apply_batch
+from .programs import MinProgram, best, candidates, improvements, propagate, refreshed
+from .store import EdgeStore, Step
+from .topology import batch_metrics
 
 
-def vanished(effective: DataFrame, after_delete: DataFrame) -> DataFrame:
-    """Pairs (src, dst) whose last occurrence a delete phase took."""
-    gone = effective.where("delta < 0").select("src", "dst").distinct()
-    return gone.join(after_delete.select("src", "dst"), ["src", "dst"], "left_anti")
-
-
-def tree_affected(state: DataFrame, gone: DataFrame, max_rounds: int) -> DataFrame:
+def tree_affected(state: DataFrame, gone: DataFrame, max_rounds: int, small: int | None = None) -> DataFrame:
     """(v): vertices whose chain of tight parents uses a vanished edge; one join a level of the tree.
 
     Weights are positive, so parent links form a tree, and every vertex outside keeps its value.
     """
-    if state.count() <= local.LOCAL_PAIRS:
+    if state.count() <= local.limit(small):
         return settled(local.tree_closure(state, gone))
     new = settled(state.join(gone.select(F.col("dst").alias("v"), "src"), "v").where(depends_on(F.col("src"), F.col("parent"))).select("v").distinct())
     found, rounds = [new], 0
@@ -48,8 +43,6 @@ def label_affected(state: DataFrame, gone: DataFrame, pairs: DataFrame, max_roun
     edge that can have carried it, its group is searched again from its root, inside the group;
     members that are not met are affected.
     """
-    if pairs.count() + state.count() <= local.LOCAL_PAIRS:
-        return settled(local.label_closure(state, gone, pairs))
     label = state.select("v", F.col("value").alias("label"))
     ends = gone.join(label.withColumnRenamed("v", "src").withColumnRenamed("label", "a"), "src").join(label.withColumnRenamed("v", "dst").withColumnRenamed("label", "b"), "dst")
     suspect = settled(ends.where(label_depends(F.col("src"), F.col("dst"), F.col("a"), F.col("b"))).select(F.col("a").alias("label")).distinct())
@@ -74,69 +67,88 @@ def label_affected(state: DataFrame, gone: DataFrame, pairs: DataFrame, max_roun
     return settled(group.join(reached, ["v", "label"], "left_anti").select("v"))
 
 
-def pull_repair(state: DataFrame, affected: DataFrame, pairs: DataFrame, program: MinProgram, max_rounds: int) -> DataFrame:
-    """Resets the affected vertices and gives them the least values the remaining edges allow.
+def pull_repair(state: DataFrame, affected: DataFrame, pairs: DataFrame, program: MinProgram, max_rounds: int, bucket: int | None = None, small: int | None = None) -> tuple[DataFrame, int]:
+    """Resets the affected vertices and gives them the least values the remaining edges allow; (state, rounds).
 
     Their first values come from unaffected in-neighbours, and for rootless programs from their own id; after that
     only affected vertices propagate, and only to each other.
     """
     kept = settled(state.join(affected, "v", "left_anti"))
-    into = pairs.join(affected.select(F.col("v").alias("dst")), "dst", "left_semi")
+    into = settled(pairs.join(affected.select(F.col("v").alias("dst")), "dst", "left_semi"))
     start = candidates(kept.join(into.select(F.col("src").alias("v")).distinct(), "v", "left_semi"), into, program)
     if not program.rooted:
         start = best(start.unionByName(program.start(affected)))
-    fixed, _ = propagate(kept, start, into, program, max_rounds)
-    return fixed
+    return propagate(kept, start, into, program, max_rounds, bucket=bucket, small=small)
 
 
-def insert(state: DataFrame, added: DataFrame, pairs: DataFrame, program: MinProgram, max_rounds: int) -> DataFrame:
-    """Relaxes each added edge once, then propagates what improved."""
+def insert(state: DataFrame, added: DataFrame, pairs: DataFrame, program: MinProgram, max_rounds: int, bucket: int | None = None, size: int | None = None, small: int | None = None) -> tuple[DataFrame, int]:
+    """Relaxes each added edge once, then propagates what improved; (state, rounds)."""
     first = candidates(state.join(added.select(F.col("src").alias("v")).distinct(), "v", "left_semi"), added, program)
-    out, _ = propagate(state, improvements(first, state), pairs, program, max_rounds)
-    return out
+    return propagate(state, improvements(first, state), pairs, program, max_rounds, bucket=bucket, size=size, small=small)
 
 
 @dataclass(frozen=True)
 class Repaired:
-    edges: DataFrame
+    """The outcome of a batch: the new edges, the state after either phase, metrics, the affected vertices, and the rounds of all propagation."""
+
+    store: EdgeStore
     after_delete: DataFrame
     state: DataFrame
     metrics: DataFrame
     affected: DataFrame
+    rounds: int
+    step: Step
 
+    @property
+    def edges(self) -> DataFrame:
+        return self.store.view()
 
-def update(edges: DataFrame, state: DataFrame, batch: DataFrame, program: MinProgram, n: int, max_rounds: int | None = None) -> Repaired:
+
+def update(
+    edges: DataFrame | EdgeStore, state: DataFrame, batch: DataFrame, program: MinProgram, n: int, max_rounds: int | None = None, bucket: int | None = None, small: int | None = None
+) -> Repaired:
     """One batch: the state after its deletions, and after its additions, each equal to a full recomputation.
 
-    ``state`` holds the reached vertices (v, value, parent) with tight parents, as ``solve`` gives it.
+    ``state`` holds the reached vertices (v, value, parent) with tight parents, as ``solve`` gives it; ``edges`` is a bag, or
+    the ``store`` of the batch before.  The edge table is not rewritten: pairs of the batch go to the store's overlay, deletions
+    look at what hangs on a vanished pair, additions start from the new pairs, and parents are looked up where something changed.
+    ``bucket`` orders the rounds of repair and insertion by ranges of values.
+    """
+    store = EdgeStore.of(edges)
+    step = store.apply(batch, n)
+    return _repair(store, step, step.vanished(), step.mid.pairs(n), step.gained(n), state, program, n, max_rounds, bucket, small)
+
+
+def _repair(store: EdgeStore, step: Step, gone: DataFrame, stay: DataFrame, gained: DataFrame, state: DataFrame, program: MinProgram, n: int, max_rounds: int | None, bucket: int | None, small: int | None) -> Repaired:
+    limit = max_rounds or (n + 1) * (2 if bucket else 1)
+    metrics = batch_metrics(step.plan)
+    if step.after.size + step.mid.size <= local.limit(small):
+        weighted = lambda pairs: pairs.select("src", "dst", program.weight(F.col("src"), F.col("dst")).alias("w"))
+        out = settled(local.min_repair(state, weighted(stay), gone, weighted(gained), program.rooted))
+        phase = lambda i: out.where(F.col("phase") == i).select("v", "value", "parent")
+        last = out.where("phase = 1").select("rounds").first()
+        return Repaired(step.after, phase(0), phase(1), metrics, phase(2).select("v"), last[0] if last else 0, step)
+    gone = settled(gone)
+    affected = tree_affected(state, gone, limit, small) if program.rooted else label_affected(state, gone, stay, limit)
+    rounds, mid = 0, state
+    if not affected.isEmpty():
+        values, rounds = pull_repair(state, affected, stay, program, limit, bucket, small)
+        mid = settled(refreshed(state, values, stay, gone.select(F.col("dst").alias("v")), program))
+    pairs, added = step.after.pairs(n), settled(gained)
+    values, more = insert(mid, added, pairs, program, limit, bucket, step.after.size, small)
+    last = settled(refreshed(mid, values, pairs, added.select(F.col("dst").alias("v")), program))
+    return Repaired(step.after, mid, last, metrics, affected, rounds + more, step)
+
+
+def final_state_update(edges: DataFrame | EdgeStore, state: DataFrame, batch: DataFrame, program: MinProgram, n: int, max_rounds: int | None = None, small: int | None = None) -> Repaired:
+    """One repair for a whole batch, without the state between its phases: only pairs absent from the final graph invalidate.
+
+    ``after_delete`` is the state on the pairs that stay, an intermediate without a graph of its own.
     """
-    limit = max_rounds or n + 1
-    done = apply_batch(edges, batch, n)
-    after = settled(done.after_delete)
-    pairs = by_source(after, n)
-    effective = settled(done.effective)
-    gone = settled(vanished(effective, after))
-    affected = tree_affected(state, gone, limit) if program is not MIN_LABEL and program.rooted else label_affected(state, gone, pairs, limit)
-    mid = with_parents(pull_repair(state, affected, pairs, program, limit), pairs, program) if not affected.isEmpty() else state
-    final = settled(done.after_add)
-    added = effective.where("delta > 0").select("src", "dst").distinct()
-    all_pairs = by_source(final, n)
-    fresh = added.join(all_pairs, ["src", "dst"], "left_semi")
-    last = settled(with_parents(insert(settled(mid), fresh, all_pairs, program, limit), all_pairs, program))
-    return Repaired(final, mid, last, done.metrics, affected)
-
-
-def final_state_update(edges: DataFrame, state: DataFrame, batch: DataFrame, program: MinProgram, n: int, max_rounds: int | None = None) -> DataFrame:
-    """One repair for a whole batch, without the state between its phases: only edges absent from the final graph invalidate."""
-    limit = max_rounds or n + 1
-    done = apply_batch(edges, batch, n)
-    final = settled(done.after_add)
-    pairs = by_source(final, n)
-    effective = settled(done.effective)
-    gone = settled(effective.where("delta < 0").select("src", "dst").distinct().join(final.select("src", "dst"), ["src", "dst"], "left_anti"))
-    # first on the edges that stay, so that an added edge is relaxed by all it can improve, in the insertion
-    stay = settled(pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_semi"))
-    affected = tree_affected(state, gone, limit) if program.rooted else label_affected(state, gone, stay, limit)
-    mid = settled(pull_repair(state, affected, stay, program, limit)) if not affected.isEmpty() else state
-    added = effective.where("delta > 0").select("src", "dst").distinct().join(pairs, ["src", "dst"], "left_semi")
-    return settled(with_parents(insert(mid, added, pairs, program, limit), pairs, program))
+    store = EdgeStore.of(edges)
+    step = store.apply(batch, n)
+    lost = step.lost()
+    # first on the pairs that stay, so that an added pair is relaxed by all it can improve, in the insertion
+    stay = store.pairs(n).join(lost, ["src", "dst"], "left_anti")
+    fresh = step.gained(n).join(step.vanished(), ["src", "dst"], "left_anti")
+    return _repair(store, step, lost, stay, fresh, state, program, n, max_rounds, None, small)

@@ -52,9 +52,10 @@ def planned(edges: DataFrame, batch: DataFrame, n: int) -> DataFrame:
 
 
 def batch_metrics(plan: DataFrame) -> DataFrame:
-    """One row: additions, deletions, touched_sources, changed_sources, missing_deletes, invalid_additions.
+    """One row: additions, deletions, touched_sources, changed_sources, missing_deletes, invalid_additions, max_source_work.
 
     A touched source is any source of a request; it is changed if an occurrence of its row was deleted or added.
+    max_source_work is the most requests of one source.
     """
     changed = F.col("ok") & ((F.col("gone") > 0) | (F.col("adds") > 0))
     by_source = plan.groupBy("src").agg(
@@ -64,7 +65,7 @@ def batch_metrics(plan: DataFrame) -> DataFrame:
     zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
     return by_source.agg(
         zero(F.sum("a"), "additions"), zero(F.sum("d"), "deletions"), zero(F.sum("ok"), "touched_sources"), zero(F.sum("changed"), "changed_sources"),
-        zero(F.sum("missing"), "missing_deletes"), zero(F.sum("invalid"), "invalid_additions"),
+        zero(F.sum("missing"), "missing_deletes"), zero(F.sum("invalid"), "invalid_additions"), zero(F.max(F.col("a") + F.col("d")), "max_source_work"),
     )
 
 
@@ -174,13 +175,48 @@ def latest_versions(offers: DataFrame, degrees: DataFrame) -> DataFrame:
 
 
 def ordered_survivors(base: DataFrame, source: DataFrame) -> DataFrame:
-    """Whether each pair's base occurrences are matched in the source: (src, dst, base_cnt, source_cnt, matched).
+    """How many of each pair's base occurrences are matched in the source: (src, dst, base_cnt, matched).
 
-    The i-th occurrence of a pair in ``base`` is matched with the i-th in ``source``.
+    The i-th occurrence of a pair in ``base`` is matched with the i-th in ``source``, so the lesser count is.
     """
-    left, right = (x.select("src", "dst", F.explode(F.sequence(F.lit(1).cast("long"), F.col("cnt"))).alias("i")) for x in (base, source))
-    hit = left.join(right.withColumn("hit", F.lit(1)), ["src", "dst", "i"], "left")
-    return hit.groupBy("src", "dst").agg(F.count("*").alias("base_cnt"), F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("matched"))
+    right = source.select("src", "dst", F.col("cnt").alias("_have"))
+    return base.join(right, ["src", "dst"], "left").select("src", "dst", F.col("cnt").alias("base_cnt"), F.least("cnt", F.coalesce("_have", F.lit(0).cast("long"))).alias("matched"))
+
+
+def is_subsequence(base: DataFrame, source: DataFrame, key: str = "src") -> DataFrame:
+    """(src, base_rows, matched): by source, how far its ordered base row is a subsequence of its ordered source row.
+
+    Both are (src, seq, dst), matched greedily from the left: the row of one vertex is folded in the order of seq, one array a vertex.
+    A base row is a subsequence if all of its rows are matched.
+    """
+    rows = [x.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "dst"))), lambda y: y["dst"]).alias(name)) for x, name in ((base, "b"), (source, "s"))]
+    zero = F.lit(0)
+    at = F.aggregate(F.coalesce("s", F.array().cast("array<bigint>")), zero, lambda i, y: F.when((i < F.size("b")) & (F.get("b", i) == y), i + 1).otherwise(i))
+    return rows[0].join(rows[1], key, "left").select(key, F.size("b").cast("long").alias("base_rows"), at.cast("long").alias("matched"))
+
+
+def undirected_batches(initial: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A graph and its batches (batch_id, op, src, dst[, cnt]) as undirected ones: both directions of each pair, at most once, loops dropped.
+
+    A pair is there after a batch if either direction is; an add of a pair that is there, and a delete of one that is not, change
+    nothing and are left out.  The batches of one pair are folded in order, deletes before adds.
+    """
+    low, high = F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
+    start = initial.where("src != dst").select(low, high).distinct()
+    asked = batches.where("src != dst").groupBy(low, high, F.col("batch_id").cast("long").alias("batch_id"), F.when(F.col("op") == "d", 0).otherwise(1).alias("kind")).agg(F.lit(1).alias("one")).drop("one")
+    events = start.select("src", "dst", F.lit(-1).cast("long").alias("batch_id"), F.lit(1).alias("kind")).unionByName(asked)
+    rows = events.groupBy("src", "dst").agg(F.sort_array(F.collect_list(F.struct("batch_id", "kind"))).alias("events"))  # two events a batch at most
+    acc = "struct<there:boolean,done:array<struct<batch_id:bigint,kind:int>>>"
+
+    def step(x: Column, e: Column) -> Column:
+        on = e["kind"] == 1
+        return F.when(x["there"] == on, x).otherwise(F.struct(on.alias("there"), F.concat(x["done"], F.array(e)).alias("done")).cast(acc))
+
+    zero = F.from_json(F.lit('{"there":false,"done":[]}'), acc)
+    kept = rows.select("src", "dst", F.explode(F.aggregate("events", zero, step)["done"]).alias("e")).where("e.batch_id >= 0")
+    one = kept.select(F.col("e.batch_id").alias("batch_id"), F.when(F.col("e.kind") == 1, "a").otherwise("d").alias("op"), "src", "dst")
+    both = one.unionByName(one.select("batch_id", "op", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return start.union(start.select("dst", "src")).withColumn("cnt", F.lit(1).cast("long")), both.withColumn("cnt", F.lit(1).cast("long"))
 
 
 def segments(edges: DataFrame, parts: int) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions.columns import endpoint_weight, splitmix64
 from .operators import analytics, checks, generate, pagerank, regions, repair, topology
-from .operators.components import connected_components
+from .operators.components import connected_components, repair_components
 from .operators.programs import BFS, MIN_LABEL, SSSP, MinProgram, all_vertices, solve, vertex_range
+from .operators.store import EdgeStore, Step
+from .plans.local import LOCAL_PAIRS
 from .plans.state import settled
-from .sources.derived import evolving_graph, order_lines, part_graph, sparse_graph, vertex_count
+from .sources.derived import evolving_graph, order_lines, part_graph, vertex_count
 
 ROOT, CAPACITY, JACOBI_ROUNDS = 1, 5_000, 20
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,23 +26,30 @@ _LINES = """lines AS MATERIALIZED (SELECT * FROM (SELECT l_partkey AS src,
   l_quantity AS quantity, l_returnflag AS flag, year(l_shipdate) AS year FROM lineitem) WHERE dst IS NOT NULL),
 verts AS (SELECT unnest(range(0, (SELECT max(p_partkey) + 1 FROM part)))::BIGINT AS v)"""
 _BAG = "SELECT src, dst, count(*)::BIGINT AS cnt FROM lines {} GROUP BY src, dst"
-_SPARSE = "quantity >= 48"
+BATCHES = 3
+_RETURNED = "CASE WHEN year <= 1995 THEN 0 WHEN year <= 1997 THEN 1 WHEN year <= 1998 THEN 2 ELSE year - 1999 END"
 
 
-def _graph(where: str = "") -> str:
-    return f"{_LINES}, g AS MATERIALIZED ({_BAG.format(where)})"
+def _graph() -> str:
+    return f"{_LINES}, g AS MATERIALIZED ({_BAG.format('')})"
 
 
-def _evolving(extra: str = "true") -> str:
-    """init, the first batch's requests by pair, the graph after its deletes (gd) and after its adds (ga)."""
-    return f"""{_LINES},
-init AS MATERIALIZED ({_BAG.format(f"WHERE year <= 1998 AND {extra}")}),
-dels AS MATERIALIZED ({_BAG.format(f"WHERE flag = 'R' AND year <= 1999 AND {extra}")}),
-adds AS MATERIALIZED ({_BAG.format(f"WHERE year = 1999 AND {extra}")}),
-plan AS MATERIALIZED (SELECT src, dst, coalesce(d.cnt, 0) AS dels, coalesce(a.cnt, 0) AS adds, least(coalesce(d.cnt, 0), coalesce(i.cnt, 0)) AS gone
-  FROM dels d FULL JOIN adds a USING (src, dst) LEFT JOIN init i USING (src, dst)),
-gd AS MATERIALIZED (SELECT src, dst, init.cnt - coalesce(gone, 0) AS cnt FROM init LEFT JOIN plan USING (src, dst) WHERE init.cnt - coalesce(gone, 0) > 0),
-ga AS MATERIALIZED (SELECT src, dst, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM gd UNION ALL SELECT * FROM adds) GROUP BY src, dst)"""
+def _evolving() -> str:
+    """For each batch b: the graph before it (g0, g1, ...), its requests by pair with what is gone (p0, ...), and the graph after its deletes (m0, ...); g3 is the last."""
+    out = f"{_LINES}, g0 AS MATERIALIZED ({_BAG.format('WHERE year <= 1998')})"
+    for b in range(BATCHES):
+        deleted, added = _BAG.format(f"WHERE flag = 'R' AND {_RETURNED} = {b}"), _BAG.format(f"WHERE year = {1999 + b}")
+        out += f""",
+p{b} AS MATERIALIZED (SELECT src, dst, coalesce(d.cnt, 0) AS dels, coalesce(a.cnt, 0) AS adds, least(coalesce(d.cnt, 0), coalesce(i.cnt, 0)) AS gone, coalesce(i.cnt, 0) AS have
+  FROM ({deleted}) d FULL JOIN ({added}) a USING (src, dst) LEFT JOIN g{b} i USING (src, dst)),
+m{b} AS MATERIALIZED (SELECT src, dst, g{b}.cnt - coalesce(gone, 0) AS cnt FROM g{b} LEFT JOIN p{b} USING (src, dst) WHERE g{b}.cnt - coalesce(gone, 0) > 0),
+g{b + 1} AS MATERIALIZED (SELECT src, dst, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM m{b} UNION ALL SELECT src, dst, adds FROM p{b} WHERE adds > 0) GROUP BY src, dst)"""
+    return out
+
+
+def _each(sql: str) -> str:
+    """The rows of ``sql`` for each batch, with batch_id; {b} is the batch, {c} the next one."""
+    return " UNION ALL ".join(f"SELECT {b}::BIGINT AS batch_id, * FROM ({sql.format(b=b, c=b + 1)})" for b in range(BATCHES))
 
 
 def _min_sql(name: str, graph: str, program: str) -> str:
@@ -67,7 +76,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _solved(spark: SparkSession, sf_dir: str, program: MinProgram) -> tuple[DataFrame, DataFrame, int]:
     n = vertex_count(spark, sf_dir)
-    edges = settled(sparse_graph(spark, sf_dir) if program is MIN_LABEL else part_graph(spark, sf_dir))
+    edges = settled(part_graph(spark, sf_dir))
     return edges, solve(edges, program, n, ROOT), n
 
 
@@ -84,7 +93,7 @@ def sssp_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _solved(spark, sf_dir, SSSP)[1].withColumnRenamed("value", "dist")
 
 
-@query(f"WITH RECURSIVE {_graph('WHERE ' + _SPARSE)}, {_min_sql('s', 'g', 'label')} SELECT v, value AS label FROM s")
+@query(f"WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'label')} SELECT v, value AS label FROM s")
 def min_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _solved(spark, sf_dir, MIN_LABEL)[1].select("v", F.col("value").alias("label"))
 
@@ -103,7 +112,7 @@ def pagerank_jacobi20(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_graph()}, {_RANKS.format(g='g', n=120)} SELECT v, round(rank, 3) AS rank FROM r WHERE i = 120")
 def pagerank_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = settled(part_graph(spark, sf_dir))
-    return pagerank.pagerank(edges, vertex_count(spark, sf_dir), 1e-7).select("v", F.round("rank", 3).alias("rank"))
+    return pagerank.pagerank(edges, vertex_count(spark, sf_dir), 1e-9, 200).select("v", F.round("rank", 3).alias("rank"))
 
 
 @query(f"WITH {_graph()} SELECT max(greatest(src, dst)) + 1 AS nnodes, sum(cnt)::BIGINT AS nedges, sum(cnt)::BIGINT / (max(greatest(src, dst)) + 1) AS avg_degree FROM g")
@@ -130,10 +139,10 @@ def degree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.degree_summary(analytics.degrees(part_graph(spark, sf_dir), vertex_count(spark, sf_dir)))
 
 
-@query(f"WITH RECURSIVE {_graph('WHERE ' + _SPARSE)}, {_min_sql('s', 'g', 'bfs')} SELECT count(*) AS reachable FROM s")
+@query(f"WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'bfs')} SELECT count(*) AS reachable FROM s")
 def reachable_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = vertex_count(spark, sf_dir)
-    return checks.reachable_count(solve(settled(sparse_graph(spark, sf_dir)), BFS, n, ROOT))
+    return checks.reachable_count(solve(settled(part_graph(spark, sf_dir)), BFS, n, ROOT))
 
 
 @query(f"WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'sssp')} SELECT count(*) AS rows, sum(value)::BIGINT AS total, sum(((v % 1000003) * 7919 + (value % 1000003) * 104729 + (v % 1000003) * (value % 1000003)) % 1000003)::BIGINT AS mark FROM s")
@@ -141,7 +150,7 @@ def distance_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.fingerprint(_solved(spark, sf_dir, SSSP)[1])
 
 
-# -- checks: what SQL expects of a right result ------------------------------------------------
+# -- checks: of right results, and of damaged ones, whose faults SQL counts -----------------------
 
 
 @query("SELECT 0::BIGINT AS relaxable, 0::BIGINT AS unwitnessed")
@@ -169,69 +178,147 @@ def pagerank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select((F.col("largest_residual") <= pagerank.EPSILON).alias("converged"), (F.col("worst") < 1e-9).alias("invariant"))
 
 
-# -- topology ---------------------------------------------------------------------------------
+_DAMAGED = "t AS MATERIALIZED (SELECT v, CASE WHEN v % 50 = 7 THEN value + 3 WHEN v % 50 = 11 THEN greatest(value - 2, 0) ELSE value END AS value FROM s)"
+
+
+def _damaged(state: DataFrame) -> DataFrame:
+    """Every fiftieth value too large, another too small."""
+    wrong = F.when(F.col("v") % 50 == 7, F.col("value") + 3).when(F.col("v") % 50 == 11, F.greatest(F.col("value") - 2, F.lit(0))).otherwise(F.col("value"))
+    return state.withColumn("value", wrong)
+
+
+@query(f"""WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'sssp')}, {_DAMAGED},
+e AS (SELECT g.dst, a.value + (g.src + g.dst) % 128 + 1 AS x, b.value AS y FROM g JOIN t a ON a.v = g.src LEFT JOIN t b ON b.v = g.dst)
+SELECT (SELECT count(*) FROM e WHERE y IS NULL OR x < y) AS relaxable, (SELECT count(*) FROM t WHERE value <> 0 AND v NOT IN (SELECT dst FROM e WHERE x = y)) AS unwitnessed""")
+def bellman_check_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, state, _ = _solved(spark, sf_dir, SSSP)
+    return checks.bellman_check(edges, _damaged(state), SSSP)
+
+
+@query(f"""WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'bfs')}, w AS ({_parents('s', 'g', 'bfs')}),
+t AS (SELECT v, value, CASE WHEN v % 40 = 3 THEN NULL WHEN v % 40 = 5 THEN (v + 1) % (SELECT max(v) + 1 FROM verts) ELSE parent END AS parent FROM w WHERE value <> 0)
+SELECT count(*) FILTER (WHERE t.parent IS NULL) AS missing_parent, count(*) FILTER (WHERE t.parent IS NOT NULL AND g.src IS NULL) AS no_edge, count(*) FILTER (WHERE t.parent IS NOT NULL AND coalesce(u.value + 1 <> t.value, true)) AS not_tight
+FROM t LEFT JOIN g ON g.src = t.parent AND g.dst = t.v LEFT JOIN s u ON u.v = t.parent""")
+def parent_check_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fortieth parent taken away, another replaced by the next vertex."""
+    edges, state, n = _solved(spark, sf_dir, BFS)
+    wrong = F.when(F.col("v") % 40 == 3, F.lit(None)).when(F.col("v") % 40 == 5, (F.col("v") + 1) % n).otherwise(F.col("parent")).cast("long")
+    return checks.parent_check(edges, state.withColumn("parent", F.when(F.col("value") != 0, wrong)), BFS)
+
+
+@query(f"WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'label')} SELECT v, value + 1 AS label, value AS expected FROM s WHERE v % 50 = 7")
+def min_label_check_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, state, n = _solved(spark, sf_dir, MIN_LABEL)
+    return checks.label_check(edges, state.withColumn("value", F.when(F.col("v") % 50 == 7, F.col("value") + 1).otherwise(F.col("value"))), n)
+
+
+@query(f"WITH {_graph()} SELECT (SELECT count(*) FROM verts WHERE v % 50 = 7) AS broken")
+def pagerank_check_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residuals changed by 0.5 break the invariant at just these vertices."""
+    n, edges = vertex_count(spark, sf_dir), settled(part_graph(spark, sf_dir))
+    state = pagerank.pagerank(edges, n).withColumn("residual", F.col("residual") + F.when(F.col("v") % 50 == 7, 0.5).otherwise(0.0))
+    return pagerank.invariant_gaps(state, edges, n).where("gap > 0.1").agg(F.count("*").alias("broken"))
+
 
+# -- all batches in order, each from what the one before left ----------------------------------------
 
-def _first_batch(spark: SparkSession, sf_dir: str, sparse: bool = False) -> tuple[DataFrame, DataFrame, int]:
-    initial, batches = evolving_graph(spark, sf_dir, sparse)
-    return initial, batches.where("batch_id = 0").select("op", "src", "dst", "cnt"), vertex_count(spark, sf_dir)
+Each = Callable[[Step, DataFrame, int], DataFrame]
 
 
-@query(f"""WITH {_evolving()} SELECT (SELECT sum(adds) FROM plan)::BIGINT AS additions, (SELECT sum(dels) FROM plan)::BIGINT AS deletions, count(DISTINCT src) AS touched_sources,
- count(DISTINCT src) FILTER (WHERE gone > 0 OR adds > 0) AS changed_sources, sum(dels - gone)::BIGINT AS missing_deletes, 0::BIGINT AS invalid_additions, (SELECT sum(cnt) FROM ga)::BIGINT AS graph_edges FROM plan""")
+def _batches(spark: SparkSession, sf_dir: str) -> tuple[EdgeStore, list[tuple[int, DataFrame]], int]:
+    initial, batches = evolving_graph(spark, sf_dir)
+    batches = settled(batches)
+    ids = sorted(r.batch_id for r in batches.select("batch_id").distinct().collect())
+    return EdgeStore.of(initial), [(b, batches.where(F.col("batch_id") == b).select("op", "src", "dst", "cnt")) for b in ids], vertex_count(spark, sf_dir)
+
+
+def _by_batch(parts: list[tuple[int, DataFrame]]) -> DataFrame:
+    out = [x.select(F.lit(b).cast("long").alias("batch_id"), "*") for b, x in parts]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
+
+
+def _replayed(spark: SparkSession, sf_dir: str, each: Each) -> DataFrame:
+    """The rows of ``each`` (step, batch, n) of every batch."""
+    store, batches, n = _batches(spark, sf_dir)
+    parts = []
+    for b, batch in batches:
+        step = store.apply(batch, n)
+        parts.append((b, each(step, batch, n)))
+        store = step.after
+    return _by_batch(parts)
+
+
+@query(f"""WITH {_evolving()} {_each("SELECT (SELECT sum(adds) FROM p{b})::BIGINT AS additions, (SELECT sum(dels) FROM p{b})::BIGINT AS deletions, count(DISTINCT src) AS touched_sources, "
+ "count(DISTINCT src) FILTER (WHERE gone > 0 OR adds > 0) AS changed_sources, sum(dels - gone)::BIGINT AS missing_deletes, 0::BIGINT AS invalid_additions, "
+ "(SELECT max(x) FROM (SELECT sum(adds + dels) AS x FROM p{b} GROUP BY src))::BIGINT AS max_source_work, (SELECT sum(cnt) FROM g{c})::BIGINT AS graph_edges FROM p{b}")}""")
 def batch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = topology.apply_batch(*_first_batch(spark, sf_dir))
-    return done.metrics.join(F.broadcast(done.after_add.agg(F.sum("cnt").alias("graph_edges"))))
+    return _replayed(spark, sf_dir, lambda step, b, n: topology.batch_metrics(step.plan).join(F.broadcast(step.after.view().agg(F.sum("cnt").alias("graph_edges")))))
 
 
-@query(f"WITH {_evolving()} SELECT src, dst, -gone AS delta FROM plan WHERE gone > 0 UNION ALL SELECT src, dst, adds FROM plan WHERE adds > 0")
+@query(f"WITH {_evolving()} {_each('SELECT src, dst, -gone AS delta FROM p{b} WHERE gone > 0 UNION ALL SELECT src, dst, adds FROM p{b} WHERE adds > 0')}")
 def batch_effective_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.apply_batch(*_first_batch(spark, sf_dir)).effective
+    return _replayed(spark, sf_dir, lambda step, b, n: topology.effective_changes(step.plan))
 
 
-@query(f"WITH {_evolving()} SELECT src, dst, (dels - gone)::BIGINT AS missing FROM plan WHERE dels > gone")
+@query(f"WITH {_evolving()} {_each('SELECT src, dst, (dels - gone)::BIGINT AS missing FROM p{b} WHERE dels > gone')}")
 def missing_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, batch, n = _first_batch(spark, sf_dir)
-    return topology.planned(edges, batch, n).select("src", "dst", (F.col("dels") - F.col("gone")).alias("missing")).where("missing > 0")
+    return _replayed(spark, sf_dir, lambda step, b, n: step.plan.select("src", "dst", (F.col("dels") - F.col("gone")).alias("missing")).where("missing > 0"))
+
 
+_PHASES = "SELECT 'delete' AS phase, * FROM m{b} UNION ALL SELECT 'add', * FROM g{c}"
 
-@query(f"WITH {_evolving()} SELECT 'delete' AS phase, * FROM gd UNION ALL SELECT 'add', * FROM ga")
+
+@query(f"WITH {_evolving()} {_each(_PHASES)}")
 def edges_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = topology.apply_batch(*_first_batch(spark, sf_dir))
-    return done.after_delete.withColumn("phase", F.lit("delete")).unionByName(done.after_add.withColumn("phase", F.lit("add")))
+    return _replayed(spark, sf_dir, lambda step, b, n: step.mid.view().withColumn("phase", F.lit("delete")).unionByName(step.after.view().withColumn("phase", F.lit("add"))))
 
 
-@query(f"WITH {_evolving()} SELECT src, sum(cnt)::BIGINT AS degree, count(*) AS pairs, sum(((dst * 40503 + cnt * 7919) % 1000003) * cnt)::BIGINT AS multiset FROM ga GROUP BY src")
+@query(f"WITH {_evolving()} {_each('SELECT src, sum(cnt)::BIGINT AS degree, count(*) AS pairs, sum(((dst * 40503 + cnt * 7919) % 1000003) * cnt)::BIGINT AS multiset FROM g{c} GROUP BY src')}")
 def source_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.digests(topology.apply_batch(*_first_batch(spark, sf_dir)).after_add)
+    return _replayed(spark, sf_dir, lambda step, b, n: topology.digests(step.after.view()))
 
 
-@query(f"WITH {_evolving()} SELECT DISTINCT src FROM plan WHERE dels > 0 OR adds > 0")
+@query(f"WITH {_evolving()} {_each('SELECT DISTINCT src FROM p{b} WHERE dels > 0 OR adds > 0')}")
 def changed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch = _first_batch(spark, sf_dir)[1]
-    return topology.changed_sources(batch.where("op = 'd'"), batch.where("op = 'a'"))
+    return _replayed(spark, sf_dir, lambda step, b, n: topology.changed_sources(b.where("op = 'd'"), b.where("op = 'a'")))
 
 
-@query(f"WITH {_graph()} SELECT dst, src, cnt FROM g WHERE dst % 10 = 3")
+@query(f"WITH {_graph()} SELECT dst, src, cnt FROM g")
 def incoming_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.incoming(part_graph(spark, sf_dir), vertex_range(spark, vertex_count(spark, sf_dir)).where("v % 10 = 3"))
+    return topology.incoming(part_graph(spark, sf_dir), vertex_range(spark, vertex_count(spark, sf_dir)))
 
 
-@query(f"WITH {_evolving()} SELECT 0::BIGINT AS mismatches")
+@query(_each("SELECT 0::BIGINT AS mismatches"))
 def topology_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch applied by bag arithmetic against the interval log at the same epoch."""
-    initial, batches = evolving_graph(spark, sf_dir)
-    first = batches.where("batch_id = 0")
-    done = topology.apply_batch(initial, first.select("op", "src", "dst", "cnt"), vertex_count(spark, sf_dir))
-    log = topology.as_of(topology.dependency_log(initial, first), 1)
-    return topology.topology_mismatches(done.after_add, log).agg(F.count("*").alias("mismatches"))
+    """Each batch applied by bag arithmetic against the interval log of all batches at the same epoch."""
+    log = settled(topology.dependency_log(*evolving_graph(spark, sf_dir)))
+    epochs = iter(range(1, BATCHES + 1))
+    return _replayed(spark, sf_dir, lambda step, b, n: topology.topology_mismatches(step.after.view(), topology.as_of(log, next(epochs))).agg(F.count("*").alias("mismatches")))
 
 
-@query(f"""WITH {_evolving()} SELECT src, dst, 0::BIGINT AS born, 1::BIGINT AS retired, gone::BIGINT AS cnt FROM plan WHERE gone > 0
-UNION ALL SELECT src, dst, 0, 0, cnt FROM gd UNION ALL SELECT src, dst, 1, 0, cnt FROM adds""")
+@query(f"WITH {_evolving()} {_each('SELECT coalesce(x.src, y.src) AS src, coalesce(x.dst, y.dst) AS dst, coalesce(x.cnt, 0) - coalesce(y.cnt, 0) AS delta FROM g{c} x FULL JOIN m{b} y USING (src, dst) WHERE coalesce(x.cnt, 0) <> coalesce(y.cnt, 0)')}")
+def topology_audit_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph after each batch against one that lacks the batch's adds."""
+    return _replayed(spark, sf_dir, lambda step, b, n: topology.topology_mismatches(step.after.view(), step.mid.view()))
+
+
+def _log_sql() -> str:
+    """Occurrences by pair, the epochs at which they are born and retired; a delete takes those that were born last."""
+    out, live = "", "SELECT src, dst, 0::BIGINT AS born, cnt FROM g0"
+    for b in range(BATCHES):
+        out += f""", live{b} AS MATERIALIZED ({live}),
+cut{b} AS MATERIALIZED (SELECT l.src, l.dst, l.born, l.cnt, greatest(0, least(l.cnt, coalesce(p.gone, 0) - coalesce(sum(l.cnt) OVER (PARTITION BY l.src, l.dst ORDER BY l.born DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS gone
+  FROM live{b} l LEFT JOIN p{b} p USING (src, dst))"""
+        live = f"SELECT src, dst, born, cnt - gone AS cnt FROM cut{b} WHERE cnt > gone UNION ALL SELECT src, dst, {b + 1}, adds FROM p{b} WHERE adds > 0"
+    ended = " UNION ALL ".join(f"SELECT src, dst, born, {b + 1}::BIGINT AS retired, gone AS cnt FROM cut{b} WHERE gone > 0" for b in range(BATCHES))
+    return f"WITH {_evolving()}{out} {ended} UNION ALL SELECT src, dst, born, 0, cnt FROM ({live})"
+
+
+@query(_log_sql())
 def dependency_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    initial, batches = evolving_graph(spark, sf_dir)
-    return topology.dependency_log(initial, batches.where("batch_id = 0"))
+    return topology.dependency_log(*evolving_graph(spark, sf_dir))
 
 
 @query(f"WITH {_graph()} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, greatest(sum(cnt) FILTER (WHERE src <= dst), sum(cnt) FILTER (WHERE src > dst))::BIGINT AS cnt FROM g GROUP BY 1, 2")
@@ -239,17 +326,30 @@ def undirected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.undirected(part_graph(spark, sf_dir))
 
 
-@query(f"WITH {_evolving()} SELECT src, max(cnt)::BIGINT AS version, coalesce(any_value(d.degree), 0)::BIGINT AS degree FROM adds LEFT JOIN (SELECT src, sum(cnt) AS degree FROM ga GROUP BY src) d USING (src) GROUP BY src")
+def _undirected_sql() -> str:
+    pair = "SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM {} WHERE src <> dst AND {}"
+    out, have, parts = "", pair.format("g0", "true"), []
+    for b in range(BATCHES):
+        out += f", u{b} AS MATERIALIZED ({have}), ud{b} AS MATERIALIZED ({pair.format(f'p{b}', 'dels > 0')} INTERSECT SELECT * FROM u{b}), ua{b} AS MATERIALIZED ({pair.format(f'p{b}', 'adds > 0')} EXCEPT (SELECT * FROM u{b} EXCEPT SELECT * FROM ud{b}))"
+        have = f"(SELECT * FROM u{b} EXCEPT SELECT * FROM ud{b}) UNION SELECT * FROM ua{b}"
+        parts += [f"SELECT {b}::BIGINT AS batch_id, '{op}' AS op, {ends} FROM {t}{b}" for op, t in (("d", "ud"), ("a", "ua")) for ends in ("src, dst", "dst, src")]
+    return f"WITH {_evolving()}{out} {' UNION ALL '.join(parts)}"
+
+
+@query(_undirected_sql())
+def undirected_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.undirected_batches(*evolving_graph(spark, sf_dir))[1].drop("cnt")
+
+
+@query(f"WITH {_evolving()} {_each('SELECT src, max(adds)::BIGINT AS version, coalesce(any_value(d.degree), 0)::BIGINT AS degree FROM p{b} LEFT JOIN (SELECT src, sum(cnt) AS degree FROM g{c} GROUP BY src) d USING (src) WHERE adds > 0 GROUP BY src')}")
 def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, batch, n = _first_batch(spark, sf_dir)
-    degree = topology.apply_batch(edges, batch, n).after_add.groupBy("src").agg(F.sum("cnt").alias("degree"))
-    return topology.latest_versions(batch.where("op = 'a'").select("src", F.col("cnt").alias("version")), degree)
+    degree = lambda edges: edges.groupBy("src").agg(F.sum("cnt").alias("degree"))
+    return _replayed(spark, sf_dir, lambda step, b, n: topology.latest_versions(b.where("op = 'a'").select("src", F.col("cnt").alias("version")), degree(step.after.view())))
 
 
-@query(f"WITH {_evolving()} SELECT src, dst, init.cnt AS base_cnt, least(init.cnt, coalesce(ga.cnt, 0)) AS matched FROM init LEFT JOIN ga USING (src, dst)")
+@query(f"WITH {_evolving()} {_each('SELECT src, dst, x.cnt AS base_cnt, least(x.cnt, coalesce(y.cnt, 0)) AS matched FROM g{b} x LEFT JOIN g{c} y USING (src, dst)')}")
 def ordered_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, batch, n = _first_batch(spark, sf_dir)
-    return topology.ordered_survivors(edges, topology.apply_batch(edges, batch, n).after_add)
+    return _replayed(spark, sf_dir, lambda step, b, n: topology.ordered_survivors(step.before.view(), step.after.view()))
 
 
 @query(f"WITH {_graph()}, d AS (SELECT src, sum(cnt) AS degree FROM g GROUP BY src), p AS (SELECT src, sum(degree) OVER (ORDER BY src) - degree AS before, sum(degree) OVER () AS total FROM d) SELECT src AS v, floor(before * 16 / total)::INT AS segment FROM p")
@@ -257,7 +357,7 @@ def vertex_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.segments(part_graph(spark, sf_dir), 16)
 
 
-# -- incremental queries: both phases of the first batch ----------------------------------------
+# -- incremental queries: both phases of all batches ---------------------------------------------------
 
 
 def _both(done: repair.Repaired, column: str) -> DataFrame:
@@ -265,439 +365,379 @@ def _both(done: repair.Repaired, column: str) -> DataFrame:
     return one.select("phase", "v", F.col("value").alias(column))
 
 
-def _incremental(spark: SparkSession, sf_dir: str, program: MinProgram) -> repair.Repaired:
-    edges, batch, n = _first_batch(spark, sf_dir, program is MIN_LABEL)
-    edges, batch = settled(edges), settled(batch)
-    return repair.update(edges, solve(edges, program, n, ROOT), batch, program, n)
+def _repaired(spark: SparkSession, sf_dir: str, program: MinProgram, column: str, **how: int) -> DataFrame:
+    store, batches, n = _batches(spark, sf_dir)
+    state, parts = solve(store.base, program, n, ROOT, small=how.get("small")), []
+    for b, batch in batches:
+        done = repair.update(store, state, batch, program, n, **how)
+        parts.append((b, _both(done, column)))
+        store, state = done.store, done.state
+    return _by_batch(parts)
 
 
-def _both_sql(program: str, column: str, extra: str = "true") -> str:
-    return f"WITH RECURSIVE {_evolving(extra)}, {_min_sql('a', 'gd', program)}, {_min_sql('b', 'ga', program)} SELECT 'delete' AS phase, v, value AS {column} FROM a UNION ALL SELECT 'add', v, value FROM b"
+def _both_sql(program: str, column: str) -> str:
+    states = ", ".join(f"{_min_sql(f'x{b}', f'm{b}', program)}, {_min_sql(f'y{b}', f'g{b + 1}', program)}" for b in range(BATCHES))
+    return f"WITH RECURSIVE {_evolving()}, {states} " + _each(f"SELECT 'delete' AS phase, v, value AS {column} FROM x{{b}} UNION ALL SELECT 'add', v, value FROM y{{b}}")
 
 
 @query(_both_sql("bfs", "hops"))
 def bfs_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both(_incremental(spark, sf_dir, BFS), "hops")
+    return _repaired(spark, sf_dir, BFS, "hops")
 
 
 @query(_both_sql("sssp", "dist"))
 def sssp_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both(_incremental(spark, sf_dir, SSSP), "dist")
+    return _repaired(spark, sf_dir, SSSP, "dist")
 
 
-@query(_both_sql("label", "label", _SPARSE))
+@query(_both_sql("label", "label"))
 def min_label_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both(_incremental(spark, sf_dir, MIN_LABEL), "label")
+    return _repaired(spark, sf_dir, MIN_LABEL, "label")
 
 
-@query(f"WITH RECURSIVE {_evolving()}, {_min_sql('b', 'ga', 'sssp')} SELECT v, value AS dist FROM b")
+@query(f"WITH RECURSIVE {_evolving()}, {', '.join(_min_sql(f'y{b}', f'g{b + 1}', 'sssp') for b in range(BATCHES))} {_each('SELECT v, value AS dist FROM y{b}')}")
 def sssp_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, batch, n = _first_batch(spark, sf_dir)
-    edges, batch = settled(edges), settled(batch)
-    return repair.final_state_update(edges, solve(edges, SSSP, n, ROOT), batch, SSSP, n).select("v", F.col("value").alias("dist"))
-
-
-@query(f"WITH RECURSIVE {_evolving()}, {_RANKS.format(g='ga', n=120)} SELECT v, round(rank, 3) AS rank FROM r WHERE i = 120")
-def pagerank_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, batch, n = _first_batch(spark, sf_dir)
-    edges, batch = settled(edges), settled(batch)
-    return pagerank.update_pagerank(edges, pagerank.pagerank(edges, n, 1e-7), batch, n, 1e-7)[1].select("v", F.round("rank", 3).alias("rank"))
-
-
-# -- analytics ----------------------------------------------------------------------------------
-
-_HITS = f"""WITH {_LINES}, hits AS MATERIALIZED (SELECT src AS v, (year - 1990)::BIGINT AS batch_id, count(*)::BIGINT AS hits FROM lines GROUP BY 1, 2),
-score AS MATERIALIZED (SELECT v, batch_id, sum(hits % 256) OVER (PARTITION BY v ORDER BY batch_id RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)::BIGINT AS score FROM hits)"""
-
-
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_lines(spark, sf_dir).groupBy(F.col("src").alias("v"), (F.col("year") - 1990).alias("batch_id")).agg(F.count("*").alias("hits"))
-
-
-@query(f"{_HITS} SELECT * FROM score")
-def activity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.activity(_hits(spark, sf_dir))
+    store, batches, n = _batches(spark, sf_dir)
+    state, parts = solve(store.base, SSSP, n, ROOT), []
+    for b, batch in batches:
+        done = repair.final_state_update(store, state, batch, SSSP, n)
+        parts.append((b, done.state.select("v", F.col("value").alias("dist"))))
+        store, state = done.store, done.state
+    return _by_batch(parts)
 
 
-_ADMITTED = """, last AS (SELECT v, score FROM score WHERE batch_id = {b}), deg AS (SELECT src AS v, count(*)::BIGINT AS degree FROM lines {w} GROUP BY src),
-adm AS (SELECT v, score, degree, (sum(degree) OVER (ORDER BY score DESC, v) - degree)::BIGINT AS before FROM last JOIN deg USING (v))"""
+def _ranks_sql(b: int) -> str:
+    return _RANKS.format(g=f"g{b + 1}", n=120).replace("links", f"links{b}").replace("r(i, v", f"r{b}(i, v").replace("FROM r ", f"FROM r{b} r ")
 
 
-@query(f"{_HITS}{_ADMITTED.format(b=9, w='')} SELECT * FROM adm WHERE before + degree < {CAPACITY}")
-def cache_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = analytics.activity(_hits(spark, sf_dir)).where("batch_id = 9").select("v", "score")
-    degree = part_graph(spark, sf_dir).groupBy(F.col("src").alias("v")).agg(F.sum("cnt").alias("degree"))
-    return analytics.admission(score, degree, CAPACITY)
+_RANKED = f"WITH RECURSIVE {_evolving()}, {', '.join(_ranks_sql(b) for b in range(BATCHES))} {_each('SELECT v, round(rank, 3) AS rank FROM r{b} WHERE i = 120')}"
 
 
-def _admitted_years(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    initial, batches = evolving_graph(spark, sf_dir)
-    scores = settled(analytics.activity(_hits(spark, sf_dir)))
-    later = topology.merge_counts(initial, batches.where("batch_id = 0 and op = 'a'"))
-    out = []
-    for b, edges in ((8, initial), (9, later)):
-        degree = edges.groupBy(F.col("src").alias("v")).agg(F.sum("cnt").alias("degree"))
-        out.append(analytics.admission(scores.where(F.col("batch_id") == b).select("v", "score"), degree, CAPACITY))
-    return out[0], out[1]
-
-
-@query(f"""{_HITS}, a AS (SELECT v, degree FROM (SELECT v, degree, sum(degree) OVER (ORDER BY score DESC, v) AS s FROM (SELECT v, score FROM score WHERE batch_id = 8) JOIN (SELECT src AS v, count(*) AS degree FROM lines WHERE year <= 1998 GROUP BY src) USING (v)) WHERE s < {CAPACITY}),
-b AS (SELECT v, degree FROM (SELECT v, degree, sum(degree) OVER (ORDER BY score DESC, v) AS s FROM (SELECT v, score FROM score WHERE batch_id = 9) JOIN (SELECT src AS v, count(*) AS degree FROM lines WHERE year <= 1999 GROUP BY src) USING (v)) WHERE s < {CAPACITY})
-SELECT count(*) FILTER (WHERE a.v IS NULL) AS admitted, count(*) FILTER (WHERE b.v IS NULL) AS evicted, count(*) FILTER (WHERE a.degree <> b.degree) AS degree_changed, count(*) FILTER (WHERE a.degree = b.degree) AS kept,
-coalesce(sum(b.degree) FILTER (WHERE a.v IS NULL OR a.degree <> b.degree), 0)::BIGINT AS patch_edges FROM a FULL JOIN b ON a.v = b.v""")
-def cache_patch_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.cache_diff(*_admitted_years(spark, sf_dir))
+def _reranked(spark: SparkSession, sf_dir: str, small: int | None = None) -> DataFrame:
+    store, batches, n = _batches(spark, sf_dir)
+    state, parts = pagerank.pagerank(store.base, n, 1e-9, 200, small=small), []
+    for b, batch in batches:
+        done = pagerank.update_pagerank(store, state, batch, n, 1e-9, 200, small=small)
+        parts.append((b, done.state.select("v", F.round("rank", 3).alias("rank"))))
+        store, state = done.store, done.state
+    return _by_batch(parts)
 
 
-@query("SELECT true AS first, true AS other, false AS same")
-def cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _admitted_years(spark, sf_dir)
-    a, b = settled(a), settled(b)
-    return spark.createDataFrame([(analytics.needs_refresh(None, a), analytics.needs_refresh(a, b), analytics.needs_refresh(a, a))], "first boolean, other boolean, same boolean")
+@query(_RANKED)
+def pagerank_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reranked(spark, sf_dir)
 
 
-@query(f"WITH {_graph()} SELECT src, dst, cnt, src % 4 = 1 AS internal FROM g WHERE dst % 4 = 1")
-def boundary_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.region_edges(part_graph(spark, sf_dir), vertex_range(spark, vertex_count(spark, sf_dir)).where("v % 4 = 1"))
+# -- the same by the distributed rounds, whatever the size of the graph -----------------------------------
 
 
-@query(f"""WITH RECURSIVE {_graph('WHERE ' + _SPARSE)}, {_min_sql('s', 'g', 'bfs')} SELECT sum(cnt)::BIGINT AS incoming, sum(cnt) FILTER (WHERE src % 4 = 1)::BIGINT AS internal, sum(cnt) FILTER (WHERE src % 4 <> 1)::BIGINT AS boundary,
-count(DISTINCT src) FILTER (WHERE src % 4 <> 1) AS boundary_sources, coalesce(sum(cnt) FILTER (WHERE src % 4 <> 1 AND s.v IS NOT NULL), 0)::BIGINT AS finite_boundary, count(DISTINCT dst) FILTER (WHERE src % 4 <> 1 AND s.v IS NOT NULL) AS seeds FROM g LEFT JOIN s ON s.v = g.src WHERE dst % 4 = 1""")
-def region_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, n = settled(sparse_graph(spark, sf_dir)), vertex_count(spark, sf_dir)
-    return analytics.region_report(edges, vertex_range(spark, n).where("v % 4 = 1"), solve(edges, BFS, n, ROOT))
+@query(ORACLE_SQL["bfs_levels"])
+def bfs_levels_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = vertex_count(spark, sf_dir)
+    return solve(settled(part_graph(spark, sf_dir)), BFS, n, ROOT, small=-1).withColumnRenamed("value", "hops")
 
 
-@query(f"WITH {_graph('WHERE ' + _SPARSE)} SELECT v, row_number() OVER (ORDER BY v) - 1 AS local FROM (SELECT src AS v FROM g UNION SELECT dst FROM g)")
-def local_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = sparse_graph(spark, sf_dir)
-    return analytics.local_ids(edges.select(F.col("src").alias("v")).union(edges.select("dst")))
+@query(ORACLE_SQL["sssp_dist"])
+def sssp_dist_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = vertex_count(spark, sf_dir)
+    return solve(settled(part_graph(spark, sf_dir)), SSSP, n, ROOT, small=-1).withColumnRenamed("value", "dist")
 
 
-@query()
-def ratio_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.ratio_pools(part_graph(spark, sf_dir), 500)
+@query(ORACLE_SQL["min_label"])
+def min_label_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = vertex_count(spark, sf_dir)
+    return solve(settled(part_graph(spark, sf_dir)), MIN_LABEL, n, ROOT, small=-1).select("v", F.col("value").alias("label"))
 
 
-_WEAK = """both_ways AS MATERIALIZED (SELECT src, dst FROM g UNION SELECT dst, src FROM g),
-wcc(v, c) USING KEY (v) AS (SELECT v, v AS c FROM verts UNION SELECT e.dst, min(w.c)::BIGINT FROM wcc w JOIN both_ways e ON e.src = w.v LEFT JOIN recurring.wcc r ON r.v = e.dst WHERE r.c > w.c GROUP BY e.dst)"""
+@query(ORACLE_SQL["pagerank_residual"])
+def pagerank_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = settled(part_graph(spark, sf_dir))
+    return pagerank.pagerank(edges, vertex_count(spark, sf_dir), 1e-9, 200, small=-1).select("v", F.round("rank", 3).alias("rank"))
 
 
-@query(f"WITH RECURSIVE {_graph('WHERE ' + _SPARSE)}, {_WEAK} SELECT v, c AS component FROM wcc")
-def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(vertex_range(spark, vertex_count(spark, sf_dir)), settled(sparse_graph(spark, sf_dir)))
+@query(ORACLE_SQL["sssp_after_batch"])
+def sssp_after_batch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir, SSSP, "dist", small=-1)
 
 
-@query()
-def majority_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.majority_component(weak_components_whole(spark, sf_dir))
+@query(ORACLE_SQL["bfs_after_batch"])
+def bfs_after_batch_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds ordered by ranges of two hops."""
+    return _repaired(spark, sf_dir, BFS, "hops", small=-1, bucket=2)
 
 
-_STRONG = """reach(a, b) AS (SELECT v, v FROM verts UNION SELECT a, dst FROM reach JOIN g ON g.src = b),
-scc AS MATERIALIZED (SELECT x.a AS v, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"""
+@query(ORACLE_SQL["min_label_after_batch"])
+def min_label_after_batch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir, MIN_LABEL, "label", small=-1)
 
 
-@query(f"WITH RECURSIVE {_graph('WHERE quantity >= 49')}, {_STRONG} SELECT * FROM scc")
-def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.strong_components(vertex_range(spark, vertex_count(spark, sf_dir)), _tight_graph(spark, sf_dir))
+@query(ORACLE_SQL["pagerank_after_batch"])
+def pagerank_after_batch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reranked(spark, sf_dir, small=-1)
 
 
-def _tight_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(order_lines(spark, sf_dir).where("quantity >= 49").groupBy("src", "dst").agg(F.count("*").alias("cnt")))
+# -- analytics ----------------------------------------------------------------------------------
 
+_HITS = f"""WITH {_LINES}, hits AS MATERIALIZED (SELECT src AS v, (year - 1990)::BIGINT AS batch_id, count(*)::BIGINT AS hits FROM lines GROUP BY 1, 2),
+score AS MATERIALIZED (SELECT v, batch_id, sum(hits % 256) OVER (PARTITION BY v ORDER BY batch_id RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)::BIGINT AS score FROM hits)"""
 
-@query(f"""WITH RECURSIVE {_graph('WHERE quantity >= 49')}, {_STRONG},
-dag AS MATERIALIZED (SELECT DISTINCT a.component AS src, b.component AS dst FROM g JOIN scc a ON a.v = g.src JOIN scc b ON b.v = g.dst WHERE a.component <> b.component),
-lv(v, level) USING KEY (v) AS (SELECT DISTINCT component, 0::BIGINT FROM scc UNION SELECT d.dst, max(l.level + 1)::BIGINT FROM lv l JOIN dag d ON d.src = l.v LEFT JOIN recurring.lv r ON r.v = d.dst WHERE r.level < l.level + 1 GROUP BY d.dst)
-SELECT v, level FROM lv""")
-def critical_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _tight_graph(spark, sf_dir)
-    components = settled(regions.strong_components(vertex_range(spark, vertex_count(spark, sf_dir)), edges))
-    return regions.levels(components.select(F.col("component").alias("v")).distinct(), settled(regions.condensation(edges, components)))
 
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_lines(spark, sf_dir).groupBy(F.col("src").alias("v"), (F.col("year") - 1990).alias("batch_id")).agg(F.count("*").alias("hits"))
 
-@query("""WITH c AS (SELECT o_orderpriority AS name, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::DOUBLE AS cpu_edges, count(*)::DOUBLE AS gpu_edges, count(DISTINCT o_custkey)::DOUBLE AS events, bool_or(o_totalprice > 0) AS eligible FROM orders GROUP BY 1),
-t AS (SELECT name, greatest(cpu_edges / 100.0, gpu_edges / 1000.0) + events / 50.0 + 1.0 + 2.0 AS cost FROM c WHERE eligible) SELECT min_by(name, (cost, name)) AS chosen, min(cost) AS cost FROM t""")
-def owner_cost_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    rows = orders.groupBy(F.col("o_orderpriority").alias("name")).agg(
-        F.sum((F.col("o_orderstatus") == "F").cast("double")).alias("cpu_edges"), F.count("*").cast("double").alias("gpu_edges"), F.count_distinct("o_custkey").cast("double").alias("events"), F.max(F.col("o_totalprice") > 0).alias("eligible"))
-    rows = rows.select("*", F.lit(1.0).alias("dependency_ns"), F.lit(0.0).alias("topology_ns"), F.lit(2.0).alias("placement_ns"), F.lit(0.0).alias("migration_ns"))
-    return analytics.choose_plan(analytics.plan_costs(rows, {"cpu": 100.0, "gpu": 1000.0, "events": 50.0}))
 
+@query(f"{_HITS} SELECT * FROM score")
+def activity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.activity(_hits(spark, sf_dir))
 
-@query("SELECT l_returnflag AS kind, round(exp(avg(ln(l_extendedprice / l_quantity))), 4) AS geometric_mean, round(median(l_extendedprice / l_quantity), 4) AS median, round(avg(l_extendedprice / l_quantity), 4) AS mean FROM lineitem WHERE l_extendedprice / l_quantity > 0 GROUP BY 1")
-def ratio_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("kind"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("ratio"))
-    out = analytics.geometric_mean(lines, "ratio", "kind")
-    return out.select("kind", *[F.round(c, 4).alias(c) for c in ("geometric_mean", "median", "mean")])
 
+_ADMITTED = """, deg{c} AS (SELECT src AS v, sum(cnt)::BIGINT AS degree FROM g{c} GROUP BY src),
+adm{c} AS MATERIALIZED (SELECT v, score, degree, before FROM (SELECT v, score, degree, (sum(degree) OVER (ORDER BY score DESC, v) - degree)::BIGINT AS before FROM score JOIN deg{c} USING (v) WHERE batch_id = {y}) WHERE before + degree < """ + f"{CAPACITY})"
+_ADMITS = f"{_HITS}, {_evolving().removeprefix(_LINES + ', ')}" + "".join(_ADMITTED.format(c=c, y=c + 8) for c in range(BATCHES + 1))
 
-@query("WITH " + _LINES + " SELECT src, dst, ((src + dst) % 128 + 1)::BIGINT AS weight FROM (SELECT DISTINCT src, dst FROM lines)")
-def endpoint_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part_graph(spark, sf_dir).select("src", "dst", endpoint_weight(F.col("src"), F.col("dst")).alias("weight"))
 
+def _admitted(spark: SparkSession, sf_dir: str) -> list[tuple[int, DataFrame]]:
+    """(batch_id, what is admitted after it), with -1 for the initial graph; the hits of batch b are those of its year."""
+    store, batches, n = _batches(spark, sf_dir)
+    scores, out = settled(analytics.activity(_hits(spark, sf_dir))), []
+    for b, batch in [(-1, None), *batches]:
+        store = store if batch is None else store.apply(batch, n).after
+        degree = store.view().groupBy(F.col("src").alias("v")).agg(F.sum("cnt").alias("degree"))
+        out.append((b, settled(analytics.admission(scores.where(F.col("batch_id") == b + 9).select("v", "score"), degree, CAPACITY))))
+    return out
 
-@query("SELECT p_partkey AS v, (p_partkey + 1)::BIGINT AS next FROM part WHERE p_partkey < (SELECT max(p_partkey) FROM part)")
-def chain_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.chain(spark, vertex_count(spark, sf_dir)).select(F.col("src").alias("v"), F.col("dst").alias("next"))
 
+@query(_ADMITS + " " + " UNION ALL ".join(f"SELECT {c - 1}::BIGINT AS batch_id, * FROM adm{c}" for c in range(BATCHES + 1)))
+def cache_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_batch(_admitted(spark, sf_dir))
 
-@query("SELECT 250::BIGINT AS adds, 250::BIGINT AS deletes, 0::BIGINT AS missing_deletes, 500::BIGINT AS updates")
-def update_stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    initial, updates = generate.update_stream(part_graph(spark, sf_dir), 100, 5)
-    return generate.verify_stream(settled(initial), settled(updates))
 
+@query(_ADMITS + " " + _each("""SELECT count(*) FILTER (WHERE a.v IS NULL) AS admitted, count(*) FILTER (WHERE b.v IS NULL) AS evicted, count(*) FILTER (WHERE a.degree <> b.degree) AS degree_changed, count(*) FILTER (WHERE a.degree = b.degree) AS kept,
+coalesce(sum(b.degree) FILTER (WHERE a.v IS NULL OR a.degree <> b.degree), 0)::BIGINT AS patch_edges, (4 * coalesce(sum(b.degree) FILTER (WHERE a.v IS NULL OR a.degree <> b.degree), 0))::BIGINT AS patch_bytes FROM adm{b} a FULL JOIN adm{c} b ON a.v = b.v"""))
+def cache_patch_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _admitted(spark, sf_dir)
+    return _by_batch([(b, analytics.cache_diff(old, new)) for (_, old), (b, new) in zip(kept, kept[1:])])
 
-@query()
-def rmat_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = generate.rmat(spark, 12, 50_000).groupBy("src", "dst").agg(F.count("*").alias("cnt"))
-    return analytics.degree_histogram(analytics.degrees(edges, 1 << 12))
 
+@query(_ADMITS + " " + _each("SELECT (SELECT count(*) FROM adm{b}) <> (SELECT count(*) FROM adm{c}) OR EXISTS (SELECT v FROM adm{c} EXCEPT SELECT v FROM adm{b}) AS refresh, false AS same"))
+def cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _admitted(spark, sf_dir)
+    rows = [(b, analytics.needs_refresh(old, new), analytics.needs_refresh(new, new)) for (_, old), (b, new) in zip(kept, kept[1:])]
+    return spark.createDataFrame(rows, "batch_id bigint, refresh boolean, same boolean")
 
-@query()
-def splitmix_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vertex_range(spark, vertex_count(spark, sf_dir)).select("v", splitmix64(F.col("v")).alias("rank"))
 
+CAPACITIES = [0, 1_000, 5_000, 20_000, 1_000_000]
 
-@query(f"WITH RECURSIVE {_graph('WHERE ' + _SPARSE)}, {_min_sql('s', 'g', 'bfs')} SELECT verts.v, coalesce(value::VARCHAR, 'INF') AS distance FROM verts LEFT JOIN s ON s.v = verts.v")
-def exported_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = vertex_count(spark, sf_dir)
-    state = all_vertices(solve(settled(sparse_graph(spark, sf_dir)), BFS, n, ROOT), n)
-    return state.select("v", F.coalesce(F.col("value").cast("string"), F.lit("INF")).alias("distance"))
 
+@query(f"""{_HITS}, deg AS (SELECT src AS v, count(*)::BIGINT AS degree FROM lines GROUP BY src), c AS (SELECT unnest({CAPACITIES})::BIGINT AS capacity),
+t AS (SELECT v, CASE WHEN batch_id = 11 THEN score ELSE score / 2 END::BIGINT AS score FROM score WHERE batch_id >= 10 AND (batch_id = 11 OR v NOT IN (SELECT v FROM score WHERE batch_id = 11))),
+r AS (SELECT sum(degree) OVER (ORDER BY score DESC, v) AS upto FROM t JOIN deg USING (v) WHERE score > 0)
+SELECT capacity, count(upto) AS candidates FROM c LEFT JOIN r ON upto < capacity GROUP BY capacity""")
+def score_index_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the scores of one batch, then the next batch's scores in their place; how many candidates fit several capacities."""
+    scores = settled(analytics.activity(_hits(spark, sf_dir)))
+    degree = part_graph(spark, sf_dir).groupBy(F.col("src").alias("v")).agg(F.sum("cnt").alias("degree"))
+    rows = lambda b, score: scores.where(F.col("batch_id") == b).join(degree, "v").select("v", score.cast("long").alias("score"), "degree")
+    now = analytics.rescored(rows(10, F.floor(F.col("score") / 2)), rows(11, F.col("score")))
+    return analytics.prefix_counts(now, CAPACITIES)
 
 
-# -- the same on all lines: the queries above with _SPARSE or quantity >= 49 keep their SQL and its filter ------
+@query(f"""WITH RECURSIVE {_HITS.removeprefix('WITH ')}, g AS MATERIALIZED ({_BAG.format('')}), {_min_sql('s', 'g', 'bfs')}
+SELECT x.v, CASE WHEN s.value <= 1 THEN score ELSE 0 END::BIGINT AS score FROM score x LEFT JOIN s ON s.v = x.v WHERE batch_id = 11""")
+def masked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last batch's scores of what the root reaches in one hop; the others' are 0."""
+    _, state, _ = _solved(spark, sf_dir, BFS)
+    return analytics.masked(analytics.activity(_hits(spark, sf_dir)).where("batch_id = 11"), state.where("value <= 1"))
 
 
-@query(f"WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'label')} SELECT v, value AS label FROM s")
-def min_label_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = solve(settled(part_graph(spark, sf_dir)), MIN_LABEL, vertex_count(spark, sf_dir), ROOT)
-    return state.select("v", F.col("value").alias("label"))
+REGIONS = 4
 
 
-@query("SELECT 0::BIGINT AS wrong")
-def min_label_check_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, edges = vertex_count(spark, sf_dir), settled(part_graph(spark, sf_dir))
-    return checks.label_check(edges, solve(edges, MIN_LABEL, n, ROOT), n).agg(F.count("*").alias("wrong"))
+@query(f"WITH {_graph()} SELECT dst % {REGIONS} AS region, src, dst, cnt, src % {REGIONS} = dst % {REGIONS} AS internal FROM g")
+def boundary_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.partition_edges(part_graph(spark, sf_dir), _regions(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'bfs')} SELECT count(*) AS reachable FROM s")
-def reachable_count_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.reachable_count(_solved(spark, sf_dir, BFS)[1])
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertex_range(spark, vertex_count(spark, sf_dir)).select("v", (F.col("v") % REGIONS).alias("region"))
 
 
-@query(f"WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'bfs')} SELECT verts.v, coalesce(value::VARCHAR, 'INF') AS distance FROM verts LEFT JOIN s ON s.v = verts.v")
-def exported_distances_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, state, n = _solved(spark, sf_dir, BFS)
-    return all_vertices(state, n).select("v", F.coalesce(F.col("value").cast("string"), F.lit("INF")).alias("distance"))
+@query(f"""WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'bfs')}, e AS (SELECT g.*, dst % {REGIONS} AS region, src % {REGIONS} = dst % {REGIONS} AS internal, s.v IS NOT NULL AS ok FROM g LEFT JOIN s ON s.v = g.src)
+SELECT region, sum(cnt)::BIGINT AS incoming, coalesce(sum(cnt) FILTER (WHERE internal), 0)::BIGINT AS internal, coalesce(sum(cnt) FILTER (WHERE NOT internal), 0)::BIGINT AS boundary, count(DISTINCT src) FILTER (WHERE NOT internal) AS boundary_sources,
+coalesce(sum(cnt) FILTER (WHERE NOT internal AND ok), 0)::BIGINT AS finite_boundary, count(DISTINCT dst) FILTER (WHERE NOT internal AND ok) AS seeds FROM e GROUP BY region""")
+def region_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, state, _ = _solved(spark, sf_dir, BFS)
+    return analytics.partition_report(edges, _regions(spark, sf_dir), state)
 
 
 @query(f"WITH {_graph()} SELECT v, row_number() OVER (ORDER BY v) - 1 AS local FROM (SELECT src AS v FROM g UNION SELECT dst FROM g)")
-def local_ids_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def local_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = part_graph(spark, sf_dir)
     return analytics.local_ids(edges.select(F.col("src").alias("v")).union(edges.select("dst")))
 
 
-@query(f"WITH RECURSIVE {_graph()}, {_WEAK} SELECT v, c AS component FROM wcc")
-def weak_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(vertex_range(spark, vertex_count(spark, sf_dir)), settled(part_graph(spark, sf_dir)))
-
-
-@query()
-def strong_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.strong_components(vertex_range(spark, vertex_count(spark, sf_dir)), settled(part_graph(spark, sf_dir)))
-
-
-@query()
-def critical_levels_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = settled(part_graph(spark, sf_dir))
-    components = settled(regions.strong_components(vertex_range(spark, vertex_count(spark, sf_dir)), edges))
-    return regions.levels(components.select(F.col("component").alias("v")).distinct(), settled(regions.condensation(edges, components)))
-
-
-# -- all batches in order, each from the state of the one before; the queries of the first batch keep their SQL ---
+def _wide(x: str, sign: str, b: int) -> str:
+    return f"((({x})::UHUGEINT {sign} {b}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
 
-Each = Callable[[DataFrame, DataFrame, topology.Applied, int], DataFrame]
 
+def _splitmix_sql(x: str) -> str:
+    """SplitMix64 of an unsigned 64-bit expression."""
+    z = _wide(x, "+", 0x9E3779B97F4A7C15)
+    z = _wide(f"xor({z}, {z} >> 30)", "*", 0xBF58476D1CE4E5B9)
+    z = _wide(f"xor({z}, {z} >> 27)", "*", 0x94D049BB133111EB)
+    return f"xor({z}, {z} >> 31)"
 
-def _batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[int, DataFrame]], int]:
-    initial, batches = evolving_graph(spark, sf_dir)
-    batches = settled(batches)
-    ids = sorted(r.batch_id for r in batches.select("batch_id").distinct().collect())
-    return settled(initial), [(b, batches.where(F.col("batch_id") == b).select("op", "src", "dst", "cnt")) for b in ids], vertex_count(spark, sf_dir)
-
-
-def _by_batch(parts: list[tuple[int, DataFrame]]) -> DataFrame:
-    out = [x.select(F.lit(b).cast("long").alias("batch_id"), "*") for b, x in parts]
-    for more in out[1:]:
-        out[0] = out[0].unionByName(more)
-    return out[0]
 
+POOL, POOL_SEED = 500, 1
 
-def _replayed(spark: SparkSession, sf_dir: str, each: Each) -> DataFrame:
-    """The rows of ``each`` (edges before, batch, outcome, n) of every batch."""
-    edges, batches, n = _batches(spark, sf_dir)
-    parts = []
-    for b, batch in batches:
-        done = topology.apply_batch(edges, batch, n)
-        parts.append((b, each(edges, batch, done, n)))
-        edges = settled(done.after_add)
-    return _by_batch(parts)
-
-
-@query()
-def metrics_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replayed(spark, sf_dir, lambda e, b, done, n: done.metrics.join(F.broadcast(done.after_add.agg(F.sum("cnt").alias("graph_edges")))))
-
-
-@query()
-def delta_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replayed(spark, sf_dir, lambda e, b, done, n: done.effective)
 
-
-@query()
-def missing_deletes_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replayed(spark, sf_dir, lambda e, b, done, n: topology.planned(e, b, n).select("src", "dst", (F.col("dels") - F.col("gone")).alias("missing")).where("missing > 0"))
-
-
-@query()
-def edges_after_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replayed(spark, sf_dir, lambda e, b, done, n: done.after_delete.withColumn("phase", F.lit("delete")).unionByName(done.after_add.withColumn("phase", F.lit("add"))))
-
-
-@query()
-def digests_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replayed(spark, sf_dir, lambda e, b, done, n: topology.digests(done.after_add))
+@query(f"""WITH {_evolving()}, n AS (SELECT src, dst, g3.cnt, coalesce(x.cnt, 0) AS base_cnt, sum(g3.cnt) OVER (ORDER BY src, dst) - g3.cnt AS before FROM g3 LEFT JOIN (SELECT src, dst, least(g0.cnt, y.cnt) AS cnt FROM g0 JOIN g3 y USING (src, dst)) x USING (src, dst)),
+o AS (SELECT src, dst, base_cnt, (before + i)::BIGINT AS occ, i < base_cnt AS in_base FROM (SELECT *, unnest(range(0, cnt)) AS i FROM n)),
+h AS MATERIALIZED (SELECT *, {_splitmix_sql(f"xor(occ::UBIGINT, {POOL_SEED}::UBIGINT)")} AS u FROM o),
+d AS (SELECT * FROM h WHERE in_base ORDER BY u, occ LIMIT {POOL}),
+i AS (SELECT * FROM (SELECT * FROM h WHERE NOT in_base ORDER BY u, occ LIMIT {2 * POOL}) WHERE base_cnt = 0 QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY u, occ) = 1 ORDER BY u, occ LIMIT {POOL}),
+b AS (SELECT src, sum(base_cnt)::BIGINT AS degree FROM n GROUP BY src)
+SELECT pool, src, dst, occ, base_cnt AS multiplicity, coalesce(degree, 0) AS degree FROM (SELECT 'delete' AS pool, * FROM d UNION ALL SELECT 'insert', * FROM i) LEFT JOIN b USING (src)""")
+def ratio_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletes of what is left of the initial graph after all batches, and inserts that it did not have."""
+    store, batches, n = _batches(spark, sf_dir)
+    first = store
+    for _, batch in batches:
+        store = store.apply(batch, n).after
+    source = settled(store.view())
+    left = first.view().withColumnRenamed("cnt", "c").join(source, ["src", "dst"]).select("src", "dst", F.least("c", "cnt").alias("cnt"))
+    return analytics.ratio_pools(source, settled(left), POOL, POOL_SEED)
 
 
-@query()
-def changed_sources_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replayed(spark, sf_dir, lambda e, b, done, n: topology.changed_sources(b.where("op = 'd'"), b.where("op = 'a'")))
+_WEAK = """both_ways AS MATERIALIZED (SELECT src, dst FROM g UNION SELECT dst, src FROM g),
+wcc(v, c) USING KEY (v) AS (SELECT v, v AS c FROM verts UNION SELECT e.dst, min(w.c)::BIGINT FROM wcc w JOIN both_ways e ON e.src = w.v LEFT JOIN recurring.wcc r ON r.v = e.dst WHERE r.c > w.c GROUP BY e.dst)"""
 
 
-@query()
-def latest_versions_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    degree = lambda edges: edges.groupBy("src").agg(F.sum("cnt").alias("degree"))
-    return _replayed(spark, sf_dir, lambda e, b, done, n: topology.latest_versions(b.where("op = 'a'").select("src", F.col("cnt").alias("version")), degree(done.after_add)))
+@query(f"WITH RECURSIVE {_graph()}, {_WEAK} SELECT v, c AS component FROM wcc")
+def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected_components(vertex_range(spark, vertex_count(spark, sf_dir)), settled(part_graph(spark, sf_dir)), small=LOCAL_PAIRS)
 
 
-@query()
-def survivors_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replayed(spark, sf_dir, lambda e, b, done, n: topology.ordered_survivors(e, done.after_add))
+@query(ORACLE_SQL["weak_components"])
+def weak_components_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected_components(vertex_range(spark, vertex_count(spark, sf_dir)), settled(part_graph(spark, sf_dir)))
 
 
-@query()
-def dependency_log_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.dependency_log(*evolving_graph(spark, sf_dir))
+def _weak_after_sql() -> str:
+    parts = [_WEAK.replace("both_ways", f"b{b}").replace("FROM g", f"FROM g{b + 1}").replace("wcc", f"w{b}") for b in range(BATCHES)]
+    return f"WITH RECURSIVE {_evolving()}, {', '.join(parts)} {_each('SELECT v, c AS component FROM w{b}')}"
 
 
-@query()
-def topology_audit_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each batch applied by bag arithmetic against the interval log of all batches at the same epoch."""
-    edges, batches, n = _batches(spark, sf_dir)
-    log = settled(dependency_log_every_batch(spark, sf_dir))
-    parts = []
+@query(_weak_after_sql())
+def weak_components_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components repaired after each batch: those that lost an edge are joined again, those that new edges connect are merged."""
+    store, batches, n = _batches(spark, sf_dir)
+    labels, parts = settled(connected_components(vertex_range(spark, n), store.pairs(n), small=LOCAL_PAIRS)), []
     for b, batch in batches:
-        edges = settled(topology.apply_batch(edges, batch, n).after_add)
-        parts.append((b, topology.topology_mismatches(edges, topology.as_of(log, b + 1)).agg(F.count("*").alias("mismatches"))))
+        step = store.apply(batch, n)
+        labels = settled(repair_components(labels, step.after.pairs(n), step.lost(), step.gained(n), small=LOCAL_PAIRS))
+        parts.append((b, labels))
+        store = step.after
     return _by_batch(parts)
 
 
-def _repaired(spark: SparkSession, sf_dir: str, program: MinProgram, column: str) -> DataFrame:
-    edges, batches, n = _batches(spark, sf_dir)
-    state, parts = solve(edges, program, n, ROOT), []
-    for b, batch in batches:
-        done = repair.update(edges, state, batch, program, n)
-        parts.append((b, _both(done, column)))
-        edges, state = done.edges, done.state
-    return _by_batch(parts)
+@query(f"""WITH RECURSIVE {_graph()}, {_WEAK}, h AS (SELECT v, c, {_splitmix_sql("xor(v::UBIGINT, 1::UBIGINT)")} AS u FROM wcc)
+SELECT c AS component, count(*) AS votes FROM (SELECT * FROM h ORDER BY u, v LIMIT 256) GROUP BY c ORDER BY votes DESC, component LIMIT 1""")
+def majority_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.majority_component(weak_components(spark, sf_dir))
 
 
 @query()
-def bfs_after_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _repaired(spark, sf_dir, BFS, "hops")
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.strong_components(vertex_range(spark, vertex_count(spark, sf_dir)), settled(part_graph(spark, sf_dir)))
 
 
 @query()
-def sssp_after_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _repaired(spark, sf_dir, SSSP, "dist")
+def critical_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = settled(part_graph(spark, sf_dir))
+    components = settled(regions.strong_components(vertex_range(spark, vertex_count(spark, sf_dir)), edges))
+    return regions.levels(components.select(F.col("component").alias("v")).distinct(), settled(regions.condensation(edges, components)))
 
 
-@query()
-def min_label_after_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _repaired(spark, sf_dir, MIN_LABEL, "label")
+def _acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that lead to a larger part number: a graph without a cycle, so that levels and paths are long."""
+    return settled(part_graph(spark, sf_dir).where("src < dst"))
 
 
-@query()
-def sssp_final_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, batches, n = _batches(spark, sf_dir)
-    state, parts = solve(edges, SSSP, n, ROOT), []
-    for b, batch in batches:
-        state = repair.final_state_update(edges, state, batch, SSSP, n)
-        parts.append((b, state.select("v", F.col("value").alias("dist"))))
-        edges = settled(topology.apply_batch(edges, batch, n).after_add)
-    return _by_batch(parts)
+_FORWARD = f"{_LINES}, g AS MATERIALIZED ({_BAG.format('WHERE src < dst')}), lv(v, level) USING KEY (v) AS (SELECT v, 0::BIGINT FROM verts UNION SELECT d.dst, max(l.level + 1)::BIGINT FROM lv l JOIN g d ON d.src = l.v LEFT JOIN recurring.lv r ON r.v = d.dst WHERE r.level < l.level + 1 GROUP BY d.dst)"
 
 
-@query()
-def pagerank_after_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, batches, n = _batches(spark, sf_dir)
-    state, parts = pagerank.pagerank(edges, n, 1e-7), []
-    for b, batch in batches:
-        new = settled(topology.apply_batch(edges, batch, n).after_add)
-        state = settled(pagerank.update_pagerank(edges, state, batch, n, 1e-7)[1])
-        parts.append((b, state.select("v", F.round("rank", 3).alias("rank"))))
-        edges = new
-    return _by_batch(parts)
+@query(f"WITH RECURSIVE {_FORWARD} SELECT v, level FROM lv")
+def forward_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.levels(vertex_range(spark, vertex_count(spark, sf_dir)), _acyclic(spark, sf_dir))
 
 
-def _admitted(spark: SparkSession, sf_dir: str) -> list[tuple[int, DataFrame]]:
-    """(batch_id, what is admitted after it), with -1 for the initial graph; the hits of graph batch b are those of its year, b + 9."""
-    edges, batches, n = _batches(spark, sf_dir)
-    scores, out = settled(analytics.activity(_hits(spark, sf_dir))), []
-    for b, batch in [(-1, None), *batches]:
-        edges = edges if batch is None else settled(topology.apply_batch(edges, batch, n).after_add)
-        degree = edges.groupBy(F.col("src").alias("v")).agg(F.sum("cnt").alias("degree"))
-        out.append((b, settled(analytics.admission(scores.where(F.col("batch_id") == b + 9).select("v", "score"), degree, CAPACITY))))
-    return out
+@query(f"""WITH RECURSIVE {_FORWARD}, work AS MATERIALIZED (SELECT v, 1 + coalesce(i, 0) + coalesce(o, 0) AS work, 1 AS vertices, coalesce(i, 0) AS incoming, coalesce(o, 0) AS outgoing FROM verts
+  LEFT JOIN (SELECT dst AS v, sum(cnt) AS i FROM g GROUP BY dst) USING (v) LEFT JOIN (SELECT src AS v, sum(cnt) AS o FROM g GROUP BY src) USING (v)),
+{_WEAK},
+placed AS MATERIALIZED (SELECT v, c AS weak, work, incoming, outgoing, least(floor((sum(work) OVER (PARTITION BY c ORDER BY level, v) - work) * 4 / sum(work) OVER (PARTITION BY c)), 3)::INT AS part FROM work JOIN lv USING (v) JOIN wcc USING (v)),
+e AS MATERIALIZED (SELECT g.src, g.dst, a.weak, a.part AS p, b.part AS q FROM g JOIN placed a ON a.v = g.src JOIN placed b ON b.v = g.dst),
+path(v, path) USING KEY (v) AS (SELECT v, work::BIGINT FROM placed UNION SELECT e.dst, max(x.path + w.work)::BIGINT FROM path x JOIN e ON e.src = x.v AND e.p = e.q JOIN work w ON w.v = e.dst LEFT JOIN recurring.path r ON r.v = e.dst WHERE r.path < x.path + w.work GROUP BY e.dst)
+SELECT placed.weak, placed.part, count(*) AS components, count(*) AS vertices, sum(incoming)::BIGINT AS incoming, sum(outgoing)::BIGINT AS outgoing, sum(work)::BIGINT AS work, coalesce(any_value(n), 0)::BIGINT AS successor_cuts, max(path) AS path
+FROM placed JOIN path USING (v) LEFT JOIN (SELECT weak, p AS part, count(*) AS n FROM e WHERE p < q GROUP BY 1, 2) k ON k.weak = placed.weak AND k.part = placed.part GROUP BY placed.weak, placed.part""")
+def closed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each weak component of the acyclic graph in four parts by work."""
+    edges = _acyclic(spark, sf_dir)
+    strong = settled(regions.strong_components(vertex_range(spark, vertex_count(spark, sf_dir)), edges))
+    return regions.closed_parts(strong, edges)
 
 
-@query()
-def cache_admission_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_batch(_admitted(spark, sf_dir))
+@query("""WITH c AS (SELECT o_orderpriority AS name, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::DOUBLE AS cpu_edges, count(*)::DOUBLE AS gpu_edges, count(DISTINCT o_custkey)::DOUBLE AS events, bool_or(o_totalprice > 0) AS eligible FROM orders GROUP BY 1),
+t AS (SELECT name, greatest(cpu_edges / 100.0, gpu_edges / 1000.0) + events / 50.0 + 1.0 + 2.0 AS cost FROM c WHERE eligible) SELECT min_by(name, (cost, name)) AS chosen, min(cost) AS cost FROM t""")
+def owner_cost_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = orders.groupBy(F.col("o_orderpriority").alias("name")).agg(
+        F.sum((F.col("o_orderstatus") == "F").cast("double")).alias("cpu_edges"), F.count("*").cast("double").alias("gpu_edges"), F.count_distinct("o_custkey").cast("double").alias("events"), F.max(F.col("o_totalprice") > 0).alias("eligible"))
+    rows = rows.select("*", F.lit(1.0).alias("dependency_ns"), F.lit(0.0).alias("topology_ns"), F.lit(2.0).alias("placement_ns"), F.lit(0.0).alias("migration_ns"))
+    return analytics.choose_plan(analytics.plan_costs(rows, {"cpu": 100.0, "gpu": 1000.0, "events": 50.0}))
 
 
-@query()
-def cache_diff_every_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _admitted(spark, sf_dir)
-    return _by_batch([(b, analytics.cache_diff(old, new)) for (_, old), (b, new) in zip(kept, kept[1:])])
+@query("SELECT l_returnflag AS kind, round(exp(avg(ln(l_extendedprice / l_quantity))), 4) AS geometric_mean, round(median(l_extendedprice / l_quantity), 4) AS median, round(avg(l_extendedprice / l_quantity), 4) AS mean FROM lineitem WHERE l_extendedprice / l_quantity > 0 GROUP BY 1")
+def ratio_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("kind"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("ratio"))
+    out = analytics.geometric_mean(lines, "ratio", "kind")
+    return out.select("kind", *[F.round(c, 4).alias(c) for c in ("geometric_mean", "median", "mean")])
 
 
-# -- all destinations and all regions; the queries of one residue keep their SQL ------------------------------
+@query("WITH " + _LINES + " SELECT src, dst, ((src + dst) % 128 + 1)::BIGINT AS weight FROM (SELECT DISTINCT src, dst FROM lines)")
+def endpoint_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_graph(spark, sf_dir).select("src", "dst", endpoint_weight(F.col("src"), F.col("dst")).alias("weight"))
 
 
-@query(f"WITH {_graph()} SELECT dst, src, cnt FROM g")
-def incoming_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.incoming(part_graph(spark, sf_dir), vertex_range(spark, vertex_count(spark, sf_dir)))
+@query("SELECT p_partkey AS v, (p_partkey + 1)::BIGINT AS next FROM part WHERE p_partkey < (SELECT max(p_partkey) FROM part)")
+def chain_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.chain(spark, vertex_count(spark, sf_dir)).select(F.col("src").alias("v"), F.col("dst").alias("next"))
 
 
-REGIONS = 4
+@query("SELECT 250::BIGINT AS adds, 250::BIGINT AS deletes, 0::BIGINT AS missing_deletes, 500::BIGINT AS updates")
+def update_stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    initial, updates = generate.update_stream(part_graph(spark, sf_dir), 100, 5)
+    return generate.verify_stream(settled(initial), settled(updates))
 
 
-@query(f"WITH {_graph()} SELECT dst % {REGIONS} AS region, src, dst, cnt, src % {REGIONS} = dst % {REGIONS} AS internal FROM g")
-def boundary_edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.partition_edges(part_graph(spark, sf_dir), _regions(spark, sf_dir))
+RMAT_SCALE, RMAT_EDGES = 12, 50_000
 
 
-def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vertex_range(spark, vertex_count(spark, sf_dir)).select("v", (F.col("v") % REGIONS).alias("region"))
+@query(f"""WITH RECURSIVE u AS MATERIALIZED (SELECT id, level, ({_splitmix_sql("(id * 1000003 + 64 + level)::UBIGINT")} >> 11)::DOUBLE / 9007199254740992 AS u FROM range({RMAT_EDGES}) t(id), range({RMAT_SCALE}) l(level)),
+e AS (SELECT id, sum(CASE WHEN u >= 0.76 THEN 1 ELSE 0 END * (1 << ({RMAT_SCALE - 1} - level)::INT))::BIGINT AS src FROM u GROUP BY id),
+d AS (SELECT src, count(*) AS degree FROM e GROUP BY src)
+SELECT bucket, count(*) AS vertices FROM (SELECT CASE WHEN degree IS NULL THEN -1 ELSE floor(log2(degree)) END::INT AS bucket FROM range({1 << RMAT_SCALE}) v(v) LEFT JOIN d ON d.src = v.v) GROUP BY bucket""")
+def rmat_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = generate.rmat(spark, RMAT_SCALE, RMAT_EDGES).groupBy("src", "dst").agg(F.count("*").alias("cnt"))
+    return analytics.degree_histogram(analytics.degrees(edges, 1 << RMAT_SCALE))
 
 
-@query(f"""WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'bfs')}, e AS (SELECT g.*, dst % {REGIONS} AS region, src % {REGIONS} = dst % {REGIONS} AS internal, s.v IS NOT NULL AS ok FROM g LEFT JOIN s ON s.v = g.src)
-SELECT region, sum(cnt)::BIGINT AS incoming, coalesce(sum(cnt) FILTER (WHERE internal), 0)::BIGINT AS internal, coalesce(sum(cnt) FILTER (WHERE NOT internal), 0)::BIGINT AS boundary, count(DISTINCT src) FILTER (WHERE NOT internal) AS boundary_sources,
-coalesce(sum(cnt) FILTER (WHERE NOT internal AND ok), 0)::BIGINT AS finite_boundary, count(DISTINCT dst) FILTER (WHERE NOT internal AND ok) AS seeds FROM e GROUP BY region""")
-def region_report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, state, _ = _solved(spark, sf_dir, BFS)
-    return analytics.partition_report(edges, _regions(spark, sf_dir), state)
+@query(f"WITH {_LINES}, z AS (SELECT v, {_splitmix_sql('v::UBIGINT')} AS u FROM verts) SELECT v, CASE WHEN u >= 9223372036854775808 THEN (u::HUGEINT - 18446744073709551616)::BIGINT ELSE u::BIGINT END AS rank FROM z")
+def splitmix_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertex_range(spark, vertex_count(spark, sf_dir)).select("v", splitmix64(F.col("v")).alias("rank"))
+
+
+@query(f"WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'bfs')} SELECT verts.v, coalesce(value::VARCHAR, 'INF') AS distance FROM verts LEFT JOIN s ON s.v = verts.v")
+def exported_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, state, n = _solved(spark, sf_dir, BFS)
+    return all_vertices(state, n).select("v", F.coalesce(F.col("value").cast("string"), F.lit("INF")).alias("distance"))

@@ -2,8 +2,8 @@
 
 An edge leads from each line's part to the part of the next line of its order, in the order of
 (line number, part, supplier).  The first years are the initial graph; later years are added, one
-batch a year.  The first batch also deletes the returned lines up to its own year, of which those of
-that year are not there yet: missing deletes.
+batch a year.  Each batch also deletes returned lines: those of its own year, which are not there yet and so are missing
+deletes, and those of some of the first years.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-FIRST_YEARS, LABEL_QUANTITY = 1998, 48
+FIRST_YEARS = 1998
+#: The batch that deletes the returned lines of the first years up to these.
+RETURNS = {0: 1995, 1: 1997, 2: 1998}
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,24 +29,19 @@ def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_lines(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("cnt"))
 
 
-def sparse_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, cnt) of the lines of large quantity: many small components."""
-    return order_lines(spark, sf_dir).where(F.col("quantity") >= LABEL_QUANTITY).groupBy("src", "dst").agg(F.count("*").alias("cnt"))
-
-
 def vertex_count(spark: SparkSession, sf_dir: str) -> int:
     """One more than the largest part number."""
     return int(spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.max("p_partkey")).first()[0]) + 1
 
 
-def evolving_graph(spark: SparkSession, sf_dir: str, sparse: bool = False) -> tuple[DataFrame, DataFrame]:
+def evolving_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The initial graph (src, dst, cnt), and the batches (batch_id, op, src, dst, cnt).  Every edge is read once."""
     lines = order_lines(spark, sf_dir)
-    if sparse:
-        lines = lines.where(F.col("quantity") >= LABEL_QUANTITY)
     first = F.col("year") <= FIRST_YEARS
     initial = lines.where(first).groupBy("src", "dst").agg(F.count("*").alias("cnt"))
+    own = F.col("year") - FIRST_YEARS - 1
+    returned = F.coalesce(*[F.when(F.col("year") <= last, b) for b, last in RETURNS.items()], own)
     event = lambda when, batch, op: F.when(when, F.struct(batch.cast("long").alias("batch_id"), F.lit(op).alias("op")))
-    both = F.array_compact(F.array(event((F.col("flag") == "R") & (F.col("year") <= FIRST_YEARS + 1), F.lit(0), "d"), event(~first, F.col("year") - FIRST_YEARS - 1, "a")))
+    both = F.array_compact(F.array(event(F.col("flag") == "R", returned, "d"), event(~first, own, "a")))
     batches = lines.select("src", "dst", F.explode(both).alias("k")).groupBy("k.batch_id", "k.op", "src", "dst").agg(F.count("*").alias("cnt"))
     return initial, batches

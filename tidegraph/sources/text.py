@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import as_export
 from ..plans.prefix import running_sum
+from ..plans.state import settled
 from ..schema import BATCH_SIZES, LARGEST_ID, UNREACHABLE, UPDATES, require
 
 _COMMENT = r"^\s*([#%].*)?$"
@@ -64,28 +65,57 @@ def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     return pairs.where(F.when(bad, F.raise_error(F.lit("an index is outside of the matrix")).cast("boolean")).otherwise(F.col("src") != F.col("dst"))).distinct()
 
 
+def _records(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """(place, record) of files of fixed-length records, read in splits; place is the byte offset in the file."""
+    rows = spark.sparkContext.newAPIHadoopFile(
+        path, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
+        conf={"fixedlengthinputformat.record.length": str(size)},
+    )
+    return spark.createDataFrame(rows, "place bigint, record binary")
+
+
 def read_packed_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst) of binary files of little-endian 64-bit words, source in the high half."""
+    """(src, dst) of binary files of little-endian 64-bit words, source in the high half.  Files are split, whatever their size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")
+            yield pa.RecordBatch.from_arrays([pa.array((words >> np.uint64(32)).astype(np.int64)), pa.array((words & np.uint64(0xFFFFFFFF)).astype(np.int64))], ["src", "dst"])
+
+    return _records(spark, path, 8).select("record").mapInArrow(run, "src bigint, dst bigint")
+
+
+def read_domain_map(spark: SparkSession, path: str) -> DataFrame:
+    """(v, owner) of a binary file with a little-endian 16-bit number for each vertex in turn: 0 or 1, the side that owns it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                words = np.frombuffer(content, "<u8")
-                yield pa.RecordBatch.from_arrays([pa.array((words >> np.uint64(32)).astype(np.int64)), pa.array((words & np.uint64(0xFFFFFFFF)).astype(np.int64))], ["src", "dst"])
+            owner = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2")
+            if (owner > 1).any():
+                raise ValueError("an owner must be 0 or 1")
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy() // 2), pa.array(owner.astype(np.int32))], ["v", "owner"])
+
+    return _records(spark, path, 2).mapInArrow(run, "v bigint, owner int")
+
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "src bigint, dst bigint")
+def in_file_order(spark: SparkSession, path: str) -> tuple[DataFrame, list[Column]]:
+    """The fields of text files, and columns whose order is that of the lines: file, place of the block, place in the block."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    lines = settled(lines.where(~F.col("value").rlike(_COMMENT)).select(F.split(F.trim(F.col("value")), r"\s+").alias("f"), "_file", "_block", "_at"))
+    return lines, [F.col("_file"), F.col("_block"), F.col("_at")]
 
 
 def read_updates(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, op, src, dst) of ``a|d src dst [weight]`` lines; seq follows the order in the file."""
-    f = _fields(spark, path).withColumn("at", F.monotonically_increasing_id())
-    return f.select(F.col("at").alias("seq"), F.col("f")[0].alias("op"), F.col("f")[1].cast("long").alias("src"), F.col("f")[2].cast("long").alias("dst"))
+    """(seq, op, src, dst) of ``a|d src dst [weight]`` lines; seq counts from 0 in the order of files by name, and of lines."""
+    lines, order = in_file_order(spark, path)
+    f = running_sum(lines, order, F.lit(1), "seq")
+    return f.select("seq", F.col("f")[0].alias("op"), F.col("f")[1].cast("long").alias("src"), F.col("f")[2].cast("long").alias("dst"))
 
 
 def read_batch_sizes(spark: SparkSession, path: str) -> DataFrame:
     """(batch_id, add_count, del_count) of ``adds deletes`` lines, in the file's order."""
-    f = _fields(spark, path).withColumn("at", F.monotonically_increasing_id())
-    return f.select((F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("batch_id"), F.col("f")[0].cast("long").alias("add_count"), F.col("f")[1].cast("long").alias("del_count"))
+    lines, order = in_file_order(spark, path)
+    return running_sum(lines, order, F.lit(1), "batch_id").select("batch_id", F.col("f")[0].cast("long").alias("add_count"), F.col("f")[1].cast("long").alias("del_count"))
 
 
 def assign_batches(updates: DataFrame, sizes: DataFrame, max_batches: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -12,19 +12,22 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.pagerank import pagerank, update_pagerank
 from ..operators.programs import MinProgram, solve
 from ..operators.repair import update
+from ..operators.store import EdgeStore
 from ..schema import RANKS, STATE
 
 BATCH = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("op", T.StringType()), T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
 _EDGES = T.StructType([T.StructField(c, T.LongType()) for c in ("src", "dst", "cnt")])
+_PUBLISHED = T.StructType([T.StructField(c, T.LongType()) for c in ("epoch", "base", "rows", "touched")])
 
 
 @dataclass
 class StreamingGraph:
     """A graph and one program's result, in a folder that survives the session.
 
-    ``folder`` holds edges/<epoch>, state/<epoch> and the published epochs.  An epoch is published by one small file after
-    its tables are whole, so a batch that is delivered again, or was cut short, is applied once.
-    Epoch 0 is the initial graph; batch i is epoch i + 1.
+    ``folder`` holds base/<epoch>, overlay/<epoch>, state/<epoch> and the published epochs.  An epoch writes the pairs touched
+    since its base, not the whole graph, and its state; a new base is written when the overlay has grown.  An epoch is published by one
+    small file after its tables are whole, so a batch that is delivered again, or was cut short, is applied once.
+    Epoch 0 is the initial graph; batch i is epoch i + 1.  Tables of epochs older than the last ``keep`` are deleted.
     """
 
     spark: SparkSession
@@ -32,52 +35,84 @@ class StreamingGraph:
     program: MinProgram | None
     n: int
     source: int = 0
+    keep: int = 2
+    bucket: int | None = None
 
-    def _path(self, kind: str, epoch: int) -> str:
+    def _path(self, kind: str, epoch: int | str) -> str:
         return f"{self.folder.rstrip('/')}/{kind}/{epoch}"
 
+    def _files(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def _row(self, epoch: int | None = None) -> Row | None:
+        """The published row (epoch, base, rows, touched) of an epoch, or of the last one; None if there is none."""
+        fs, where = self._files(self._path("published", ""))
+        if not fs.exists(where):
+            return None
+        rows = self.spark.read.schema(_PUBLISHED).parquet(self._path("published", "*"))
+        return (rows if epoch is None else rows.where(F.col("epoch") == epoch)).orderBy(F.desc("epoch")).first()
+
     def published(self) -> int:
         """The last published epoch, -1 if there is none."""
-        jvm, base = self.spark.sparkContext._jvm, f"{self.folder.rstrip('/')}/published"
-        path = jvm.org.apache.hadoop.fs.Path(base)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return -1
-        return int(self.spark.read.schema("epoch bigint").parquet(f"{base}/*").agg(F.max("epoch")).first()[0])
-
-    def _publish(self, epoch: int) -> None:
-        self.spark.range(1).select(F.lit(epoch).cast("long").alias("epoch")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder.rstrip('/')}/published/{epoch}")
-
-    def _store(self, epoch: int, edges: DataFrame, state: DataFrame) -> None:
-        edges.select("src", "dst", "cnt").write.mode("overwrite").parquet(self._path("edges", epoch))
+        row = self._row()
+        return -1 if row is None else row.epoch
+
+    def _store(self, epoch: int, store: EdgeStore, state: DataFrame, base: int) -> None:
+        if store.overlay is None:  # a new base
+            base = epoch
+            store.base.write.mode("overwrite").parquet(self._path("base", epoch))
+        else:
+            store.overlay.write.mode("overwrite").parquet(self._path("overlay", epoch))
         state.write.mode("overwrite").parquet(self._path("state", epoch))
-        self._publish(epoch)
+        row = self.spark.createDataFrame([(epoch, base, store.rows, store.touched if store.overlay is not None else -1)], _PUBLISHED)
+        row.coalesce(1).write.mode("overwrite").parquet(self._path("published", epoch))
+        self._reclaim(epoch)
+
+    def _reclaim(self, epoch: int) -> None:
+        """Deletes the tables of epochs that are no longer kept, and bases that no kept epoch needs."""
+        rows = {r.epoch: r for r in self.spark.read.schema(_PUBLISHED).parquet(self._path("published", "*")).collect()}  # a row a kept epoch
+        old = [e for e in rows if e <= epoch - self.keep]
+        needed = {r.base for e, r in rows.items() if e not in old}
+        for e in old:
+            for kind in ("overlay", "state", "published", *(() if rows[e].base in needed else ("base",))):
+                fs, where = self._files(self._path(kind, rows[e].base if kind == "base" else e))
+                fs.delete(where, True)
 
     def start(self, edges: DataFrame) -> None:
         """Solves the initial graph, unless an epoch is published already."""
         if self.published() < 0:
-            result = solve(edges, self.program, self.n, self.source) if self.program else pagerank(edges, self.n)
-            self._store(0, edges, result)
+            store = EdgeStore.of(edges)
+            result = solve(store.base, self.program, self.n, self.source) if self.program else pagerank(store.base, self.n)
+            self._store(0, store, result, 0)
+
+    def store(self, epoch: int | None = None) -> EdgeStore:
+        """The edges of a kept epoch, the last one if none is given."""
+        row = self._row(epoch)
+        if row is None:
+            raise ValueError(f"epoch {epoch} is not published, or no longer kept")
+        base = self.spark.read.schema(_EDGES).parquet(self._path("base", row.base))
+        if row.touched < 0:
+            return EdgeStore(base, row.rows)
+        return EdgeStore(base, row.rows, self.spark.read.schema(_EDGES).parquet(self._path("overlay", row.epoch)), row.touched)
 
     def edges(self, epoch: int | None = None) -> DataFrame:
-        return self.spark.read.schema(_EDGES).parquet(self._path("edges", self.published() if epoch is None else epoch))
+        return self.store(epoch).view()
 
     def state(self, epoch: int | None = None) -> DataFrame:
         return self.spark.read.schema(STATE if self.program else RANKS).parquet(self._path("state", self.published() if epoch is None else epoch))
 
     def apply(self, batch_id: int, batch: DataFrame) -> bool:
         """Applies batch ``batch_id``; False if it was published before.  Batches must come in order; an empty one is an epoch too."""
-        last = self.published()
+        row = self._row()
+        last = -1 if row is None else row.epoch
         if batch_id + 1 <= last:
             return False
         if batch_id != last:
             raise ValueError(f"batch {batch_id} after epoch {last}: a batch is missing")
-        edges, state = self.edges(last), self.state(last)
-        if self.program:
-            done = update(edges, state, batch, self.program, self.n)
-            self._store(batch_id + 1, done.edges, done.state)
-        else:
-            self._store(batch_id + 1, *update_pagerank(edges, state, batch, self.n))
+        store, state = self.store(last), self.state(last)
+        done = update(store, state, batch, self.program, self.n, bucket=self.bucket) if self.program else update_pagerank(store, state, batch, self.n)
+        self._store(batch_id + 1, done.store, done.state, row.base)
         return True
 
     def _micro_batch(self, rows: DataFrame, _: int) -> None:
