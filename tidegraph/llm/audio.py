@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .runtime import prepare, stored
@@ -34,6 +35,10 @@ def padded(payload: bytes) -> bytes:
     return payload + b"\0" * (-len(payload) % 64 if payload else 64)
 
 
+#: Bytes before the samples of a file.
+HEAD = 44
+
+
 def to_wav(samples: bytes, rate: int = RATE) -> bytes:
     """An 8-bit mono PCM file; the samples are kept as they are."""
     head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(samples), b"WAVE", b"fmt ", 16, 1, 1, rate, rate, 1, 8, b"data", len(samples))
@@ -133,13 +138,14 @@ def analyse(media: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.stack([spans[:, 0] * HOP / low, ((spans[:, 1] - 1) * HOP + FRAME) / low], 1), tensors, mel
 
 
-KIND = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS))
+#: Log energies to about three digits, in half the space.
+KIND = pa.fixed_shape_tensor(pa.float16(), (PATCH, MELS))
 TENSORS = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", KIND)])
 
 
 def to_ipc(spans: np.ndarray, tensors: np.ndarray) -> bytes:
     """An Arrow IPC stream of segments: time spans and fixed-shape tensors."""
-    storage = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1).astype(np.float32)), PATCH * MELS)
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1).astype(np.float16)), PATCH * MELS)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, TENSORS) as writer:
         writer.write_batch(pa.RecordBatch.from_arrays([pa.array(spans[:, 0].astype(np.float64)), pa.array(spans[:, 1].astype(np.float64)), pa.ExtensionArray.from_storage(KIND, storage)], schema=TENSORS))
@@ -151,16 +157,13 @@ def from_ipc(stored_bytes: bytes) -> tuple[np.ndarray, np.ndarray]:
     found = pa.ipc.open_stream(stored_bytes).read_all()
     spans = np.stack([found.column(c).to_numpy() for c in ("start_s", "end_s")], 1)
     parts = [c.to_numpy_ndarray() for c in found.column("tensor").chunks if len(c)]
-    return spans, np.concatenate([np.empty((0, PATCH, MELS), np.float32), *parts])
+    return spans, np.concatenate([np.empty((0, PATCH, MELS), np.float16), *parts])
 
 
-def digest(spans: np.ndarray, tensors: np.ndarray, mel: np.ndarray) -> str:
+def digest(spans: np.ndarray, tensors: np.ndarray, frames: int, mean: float) -> str:
     """Frames, segments, mean level and a hash of the rounded features."""
-    whole = hashlib.sha256(np.round(spans, 3).tobytes() + np.round(tensors * 8).astype(np.int16).tobytes()).hexdigest()[:32]
-    return f"frames={len(mel)};segments={len(spans)};mean={float(mel.mean()):.2f};sha={whole}"
-
-
-_OUT = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    whole = hashlib.sha256(np.round(spans, 3).tobytes() + np.round(tensors.astype(np.float32) * 8).astype(np.int16).tobytes()).hexdigest()[:32]
+    return f"frames={frames};segments={len(spans)};mean={mean:.2f};sha={whole}"
 
 
 def store_media(docs: DataFrame) -> DataFrame:
@@ -178,37 +181,46 @@ def store_media(docs: DataFrame) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])), "media")
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """A digest row for each document: its payload as read back from the stored file, the file, and its features.
+def audio_features(media_table: DataFrame) -> DataFrame:
+    """(doc_id, segments, frames, mean, tensors) of each row of (doc_id, media), and its other columns but the media.
 
-    A null text is empty (64 zero bytes).  Equal texts give equal values, repeated rows a row each;
-    other columns of ``docs`` are ignored.
+    ``tensors`` is an Arrow IPC stream of the segments' time spans and fixed-shape tensors, which ``from_ipc`` reads; mean is that of all log
+    energies.  A null file gives nulls.  Columns of these names are replaced.
     """
-    media_table = store_media(docs)
+    prepare(media_table.sparkSession)
+    more = [T.StructField("segments", T.LongType()), T.StructField("frames", T.LongType()), T.StructField("mean", T.DoubleType()), T.StructField("tensors", T.BinaryType())]
+    own = [c for c in media_table.columns if c != "media" and c not in {f.name for f in more}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for n, media in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                back = from_wav(media)[0]
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), digest(*analyse(media))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_OUT)]], ["doc_id", *_OUT.names])
+            found = [None if media is None else analyse(media) for media in batch.column(len(own)).to_pylist()]
+            value = lambda f, kind: pa.array([None if x is None else f(x) for x in found], kind)  # noqa: E731,B023
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(own)], value(lambda x: len(x[0]), pa.int64()), value(lambda x: len(x[2]), pa.int64()), value(lambda x: float(x[2].mean()), pa.float64()), value(lambda x: to_ipc(*x[:2]), pa.binary())],
+                [*own, *[f.name for f in more]],
+            )
 
-    out = T.StructType([docs.schema["doc_id"], *[T.StructField(f.name, T.StringType() if f.type == pa.string() else T.LongType()) for f in _OUT]])
-    return media_table.mapInArrow(run, out)
+    return media_table.select(*own, "media").mapInArrow(run, T.StructType([*[media_table.schema[c] for c in own], *more]))
 
 
-def audio_features(media_table: DataFrame) -> DataFrame:
-    """(doc_id, segments, tensors) of each row of (doc_id, media): the number of segments, and an Arrow IPC stream of their time spans and fixed-shape tensors, which ``from_ipc`` reads.
+_OUT = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+
+
+def media_digests(docs: DataFrame) -> DataFrame:
+    """A digest row for each document: its payload as read back from the stored file, the file, and its features as read back from the stored tensors.
 
-    A null file gives a null stream.  The media is not repeated.
+    A null text is empty (64 zero bytes).  Equal texts give equal values, repeated rows a row each;
+    other columns of ``docs`` are ignored.
     """
-    prepare(media_table.sparkSession)
+    media = store_media(docs)
+    marked = media.select("doc_id", "n_bytes", "media", (F.octet_length("media") - HEAD).cast("long").alias("payload_bytes"), F.sha2(F.substring("media", HEAD + 1, 2**31 - 1), 256).alias("payload_sha256"), F.crc32(F.substring("media", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    features = stored(audio_features(marked), "media-features")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [None if media is None else analyse(media)[:2] for media in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([0 if x is None else len(x[0]) for x in found], pa.int64()), pa.array([None if x is None else to_ipc(*x) for x in found], pa.binary())], ["doc_id", "segments", "tensors"])
+            at = batch.schema.names.index
+            text = [digest(*from_ipc(t), n, m) for t, n, m in zip(*[batch.column(at(c)).to_pylist() for c in ("tensors", "frames", "mean")])]
+            yield pa.RecordBatch.from_arrays([*[batch.column(at(c)) for c in ("doc_id", *_OUT.names[:-1])], pa.array(text, pa.string())], ["doc_id", *_OUT.names])
 
-    out = T.StructType([media_table.schema["doc_id"], T.StructField("segments", T.LongType()), T.StructField("tensors", T.BinaryType())])
-    return media_table.select("doc_id", "media").mapInArrow(run, out)
+    out = T.StructType([docs.schema["doc_id"], *[T.StructField(f.name, T.StringType() if f.type == pa.string() else T.LongType()) for f in _OUT]])
+    return features.mapInArrow(run, out)
