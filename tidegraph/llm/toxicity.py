@@ -27,6 +27,8 @@ TRAIN_ROWS, MEMORY = 10_000, 500_000
 #: A term is learned from at least SUPPORT different toxic training documents, if its contexts are over RATIO times as
 #: common in toxic documents, and the log-likelihood ratio of that is over EVIDENCE.  Stems have STEM to LONGEST letters.
 SUPPORT, RATIO, EVIDENCE, STEM, LONGEST = 5, 20.0, 30.0, 5, 24
+#: A term is matched with edits unless that hits over one clean training document in so many.
+CLEAN = 1000
 WINDOW, QUOTED_WEIGHT = 8, 0.25
 _EDGES = "\"'`.,;:!?()[]{}<>*_~-‘’‚“”„«»‹›¿¡"
 _OPENING, _CLOSING = tuple("\"'‘“„‚«‹`"), tuple("\"'’”“»›`")
@@ -48,15 +50,16 @@ class LevenshteinTrie:
 
     A state is a set of (node, edits) pairs, closed under deletions of term characters; ``find``
     returns (term index, edits) of the best match of a whole word, or None.  Terms differ in
-    the edits they allow, so a node knows the most that any term below it allows.
+    the edits they allow (``strict`` ones none), so a node knows the most that any term below it allows.
     """
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], strict: frozenset[str] = frozenset()):
         self.terms = terms
+        self.edits = [0 if t in strict else allowed(t) for t in terms]
         self.next: list[dict[str, int]] = [{}]
         self.most, self.term = [0], [-1]
         for i, term in enumerate(terms):
-            at, k = 0, allowed(term)
+            at, k = 0, self.edits[i]
             self.most[0] = max(self.most[0], k)
             for c in term:
                 if c not in self.next[at]:
@@ -91,7 +94,7 @@ class LevenshteinTrie:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            ends = [(e, self.term[n]) for n, e in key if self.term[n] >= 0 and e <= allowed(self.terms[self.term[n]])]
+            ends = [(e, self.term[n]) for n, e in key if self.term[n] >= 0 and e <= self.edits[self.term[n]]]
             self.best.append(min(ends)[::-1] if ends else None)
         return self.states[key]
 
@@ -138,10 +141,10 @@ FEATURES = 4
 
 
 class ToxicityModel:
-    """``terms`` are whole words; those in ``stems`` also stand for every word that begins with them."""
+    """``terms`` are whole words; those in ``stems`` also stand for every word that begins with them; ``strict`` ones are not matched with edits."""
 
-    def __init__(self, terms: list[str], weights: np.ndarray | None = None, stems: frozenset[str] = frozenset()):
-        self.terms, self.weights, self.stems = terms, weights, stems
+    def __init__(self, terms: list[str], weights: np.ndarray | None = None, stems: frozenset[str] = frozenset(), strict: frozenset[str] = frozenset()):
+        self.terms, self.weights, self.stems, self.strict = terms, weights, stems, strict
         self.shortest, self.longest = (min(map(len, stems)), max(map(len, stems))) if stems else (1, 0)
         self._trie: LevenshteinTrie | None = None
         self._known: dict[int, tuple[int, int] | None] = {}
@@ -149,6 +152,16 @@ class ToxicityModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_trie": None, "_known": {}}
 
+    def _prepare(self) -> None:
+        self._trie, self._at = LevenshteinTrie(self.terms, self.strict), {t: i for i, t in enumerate(self.terms)}
+
+    def near_terms(self, text: bytes) -> set[int]:
+        """The terms that words of a text match with edits."""
+        if self._trie is None:
+            self._prepare()
+        words = {plain(w) for w in text.decode("utf-8", "replace").split()}
+        return {hit[0] for w in words if (hit := self.find(w)) is not None and hit[1] > 0}
+
     def find(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of a word: a stem at its beginning, or else the best whole term within the edits that its length allows."""
         for n in range(self.shortest, min(self.longest, len(word)) + 1):
@@ -159,7 +172,7 @@ class ToxicityModel:
     def features(self, texts: list[bytes]) -> np.ndarray:
         """By text: exact and misspelled hits (quoted ones count QUOTED_WEIGHT), each as log(1 + x), and both per 100 words."""
         if self._trie is None:
-            self._trie, self._at = LevenshteinTrie(self.terms), {t: i for i, t in enumerate(self.terms)}
+            self._prepare()
         out = np.zeros((len(texts), FEATURES))
         w = Words(texts, fold=True)
         fresh, first, index = np.unique(w.h, return_index=True, return_inverse=True)
@@ -280,6 +293,20 @@ def learned_terms(rows: DataFrame, support: int = SUPPORT, ratio: float = RATIO,
     return words, sorted(stems)
 
 
+def _ambiguous(rows: DataFrame, model: ToxicityModel) -> frozenset[str]:
+    """The terms whose misspellings are words of clean training documents: of over one in CLEAN of them, and more than one."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [i for t in as_bytes(batch.column(0)) for i in model.near_terms(t)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["term"])
+
+    clean = rows.where("label <= 0.5")
+    most = max(1, clean.count() / CLEAN)
+    got = clean.select("text").mapInArrow(near, "term bigint").groupBy("term").count().where(F.col("count") > most).collect()  # a row a term at most
+    return frozenset(model.terms[r.term] for r in got)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, lexicon: list[str] | None = None, **settings: float) -> ToxicityModel:
     """Learns from at most about ``most`` labelled documents whose crc32 remainder modulo 3 is not 1.
 
@@ -291,7 +318,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, lex
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
     rows = stored(rows, "toxicity-training")
     words, stems = learned_terms(rows, **settings)
-    model = ToxicityModel(sorted({*words, *stems} | {plain(x) for x in lexicon or [] if plain(x)}), stems=frozenset(stems))
+    terms = sorted({*words, *stems} | {plain(x) for x in lexicon or [] if plain(x)})
+    model = ToxicityModel(terms, stems=frozenset(stems), strict=_ambiguous(rows, ToxicityModel(terms, stems=frozenset(stems))))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
