@@ -339,6 +339,20 @@ def test_generators(spark):
     ring = spark.createDataFrame([(i, i + 1) for i in range(7)] + [(0, 7), (1, 5)], "src long, dst long")
     start, moves = generate.connected_stream(ring, 1, 2)
     assert moves.where("op = 'd'").count() == 4 and start.count() == 18
+    for backbone in ("levels", "random"):
+        start, moves = generate.connected_stream(ring, 1, 2, backbone=backbone)
+        assert [r.components for r in generate.connectivity(start, moves, 9).orderBy("batch_id").collect()] == [2, 2, 2]
+    with pytest.raises(ValueError):
+        generate.connected_stream(ring, 2, 2)
+
+
+def test_spanning_forest(spark):
+    r = random.Random(15)
+    pairs = sorted({tuple(sorted((r.randrange(20), r.randrange(20)))) for _ in range(40)})
+    frame = spark.createDataFrame(pairs, "src long, dst long")
+    forest = {tuple(x) for x in generate.spanning_forest(frame).collect()}
+    parts = lambda rows: {x.v: x.component for x in connected_components(vertex_range(spark, 20), spark.createDataFrame(list(rows), "src long, dst long")).collect()}
+    assert forest <= set(pairs) and parts(forest) == parts(pairs) and len(forest) == 20 - len(set(parts(pairs).values()))
 
 
 def test_running_sum_over_partitions(spark):

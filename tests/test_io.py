@@ -92,6 +92,10 @@ def test_stream_is_applied_once(spark, tmp_path):
     assert sorted(x.name for x in (tmp_path / "graph" / "state").iterdir()) == ["2", "3"]  # older epochs are deleted
     with pytest.raises(ValueError):
         graph.store(0)
+    import json
+
+    reports = sorted((json.loads(r.report) for r in graph.reports().collect()), key=lambda x: x["batch_id"])
+    assert [(x["additions"], x["deletions"], x["missing_deletes"]) for x in reports] == [(1, 1, 0), (1, 2, 1), (0, 1, 0)] and all(x["program"] == "bfs" for x in reports)
     with pytest.raises(ValueError):
         graph.apply(7, edges.limit(0).select(F.lit("a").alias("op"), "src", "dst"))
     ranks = StreamingGraph(spark, str(tmp_path / "ranks"), None, 4)

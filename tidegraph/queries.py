@@ -413,21 +413,17 @@ def _ranks_sql(b: int) -> str:
 _RANKED = f"WITH RECURSIVE {_evolving()}, {', '.join(_ranks_sql(b) for b in range(BATCHES))} {_each('SELECT v, round(rank, 3) AS rank FROM r{b} WHERE i = 120')}"
 
 
-def _reranked(spark: SparkSession, sf_dir: str, small: int | None = None) -> DataFrame:
+@query(_RANKED)
+def pagerank_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, batches, n = _batches(spark, sf_dir)
-    state, parts = pagerank.pagerank(store.base, n, 1e-9, 200, small=small), []
+    state, parts = pagerank.pagerank(store.base, n, 1e-9, 200), []
     for b, batch in batches:
-        done = pagerank.update_pagerank(store, state, batch, n, 1e-9, 200, small=small)
+        done = pagerank.update_pagerank(store, state, batch, n, 1e-9, 200)
         parts.append((b, done.state.select("v", F.round("rank", 3).alias("rank"))))
         store, state = done.store, done.state
     return _by_batch(parts)
 
 
-@query(_RANKED)
-def pagerank_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reranked(spark, sf_dir)
-
-
 # -- the same by the distributed rounds, whatever the size of the graph -----------------------------------
 
 
@@ -455,11 +451,6 @@ def pagerank_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagerank.pagerank(edges, vertex_count(spark, sf_dir), 1e-9, 200, small=-1).select("v", F.round("rank", 3).alias("rank"))
 
 
-@query(ORACLE_SQL["sssp_after_batch"])
-def sssp_after_batch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _repaired(spark, sf_dir, SSSP, "dist", small=-1)
-
-
 @query(ORACLE_SQL["bfs_after_batch"])
 def bfs_after_batch_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds ordered by ranges of two hops."""
@@ -471,11 +462,6 @@ def min_label_after_batch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repaired(spark, sf_dir, MIN_LABEL, "label", small=-1)
 
 
-@query(ORACLE_SQL["pagerank_after_batch"])
-def pagerank_after_batch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reranked(spark, sf_dir, small=-1)
-
-
 # -- analytics ----------------------------------------------------------------------------------
 
 _HITS = f"""WITH {_LINES}, hits AS MATERIALIZED (SELECT src AS v, (year - 1990)::BIGINT AS batch_id, count(*)::BIGINT AS hits FROM lines GROUP BY 1, 2),
@@ -720,6 +706,25 @@ def update_stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.verify_stream(settled(initial), settled(updates))
 
 
+@query(f"WITH RECURSIVE {_graph()}, {_WEAK} SELECT c AS component, count(*) - 1 AS edges FROM wcc GROUP BY c HAVING count(*) > 1")
+def forest_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random spanning forest has an edge less than vertices in each component."""
+    edges, n = settled(part_graph(spark, sf_dir)), vertex_count(spark, sf_dir)
+    forest = generate.spanning_forest(edges.select("src", "dst"))
+    component = connected_components(vertex_range(spark, n), edges, small=LOCAL_PAIRS)
+    return forest.join(component.withColumnRenamed("v", "src"), "src").groupBy("component").agg(F.count("*").alias("edges"))
+
+
+@query(f"WITH RECURSIVE {_graph()}, {_WEAK} SELECT batch_id, pieces FROM (SELECT unnest(range(-1, 3))::BIGINT AS batch_id), (SELECT count(*) AS pieces FROM (SELECT c FROM wcc GROUP BY c HAVING count(*) > 1))")
+def connected_stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream on the graph's pairs, of which the forest's stay: the reached part stays in one piece."""
+    n = vertex_count(spark, sf_dir)
+    pairs = settled(topology.undirected(part_graph(spark, sf_dir)).where("src < dst").select("src", "dst"))
+    initial, updates = generate.connected_stream(pairs, 50, 3, backbone="random")
+    alone = n - pairs.select(F.col("src").alias("v")).union(pairs.select("dst")).distinct().count()
+    return generate.connectivity(initial, settled(updates), n).select("batch_id", (F.col("components") - alone).alias("pieces"))
+
+
 RMAT_SCALE, RMAT_EDGES = 12, 50_000
 
 

@@ -14,6 +14,7 @@ from ..operators.programs import MinProgram, solve
 from ..operators.repair import update
 from ..operators.store import EdgeStore
 from ..schema import RANKS, STATE
+from ..sources.text import report
 
 BATCH = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("op", T.StringType()), T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
 _EDGES = T.StructType([T.StructField(c, T.LongType()) for c in ("src", "dst", "cnt")])
@@ -113,8 +114,14 @@ class StreamingGraph:
         store, state = self.store(last), self.state(last)
         done = update(store, state, batch, self.program, self.n, bucket=self.bucket) if self.program else update_pagerank(store, state, batch, self.n)
         self._store(batch_id + 1, done.store, done.state, row.base)
+        more = done.metrics.withColumn("batch_id", F.lit(batch_id)).withColumn("rounds", F.lit(done.rounds)).withColumn("program", F.lit(self.program.name if self.program else "pagerank"))
+        report(more.withColumn("stored_pairs", F.lit(done.store.size))).coalesce(1).write.mode("overwrite").text(self._path("reports", batch_id))
         return True
 
+    def reports(self) -> DataFrame:
+        """The JSON report of each applied batch: its metrics, the rounds of its repair, and the rows of the edge store."""
+        return self.spark.read.text(self._path("reports", "*")).withColumnRenamed("value", "report")
+
     def _micro_batch(self, rows: DataFrame, _: int) -> None:
         rows = rows.persist()
         for (batch_id,) in sorted(rows.select("batch_id").distinct().collect()):
