@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .programs import MIN_LABEL, MinProgram, solve, vertex_range
+from .programs import MinProgram, vertex_range
+from .regions import least_colours
 
 
 def bellman_check(edges: DataFrame, state: DataFrame, program: MinProgram) -> DataFrame:
@@ -36,8 +37,9 @@ def parent_check(edges: DataFrame, state: DataFrame, program: MinProgram) -> Dat
 
 
 def label_check(edges: DataFrame, labels: DataFrame, n: int) -> DataFrame:
-    """(v, label, expected): vertices whose label differs from a full recomputation."""
-    want = solve(edges, MIN_LABEL, n).select("v", F.col("value").alias("expected"))
+    """(v, label, expected): vertices whose label differs from the least vertex that reaches them, spread by a search of its own."""
+    pairs = edges.where((F.col("src") != F.col("dst")) & F.col("src").between(0, n - 1) & F.col("dst").between(0, n - 1)).select("src", "dst")
+    want = least_colours(vertex_range(edges.sparkSession, n).withColumn("colour", F.col("v")), pairs).withColumnRenamed("colour", "expected")
     got = labels.select("v", F.col("value").alias("label"))
     return vertex_range(edges.sparkSession, n).join(want, "v").join(got, "v", "left").where(~F.col("label").eqNullSafe(F.col("expected"))).select("v", "label", "expected")
 

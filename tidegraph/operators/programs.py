@@ -150,7 +150,9 @@ def solved(edges: DataFrame, program: MinProgram, n: int, source: int | None = 0
         return propagate(empty, seeds, pairs, program, limit, size=size, small=small)
     pairs = by_source(edges, n)
     state, rounds = propagate(empty, seeds, pairs, program, limit, bucket=bucket, size=size, small=small)
-    return with_parents(state, pairs, program), rounds
+    out = settled(with_parents(state, pairs, program))
+    discard(pairs, state)
+    return out, rounds
 
 
 def with_parents(state: DataFrame, pairs: DataFrame, program: MinProgram, only: DataFrame | None = None) -> DataFrame:
