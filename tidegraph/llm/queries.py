@@ -11,12 +11,15 @@ from .audio import media_digests
 from .decontaminate import containment_search
 from .html import extract_pages
 from .language import fit_language, identify
+from .lines import keep_bitmaps, kept_text
 from .mixing import mix_documents
 from .neardup import near_duplicates
 from .quality import fit_quality, quality_scores
-from .runtime import remainder, table
+from .runtime import remainder, stored, table
 from .substring import remove_repeats
+from .survivors import golden_records
 from .toxicity import fit_toxicity, toxicity_scores
+from .trie import prefix_nodes, turn_sequences, with_heads
 from .urls import SUFFIXES, filter_urls, page_outcomes
 
 
@@ -68,6 +71,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = golden_records(table(spark, sf_dir, "clients"))
+    return out.withColumn("balance_cents", F.floor(F.lit(100) * F.col("balance") + F.lit(0.5)).cast("long")).drop("balance")
+
+
+def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stored(turn_sequences(table(spark, sf_dir, "conversations")), "trie")
+    c = F.col("conv_id")
+    heads = F.crc32(c.cast("string").cast("binary")) % 9
+    return prefix_nodes(with_heads(turns, c - c % 5, heads, 8))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = keep_bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(kept_text(F.col("text"), F.col("keep")), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_media, op3_neardup, op4_language, op5_mixing, op6_urls, op7_substrings, op8_html, op9_quality, op10_decontamination, pipeline)
+    for f in (op1_toxicity, op2_media, op3_neardup, op4_language, op5_mixing, op6_urls, op7_substrings, op8_html, op9_quality, op10_decontamination, op11_survivors, op12_prefixes, op13_lines, pipeline)
 }
 
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -168,10 +188,62 @@ h AS (SELECT doc_id, item_id, count(*) AS n_shared FROM bs JOIN ds USING (k, s)
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM h JOIN n USING (item_id) WHERE 5 * n_shared >= 4 * n_item
 """
 
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_RECENT = "updated_at DESC NULLS LAST, trust DESC, client_id ASC NULLS LAST"
+
+
+def _first(value: str, order: str, out: str, when: str = "true") -> str:
+    """The value that comes first in an order, and its client_id; larger values break ties."""
+    return ", ".join(f"first({x} ORDER BY {order}, {value} DESC) FILTER (WHERE {when}) AS {name}" for x, name in ((value, out), ("client_id", f"{out}_from")))
+
+
+_OP11 = f"""
+WITH s AS (SELECT coalesce(master_id, client_id) AS cluster_id, client_id, updated_at, CASE trim(source, {_BLANK}) WHEN '' THEN 0 ELSE CASE source WHEN 'crm' THEN 4 WHEN 'web' THEN 3 WHEN 'store' THEN 2 WHEN 'partner' THEN 1 ELSE 0 END END AS trust,
+  {', '.join(f"CASE WHEN trim({c}, {_BLANK}) <> '' THEN {c} END AS {c}" for c in ('name', 'email', 'city', 'segment'))}, nation_id, CASE WHEN isfinite(balance) THEN balance END AS balance FROM clients),
+l AS MATERIALIZED (SELECT *, coalesce(updated_at >= max(updated_at) OVER (PARTITION BY cluster_id) - INTERVAL 1440 HOURS, false) AS fresh, (city IS NOT NULL)::INT + (nation_id IS NOT NULL)::INT AS filled FROM s),
+b AS (SELECT cluster_id, count(*) AS n_records, count(*) FILTER (WHERE NOT fresh) AS n_stale,
+  {_first("name", f"length(name) DESC, fresh DESC, trust DESC, {_RECENT}", "name", "name IS NOT NULL")},
+  {_first("email", f"fresh DESC, trust DESC, {_RECENT}", "email", "email IS NOT NULL")},
+  {_first("segment", _RECENT, "segment", "segment IS NOT NULL")},
+  {_first("{'city': city, 'nation_id': nation_id}", f"filled DESC, {_RECENT}", "address")} FROM l GROUP BY cluster_id),
+m AS (SELECT l.cluster_id, {_first("balance", f"(l.segment IS NOT DISTINCT FROM b.segment) DESC, {_RECENT}", "balance", "balance IS NOT NULL")} FROM l JOIN b ON l.cluster_id IS NOT DISTINCT FROM b.cluster_id GROUP BY l.cluster_id)
+SELECT b.cluster_id, n_records, n_stale, name, email, segment, address.city AS city, address.nation_id AS nation_id, floor(100 * balance + 0.5)::BIGINT AS balance_cents, name_from, email_from, segment_from, balance_from,
+  CASE WHEN address.city IS NOT NULL OR address.nation_id IS NOT NULL THEN address_from END AS address_from
+FROM b JOIN m ON m.cluster_id IS NOT DISTINCT FROM b.cluster_id
+"""
+
+# the CRC of a decimal number's digits, bit by bit
+_CRC = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+_OP12 = f"""
+WITH t AS (SELECT conv_id, list({{'k': k, 's': s}} ORDER BY turn NULLS FIRST, k) AS turns FROM (
+  SELECT conv_id, turn, left(sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS k, octet_length(encode(coalesce(text, ''))) AS s FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+h AS (SELECT conv_id, turns, ({_CRC} % 9)::INT AS h FROM t),
+r AS MATERIALIZED (SELECT h.conv_id, coalesce(d.turns[:h], []) || h.turns[h + 1:] AS turns FROM h LEFT JOIN t d ON d.conv_id = h.conv_id - h.conv_id % 5),
+p AS MATERIALIZED (SELECT conv_id, d, sha256(array_to_string(list_transform(turns[:d], lambda x: x.k), '')) AS node, sha256(array_to_string(list_transform(turns[:d - 1], lambda x: x.k), '')) AS parent, CASE WHEN d = 0 THEN 0 ELSE turns[d].s END AS s, len(turns) = d AS ends
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS MATERIALIZED (SELECT node, d, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n, any_value(s) AS s, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends) AS ends FROM p GROUP BY node, d),
+k AS (SELECT parent, d - 1 AS d, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+w AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k ON k.parent = n.node AND k.d = n.d),
+a AS (SELECT p.node, p.d, sum(CASE WHEN w.kids = 0 THEN 1 ELSE 0 END)::BIGINT AS leaves, sum((w.n - 1) * w.s)::BIGINT AS saved FROM w JOIN p ON p.conv_id = w.conv_id AND p.d <= w.d GROUP BY p.node, p.d)
+SELECT w.conv_id, w.d::BIGINT AS depth, u.conv_id AS parent_conv_id, w.n AS n_convs, w.kids AS n_children, a.leaves AS n_leaves, a.saved AS saved_tokens, sha256(coalesce(w.ends, '')) AS ends_sha256
+FROM w JOIN a ON a.node = w.node AND a.d = w.d LEFT JOIN n u ON u.node = w.parent AND u.d = w.d - 1 AND w.d > 0
+"""
+
+_OP13 = f"""
+WITH s AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS MATERIALIZED (SELECT r, doc_id, i, lines[i] AS line, translate(trim(lines[i], {_BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM s)),
+k AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id < last) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT coalesce(doc_id < last, false)), '')) AS kept_sha256
+FROM l LEFT JOIN k USING (key) GROUP BY r
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_neardup": _OP3,
     "op5_mixing": _OP5,
     "op6_urls": _OP6.replace("{strength}", _STRENGTH).replace("{suffixes}", ", ".join(f"'{x}'" for x in SUFFIXES)),
     "op7_substrings": _OP7,
     "op10_decontamination": _OP10,
+    "op11_survivors": _OP11,
+    "op12_prefixes": _OP12,
+    "op13_lines": _OP13,
 }
