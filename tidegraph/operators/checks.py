@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .programs import MinProgram, vertex_range
+from .programs import LABEL_WITNESS, MinProgram, label_of, vertex_range
 from .regions import least_colours
 
 
@@ -16,7 +16,7 @@ def bellman_check(edges: DataFrame, state: DataFrame, program: MinProgram) -> Da
     ends = edges.select("src", "dst").join(s, "src").join(d, "dst", "left")
     w = F.col("a") + program.weight(F.col("src"), F.col("dst"))
     seen = ends.groupBy("dst").agg(F.sum((F.col("b").isNull() | (w < F.col("b"))).cast("long")).alias("relaxable"), F.max((w == F.col("b")).cast("int")).alias("tight"))
-    root = F.col("value") == (0 if program.rooted else F.col("v"))
+    root = program.is_root(F.col("v"), F.col("value"))
     return state.join(seen.withColumnRenamed("dst", "v"), "v", "full").agg(
         F.coalesce(F.sum("relaxable"), F.lit(0)).cast("long").alias("relaxable"),
         F.coalesce(F.sum((F.col("value").isNotNull() & ~root & (F.coalesce("tight", F.lit(0)) == 0)).cast("long")), F.lit(0)).cast("long").alias("unwitnessed"),
@@ -25,7 +25,7 @@ def bellman_check(edges: DataFrame, state: DataFrame, program: MinProgram) -> Da
 
 def parent_check(edges: DataFrame, state: DataFrame, program: MinProgram) -> DataFrame:
     """One row (missing_parent, no_edge, not_tight) over the reached vertices but roots."""
-    root = F.col("value") == (0 if program.rooted else F.col("v"))
+    root = program.is_root(F.col("v"), F.col("value"))
     rows = state.where(~root)
     up = state.select(F.col("v").alias("parent"), F.col("value").alias("above"))
     pairs = edges.select(F.col("src").alias("parent"), F.col("dst").alias("v"), F.lit(1).alias("edge")).distinct()
@@ -44,6 +44,16 @@ def label_check(edges: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     return vertex_range(edges.sparkSession, n).join(want, "v").join(got, "v", "left").where(~F.col("label").eqNullSafe(F.col("expected"))).select("v", "label", "expected")
 
 
+def certified_labels(state: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(v, label, certified) of label witnesses (v, value, parent): whether each is its own root, or its parent has the same label, is nearer to the root, and has an edge in ``pairs`` to it."""
+    mine = state.select("v", F.col("value").alias("mine"), "parent")
+    there = pairs.select(F.col("dst").alias("v"), F.col("src").alias("parent"), F.lit(True).alias("edge")).distinct()
+    up = state.select(F.col("v").alias("parent"), F.col("value").alias("above"))
+    rows = mine.join(there, ["v", "parent"], "left").join(up, "parent", "left")
+    proved = F.col("edge") & (label_of(F.col("above")) == label_of(F.col("mine"))) & (F.col("above") < F.col("mine"))
+    return rows.select("v", label_of(F.col("mine")).alias("label"), (LABEL_WITNESS.is_root(F.col("v"), F.col("mine")) | F.coalesce(proved, F.lit(False))).alias("certified"))
+
+
 def reachable_count(state: DataFrame) -> DataFrame:
     return state.where("value is not null").agg(F.count("*").alias("reachable"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import Weight, endpoint_weight, no_weight, unit_weight
@@ -19,24 +20,42 @@ COMPACT = 8
 class MinProgram:
     """A program whose vertices keep the least of ``source value + weight(src, dst)``.
 
-    ``rooted`` programs start from one vertex with value 0; the others from all, each with its own id.
+    ``rooted`` programs start from one vertex with value 0; the others from all, each with its own id times ``spread``.
+    ``cost`` is the weight of two plain numbers.  Where weights are ``positive``, parents are trees: a vertex's value is proved by
+    the chain of its parents.
     """
 
     name: str
     weight: Weight
     rooted: bool = True
+    cost: Callable[[int, int], int] = lambda src, dst: 1
+    spread: int = 1
+    positive: bool = True
 
     def start(self, vertices: DataFrame, source: int | None = None) -> DataFrame:
         """Seed rows (v, value, parent)."""
         none = F.lit(None).cast("long").alias("parent")
         if self.rooted:
             return vertices.where(F.col("v") == source).select("v", F.lit(0).cast("long").alias("value"), none)
-        return vertices.select("v", F.col("v").alias("value"), none)
+        return vertices.select("v", (F.col("v") * self.spread).alias("value"), none)
 
+    def is_root(self, v: Column, value: Column) -> Column:
+        return value == 0 if self.rooted else value == v * self.spread
 
+
+#: Hops of a label witness; a label of 32 bits and they fit into a long.
+HOPS = 1 << 31
 BFS = MinProgram("bfs", unit_weight)
-SSSP = MinProgram("sssp", endpoint_weight)
-MIN_LABEL = MinProgram("min_label", no_weight, rooted=False)
+SSSP = MinProgram("sssp", endpoint_weight, cost=lambda src, dst: (src + dst) % 128 + 1)
+MIN_LABEL = MinProgram("min_label", no_weight, rooted=False, cost=lambda src, dst: 0, positive=False)
+#: The least label with its distance from the label's root, as label * HOPS + hops: each vertex rests on a parent nearer to the root, so
+#: labels that travel on cycles are proved as distances are.
+LABEL_WITNESS = MinProgram("label_witness", unit_weight, rooted=False, spread=HOPS)
+
+
+def label_of(value: Column) -> Column:
+    """The label of a witness value."""
+    return F.shiftright(value, 31)
 
 
 def vertex_range(spark, n: int) -> DataFrame:
@@ -146,6 +165,8 @@ def solved(edges: DataFrame, program: MinProgram, n: int, source: int | None = 0
     seeds = program.start(vertex_range(spark, n), clamp(source or 0, n) if program.rooted else None)
     empty, limit = seeds.limit(0), max_rounds or (n + 1) * (2 if bucket else 1)
     pairs, size = in_range_pairs(edges, n), edges.count()
+    if program.spread > 1:
+        small = -1
     if size <= local.limit(small):  # parents come with the values
         return propagate(empty, seeds, pairs, program, limit, size=size, small=small)
     pairs = by_source(edges, n)
@@ -167,7 +188,7 @@ def with_parents(state: DataFrame, pairs: DataFrame, program: MinProgram, only:
         pairs.where("src != dst").join(every.select(F.col("v").alias("src"), "value"), "src").join(target, "dst")
         .where(F.col("value") + program.weight(F.col("src"), F.col("dst")) == F.col("own")).groupBy("dst").agg(F.min("src").alias("tight"))
     )
-    root = F.col("value") == 0 if program.rooted else F.col("value") == F.col("v")
+    root = program.is_root(F.col("v"), F.col("value"))
     return state.join(tight, F.col("v") == F.col("dst"), "left").select("v", "value", F.when(~root, F.col("tight")).alias("parent"))
 
 

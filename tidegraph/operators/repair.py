@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import depends_on, label_depends
 from ..plans import local
-from ..plans.state import settled
+from ..plans.state import discard, settled
 from .programs import MinProgram, best, candidates, improvements, propagate, refreshed
 from .store import EdgeStore, Step
 from .topology import batch_metrics
@@ -67,13 +67,54 @@ def label_affected(state: DataFrame, gone: DataFrame, pairs: DataFrame, max_roun
     return settled(group.join(reached, ["v", "label"], "left_anti").select("v"))
 
 
+def certified_affected(state: DataFrame, gone: DataFrame, into: DataFrame, program: MinProgram, max_rounds: int, budget: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(affected (v), moved (v), vertices looked at): whose value lost its proof, for a program of positive weights.
+
+    A vertex is suspect when the edge from its parent has vanished, or its parent is affected.  It is certified by another
+    tight source that is not affected, which becomes its parent (it has moved); else it is affected, and what rests on it is
+    suspect.  A source's value is less than its vertex's, so proofs have no cycle, and one that falls later makes its
+    vertices suspect again.  After ``budget`` vertices none is certified any more: all that rests on an affected one is.
+    ``into`` are the pairs that are left.
+    """
+    own = state.select("v", "value", "parent")
+    suspects = settled(own.join(gone.select(F.col("dst").alias("v"), F.col("src").alias("parent")), ["v", "parent"], "left_semi").select("v", "value"))
+    affected, moved, visited, rounds = [], own.limit(0).select("v", "parent"), 0, 0
+    while count := suspects.count():
+        rounds, visited = rounds + 1, visited + count
+        if rounds > max_rounds:
+            raise RuntimeError("certification did not end")
+        bad = _union(affected) if affected else own.limit(0).select("v")
+        if budget is None or visited <= budget:
+            tight = into.where("src != dst").join(suspects.withColumnRenamed("v", "dst"), "dst").join(own.select(F.col("v").alias("src"), F.col("value").alias("at")), "src")
+            tight = tight.where(F.col("at") + program.weight(F.col("src"), F.col("dst")) == F.col("value")).join(bad.withColumnRenamed("v", "src"), "src", "left_anti")
+            proved = settled(tight.groupBy(F.col("dst").alias("v")).agg(F.min("src").alias("parent")))
+        else:
+            proved = own.limit(0).select("v", "parent")
+        fallen = settled(suspects.join(proved, "v", "left_anti").select("v"))
+        old, moved = moved, settled(moved.join(suspects, "v", "left_anti").unionByName(proved))
+        discard(old, suspects, proved)
+        affected.append(fallen)
+        rest = fallen.withColumnRenamed("v", "parent")
+        resting = own.join(rest, "parent", "left_semi").select("v", "parent").join(moved.select("v"), "v", "left_anti").unionByName(moved.join(rest, "parent", "left_semi").select("v", "parent"))
+        suspects = settled(own.select("v", "value").join(resting, "v", "left_semi").join(_union(affected), "v", "left_anti"))
+    discard(suspects)
+    return settled(_union(affected).distinct()) if affected else own.limit(0).select("v"), moved.select("v"), visited
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def pull_repair(state: DataFrame, affected: DataFrame, pairs: DataFrame, program: MinProgram, max_rounds: int, bucket: int | None = None, small: int | None = None) -> tuple[DataFrame, int]:
     """Resets the affected vertices and gives them the least values the remaining edges allow; (state, rounds).
 
     Their first values come from unaffected in-neighbours, and for rootless programs from their own id; after that
     only affected vertices propagate, and only to each other.
     """
-    kept = settled(state.join(affected, "v", "left_anti"))
+    kept = settled(state.join(affected, "v", "left_anti").select("v", "value", "parent"))
     into = settled(pairs.join(affected.select(F.col("v").alias("dst")), "dst", "left_semi"))
     start = candidates(kept.join(into.select(F.col("src").alias("v")).distinct(), "v", "left_semi"), into, program)
     if not program.rooted:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+_databases: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir; a temporary one is set only where there is none, in local runs."""
@@ -23,12 +27,21 @@ def new_path(spark: SparkSession, name: str = "rounds") -> str:
     return f"{shared_folder(spark)}/{name}/{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, name: str = "rounds", codec: str = "lz4", key: str | None = None, dealt: bool = False) -> DataFrame:
+def _scratch(spark: SparkSession) -> str:
+    """The catalog's database of this application's settled tables: one statement drops what a failed run left."""
+    name = "tidegraph_" + re.sub(r"\W", "_", spark.sparkContext.applicationId)
+    if name not in _databases:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
+        _databases.add(name)
+    return name
+
+
+def settled(df: DataFrame, name: str = "rounds", codec: str = "lz4", key: str | None = None, dealt: bool = False, sort: Sequence[str] = ()) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and later rounds start from it, not from its plan.
 
     With ``key``, the table is dealt out by that column, one file a shuffle partition, and the catalog
-    knows it: joins and aggregations by the key do not move it again.  ``dealt`` says that ``df`` ends in
-    an exchange by the key already.
+    knows it: joins and aggregations by the key do not move it again, and filters on literal keys read only
+    the buckets that can hold them.  ``dealt`` says that ``df`` ends in an exchange by the key already; files are sorted by ``sort``.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -36,8 +49,9 @@ def settled(df: DataFrame, name: str = "rounds", codec: str = "lz4", key: str |
         df.write.option("compression", codec).parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
     else:
-        parts, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"settled_{uuid.uuid4().hex}"
-        (df if dealt else df.repartition(parts, key)).write.bucketBy(parts, key).option("path", path).option("compression", codec).format("parquet").saveAsTable(table)
+        parts, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{_scratch(spark)}.settled_{uuid.uuid4().hex}"
+        writer = (df if dealt else df.repartition(parts, key)).write.bucketBy(parts, key)
+        (writer.sortBy(*sort) if sort else writer).option("path", path).option("compression", codec).format("parquet").saveAsTable(table)
         out = spark.table(table)
         out._settled_table = table
     out._settled_path = path

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import endpoint_weight, splitmix64
 from .operators import analytics, checks, generate, pagerank, regions, repair, topology
 from .operators.components import connected_components, repair_components
-from .operators.programs import BFS, MIN_LABEL, SSSP, MinProgram, all_vertices, solve, vertex_range
+from .operators.live import EdgeIndex, Live, LiveRanks, Outcome
+from .operators.programs import BFS, LABEL_WITNESS, MIN_LABEL, SSSP, MinProgram, all_vertices, solve, vertex_range
 from .operators.store import EdgeStore, Step
 from .plans.local import LOCAL_PAIRS
 from .plans.state import settled
@@ -225,11 +226,16 @@ def pagerank_check_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 Each = Callable[[Step, DataFrame, int], DataFrame]
 
 
-def _batches(spark: SparkSession, sf_dir: str) -> tuple[EdgeStore, list[tuple[int, DataFrame]], int]:
+def _batch_list(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[int, DataFrame]], int]:
     initial, batches = evolving_graph(spark, sf_dir)
     batches = settled(batches)
     ids = sorted(r.batch_id for r in batches.select("batch_id").distinct().collect())
-    return EdgeStore.of(initial), [(b, batches.where(F.col("batch_id") == b).select("op", "src", "dst", "cnt")) for b in ids], vertex_count(spark, sf_dir)
+    return initial, [(b, batches.where(F.col("batch_id") == b).select("op", "src", "dst", "cnt")) for b in ids], vertex_count(spark, sf_dir)
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> tuple[EdgeStore, list[tuple[int, DataFrame]], int]:
+    initial, batches, n = _batch_list(spark, sf_dir)
+    return EdgeStore.of(initial), batches, n
 
 
 def _by_batch(parts: list[tuple[int, DataFrame]]) -> DataFrame:
@@ -462,6 +468,62 @@ def min_label_after_batch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repaired(spark, sf_dir, MIN_LABEL, "label", small=-1)
 
 
+def _live(spark: SparkSession, sf_dir: str, program: MinProgram) -> list[tuple[int, Outcome]]:
+    """Every batch on a two-sided index, from the solve by rounds."""
+    initial, batches, n = _batch_list(spark, sf_dir)
+    live, out = Live.start(initial, program, n, ROOT, small=-1), []
+    for b, batch in batches:
+        out.append((b, live.apply(batch)))
+        live = out[-1][1].live
+    return out
+
+
+def _phases(done: Outcome, value: Column) -> DataFrame:
+    one = done.after_delete.all().withColumn("phase", F.lit("delete")).unionByName(done.live.result().withColumn("phase", F.lit("add")))
+    return one.select("phase", "v", value)
+
+
+@query(ORACLE_SQL["sssp_after_batch"])
+def sssp_after_batch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_batch([(b, _phases(done, F.col("value").alias("dist"))) for b, done in _live(spark, sf_dir, SSSP)])
+
+
+@query(ORACLE_SQL["bfs_after_batch"])
+def bfs_after_batch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_batch([(b, _phases(done, F.col("value").alias("hops"))) for b, done in _live(spark, sf_dir, BFS)])
+
+
+@query(ORACLE_SQL["min_label_after_batch"].replace("v, value AS label", "v, value AS label, true AS certified").replace("'add', v, value", "'add', v, value, true"))
+def label_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels after each phase, and whether each is proved: by being its own root, or by a parent of the same label that is nearer to it, over an edge that is there."""
+    parts = []
+    for b, done in _live(spark, sf_dir, LABEL_WITNESS):
+        for phase, state, edges in (("delete", done.after_delete, done.step.mid), ("add", done.live.state, done.step.after)):
+            parts.append((b, checks.certified_labels(state.all(), edges.pairs(done.live.n, "dst")).select(F.lit(phase).alias("phase"), "v", "label", "certified")))
+    return _by_batch(parts)
+
+
+@query(_RANKED)
+def pagerank_after_batch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    initial, batches, n = _batch_list(spark, sf_dir)
+    live, parts = LiveRanks.start(initial, n, 1e-9, 200, small=-1), []
+    for b, batch in batches:
+        live = live.apply(batch)
+        parts.append((b, live.result().select("v", F.round("rank", 3).alias("rank"))))
+    return _by_batch(parts)
+
+
+@query(f"WITH {_evolving()} {_each('SELECT dst, src, cnt FROM g{c}')}")
+def incoming_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The incoming rows of all vertices after each batch, from the index's side by destination."""
+    initial, batches, n = _batch_list(spark, sf_dir)
+    index, parts = EdgeIndex.of(initial), []
+    for b, batch in batches:
+        index = index.apply(batch, n).after
+        parts.append((b, index.into.all().select("dst", "src", "cnt")))
+    return _by_batch(parts)
+
+
 # -- analytics ----------------------------------------------------------------------------------
 
 _HITS = f"""WITH {_LINES}, hits AS MATERIALIZED (SELECT src AS v, (year - 1990)::BIGINT AS batch_id, count(*)::BIGINT AS hits FROM lines GROUP BY 1, 2),
