@@ -340,6 +340,10 @@ def test_levenshtein_trie():
         word = "".join(w)
         fits = [(edits(word, t), i) for i, t in enumerate(terms) if edits(word, t) <= toxicity.allowed(t)]
         assert trie.find(word) == (min(fits)[::-1] if fits else None), word
+        begun = [min(edits(word[:n], t) for n in range(len(word) + 1)) for t in terms]
+        stems = frozenset(range(len(terms)))
+        fit = any(e <= toxicity.allowed(t) for e, t in zip(begun, terms))
+        assert (trie.find(word, stems) is not None) == fit, word
 
 
 def test_toxicity(spark):
@@ -362,12 +366,47 @@ def test_toxicity(spark):
     assert rows[300].score == rows[301].score == rows[304].score and rows[300].predicted == 0
     assert rows[303].score < rows[5].score
     assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1) for x in rows.values())
-    assert rows[302].score > 20 * rows[304].score
-    quoted, plain = model.features([b'he "moron" said', b"he moron went"])[:, 0]
-    assert quoted < plain
+    assert rows[302].predicted == 1 and rows[303].predicted == 0  # misspelled insults only; a quoted one
+    quoted, plain, wrong = model.counts([b'he "moron" said', b"he moron went", b"he mroron went"])
+    assert quoted.tolist() == [toxicity.QUOTED_WEIGHT, 0, 3] and plain.tolist() == [1, 0, 3] and wrong.tolist() == [0, 1, 3]
+    bad = "you moron are a worthless and idiot thing"
+    wrong, cited = model.planted(bad.encode())
+    assert [p >= 0.7 for p in model.scores([bad.encode(), wrong, cited, b"a calm garden"])] == [True, True, False, False]
+    assert wrong.split()[1] not in (b"moron", b"morons") and cited.split()[1] == b'"moron"' and model.planted(b"calm") is None
     assert toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, labels.limit(0))).where("predicted = 1").count() == 0
 
 
+def thue_morse(k, a="a", b="b"):
+    """Two different words of 2**k letters that polynomials modulo 2**64 do not tell apart, whatever the odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << k)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
+def test_words_that_polynomials_do_not_tell_apart(spark):
+    one, two = thue_morse(11)
+    w = textkit.Words([one.encode(), two.encode(), one.upper().encode(), b"x" * 40, b"x" * 41], fold=True)
+    assert w.h[0] != w.h[1] and w.h[0] == w.h[2] and len(set(w.h.tolist())) == 4
+    assert textkit.Words([one.encode(), one.upper().encode()]).h[0] != textkit.Words([one.upper().encode()]).h[0]
+    tail = " ".join(f"t{i}" for i in range(40))
+    docs = frame(spark, [one, two, f"{one} {tail}", f"{two} {tail}", f"{one} {tail}"])
+    rows = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, k=3, percent=85).collect()}
+    assert rows[0] == 0 and rows[1] == 1 and rows[2] == rows[4]
+    bench = spark.createDataFrame([(7, one)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.containment_search(docs.where("doc_id < 2"), bench).collect()} == {0}
+    gone = {r.doc_id: r.n_removed for r in substring.remove_repeats(docs).collect()}
+    assert gone == {0: 0, 1: 0, 2: 41, 3: 40, 4: 41}
+
+
+def test_common_near_words_are_no_misspellings(spark):
+    """The near word "clawn" is common among clean documents, so it is no insult; other misspellings of the term stay."""
+    rows = [(i, f"what a clown text{i} of words{i}", 1) for i in range(60)] + [(100 + i, f"the clawn is a calm bird{i} here{i}", 0) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t, _ in rows], DOC)
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int"))
+    model.counts([b"makes the automata"])
+    assert "clawn" in model.clean and "clown" not in model.strict
+    assert model.find("clawn") is None and model.find("clownn")[1] == 1 and model.find("clown")[1] == 0
+
+
 def test_audio(spark):
     texts = corpus(n=12)
     rows = {x.doc_id: x for x in audio.media_digests(frame(spark, texts)).collect()}

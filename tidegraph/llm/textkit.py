@@ -3,11 +3,14 @@
 A *word* is a maximal run of bytes other than 0x20 and 0x09-0x0D of the UTF-8
 text.  Words, shingles and windows are compared by 64-bit hashes: a byte (or
 word) polynomial modulo 2**64 with an odd base, so that any span's hash comes
-from two prefix sums, followed by a SplitMix64 finaliser.
+from two prefix sums, followed by a SplitMix64 finaliser.  Such polynomials have equal values for some different
+sequences of over a thousand letters, whatever the base; so words of over LONG bytes are hashed by BLAKE2b, and spans are
+of fewer than a hundred words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 20
+#: Bytes of a word up to which its hash is a polynomial.
+LONG = 40
 BLOCK = 1 << 18
 
 _SPACE = np.zeros(256, bool)
@@ -101,6 +106,10 @@ class Words:
             s = self.start[i:j] - lo
             out[i:j] = mix((sums[self.end[i:j] - lo] - sums[s]) * down[s])
             i = j
+        for i in np.flatnonzero(self.end - self.start > LONG):
+            word = self.buf[self.start[i]:self.end[i]]
+            word = np.where((word >= 65) & (word <= 90), word + 32, word).astype(np.uint8) if table is _FOLDED else word
+            out[i] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8, key=b"words").digest(), "little")
         return out
 
     def counts(self) -> np.ndarray:

@@ -4,7 +4,10 @@ The lexicon holds terms that training documents labelled toxic have far more oft
 others: whole words, and stems, which stand for all words that begin with them.  A trie of the terms is
 intersected with Levenshtein automata: the states of the product (trie node, term position, edits) are
 determinised as texts need them, so a word costs one table step a character.  A hit counts less where its
-context window quotes or reports it.  A logistic model, fitted on labelled documents, joins the hit counts.
+context window quotes or reports it.  A logistic model, fitted on labelled documents, weighs the hits.
+
+Labelled documents hold few misspelled or quoted insults, so what these count is learned from planted ones: each toxic
+training document comes again with its insults misspelled, as toxic, and with its insults quoted, as clean.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ TRAIN_ROWS, MEMORY = 10_000, 500_000
 #: A term is learned from at least SUPPORT different toxic training documents, if its contexts are over RATIO times as
 #: common in toxic documents, and the log-likelihood ratio of that is over EVIDENCE.  Stems have STEM to LONGEST letters.
 SUPPORT, RATIO, EVIDENCE, STEM, LONGEST = 5, 20.0, 30.0, 5, 24
-#: A term is matched with edits unless that hits over one clean training document in so many.
+#: A word of two clean training documents or more is no misspelling of a term.  If a term's other near words still hit over one
+#: clean training document in CLEAN, edits are allowed in whole words only, not before free endings; if that does too, not at all.
 CLEAN = 1000
-WINDOW, QUOTED_WEIGHT = 8, 0.25
+#: What a quoted hit counts, and what a misspelled one may count, of a plain exact one.
+WINDOW, QUOTED_WEIGHT, DISCOUNTS = 8, 0.1, (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 _EDGES = "\"'`.,;:!?()[]{}<>*_~-‘’‚“”„«»‹›¿¡"
 _OPENING, _CLOSING = tuple("\"'‘“„‚«‹`"), tuple("\"'’”“»›`")
 #: Words that report or mention another's words.
@@ -111,20 +116,24 @@ class LevenshteinTrie:
                         least[other] = e + 1
         return self._state(least)
 
-    def find(self, word: str) -> tuple[int, int] | None:
-        state = self.root
+    def find(self, word: str, stems: frozenset[int] = frozenset()) -> tuple[int, int] | None:
+        """The best match of the whole word, or of its beginning with one of the terms ``stems``."""
+        state, begun = self.root, None
         for c in word:
             moves = self.moves[state]
             if c not in moves:
                 if len(self.sets) > 200_000:  # bounded memory: start over
                     self.states, self.sets, self.moves, self.best = {}, [], [], []
                     self.root = self._state({0: 0})
-                    return self.find(word)
+                    return self.find(word, stems)
                 moves[c] = self._step(state, c)
             state = moves[c]
             if state < 0:
-                return None
-        return self.best[state]
+                return begun
+            hit = self.best[state]
+            if stems and hit is not None and hit[0] in stems and (begun is None or hit[1] < begun[1]):
+                begun = hit
+        return self.best[state] or begun
 
 
 def quoted(words: list[str], at: int, lo: int) -> bool:
@@ -137,14 +146,25 @@ def quoted(words: list[str], at: int, lo: int) -> bool:
     return any(plain(w) in REPORTING for w in words[max(0, i - 4): i])
 
 
-FEATURES = 4
+def misspelled(word: str, at: int) -> str:
+    """The word with one edit behind its first letter: a letter twice, left out, or exchanged with the next."""
+    i = 1 + zlib.crc32(word.encode()) % max(1, at - 2)
+    return (word[:i] + word[i] + word[i:], word[:i] + word[i + 1:], word[:i] + word[i + 1:i + 2] + word[i] + word[i + 2:])[zlib.crc32(word.encode()) // 7 % 3]
+
+
+#: What is learned of a text: its exact hits, its misspelled ones, and its words.
+COUNTS = 3
 
 
 class ToxicityModel:
-    """``terms`` are whole words; those in ``stems`` also stand for every word that begins with them; ``strict`` ones are not matched with edits."""
+    """``terms`` are whole words; those in ``stems`` also stand for every word that begins with them; ``strict`` ones are not matched with
+    edits, ``closed`` stems with edits only as whole words, and words in ``clean`` are no misspellings.
 
-    def __init__(self, terms: list[str], weights: np.ndarray | None = None, stems: frozenset[str] = frozenset(), strict: frozenset[str] = frozenset()):
-        self.terms, self.weights, self.stems, self.strict = terms, weights, stems, strict
+    ``weights`` are of the hits' strength, of its share of the words, and constant; a misspelled hit counts ``discount``.
+    """
+
+    def __init__(self, terms: list[str], weights: np.ndarray | None = None, stems: frozenset[str] = frozenset(), strict: frozenset[str] = frozenset(), clean: frozenset[str] = frozenset(), closed: frozenset[str] = frozenset(), discount: float = 1.0):
+        self.terms, self.weights, self.stems, self.strict, self.clean, self.closed, self.discount = terms, weights, stems, strict, clean, closed, discount
         self.shortest, self.longest = (min(map(len, stems)), max(map(len, stems))) if stems else (1, 0)
         self._trie: LevenshteinTrie | None = None
         self._known: dict[int, tuple[int, int] | None] = {}
@@ -154,26 +174,46 @@ class ToxicityModel:
 
     def _prepare(self) -> None:
         self._trie, self._at = LevenshteinTrie(self.terms, self.strict), {t: i for i, t in enumerate(self.terms)}
+        self._open = frozenset(self._at[t] for t in self.stems - self.closed)
 
-    def near_terms(self, text: bytes) -> set[int]:
-        """The terms that words of a text match with edits."""
+    def near_words(self, text: bytes) -> set[tuple[int, str]]:
+        """(term, word) of the words of a text that are a term with edits."""
         if self._trie is None:
             self._prepare()
         words = {plain(w) for w in text.decode("utf-8", "replace").split()}
-        return {hit[0] for w in words if (hit := self.find(w)) is not None and hit[1] > 0}
+        return {(hit[0], w) for w in words if (hit := self.find(w)) is not None and hit[1] > 0}
+
+    def planted(self, text: bytes) -> tuple[bytes, bytes] | None:
+        """The text with its exact hits misspelled, and with them quoted; None if it has none that edits could match."""
+        if self._trie is None:
+            self._prepare()
+        wrong, cited, found = [], [], False
+        for w in text.decode("utf-8", "replace").split():
+            hit = self.find(plain(w))
+            if hit is None or hit[1]:
+                wrong.append(w)
+                cited.append(w)
+                continue
+            term = self.terms[hit[0]]
+            if self._trie.edits[hit[0]]:
+                found = True
+                wrong.append(misspelled(plain(w), len(term)))
+            cited.append(f'"{plain(w)}"')
+        return (" ".join(wrong).encode(), " ".join(cited).encode()) if found else None
 
     def find(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of a word: a stem at its beginning, or else the best whole term within the edits that its length allows."""
         for n in range(self.shortest, min(self.longest, len(word)) + 1):
             if word[:n] in self.stems:
                 return self._at[word[:n]], 0
-        return self._trie.find(word)
+        hit = self._trie.find(word, self._open)
+        return None if hit is not None and hit[1] and word in self.clean else hit
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
-        """By text: exact and misspelled hits (quoted ones count QUOTED_WEIGHT), each as log(1 + x), and both per 100 words."""
+    def counts(self, texts: list[bytes]) -> np.ndarray:
+        """By text: exact hits, misspelled hits (quoted ones of both count QUOTED_WEIGHT), and words."""
         if self._trie is None:
             self._prepare()
-        out = np.zeros((len(texts), FEATURES))
+        out = np.zeros((len(texts), COUNTS))
         w = Words(texts, fold=True)
         fresh, first, index = np.unique(w.h, return_index=True, return_inverse=True)
         kinds = np.zeros(len(fresh), np.int8)
@@ -194,38 +234,37 @@ class ToxicityModel:
                 lo, hi = max(int(w.off[row]), i - WINDOW), min(int(w.off[row + 1]), i + WINDOW + 1)
                 near = [raw[w.start[x]:w.end[x]].decode("utf-8", "replace") for x in range(lo, hi)]
                 out[row, kind[i] - 1] += QUOTED_WEIGHT if quoted(near, i, lo) else 1.0
-        out[:, 2:] = out[:, :2] * (100 / np.maximum(w.counts(), 20))[:, None]
-        return np.log1p(out)
+        out[:, 2] = w.counts()
+        return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.features(texts) @ self.weights[:-1] + self.weights[-1])))
+        return 1 / (1 + np.exp(-(strengths(self.counts(texts), self.discount) @ self.weights[:-1] + self.weights[-1])))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, tie: float = 1e-3) -> np.ndarray:
-    """Coefficients and, last, the constant; a hit never speaks against toxicity.
+def strengths(counts: np.ndarray, discount: float) -> np.ndarray:
+    """The hits of texts, and their share per 100 words, each as log(1 + x)."""
+    hits = counts[:, 0] + discount * counts[:, 1]
+    return np.log1p(np.column_stack([hits, hits * 100 / np.maximum(counts[:, 2], 20)]))
 
-    Training documents may hold no misspelled term: their weights are drawn to half of the exact hits',
-    so far as clean documents with near hits do not say otherwise.
-    """
-    prior_form = ridge * np.diag([1.0] * x.shape[1] + [0.0])
-    for exact, near in ((0, 1), (2, 3)):
-        v = np.zeros(x.shape[1] + 1)
-        v[near], v[exact] = 1.0, -0.5
-        prior_form += tie * np.outer(v, v)
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Coefficients and, last, the constant; and the loss.  A hit never speaks against toxicity."""
+    form = ridge * np.diag([1.0] * x.shape[1] + [0.0])
     prior = min(max(y.mean(), 0.01), 0.99) if len(y) else 0.1
     w = np.append(np.full(x.shape[1], 0.1), math.log(prior / (1 - prior)))
     z = np.hstack([x, np.ones((len(x), 1))])
     for _ in range(400 if len(y) else 0):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         s = p * (1 - p) + 1e-4
-        h = z.T @ (z * s[:, None]) / len(y) + prior_form + 1e-9 * np.eye(len(w))
-        g = z.T @ (p - y) / len(y) + prior_form @ w
+        h = z.T @ (z * s[:, None]) / len(y) + form + 1e-9 * np.eye(len(w))
+        g = z.T @ (p - y) / len(y) + form @ w
         new = w - 0.5 * np.linalg.solve(h, g)
         new[:-1] = np.maximum(new[:-1], 0)
         if np.abs(new - w).max() < 1e-7:
             break
         w = new
-    return w
+    t = np.clip(z @ w, -30, 30)
+    return w, float(np.mean(np.logaddexp(0, t) - y * t)) if len(y) else 0.0
 
 
 def _copy_mark(words: list[str]) -> int:
@@ -293,18 +332,23 @@ def learned_terms(rows: DataFrame, support: int = SUPPORT, ratio: float = RATIO,
     return words, sorted(stems)
 
 
-def _ambiguous(rows: DataFrame, model: ToxicityModel) -> frozenset[str]:
-    """The terms whose misspellings are words of clean training documents: of over one in CLEAN of them, and more than one."""
+def _ambiguous(rows: DataFrame, model: ToxicityModel) -> tuple[frozenset[str], frozenset[str]]:
+    """(terms, words) by the clean training documents: words of two of them or more that are near a term are words of their own; terms
+    are ambiguous if other near words hit over one document in CLEAN, and more than one.
+    """
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [i for t in as_bytes(batch.column(0)) for i in model.near_terms(t)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["term"])
+            found = [x for t in as_bytes(batch.column(0)) for x in model.near_words(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string())], ["term", "word"])
 
     clean = rows.where("label <= 0.5")
     most = max(1, clean.count() / CLEAN)
-    got = clean.select("text").mapInArrow(near, "term bigint").groupBy("term").count().where(F.col("count") > most).collect()  # a row a term at most
-    return frozenset(model.terms[r.term] for r in got)
+    got = stored(clean.select("text").mapInArrow(near, "term bigint, word string").groupBy("term", "word").count(), "toxicity-near")
+    words = frozenset(r.word for r in got.where("count > 1").select("word").distinct().collect())  # words of the training rows near a term
+    strict = got.where("count = 1").groupBy("term").count().where(F.col("count") > most).collect()  # a row a term at most
+    discard(got)
+    return frozenset(model.terms[r.term] for r in strict), words
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, lexicon: list[str] | None = None, **settings: float) -> ToxicityModel:
@@ -319,17 +363,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, lex
     rows = stored(rows, "toxicity-training")
     words, stems = learned_terms(rows, **settings)
     terms = sorted({*words, *stems} | {plain(x) for x in lexicon or [] if plain(x)})
-    model = ToxicityModel(terms, stems=frozenset(stems), strict=_ambiguous(rows, ToxicityModel(terms, stems=frozenset(stems))))
+    stems = frozenset(stems)
+    closed, clean = _ambiguous(rows, ToxicityModel(terms, stems=stems))
+    strict, more = _ambiguous(rows, ToxicityModel(terms, stems=stems, clean=clean, closed=closed))
+    model = ToxicityModel(terms, stems=stems, strict=strict, clean=clean | more, closed=closed)
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The counts of training texts and, of toxic ones, of their planted forms."""
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            x = np.vstack([np.empty((0, FEATURES)), *[model.features(texts[lo:hi]) for lo, hi in blocks(texts)]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x[:, i]) for i in range(FEATURES)]], ["doc_id", "label", *[f"x{i}" for i in range(FEATURES)]])
-
-    got = sorted(rows.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label double, " + ", ".join(f"x{i} double" for i in range(FEATURES))).collect())
+            texts, labels = as_bytes(batch.column(1)), batch.column(2).to_pylist()
+            for t, y in zip(list(texts), list(labels)):
+                forms = model.planted(t) if y > 0.5 else None
+                texts += forms or ()
+                labels += (1.0, 0.0) if forms else ()
+            x = np.vstack([np.empty((0, COUNTS)), *[model.counts(texts[lo:hi]) for lo, hi in blocks(texts)]])
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.float64()), *[pa.array(x[:, i]) for i in range(COUNTS)]], ["label", *[f"x{i}" for i in range(COUNTS)]])
+
+    got = sorted(map(tuple, rows.mapInArrow(counts, "label double, " + ", ".join(f"x{i} double" for i in range(COUNTS))).collect()))  # three rows a training row at most
     discard(rows)
-    model.weights = logistic(np.array([r[2:] for r in got]).reshape(-1, FEATURES), np.array([r[1] for r in got]))
+    x, y = np.array([r[1:] for r in got]).reshape(-1, COUNTS), np.array([r[0] for r in got])
+    fits = [(loss, d, w) for d in DISCOUNTS for w, loss in [logistic(strengths(x, d), y)]]
+    _, model.discount, model.weights = min(fits, key=lambda f: f[:2])
     return model
 
 
