@@ -313,7 +313,17 @@ def test_planner_and_sources(spark):
         analytics.plan_costs(rows, rates | {"cpu": 0})
     edges = bag_frame(spark, Counter([(1, 2), (2, 3), (3, 2), (4, 2), (5, 6)]))
     gone = spark.createDataFrame([(0, 2, 3), (1, 3, 2)], "batch_id long, src long, dst long")
-    assert tuple(analytics.best_sources(edges, gone, 7).first()) == (1, 3, 2, 2)
+    assert tuple(regions.best_sources(edges, gone).first()) == (1, 3, 2, 2)
+    r = random.Random(17)
+    bag = Counter((r.randrange(90), r.randrange(90)) for _ in range(100))
+    gone = [(r.randrange(5), r.randrange(90), 0) for _ in range(60)]
+    reach = {v: {v} for v in range(90)}
+    for _ in range(90):
+        for u, v in bag:
+            reach[u] |= reach[v]
+    want = sorted(((u, len(reach[u]), sum(g[1] in reach[u] for g in gone), len({g[0] for g in gone if g[1] in reach[u]})) for u in {u for u, _ in bag}), key=lambda x: (-x[3], -x[2], -x[1], x[0]))
+    got = regions.best_sources(bag_frame(spark, bag), spark.createDataFrame(gone, "batch_id long, src long, dst long")).collect()
+    assert [tuple(x) for x in got] == want[:8]
 
 
 def test_generators(spark):

@@ -184,33 +184,6 @@ def prefix_counts(rows: DataFrame, capacities: list[int]) -> DataFrame:
     return counts.select(F.explode(F.array(*[F.struct(F.lit(c).cast("long").alias("capacity"), F.col(f"c{i}").alias("candidates")) for i, c in enumerate(capacities)])).alias("x")).select("x.*")
 
 
-def reach_from_all(edges: DataFrame, roots: DataFrame, max_rounds: int) -> DataFrame:
-    """(root, v): what each root reaches, itself included; the pairs can be as many as roots times vertices."""
-    pairs = settled(edges.where("src != dst").select("src", "dst").distinct().repartition("src"))
-    new = settled(roots.select(F.col("v").alias("root"), "v"))
-    seen, rounds = new, 0
-    while not new.isEmpty():
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError("the search did not end")
-        to = new.join(pairs, F.col("v") == F.col("src")).select("root", F.col("dst").alias("v")).distinct()
-        new = settled(to.join(seen, ["root", "v"], "left_anti"))
-        seen = settled(seen.union(new))
-    return seen
-
-
-def best_sources(edges: DataFrame, deletions: DataFrame, n: int, k: int = 8) -> DataFrame:
-    """The k best (source, reachable, deletion_records, deletion_batches): sources that reach most, then see most deletions.
-
-    A deletion (batch_id, src, dst) counts for the sources that reach its source vertex.
-    """
-    reach = reach_from_all(edges, edges.select(F.col("src").alias("v")).distinct(), n + 1)
-    size = reach.groupBy("root").agg(F.count("*").alias("reachable"))
-    seen = reach.join(deletions.select(F.col("src").alias("v"), "batch_id"), "v").groupBy("root").agg(F.count("*").alias("deletion_records"), F.count_distinct("batch_id").alias("deletion_batches"))
-    out = size.join(seen, "root", "left").select(F.col("root").alias("source"), "reachable", F.coalesce("deletion_records", F.lit(0)).cast("long").alias("deletion_records"), F.coalesce("deletion_batches", F.lit(0)).cast("long").alias("deletion_batches"))
-    return out.orderBy(F.desc("deletion_batches"), F.desc("deletion_records"), F.desc("reachable"), "source").limit(k)
-
-
 def plan_costs(placements: DataFrame, rates: dict[str, float]) -> DataFrame:
     """Each candidate placement (name, cpu_edges, gpu_edges, events, topology_ns, placement_ns, migration_ns, dependency_ns, eligible) with its modelled ns.
 

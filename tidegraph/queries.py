@@ -14,8 +14,9 @@ from .operators.live import EdgeIndex, Live, LiveRanks, Outcome
 from .operators.programs import BFS, LABEL_WITNESS, MIN_LABEL, SSSP, MinProgram, all_vertices, solve, vertex_range
 from .operators.store import EdgeStore, Step
 from .plans.local import LOCAL_PAIRS
-from .plans.state import settled
+from .plans.state import new_path, settled
 from .sources.derived import evolving_graph, order_lines, part_graph, vertex_count
+from .sources.traces import read_trace, write_trace
 
 ROOT, CAPACITY, JACOBI_ROUNDS = 1, 5_000, 20
 Query = Callable[[SparkSession, str], DataFrame]
@@ -469,9 +470,9 @@ def min_label_after_batch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _live(spark: SparkSession, sf_dir: str, program: MinProgram) -> list[tuple[int, Outcome]]:
-    """Every batch on a two-sided index, from the solve by rounds."""
+    """Every batch on a two-sided index; batches of more rows than a lookup may have are repaired by rounds."""
     initial, batches, n = _batch_list(spark, sf_dir)
-    live, out = Live.start(initial, program, n, ROOT, small=-1), []
+    live, out = Live.start(initial, program, n, ROOT), []
     for b, batch in batches:
         out.append((b, live.apply(batch)))
         live = out[-1][1].live
@@ -488,11 +489,6 @@ def sssp_after_batch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_batch([(b, _phases(done, F.col("value").alias("dist"))) for b, done in _live(spark, sf_dir, SSSP)])
 
 
-@query(ORACLE_SQL["bfs_after_batch"])
-def bfs_after_batch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_batch([(b, _phases(done, F.col("value").alias("hops"))) for b, done in _live(spark, sf_dir, BFS)])
-
-
 @query(ORACLE_SQL["min_label_after_batch"].replace("v, value AS label", "v, value AS label, true AS certified").replace("'add', v, value", "'add', v, value, true"))
 def label_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels after each phase, and whether each is proved: by being its own root, or by a parent of the same label that is nearer to it, over an edge that is there."""
@@ -506,7 +502,7 @@ def label_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_RANKED)
 def pagerank_after_batch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     initial, batches, n = _batch_list(spark, sf_dir)
-    live, parts = LiveRanks.start(initial, n, 1e-9, 200, small=-1), []
+    live, parts = LiveRanks.start(initial, n, 1e-9, 200), []
     for b, batch in batches:
         live = live.apply(batch)
         parts.append((b, live.result().select("v", F.round("rank", 3).alias("rank"))))
@@ -574,6 +570,37 @@ def cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "batch_id bigint, refresh boolean, same boolean")
 
 
+@query(ORACLE_SQL["cache_patch_diff"])
+def cache_patch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same differences from the admitted sets as they are written to binary traces and read back."""
+    path = new_path(spark, "traces")
+    sets = [x.select(F.lit(b + 1).cast("long").alias("batch_id"), F.lit(CAPACITY).cast("long").alias("capacity_edges"), F.col("v").alias("vertex"), "degree") for b, x in _admitted(spark, sf_dir)]
+    for more in sets[1:]:
+        sets[0] = sets[0].unionByName(more)
+    write_trace(sets[0], path, "cache")
+    back = read_trace(spark, path, "cache")
+    kept = [back.where(F.col("batch_id") == b).select(F.col("vertex").alias("v"), "degree") for b in range(BATCHES + 1)]
+    return _by_batch([(b, analytics.cache_diff(old, new)) for b, (old, new) in enumerate(zip(kept, kept[1:]))])
+
+
+def _sources_sql() -> str:
+    """Reached sets as bit strings, a bit a vertex."""
+    gone = " UNION ALL ".join(f"SELECT {b} AS b, src, dels FROM p{b} WHERE dels > 0" for b in range(BATCHES))
+    return f"""WITH RECURSIVE {_evolving()}, own AS MATERIALIZED (SELECT v, set_bit(repeat('0', (SELECT count(*) FROM verts)::INT)::BIT, v::INT, 1) AS m FROM verts),
+r(v, m) USING KEY (v) AS (SELECT v, m FROM own UNION
+  SELECT e.src, bit_or(r.m | o.m) FROM r JOIN g0 e ON e.dst = r.v LEFT JOIN recurring.r o ON o.v = e.src WHERE (r.m | o.m) <> o.m GROUP BY e.src),
+d AS MATERIALIZED (SELECT src AS v, sum(dels)::BIGINT AS records, bit_or(1 << b) AS batches FROM ({gone}) GROUP BY src)
+SELECT r.v AS source, bit_count(any_value(r.m))::BIGINT AS reachable, coalesce(sum(d.records), 0)::BIGINT AS deletion_records, coalesce(bit_count(bit_or(d.batches)), 0)::BIGINT AS deletion_batches
+FROM r LEFT JOIN d ON get_bit(r.m, d.v::INT) = 1 WHERE r.v IN (SELECT src FROM g0) GROUP BY r.v ORDER BY deletion_batches DESC, deletion_records DESC, reachable DESC, source LIMIT 8"""
+
+
+@query(_sources_sql())
+def best_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight vertices of the initial graph that see the most of all batches' deletions."""
+    initial, batches = evolving_graph(spark, sf_dir)
+    return regions.best_sources(settled(initial), settled(batches.where("op = 'd'")))
+
+
 CAPACITIES = [0, 1_000, 5_000, 20_000, 1_000_000]
 
 
