@@ -13,6 +13,7 @@ from tidegraph.operators.live import EdgeIndex, Live, LiveRanks
 from tidegraph.operators.pagerank import pagerank
 from tidegraph.operators.programs import BFS, HOPS, LABEL_WITNESS, MIN_LABEL, SSSP
 from tidegraph.plans import layers
+from tidegraph.streaming.engine import LiveFolder
 
 PROGRAMS = {"bfs": BFS, "sssp": SSSP, "min_label": LABEL_WITNESS}
 
@@ -132,3 +133,28 @@ def test_layers_grow_into_a_new_base(spark, monkeypatch):
         table.get(range(9), most=2)
     with pytest.raises(ValueError):
         Live.start(bag_frame(spark, Counter({(0, 1): 1})), MIN_LABEL, 2)
+
+
+def test_a_failed_publication_leaves_the_epoch_before(spark, tmp_path, monkeypatch):
+    n, (bag, batches) = 14, _batches(41, 14, 3)
+    folder = LiveFolder(spark, str(tmp_path))
+    live = Live.start(bag_frame(spark, bag), SSSP, n)
+    folder.publish(live, 0)
+    done = live.apply(batch_frame(spark, batches[0][0])).live
+    with monkeypatch.context() as m:
+        m.setattr(folder, "_commit", lambda *x: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            folder.publish(done, 1)
+    again = LiveFolder(spark, str(tmp_path))
+    assert again.published() == 0
+    old = again.open()
+    assert as_bag(old.edges.view()) == as_bag(old.edges.into.all()) == bag
+    for epoch, (batch, _, last, _) in enumerate(batches, 1):
+        old = old.apply(batch_frame(spark, batch)).live
+        again.publish(old, epoch)
+        old = LiveFolder(spark, str(tmp_path)).open()
+        assert as_bag(old.edges.view()) == as_bag(old.edges.into.all()) == last
+        assert {r.v: r.value for r in old.result().collect()} == oracle.solve("sssp", n, last)
+    with pytest.raises(ValueError):
+        again.open(0)
+    assert "SelectedBucketsCount" in old.edges.out.lookup([1, 2])._jdf.queryExecution().executedPlan().toString() or old.edges.out.get([1, 2])

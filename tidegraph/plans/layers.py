@@ -135,6 +135,15 @@ class Layered:
             return new
         return out
 
+    def changes(self) -> DataFrame | None:
+        """What hides the base: overlay and newest rows, those that are gone included; None if there are none."""
+        if not self.mem:
+            return self.over
+        newest = self._newest()
+        if self.over is None:
+            return newest
+        return self.over.join(F.broadcast(newest.select(*self.unique)), list(self.unique), "left_anti").unionByName(newest)
+
     def release(self, *kept: Layered) -> None:
         """Deletes the layers that none of the ``kept`` snapshots has."""
         held = [id(x) for k in kept for x in (k.base, k.over)]

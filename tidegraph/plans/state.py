@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _databases: set[str] = set()
 
@@ -36,7 +37,7 @@ def _scratch(spark: SparkSession) -> str:
     return name
 
 
-def settled(df: DataFrame, name: str = "rounds", codec: str = "lz4", key: str | None = None, dealt: bool = False, sort: Sequence[str] = ()) -> DataFrame:
+def settled(df: DataFrame, name: str = "rounds", codec: str = "lz4", key: str | None = None, dealt: bool = False, sort: Sequence[str] = (), path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and later rounds start from it, not from its plan.
 
     With ``key``, the table is dealt out by that column, one file a shuffle partition, and the catalog
@@ -44,7 +45,7 @@ def settled(df: DataFrame, name: str = "rounds", codec: str = "lz4", key: str |
     the buckets that can hold them.  ``dealt`` says that ``df`` ends in an exchange by the key already; files are sorted by ``sort``.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     if key is None:
         df.write.option("compression", codec).parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
@@ -58,6 +59,14 @@ def settled(df: DataFrame, name: str = "rounds", codec: str = "lz4", key: str |
     return out
 
 
+def reopened(spark: SparkSession, path: str, schema: StructType, key: str, parts: int) -> DataFrame:
+    """A table that ``settled`` wrote with a key, maybe in another session."""
+    table = f"{_scratch(spark)}.settled_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({key}) INTO {parts} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes settled tables that no later plan reads; other frames are left alone."""
     for df in tables:

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.live import EdgeIndex, Live
 from ..operators.pagerank import pagerank, update_pagerank
-from ..operators.programs import MinProgram, solve
+from ..operators.programs import BFS, LABEL_WITNESS, SSSP, MinProgram, solve
 from ..operators.repair import update
 from ..operators.store import EdgeStore
-from ..schema import RANKS, STATE
+from ..plans.layers import Layered
+from ..plans.state import reopened, settled
+from ..schema import EDGES, RANKS, STATE
 from ..sources.text import report
 
 BATCH = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("op", T.StringType()), T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
@@ -21,6 +24,85 @@ _EDGES = T.StructType([T.StructField(c, T.LongType()) for c in ("src", "dst", "c
 _PUBLISHED = T.StructType([T.StructField(c, T.LongType()) for c in ("epoch", "base", "rows", "touched")])
 
 
+#: The tables of a ``Live``: schema, key, unique columns, and the column whose null says that a row is gone.
+_LIVE = {"out": (EDGES, "src", ("src", "dst"), "cnt"), "into": (EDGES, "dst", ("src", "dst"), "cnt"), "state": (STATE, "v", ("v",), "value")}
+_LIVE_PUBLISHED = "epoch long, program string, n long, parts long, " + ", ".join(f"{t}_base long, {t}_rows long, {t}_over long" for t in _LIVE)
+
+
+class LiveFolder:
+    """A ``Live`` in a folder that survives the session: both sides of its edges and its state, published together.
+
+    An epoch writes what has changed since its bases, and a base only when there is a new one; it counts when one small file
+    names all of its tables.  A publication that was cut short leaves the epoch before as the last one, and what it wrote is written over.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keep: int = 2):
+        self.spark, self.folder, self.keep = spark, folder.rstrip("/"), keep
+        self._bases: dict[str, tuple[DataFrame, int]] = {}
+
+    def _files(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def _clear(self, path: str) -> None:
+        fs, where = self._files(path)
+        fs.delete(where, True)
+
+    def _rows(self) -> list[Row]:
+        """The published epochs, the last one first."""
+        fs, where = self._files(f"{self.folder}/published")
+        if not fs.exists(where):
+            return []
+        return self.spark.read.schema(_LIVE_PUBLISHED).parquet(f"{self.folder}/published/*").orderBy(F.desc("epoch")).collect()  # at most keep rows
+
+    def _write(self, df: DataFrame, name: str, kind: str, epoch: int) -> DataFrame:
+        path, key = f"{self.folder}/{kind}/{name}/{epoch}", _LIVE[name][1]
+        self._clear(path)
+        return settled(df, key=key, sort=[key], path=path)
+
+    def _commit(self, row: tuple, epoch: int) -> None:
+        self.spark.createDataFrame([row], _LIVE_PUBLISHED).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/published/{epoch}")
+
+    def publish(self, live: Live, epoch: int) -> None:
+        parts, bases = int(self.spark.conf.get("spark.sql.shuffle.partitions")), dict(self._bases)
+        row: list = [epoch, live.program.name, live.n, parts]
+        for name, table in {"out": live.edges.out, "into": live.edges.into, "state": live.state}.items():
+            if name not in bases or bases[name][0] is not table.base:
+                self._write(table.base, name, "base", epoch)
+                bases[name] = (table.base, epoch)
+            more = table.changes()
+            row += [bases[name][1], table.size, -1 if more is None else self._write(more, name, "over", epoch).count()]
+        self._commit(tuple(row), epoch)
+        self._bases = bases
+        rows = self._rows()
+        needed = {(t, r[f"{t}_base"]) for r in rows[: self.keep] for t in _LIVE}
+        for r in rows[self.keep:]:
+            self._clear(f"{self.folder}/published/{r.epoch}")
+            for t in _LIVE:
+                self._clear(f"{self.folder}/over/{t}/{r.epoch}")
+                if (t, r[f"{t}_base"]) not in needed:
+                    self._clear(f"{self.folder}/base/{t}/{r[f'{t}_base']}")
+
+    def published(self) -> int:
+        """The last epoch, -1 if there is none."""
+        rows = self._rows()
+        return rows[0].epoch if rows else -1
+
+    def open(self, epoch: int | None = None) -> Live:
+        """The state of a kept epoch, the last one if none is given."""
+        row = next((r for r in self._rows() if epoch is None or r.epoch == epoch), None)
+        if row is None:
+            raise ValueError(f"epoch {epoch} is not published, or no longer kept")
+        tables = {}
+        for name, (schema, key, unique, value) in _LIVE.items():
+            base = reopened(self.spark, f"{self.folder}/base/{name}/{row[f'{name}_base']}", schema, key, row.parts)
+            over = None if row[f"{name}_over"] < 0 else reopened(self.spark, f"{self.folder}/over/{name}/{row.epoch}", schema, key, row.parts)
+            tables[name] = Layered(base, row[f"{name}_rows"], key, unique, value, over, max(0, row[f"{name}_over"]))
+            self._bases[name] = (base, row[f"{name}_base"])
+        program = {p.name: p for p in (BFS, SSSP, LABEL_WITNESS)}[row.program]
+        return Live(EdgeIndex(tables["out"], tables["into"]), tables["state"], program, row.n)
+
+
 @dataclass
 class StreamingGraph:
     """A graph and one program's result, in a folder that survives the session.
