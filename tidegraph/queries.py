@@ -722,24 +722,67 @@ def majority_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.majority_component(weak_components(spark, sf_dir))
 
 
-@query()
+# strong components by reached sets, as bit strings with a bit a vertex; then the components' graph and its levels
+_STRONG = f"""{_graph()}, own AS MATERIALIZED (SELECT v, set_bit(repeat('0', (SELECT count(*) FROM verts)::INT)::BIT, v::INT, 1) AS m FROM verts),
+rs(v, m) USING KEY (v) AS (SELECT v, m FROM own UNION
+  SELECT e.src, bit_or(x.m | o.m) FROM rs x JOIN g e ON e.dst = x.v LEFT JOIN recurring.rs o ON o.v = e.src WHERE (x.m | o.m) <> o.m GROUP BY e.src),
+rm AS MATERIALIZED (SELECT v, m FROM rs),
+sc AS MATERIALIZED (SELECT a.v, min(b.v) AS c FROM rm a JOIN rm b ON get_bit(a.m, b.v::INT) = 1 AND get_bit(b.m, a.v::INT) = 1 GROUP BY a.v),
+nodes AS MATERIALIZED (SELECT DISTINCT c AS v FROM sc),
+dag AS MATERIALIZED (SELECT a.c AS src, b.c AS dst, sum(cnt)::BIGINT AS cnt FROM g JOIN sc a ON a.v = g.src JOIN sc b ON b.v = g.dst WHERE a.c <> b.c GROUP BY ALL),
+lv(v, level) USING KEY (v) AS (SELECT v, 0::BIGINT FROM nodes UNION SELECT d.dst, max(l.level + 1)::BIGINT FROM lv l JOIN dag d ON d.src = l.v LEFT JOIN recurring.lv r ON r.v = d.dst WHERE r.level < l.level + 1 GROUP BY d.dst)"""
+
+
+def _strong(spark: SparkSession, sf_dir: str, small: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The whole graph, and its vertices' strong components."""
+    edges = settled(part_graph(spark, sf_dir))
+    return edges, settled(regions.strong_components(vertex_range(spark, vertex_count(spark, sf_dir)), edges, small))
+
+
+@query(f"WITH RECURSIVE {_STRONG} SELECT v, c AS component FROM sc")
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.strong_components(vertex_range(spark, vertex_count(spark, sf_dir)), settled(part_graph(spark, sf_dir)))
+    return _strong(spark, sf_dir)[1]
+
 
+@query(ORACLE_SQL["strong_components"])
+def strong_components_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strong(spark, sf_dir, -1)[1]
 
-@query()
+
+@query(f"WITH RECURSIVE {_STRONG} SELECT v, level FROM lv")
 def critical_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = settled(part_graph(spark, sf_dir))
-    components = settled(regions.strong_components(vertex_range(spark, vertex_count(spark, sf_dir)), edges))
+    edges, components = _strong(spark, sf_dir)
     return regions.levels(components.select(F.col("component").alias("v")).distinct(), settled(regions.condensation(edges, components)))
 
 
+@query(ORACLE_SQL["critical_levels"])
+def critical_levels_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same levels by rounds."""
+    edges, components = _strong(spark, sf_dir)
+    return regions.levels(components.select(F.col("component").alias("v")).distinct(), settled(regions.condensation(edges, components)), -1)
+
+
+@query(f"""WITH RECURSIVE {_STRONG}, work AS MATERIALIZED (SELECT v, vertices + coalesce(i, 0) + coalesce(o, 0) AS work, vertices, coalesce(i, 0) AS incoming, coalesce(o, 0) AS outgoing FROM (SELECT c AS v, count(*) AS vertices FROM sc GROUP BY c)
+  LEFT JOIN (SELECT c AS v, sum(cnt) AS i FROM g JOIN sc ON sc.v = g.dst GROUP BY c) USING (v) LEFT JOIN (SELECT c AS v, sum(cnt) AS o FROM g JOIN sc ON sc.v = g.src GROUP BY c) USING (v)),
+{_WEAK.replace("FROM g", "FROM dag").replace("FROM verts", "FROM nodes")},
+placed AS MATERIALIZED (SELECT v, c AS weak, work, vertices, incoming, outgoing, least(floor((sum(work) OVER (PARTITION BY c ORDER BY level, v) - work) * 4 / sum(work) OVER (PARTITION BY c)), 3)::INT AS part FROM work JOIN lv USING (v) JOIN wcc USING (v)),
+e AS MATERIALIZED (SELECT dag.src, dag.dst, a.weak, a.part AS p, b.part AS q FROM dag JOIN placed a ON a.v = dag.src JOIN placed b ON b.v = dag.dst),
+path(v, path) USING KEY (v) AS (SELECT v, work::BIGINT FROM placed UNION SELECT e.dst, max(x.path + w.work)::BIGINT FROM path x JOIN e ON e.src = x.v AND e.p = e.q JOIN work w ON w.v = e.dst LEFT JOIN recurring.path r ON r.v = e.dst WHERE r.path < x.path + w.work GROUP BY e.dst)
+SELECT placed.weak, placed.part, count(*) AS components, sum(vertices)::BIGINT AS vertices, sum(incoming)::BIGINT AS incoming, sum(outgoing)::BIGINT AS outgoing, sum(work)::BIGINT AS work, coalesce(any_value(n), 0)::BIGINT AS successor_cuts, max(path) AS path
+FROM placed JOIN path USING (v) LEFT JOIN (SELECT weak, p AS part, count(*) AS n FROM e WHERE p < q GROUP BY 1, 2) k ON k.weak = placed.weak AND k.part = placed.part GROUP BY placed.weak, placed.part""")
+def condensation_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each weak component of the whole graph's condensation in four parts by work."""
+    edges, strong = _strong(spark, sf_dir)
+    return regions.closed_parts(strong, edges)
+
+
 def _acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs that lead to a larger part number: a graph without a cycle, so that levels and paths are long."""
-    return settled(part_graph(spark, sf_dir).where("src < dst"))
+    """All pairs but loops, led from the smaller to the larger part number: a graph without a cycle, so that levels and paths are long."""
+    ends = part_graph(spark, sf_dir).where("src != dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "cnt")
+    return settled(ends.groupBy("src", "dst").agg(F.sum("cnt").alias("cnt")))
 
 
-_FORWARD = f"{_LINES}, g AS MATERIALIZED ({_BAG.format('WHERE src < dst')}), lv(v, level) USING KEY (v) AS (SELECT v, 0::BIGINT FROM verts UNION SELECT d.dst, max(l.level + 1)::BIGINT FROM lv l JOIN g d ON d.src = l.v LEFT JOIN recurring.lv r ON r.v = d.dst WHERE r.level < l.level + 1 GROUP BY d.dst)"
+_FORWARD = f"{_LINES}, g AS MATERIALIZED (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*)::BIGINT AS cnt FROM lines WHERE src <> dst GROUP BY 1, 2), lv(v, level) USING KEY (v) AS (SELECT v, 0::BIGINT FROM verts UNION SELECT d.dst, max(l.level + 1)::BIGINT FROM lv l JOIN g d ON d.src = l.v LEFT JOIN recurring.lv r ON r.v = d.dst WHERE r.level < l.level + 1 GROUP BY d.dst)"
 
 
 @query(f"WITH RECURSIVE {_FORWARD} SELECT v, level FROM lv")
@@ -814,15 +857,16 @@ def connected_stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.connectivity(initial, settled(updates), n).select("batch_id", (F.col("components") - alone).alias("pieces"))
 
 
-RMAT_SCALE, RMAT_EDGES = 12, 50_000
+RMAT_SCALE = 12
 
 
-@query(f"""WITH RECURSIVE u AS MATERIALIZED (SELECT id, level, ({_splitmix_sql("(id * 1000003 + 64 + level)::UBIGINT")} >> 11)::DOUBLE / 9007199254740992 AS u FROM range({RMAT_EDGES}) t(id), range({RMAT_SCALE}) l(level)),
+@query(f"""WITH RECURSIVE u AS MATERIALIZED (SELECT id, level, ({_splitmix_sql("(id * 1000003 + 64 + level)::UBIGINT")} >> 11)::DOUBLE / 9007199254740992 AS u FROM (SELECT unnest(range(0, (SELECT count(*) FROM orders))) AS id), range({RMAT_SCALE}) l(level)),
 e AS (SELECT id, sum(CASE WHEN u >= 0.76 THEN 1 ELSE 0 END * (1 << ({RMAT_SCALE - 1} - level)::INT))::BIGINT AS src FROM u GROUP BY id),
 d AS (SELECT src, count(*) AS degree FROM e GROUP BY src)
 SELECT bucket, count(*) AS vertices FROM (SELECT CASE WHEN degree IS NULL THEN -1 ELSE floor(log2(degree)) END::INT AS bucket FROM range({1 << RMAT_SCALE}) v(v) LEFT JOIN d ON d.src = v.v) GROUP BY bucket""")
 def rmat_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = generate.rmat(spark, RMAT_SCALE, RMAT_EDGES).groupBy("src", "dst").agg(F.count("*").alias("cnt"))
+    """A graph with as many edges as there are orders."""
+    edges = generate.rmat(spark, RMAT_SCALE, spark.read.parquet(f"{sf_dir}/orders.parquet").count()).groupBy("src", "dst").agg(F.count("*").alias("cnt"))
     return analytics.degree_histogram(analytics.degrees(edges, 1 << RMAT_SCALE))
 
 
