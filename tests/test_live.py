@@ -12,6 +12,7 @@ from tidegraph.operators import checks
 from tidegraph.operators.live import EdgeIndex, Live, LiveRanks
 from tidegraph.operators.pagerank import pagerank
 from tidegraph.operators.programs import BFS, HOPS, LABEL_WITNESS, MIN_LABEL, SSSP
+from tidegraph.operators.score_index import ScoreIndex
 from tidegraph.plans import layers
 from tidegraph.streaming.engine import LiveFolder
 
@@ -158,3 +159,32 @@ def test_a_failed_publication_leaves_the_epoch_before(spark, tmp_path, monkeypat
     with pytest.raises(ValueError):
         again.open(0)
     assert "SelectedBucketsCount" in old.edges.out.lookup([1, 2])._jdf.queryExecution().executedPlan().toString() or old.edges.out.get([1, 2])
+
+
+def test_score_index(spark, monkeypatch):
+    """Counts equal a sort's after point updates and after whole ones; a count looks up a node a level, an update few rows."""
+    r, degree = random.Random(4), {v: v % 5 for v in range(300)}
+    score = {v: r.randrange(0, 1021) for v in range(300)}
+    frame = lambda x: spark.createDataFrame([(v, s, degree[v]) for v, s in x.items()], "v long, score long, degree long")
+
+    def want(capacity):
+        used = n = 0
+        for v in sorted((v for v in score if score[v]), key=lambda v: (-score[v], v)):
+            used += degree[v]
+            n += used < capacity
+        return n
+
+    index = ScoreIndex.of(frame(score))
+    for turn in range(3):
+        changes = {v: r.choice([0, 1, 1020, r.randrange(1021)]) for v in r.sample(range(300), 5)}
+        if turn < 2:
+            index = index.update([(v, (score[v], degree[v]), (s, degree[v])) for v, s in changes.items()])
+            assert len(index.nodes.mem) <= (turn + 1) * 5 * 2 * 7
+        else:
+            index = index.update_all(frame({v: score[v] for v in changes}), frame(changes))
+        score |= changes
+        reads = []
+        monkeypatch.setattr(layers.Layered, "get", lambda self, keys, *a, f=layers.Layered.get: reads.append(f(self, keys, *a)) or reads[-1])
+        assert [index.count(c) for c in (0, 1, 57, 10**6)] == [want(c) for c in (0, 1, 57, 10**6)]
+        monkeypatch.undo()
+        assert len(reads) <= 4 * 7 and max(map(len, reads)) <= 64

@@ -49,8 +49,9 @@ def activity(hits: DataFrame, window: int = 4) -> DataFrame:
 
 
 def masked(scores: DataFrame, state: DataFrame) -> DataFrame:
-    """Scores set to 0 for vertices that are not reached."""
-    return scores.join(state.where("value is not null").select("v", F.lit(True).alias("on")), "v", "left").select("v", F.when(F.col("on"), F.col("score")).otherwise(0).cast("long").alias("score"))
+    """Scores set to 0 for vertices that are not reached; other columns stay."""
+    rest = [c for c in scores.columns if c not in ("v", "score")]
+    return scores.join(state.where("value is not null").select("v", F.lit(True).alias("on")), "v", "left").select("v", *rest, F.when(F.col("on"), F.col("score")).otherwise(0).cast("long").alias("score"))
 
 
 def admission(scores: DataFrame, degree: DataFrame, capacity: int) -> DataFrame:

@@ -12,6 +12,7 @@ from .operators import analytics, checks, generate, pagerank, regions, repair, t
 from .operators.components import connected_components, repair_components
 from .operators.live import EdgeIndex, Live, LiveRanks, Outcome
 from .operators.programs import BFS, LABEL_WITNESS, MIN_LABEL, SSSP, MinProgram, all_vertices, solve, vertex_range
+from .operators.score_index import ScoreIndex
 from .operators.store import EdgeStore, Step
 from .plans.local import LOCAL_PAIRS
 from .plans.state import new_path, settled
@@ -617,12 +618,32 @@ def score_index_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.prefix_counts(now, CAPACITIES)
 
 
+_CAPS = f"c AS (SELECT unnest({CAPACITIES})::BIGINT AS capacity)"
+
+
+@query(f"{_ADMITS}, {_CAPS} " + " UNION ALL ".join(
+    f"SELECT {c - 1}::BIGINT AS batch_id, capacity, count(upto) AS candidates FROM c LEFT JOIN (SELECT sum(degree) OVER (ORDER BY score DESC, v) AS upto FROM score JOIN deg{c} USING (v) WHERE batch_id = {c + 8} AND score > 0) ON upto < capacity GROUP BY capacity"
+    for c in range(BATCHES + 1)))
+def score_index_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many candidates fit several capacities after each batch, by one index that each batch changes."""
+    store, batches, n = _batches(spark, sf_dir)
+    scores, out, index, old = settled(analytics.activity(_hits(spark, sf_dir))), [], None, None
+    for b, batch in [(-1, None), *batches]:
+        store = store if batch is None else store.apply(batch, n).after
+        degree = store.view().groupBy(F.col("src").alias("v")).agg(F.sum("cnt").alias("degree"))
+        new = settled(scores.where(F.col("batch_id") == b + 9).select("v", "score").join(degree, "v"))
+        index = ScoreIndex.of(new) if index is None else index.update_all(old, new)
+        old = new
+        out += [(b, c, index.count(c)) for c in CAPACITIES]
+    return spark.createDataFrame(out, "batch_id bigint, capacity bigint, candidates bigint")
+
+
 @query(f"""WITH RECURSIVE {_HITS.removeprefix('WITH ')}, g AS MATERIALIZED ({_BAG.format('')}), {_min_sql('s', 'g', 'bfs')}
-SELECT x.v, CASE WHEN s.value <= 1 THEN score ELSE 0 END::BIGINT AS score FROM score x LEFT JOIN s ON s.v = x.v WHERE batch_id = 11""")
+SELECT x.v, x.batch_id, CASE WHEN s.value <= 1 THEN score ELSE 0 END::BIGINT AS score FROM score x LEFT JOIN s ON s.v = x.v""")
 def masked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last batch's scores of what the root reaches in one hop; the others' are 0."""
+    """The scores of what the root reaches in one hop; the others' are 0."""
     _, state, _ = _solved(spark, sf_dir, BFS)
-    return analytics.masked(analytics.activity(_hits(spark, sf_dir)).where("batch_id = 11"), state.where("value <= 1"))
+    return analytics.masked(analytics.activity(_hits(spark, sf_dir)), state.where("value <= 1"))
 
 
 REGIONS = 4
