@@ -2,7 +2,7 @@
 
 The overlay holds the current count of every touched pair, 0 where no occurrence is left.  A batch
 looks up its own pairs, adds them to the overlay, and leaves the base where it is; once the overlay has a quarter of the base's
-rows, both become a new base.  The base is ordered by source, so filters on few sources skip most of its row groups.
+rows, both become a new base.  Reads are joins on base and overlay; ``live.EdgeIndex`` is the store for lookups.
 """
 
 from __future__ import annotations
