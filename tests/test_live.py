@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests import oracle
 from tests.test_graph import as_bag, bag_frame, batch_frame
 from tidegraph.operators import checks
+from tidegraph.operators.direction import bfs_by_direction
 from tidegraph.operators.live import EdgeIndex, Live, LiveRanks
 from tidegraph.operators.pagerank import pagerank
 from tidegraph.operators.programs import BFS, HOPS, LABEL_WITNESS, MIN_LABEL, SSSP
@@ -188,3 +189,17 @@ def test_score_index(spark, monkeypatch):
         assert [index.count(c) for c in (0, 1, 57, 10**6)] == [want(c) for c in (0, 1, 57, 10**6)]
         monkeypatch.undo()
         assert len(reads) <= 4 * 7 and max(map(len, reads)) <= 64
+
+
+def test_direction(spark):
+    """A dense part is pulled, a chain is pushed; the levels are those of a search."""
+    r, n = random.Random(6), 60
+    bag = Counter((r.randrange(50), r.randrange(50)) for _ in range(400)) | Counter((u, u + 1) for u in range(49, 57)) | Counter({(3, 99): 1, (70, 1): 1})
+    index = EdgeIndex.of(bag_frame(spark, bag))
+    state, rounds = bfs_by_direction(index, n)
+    assert {x.v: x.value for x in state.collect()} == oracle.solve("bfs", n, bag)
+    assert {x.direction for x in rounds} == {"push", "pull"} and rounds[0].direction == "push" and rounds[-2].direction in ("push", "pull")
+    only, plain = bfs_by_direction(index, n, share=10**9)
+    assert {x.direction for x in plain} == {"push"} and sorted(only.collect()) == sorted(state.collect())
+    cost = lambda x: x.push_edges if x.direction == "push" else x.pull_edges
+    assert sum(map(cost, rounds)) < sum(map(cost, plain))

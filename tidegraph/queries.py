@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions.columns import endpoint_weight, splitmix64
 from .operators import analytics, checks, generate, pagerank, regions, repair, topology
 from .operators.components import connected_components, repair_components
+from .operators.direction import bfs_by_direction
 from .operators.live import EdgeIndex, Live, LiveRanks, Outcome
 from .operators.programs import BFS, LABEL_WITNESS, MIN_LABEL, SSSP, MinProgram, all_vertices, solve, vertex_range
 from .operators.score_index import ScoreIndex
@@ -441,6 +442,12 @@ def bfs_levels_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solve(settled(part_graph(spark, sf_dir)), BFS, n, ROOT, small=-1).withColumnRenamed("value", "hops")
 
 
+@query(ORACLE_SQL["bfs_levels"])
+def bfs_levels_by_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds that push or pull, by the edges that they would read."""
+    return bfs_by_direction(EdgeIndex.of(part_graph(spark, sf_dir)), vertex_count(spark, sf_dir), ROOT)[0].withColumnRenamed("value", "hops")
+
+
 @query(ORACLE_SQL["sssp_dist"])
 def sssp_dist_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = vertex_count(spark, sf_dir)
