@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions.columns import endpoint_weight, splitmix64
 from .operators import analytics, checks, generate, pagerank, regions, repair, topology
@@ -366,6 +367,33 @@ def vertex_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.segments(part_graph(spark, sf_dir), 16)
 
 
+# -- rows in their order: each vertex's out-edges by order and line ------------------------------------------
+
+_ROWS = """o AS MATERIALIZED (SELECT l_partkey AS src, l_orderkey * 1000 + l_linenumber AS seq, l_returnflag AS flag, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_returnflag) AS dst FROM lineitem),
+rows AS MATERIALIZED (SELECT src, list(dst ORDER BY seq, dst) AS r, list(dst ORDER BY seq, dst) FILTER (WHERE flag <> 'R') AS s FROM o WHERE dst IS NOT NULL GROUP BY src)"""
+
+
+def _rows_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, seq, dst, flag) of every edge, in the order of its order and line."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_returnflag")
+    rows = lines.select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("seq"), F.lead("l_partkey").over(by).alias("dst"), F.col("l_returnflag").alias("flag"))
+    return rows.where("dst is not null")
+
+
+@query(f"""WITH {_ROWS}, h AS (SELECT src, len(r)::BIGINT AS degree, list_reduce([14695981039346656037::UBIGINT] || list_transform(r, lambda x: x::UBIGINT), lambda h, x: ((xor(h, x)::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT) AS u FROM rows)
+SELECT src, degree, CASE WHEN u >= 9223372036854775808 THEN (u::HUGEINT - 18446744073709551616)::BIGINT ELSE u::BIGINT END AS fnv FROM h""")
+def ordered_source_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.ordered_digests(_rows_in_order(spark, sf_dir).select("src", "seq", "dst"))
+
+
+@query(f"WITH {_ROWS} SELECT src, len(r)::BIGINT AS base_rows, list_reduce([0::BIGINT] || coalesce(s, []), lambda i, y: CASE WHEN r[i + 1] = y THEN i + 1 ELSE i END)::BIGINT AS matched FROM rows")
+def ordered_subsequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each vertex's row is matched in order by the row without returned lines."""
+    rows = _rows_in_order(spark, sf_dir)
+    return topology.is_subsequence(rows.select("src", "seq", "dst"), rows.where("flag != 'R'").select("src", "seq", "dst"))
+
+
 # -- incremental queries: both phases of all batches ---------------------------------------------------
 
 
