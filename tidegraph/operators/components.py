@@ -9,7 +9,7 @@ from ..plans import local
 from ..plans.state import discard, settled
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, small: int = -1) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int | None = None, small: int = -1) -> DataFrame:
     """(v, component) for each vertex; component is the smallest vertex id of its weakly connected component.
 
     ``vertices`` has one column ``v``; edge ends outside of it are ignored in the result.  Each
@@ -18,9 +18,11 @@ def connected_components(vertices: DataFrame, edges: DataFrame, src: str = "src"
     """
     u, v = F.col(src), F.col(dst)
     own = settled(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).distinct())
-    if own.count() <= small:
+    size = own.count()
+    if size <= small:
         return local.components(vertices, own.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    for _ in range(max_rounds):
+    limit = size + 2 if max_rounds is None else max_rounds  # every round but the last joins an edge's vertices to a smaller one
+    for _ in range(limit):
         roots = own.select(F.col("b").alias("a")).distinct().withColumn("root", F.lit(1))
         row = own.groupBy("a").agg(F.count("*").alias("n")).join(roots, "a", "left").agg(F.max("n"), F.max("root")).first()
         if row[1] is None and (row[0] or 0) <= 1:
@@ -35,7 +37,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, src: str = "src"
         old, own = own, settled(joined)
         discard(old)
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        raise RuntimeError(f"components did not settle in {limit} rounds")
     return vertices.select("v").join(own, F.col("v") == F.col("a"), "left").select("v", F.coalesce("b", "v").alias("component"))
 
 
