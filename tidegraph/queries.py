@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions.columns import endpoint_weight, splitmix64
-from .operators import analytics, checks, generate, pagerank, regions, repair, topology
+from .operators import analytics, checks, generate, pagerank, regions, repair, topology, vertex
 from .operators.components import connected_components, repair_components
 from .operators.direction import bfs_by_direction
 from .operators.live import EdgeIndex, Live, LiveRanks, Outcome
@@ -556,6 +556,44 @@ def incoming_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_batch(parts)
 
 
+# -- general vertex programs; the most urgent vertices send first -----------------------------------------
+
+
+def _run(spark: SparkSession, sf_dir: str, program: vertex.VertexProgram, share: float) -> vertex.Run:
+    return vertex.solve(program, settled(part_graph(spark, sf_dir)), vertex_count(spark, sf_dir), ROOT, share)
+
+
+@query(f"WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'sssp')} SELECT v, value AS dist FROM s")
+def sssp_dist_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, vertex.DISTANCE, 0.2).result("dist")
+
+
+@query(ORACLE_SQL["min_label"])
+def min_label_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, vertex.LABEL, 0.2).result("label")
+
+
+@query(f"""WITH RECURSIVE {_graph()}, s(v, width) USING KEY (v) AS (SELECT {ROOT}::BIGINT, {1 << 31}::BIGINT UNION
+  SELECT e.dst, max(least(s.width, (e.src + e.dst) % 128 + 1))::BIGINT FROM s JOIN g e ON e.src = s.v LEFT JOIN recurring.s r ON r.v = e.dst
+  WHERE r.v IS NULL OR r.width < least(s.width, (e.src + e.dst) % 128 + 1) GROUP BY e.dst) SELECT v, width FROM s""")
+def widest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest width of a path from the root, which is that of its narrowest edge."""
+    return _run(spark, sf_dir, vertex.WIDEST, 0.5).result("width")
+
+
+@query(f"""WITH RECURSIVE {_graph()}, {_min_sql('s', 'g', 'bfs')}, d AS (SELECT src, count(*) AS out FROM g GROUP BY src)
+SELECT value + 1 AS round, count(*) AS senders, 0::BIGINT AS waiting, coalesce(sum(out), 0)::BIGINT AS messages, coalesce(sum(out), 0)::BIGINT * 16 AS bytes FROM s LEFT JOIN d ON d.src = s.v GROUP BY value""")
+def round_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every round of a breadth-first search sends."""
+    return _run(spark, sf_dir, vertex.HOPS, 1.0).ledger()
+
+
+@query(ORACLE_SQL["pagerank_residual"])
+def pagerank_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = vertex.solve(vertex.ranks(1e-9), settled(part_graph(spark, sf_dir)), vertex_count(spark, sf_dir), share=0.8, max_rounds=400, unroll=4)
+    return done.result("rank").select("v", F.round("rank", 3).alias("rank"))
+
+
 # -- analytics ----------------------------------------------------------------------------------
 
 _HITS = f"""WITH {_LINES}, hits AS MATERIALIZED (SELECT src AS v, (year - 1990)::BIGINT AS batch_id, count(*)::BIGINT AS hits FROM lines GROUP BY 1, 2),
@@ -913,6 +951,43 @@ def connected_stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.connectivity(initial, settled(updates), n).select("batch_id", (F.col("components") - alone).alias("pieces"))
 
 
+CORE_PERCENT, CORE_SWAPS = 60, 50
+
+
+def _core_stream(spark: SparkSession, sf_dir: str, batches: int) -> generate.CoreStream:
+    pairs = settled(topology.undirected(part_graph(spark, sf_dir)).where("src < dst").select("src", "dst"))
+    return generate.core_stream(pairs, CORE_PERCENT, CORE_SWAPS, batches)
+
+
+_CORE = f"""WITH RECURSIVE {_graph()}, {_WEAK}, up AS MATERIALIZED (SELECT src, dst FROM both_ways WHERE src < dst),
+members AS MATERIALIZED (SELECT v, c, count(*) OVER (PARTITION BY c) AS size FROM wcc WHERE v IN (SELECT src FROM up UNION SELECT dst FROM up)),
+near(v, hops) USING KEY (v) AS (SELECT v, 0::BIGINT FROM members WHERE v = c UNION
+  SELECT e.dst, min(s.hops + 1)::BIGINT FROM near s JOIN both_ways e ON e.src = s.v LEFT JOIN recurring.near r ON r.v = e.dst WHERE r.v IS NULL OR r.hops > s.hops + 1 GROUP BY e.dst),
+ranks AS MATERIALIZED (SELECT v, row_number() OVER (ORDER BY size DESC, c, hops, v) AS k, (v <> c)::INT AS tree FROM members JOIN near USING (v)),
+closed AS (SELECT greatest(a.k, b.k) AS k, count(*) AS n FROM up JOIN ranks a ON a.v = src JOIN ranks b ON b.v = dst GROUP BY 1),
+prefixes AS (SELECT k, sum(coalesce(n, 0)) OVER (ORDER BY k)::BIGINT AS edges, sum(tree) OVER (ORDER BY k)::BIGINT AS trees, (SELECT count(*) FROM up) * {CORE_PERCENT} // 100 AS base FROM ranks LEFT JOIN closed USING (k)),
+core AS (SELECT k AS core_vertices, base AS base_edges, trees AS protected_edges, edges AS core_edges, least(base - trees, edges - base) AS capacity FROM prefixes WHERE least(base - trees, edges - base) >= 0 ORDER BY capacity DESC, k DESC LIMIT 1)"""
+
+
+@query(f"{_CORE} SELECT * FROM core")
+def core_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix of breadth-first ranks in which an update stream has the most room on both sides."""
+    return _core_stream(spark, sf_dir, 0).core
+
+
+@query(f"{_CORE} SELECT batch_id, core_vertices - protected_edges AS pieces, 2 * base_edges AS edges FROM core, (SELECT unnest(range(-1, 3))::BIGINT AS batch_id)")
+def core_stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The core's components and the directed edges before the stream (-1) and after each batch of paired swaps."""
+    n, made = vertex_count(spark, sf_dir), _core_stream(spark, sf_dir, 3)
+    updates = settled(made.updates)
+    outside = n - made.core.first().core_vertices
+    sizes = made.initial.agg(F.sum("cnt").alias("start")).join(F.broadcast(updates.groupBy("batch_id").agg(F.sum(F.when(F.col("op") == "a", 1).otherwise(-1)).alias("change"))), how="cross")
+    edges = sizes.select("batch_id", "start", F.sum("change").over(Window.orderBy("batch_id")).alias("change")).select("batch_id", (F.col("start") + F.col("change")).alias("edges"))  # a row a batch
+    first = made.initial.agg(F.lit(-1).cast("long").alias("batch_id"), F.sum("cnt").alias("edges"))
+    pieces = generate.connectivity(made.initial, updates, n).select("batch_id", (F.col("components") - outside).alias("pieces"))
+    return pieces.join(first.unionByName(edges), "batch_id")
+
+
 RMAT_SCALE = 12
 
 
