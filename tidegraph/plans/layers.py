@@ -87,7 +87,7 @@ class Layered:
         for layer in (self.over, F.broadcast(self._newest()) if self.mem else None):  # at most MEMORY rows
             if layer is not None:
                 out = out.join(layer.select(*self.unique), list(self.unique), "left_anti").unionByName(layer)
-        return out.where(F.col(self.value).isNotNull())
+        return out.where(F.col(self.value).isNotNull()).select(*self.columns)  # the joins put the unique columns first
 
     def lookup(self, keys: Iterable[int], only: Iterable[tuple] | None = None) -> DataFrame:
         """The rows of base and overlay with these keys (or, of these, of the unique tuples ``only``), with their layer."""
