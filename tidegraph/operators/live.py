@@ -17,10 +17,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import layers
+from ..plans import layers, local
 from ..plans.layers import Layered, TooMany, few_rows, local_frame
 from ..plans.state import discard, settled
 from . import pagerank as ranks
+from . import parts
 from .programs import MinProgram, refreshed, solve
 from .repair import certified_affected, insert, pull_repair
 from .store import Step
@@ -67,6 +68,10 @@ class EdgeIndex:
             found = found.select("src", "dst", "cnt").join(F.broadcast(newest.select("src", "dst")), ["src", "dst"], "left_anti").unionByName(newest)
         return found.where("cnt is not null").select("dst", "src", "cnt")
 
+    def homes(self, n: int, *more: DataFrame, small: int | None = -1) -> DataFrame | None:
+        """The homes of the pairs and of some more (src, dst), by default of graphs of which no task gets more than a share."""
+        return parts.grown(self.out.base, [self.out.changes(), *more], n, self.out.size, small)
+
     def put(self, rows: list[tuple]) -> EdgeIndex:
         """Both sides with these pairs' counts; None for pairs that are gone."""
         return EdgeIndex(self.out.put(rows), self.into.put(rows))
@@ -137,7 +142,7 @@ class Live:
         if not program.positive:
             raise ValueError("a program without positive weights has no proofs: take LABEL_WITNESS for labels")
         index = edges if isinstance(edges, EdgeIndex) else EdgeIndex.of(edges)
-        return cls(index, Layered.of(solve(index.view(), program, n, source, small=small), "v", ("v",), "value"), program, n)
+        return cls(index, Layered.of(solve(index.view(), program, n, source, small=small, home=index.homes(n, small=small) if index.size > local.limit(small) else None), "v", ("v",), "value"), program, n)
 
     def result(self) -> DataFrame:
         return self.state.all()
@@ -157,6 +162,9 @@ class Live:
         state, mid = self.state.all(), self.state
         inside = (F.col("dst") >= 0) & (F.col("dst") < n)
         gone, gained = settled(step.vanished().where(inside)), settled(step.gained(n))
+        home = self.edges.homes(n, gained) if program.positive else None
+        if home is not None:
+            return self._by_parts(step, gone, gained, home)
         visited = lost = rounds = 0
         if not gone.isEmpty():
             affected, moved, visited = certified_affected(state, gone, step.mid.pairs(n, "dst"), program, limit)
@@ -179,6 +187,17 @@ class Live:
         return Outcome(Live(step.after, last, program, n), mid, batch_metrics(step.plan), visited, lost, rounds, False, step)
 
 
+    def _by_parts(self, step: IndexStep, gone: DataFrame, gained: DataFrame, home: DataFrame) -> Outcome:
+        """All that rests on a vanished pair is looked at, part by part, and found anew."""
+        program = self.program
+        weighted = lambda pairs: pairs.select("src", "dst", program.weight(F.col("src"), F.col("dst")).alias("w"))
+        out = settled(local.min_repair(self.state.all(), weighted(step.mid.pairs(self.n)), gone, weighted(gained), program.rooted, home, program.spread))
+        mid, last = (_keyed(out.where(F.col("phase") == i)) for i in (0, 1))
+        lost, rounds = out.agg(F.count(F.when(F.col("phase") == 2, 1)), F.max("rounds")).first()
+        discard(out, gone, gained)
+        return Outcome(Live(step.after, last, program, self.n), mid, batch_metrics(step.plan), lost, lost, rounds or 0, False, step)
+
+
 def _keyed(state: DataFrame) -> Layered:
     return Layered.of(state.select("v", "value", "parent"), "v", ("v",), "value")
 
@@ -324,7 +343,7 @@ class LiveRanks:
     @classmethod
     def start(cls, edges: DataFrame | EdgeIndex, n: int, epsilon: float = ranks.EPSILON, max_rounds: int = ranks.MAX_ROUNDS, small: int | None = None) -> LiveRanks:
         index = edges if isinstance(edges, EdgeIndex) else EdgeIndex.of(edges)
-        state, rounds, _ = ranks.ranked(index.view(), n, epsilon, max_rounds, small)
+        state, rounds, _ = ranks.ranked(index.view(), n, epsilon, max_rounds, small, index.homes(n, small=small) if index.size > local.limit(small) else None)
         return cls(index, Layered.of(state, "v", ("v",), "rank"), n, epsilon, max_rounds, rounds)
 
     def result(self) -> DataFrame:
@@ -339,6 +358,13 @@ class LiveRanks:
             except TooMany:
                 pass
         touched = settled(step.touched())
+        home = self.edges.homes(self.n, step.gained(self.n))
+        if home is not None:
+            before = self.edges.view().join(touched, "src", "left_semi")
+            state, rounds, _ = ranks._in_one_task(self.state.all(), step.after.view(), self.n, self.epsilon, self.max_rounds, before, touched, home)
+            kept = Layered.of(state, "v", ("v",), "rank")
+            discard(touched)
+            return LiveRanks(step.after, kept, self.n, self.epsilon, self.max_rounds, rounds)
         mended = settled(ranks.amend(self.state.all(), self.edges.view(), step.after.view(), touched, self.n))
         state, rounds, _ = ranks.converge(mended, ranks.shares(step.after.view(), self.n), self.epsilon, self.max_rounds)
         kept = Layered.of(state, "v", ("v",), "rank")

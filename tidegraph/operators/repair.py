@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import depends_on, label_depends
 from ..plans import local
 from ..plans.state import discard, settled
+from . import parts
 from .programs import MinProgram, best, candidates, improvements, propagate, refreshed
 from .store import EdgeStore, Step
 from .topology import batch_metrics
@@ -160,15 +161,25 @@ def update(
     return _repair(store, step, step.vanished(), step.mid.pairs(n), step.gained(n), state, program, n, max_rounds, bucket, small)
 
 
+def step_homes(store: EdgeStore, step: Step, n: int, small: int | None) -> DataFrame | None:
+    """The homes of all pairs before and after a step; those of the store's base are found once, and pass on to a new base."""
+    home = parts.grown(store.base, [store.overlay, step.gained(n)], n, store.rows, small)
+    if home is not None and step.after.base is not store.base:
+        step.after.base.__dict__.setdefault("_homes", {})[n, parts.most_pairs(step.after.rows, small)] = home
+    return home
+
+
 def _repair(store: EdgeStore, step: Step, gone: DataFrame, stay: DataFrame, gained: DataFrame, state: DataFrame, program: MinProgram, n: int, max_rounds: int | None, bucket: int | None, small: int | None) -> Repaired:
     limit = max_rounds or (n + 1) * (2 if bucket else 1)
     metrics = batch_metrics(step.plan)
-    if step.after.size + step.mid.size <= local.limit(small):
+    size = step.after.size + step.mid.size
+    home = None if size <= local.limit(small) else step_homes(store, step, n, small)
+    if home is not None or size <= local.limit(small):
         weighted = lambda pairs: pairs.select("src", "dst", program.weight(F.col("src"), F.col("dst")).alias("w"))
-        out = settled(local.min_repair(state, weighted(stay), gone, weighted(gained), program.rooted))
+        out = settled(local.min_repair(state, weighted(stay), gone, weighted(gained), program.rooted, home, program.spread))
         phase = lambda i: out.where(F.col("phase") == i).select("v", "value", "parent")
-        last = out.where("phase = 1").select("rounds").first()
-        return Repaired(step.after, phase(0), phase(1), metrics, phase(2).select("v"), last[0] if last else 0, step)
+        rounds = out.where("phase = 1").agg(F.max("rounds")).first()[0] or 0
+        return Repaired(step.after, phase(0), phase(1), metrics, phase(2).select("v"), rounds, step)
     gone = settled(gone)
     affected = tree_affected(state, gone, limit, small) if program.rooted else label_affected(state, gone, stay, limit)
     rounds, mid = 0, state
