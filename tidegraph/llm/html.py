@@ -1,11 +1,11 @@
-"""Main text of web pages: marked articles, and nearest-URL page differencing.
+"""Main text of web pages: nearest-URL page differencing, checked by the pages' own marks.
 
 A page is parsed into text blocks; what stands in menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or reader comments is dropped.  Where a page marks its article
-(``article``, ``main``, or the matching roles), the blocks inside are its text: pages of one
-host can hold the same article or passage, and differencing would delete it.  The other pages
-are paired with the page of the nearest URL path on the same host, both pages' lines are aligned by
-longest common subsequence, and the shared lines are deleted.
+adverts, forms, scripts, styles or reader comments is dropped.  Every page is paired with the page of the
+nearest URL path on the same host, both pages' lines are aligned by longest common subsequence, and the shared lines are
+deleted.  Where a page marks its article (``article``, ``main``, or the matching roles), an exact check follows: lines
+inside that were deleted come back, as pages of one host can hold the same article or passage, and
+lines outside that were not go.
 """
 
 from __future__ import annotations
@@ -56,23 +56,29 @@ def page_lines(html: str) -> tuple[bool, list[str]]:
     Where all marks are in dropped elements, those around the page's ``main``, or around its only article if that is
     longer than the rest, are not dropped.
     """
-    marked, lines, held = _lines(html, frozenset())
+    marked, lines, inside = page_blocks(html)
+    return marked, [x for x, own in zip(lines, inside) if own] if marked else lines
+
+
+def page_blocks(html: str) -> tuple[bool, list[str], list[bool]]:
+    """``page_lines`` with all lines of the page, and whether each is of the article; of a page without a mark, none is."""
+    marked, lines, inside, held = _lines(html, frozenset())
     if not marked and held:
         mains = [x for x in held if x[0]]
         if mains or len(held) == 1:
-            again, more, _ = _lines(html, (mains or held)[0][1])
-            if again and (mains or sum(map(len, more)) > sum(map(len, lines))):
-                return again, more
-    return marked, lines
+            again, more, own, _ = _lines(html, (mains or held)[0][1])
+            if again and (mains or sum(len(x) for x, i in zip(more, own) if i) > sum(map(len, lines))):
+                return again, more, own
+    return marked, lines, inside
 
 
-def _lines(html: str, kept: frozenset[int]) -> tuple[bool, list[str], list[tuple[bool, frozenset[int]]]]:
-    """``page_lines`` with the elements that open at ``kept`` not dropped; and of each mark in a dropped element, whether it is a main, and where the elements around it open."""
+def _lines(html: str, kept: frozenset[int]) -> tuple[bool, list[str], list[bool], list[tuple[bool, frozenset[int]]]]:
+    """``page_blocks`` with the elements that open at ``kept`` not dropped; and of each mark in a dropped element, whether it is a main, and where the elements around it open."""
     stack: list[tuple[str, bool, bool, int]] = []  # name, dropped, inside the article, where it opens
     places: dict[str, list[int]] = {}  # of each name, where it stands on the stack
     held: list[tuple[bool, frozenset[int]]] = []
-    inside: list[str] = []
-    outside: list[str] = []
+    lines: list[str] = []
+    inside: list[bool] = []
     part: list[str] = []
     marked = False
 
@@ -81,7 +87,8 @@ def _lines(html: str, kept: frozenset[int]) -> tuple[bool, list[str], list[tuple
             line = " ".join(unescape("".join(part)).split())
             part.clear()
             if line:
-                (inside if stack and stack[-1][2] else outside).append(line)
+                lines.append(line)
+                inside.append(bool(stack and stack[-1][2]))
 
     at, raw = 0, ""
     while m := _TOKEN.match(html, at):
@@ -130,7 +137,7 @@ def _lines(html: str, kept: frozenset[int]) -> tuple[bool, list[str], list[tuple
         places.setdefault(name, []).append(len(stack))
         stack.append((name, dropped or furniture, article or starts, m.start()))
     flush()
-    return (True, inside, held) if marked and inside else (False, outside, held)
+    return marked and any(inside), lines, inside, held
 
 
 def common_lines(a: list[int], b: list[int]) -> np.ndarray:
@@ -175,14 +182,21 @@ def common_lines(a: list[int], b: list[int]) -> np.ndarray:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, html, as lines, and which of them a marked article holds (null without a mark)."""
     for batch in batches:
-        marked, lines, hashes = [], [], []
-        for html in batch.column(batch.schema.names.index("html")).to_pylist():
-            m, own = page_lines(html or "")
-            marked.append(m)
+        lines, article = [], []
+        for html in batch.column(batch.num_columns - 1).to_pylist():
+            marked, own, inside = page_blocks(html or "")
             lines.append(own)
-            hashes.append([] if m and not own else signed(_line_hashes(own)).tolist())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marked, pa.bool_()), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "marked", "lines", "hashes"])
+            article.append(inside if marked else None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lines, pa.list_(pa.string())), pa.array(article, pa.list_(pa.bool_()))], [*batch.schema.names[:-1], "lines", "article"])
+
+
+def _parse_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, html, as the hashes of its lines."""
+    for batch in batches:
+        hashes = [signed(_line_hashes(page_blocks(html or "")[1])).tolist() for html in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hashes, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "hashes"])
 
 
 def _line_hashes(lines: list[str]) -> np.ndarray:
@@ -252,32 +266,43 @@ def _adjacent_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of each page, one row for each row.
+    """(page_id, url, text, n_chars, n_shared, n_restored) of each page, one row for each row.
 
     Null or empty html gives an empty text.  A null url has no host and is not paired, nor is a
-    page alone on its host; their lines stay as they are.  Copies of a page, which share all lines,
-    are not differenced either.  Other columns of ``pages`` are ignored.
+    page alone on its host; differencing leaves their lines as they are.  Copies of a page, which share all lines,
+    are not differenced either.  ``n_shared`` is the number of lines that differencing deletes, ``n_restored`` that of those that the page's
+    marks give back.  Other columns of ``pages`` are ignored.
     """
     prepare(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
     own = pages.select(F.xxhash64("page_id", "url", "html").alias("row_key"), "page_id", "url", "html")
-    parsed = stored(own.mapInArrow(_parse, f"row_key bigint, page_id {kind}, url string, marked boolean, lines array<string>, hashes array<bigint>"), "page-lines")
-    text = F.array_join("lines", "\n")
-    done = parsed.where("marked").select("page_id", "url", text.alias("text"))
-    keys = parsed.select("row_key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), (~F.col("marked")).alias("open"))
-    partners = nearest_pages(keys)
-    other = parsed.select(F.col("row_key").alias("partner"), F.col("hashes").alias("theirs")).groupBy("partner").agg(F.first("theirs").alias("theirs"))
-    open_pages = parsed.where(~F.col("marked")).select("row_key", "page_id", "url", "lines", "hashes").join(partners, "row_key", "left")
-    paired = open_pages.join(other, "partner", "left").select("page_id", "url", "lines", "hashes", "theirs")
+    # lines are parsed twice and moved once: kept besides, they would take more disk than the pages
+    hashed = stored(own.select("row_key", "url", "html").mapInArrow(_parse_hashes, "row_key bigint, url string, hashes array<bigint>"), "page-lines")
+    partners = nearest_pages(hashed.select("row_key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.lit(True).alias("open")))
+    hashes = hashed.groupBy("row_key").agg(F.first("hashes").alias("hashes"))
+    theirs = hashes.select(F.col("row_key").alias("partner"), F.col("hashes").alias("theirs"))
+    paired = hashes.join(partners, "row_key").join(theirs, "partner").where("hashes != theirs").select("row_key", "hashes", "theirs")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for lines, a, b in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)]):
-                if b and a != b:
-                    lines = [x for x, shared in zip(lines, common_lines(a, b)) if not shared]
-                out.append("\n".join(lines))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
-
-    rest = paired.mapInArrow(difference, f"page_id {kind}, url string, text string")
-    return done.unionByName(rest).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+            shared = [np.flatnonzero(common_lines(a, b)).tolist() for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared, pa.list_(pa.int32()))], ["row_key", "shared"])
+
+    parsed = own.mapInArrow(_parse, f"row_key bigint, page_id {kind}, url string, lines array<string>, article array<boolean>")
+    shared = paired.mapInArrow(difference, "row_key bigint, shared array<int>")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, n_shared, n_restored = [], [], []
+            for lines, article, gone in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)]):
+                left = np.ones(len(lines), bool)
+                left[gone or []] = False
+                sure = left if article is None else np.array(article, bool)  # the check
+                text.append("\n".join(x for x, on in zip(lines, sure) if on))
+                n_shared.append(int((~left).sum()))
+                n_restored.append(int((sure & ~left).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(n_shared, pa.int64()), pa.array(n_restored, pa.int64())], ["page_id", "url", "text", "n_shared", "n_restored"])
+
+    every = parsed.join(shared, "row_key", "left").select("page_id", "url", "lines", "article", "shared")
+    out = every.mapInArrow(settle, f"page_id {kind}, url string, text string, n_shared bigint, n_restored bigint")
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_shared", "n_restored")
