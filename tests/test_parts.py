@@ -116,3 +116,23 @@ def test_a_large_component_has_no_parts(spark, apart):
     apart(True)
     chain = settled(generate.chain(spark, 80).withColumn("cnt", F.lit(1).cast("long")))
     assert parts.homes(programs.vertex_range(spark, 80), chain, 79) is None
+
+
+def test_a_forest_is_the_lightest_however_its_edges_are_dealt(spark, monkeypatch):
+    """Edges that close a cycle of lighter ones go before the rounds, which get a forest's worth of each range of vertices."""
+    rng = random.Random(5)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(900)]
+    edges = settled(spark.createDataFrame(pairs, "src long, dst long"))
+    weight = {(r.a, r.b): r.h for r in edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a != b").select("a", "b", F.xxhash64("a", "b", F.lit(1)).alias("h")).collect()}
+    tree, want = list(range(40)), set()
+    for a, b in sorted(weight, key=lambda p: (weight[p], p)):
+        x, y = tree[a], tree[b]
+        if x != y:
+            want.add((a, b))
+            tree = [x if t == y else t for t in tree]
+    seen, kept = [], generate.connected_components
+    monkeypatch.setattr(generate, "connected_components", lambda v, e, *a, **k: seen.append(e.count()) or kept(v, e, *a, **k))
+    for small, gathered in ((None, 1 << 19), (-1, 50)):
+        monkeypatch.setattr(local, "GATHERED", gathered)
+        assert {tuple(r) for r in generate.spanning_forest(edges, small=small).collect()} == want
+        assert bool(seen) == (small == -1)
