@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tidegraph.operators import generate, live, pagerank, parts, programs, regions, repair
+from tidegraph.operators import generate, live, pagerank, parts, programs, regions, repair, vertex
 from tidegraph.operators.score_index import ScoreIndex
 from tidegraph.plans import layers, local
 from tidegraph.plans.state import settled
@@ -136,3 +136,20 @@ def test_a_forest_is_the_lightest_however_its_edges_are_dealt(spark, monkeypatch
         monkeypatch.setattr(local, "GATHERED", gathered)
         assert {tuple(r) for r in generate.spanning_forest(edges, small=small).collect()} == want
         assert bool(seen) == (small == -1)
+
+
+@pytest.mark.parametrize("program, share, unroll", [(vertex.HOPS, 1.0, 1), (vertex.DISTANCE, 0.2, 1), (vertex.LABEL, 0.3, 1), (vertex.WIDEST, 0.5, 1), (vertex.ranks(1e-9), 0.8, 4)], ids=lambda p: getattr(p, "name", None))
+def test_urgent_vertices_of_small_components(spark, monkeypatch, program, share, unroll):
+    """Each part by its own sketch, in one task, to the same results; a turn's messages are all parts' together."""
+    edges, _, n = _copies(spark)
+    want = vertex.run(program, vertex.started(spark, program, n, 1), program.links(edges, n), share, 1000, unroll) if program.kind == "long" else vertex.Run(
+        pagerank.pagerank(edges, n, 1e-9, 200).select("v", F.col("rank").alias("value"), F.col("residual").alias("delta"), F.lit(0).cast("long").alias("got")))
+    monkeypatch.setattr(parts, "GATHER", 40)
+    monkeypatch.setattr(vertex, "_round", None)
+    got = vertex.solve(program, edges, n, 1, share, 1000, unroll)
+    assert got.converged and got.state.dtypes == want.state.dtypes
+    a, b = ({r.v: r.value for r in x.result().collect()} for x in (got, want))
+    assert a.keys() == b.keys() and all(a[v] == b[v] if program.kind == "long" else abs(a[v] - b[v]) < 1e-7 for v in a)
+    if share == 1.0:
+        assert got.rounds == want.rounds
+    assert not vertex.solve(program, edges, n, 1, share, 1).converged
