@@ -153,3 +153,16 @@ def test_urgent_vertices_of_small_components(spark, monkeypatch, program, share,
     if share == 1.0:
         assert got.rounds == want.rounds
     assert not vertex.solve(program, edges, n, 1, share, 1).converged
+
+
+def test_ranks_do_not_write_what_they_do_not_read(spark, apart, monkeypatch):
+    """A large batch of ranks puts the side by source alone, once; the other side and the graph between the phases come when they are read."""
+    monkeypatch.setattr(layers, "FEW", 0)
+    edges, batch, n = _copies(spark, k=6)
+    apart(True)
+    made, of, put_all = [], layers.Layered.of.__func__, layers.Layered.put_all
+    monkeypatch.setattr(layers.Layered, "of", classmethod(lambda cls, rows, key, *a: made.append(key) or of(cls, rows, key, *a)))
+    monkeypatch.setattr(layers.Layered, "put_all", lambda self, rows: made.append("put " + self.key) or put_all(self, rows))
+    done = live.LiveRanks.start(edges, n, 1e-9, 200).apply(batch)
+    assert sorted(made) == ["put src", "src", "v", "v"]
+    assert _rows(done.edges.into.all(), "src", "dst", "cnt") == _rows(done.edges.out.all(), "src", "dst", "cnt")

@@ -1,7 +1,7 @@
 """Results kept current under batches, by a two-sided edge index: what a batch costs follows what it changes.
 
 ``EdgeIndex`` keeps every edge twice, by source and by destination, each as a ``Layered`` table; both sides are put together, so a
-snapshot has both or neither.  ``Live`` keeps a program's state by vertex, and ``LiveRanks`` PageRank's.  A batch whose steps stay
+snapshot has both or neither (of a large batch or a new index, a side is written when it is first read).  ``Live`` keeps a program's state by vertex, and ``LiveRanks`` PageRank's.  A batch whose steps stay
 under the bounds of ``plans.layers`` is repaired by lookups: a step names its vertices, and one job reads their
 rows from the buckets that can hold them.  As soon as a step is larger, the batch is repaired by joins of the same tables, each
 on the column that they are bucketed by.
@@ -13,6 +13,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ class EdgeIndex:
         """An index of edges (src, dst, cnt), one row a pair."""
         rows = edges.select("src", "dst", "cnt")
         out = Layered.of(rows, "src", ("src", "dst"), "cnt")
-        return cls(out, Layered.of(out.base, "dst", ("src", "dst"), "cnt", out.size))
+        return _Later(lambda: out, lambda: Layered.of(out.base, "dst", ("src", "dst"), "cnt", out.size))
 
     @property
     def size(self) -> int:
@@ -77,7 +78,8 @@ class EdgeIndex:
         return EdgeIndex(self.out.put(rows), self.into.put(rows))
 
     def put_all(self, rows: DataFrame) -> EdgeIndex:
-        return EdgeIndex(self.out.put_all(rows), self.into.put_all(rows))
+        """``put`` of a settled frame of any size; each side is put when it is first read."""
+        return _Later(lambda: self.out.put_all(rows), lambda: self.into.put_all(rows))
 
     def apply(self, batch: DataFrame, n: int) -> IndexStep:
         """One batch of (op 'a' or 'd', src, dst[, cnt]): deletes, then adds."""
@@ -107,6 +109,21 @@ class EdgeIndex:
         return IndexStep(self, local_frame(batch.sparkSession, plan, StructType.fromDDL(PLAN)), mid, after, plan)
 
 
+class _Later(EdgeIndex):
+    """An index whose sides are made when they are first read: what never looks at one, as ranks at the side by destination or between phases, does not pay for it."""
+
+    def __init__(self, out: Callable[[], Layered], into: Callable[[], Layered]):
+        self.__dict__.update(make_out=out, make_into=into)
+
+    @cached_property
+    def out(self) -> Layered:
+        return self.make_out()
+
+    @cached_property
+    def into(self) -> Layered:
+        return self.make_into()
+
+
 @dataclass(frozen=True)
 class IndexStep(Step):
     """A batch on an index; ``rows`` is the plan, where it is few rows."""
@@ -191,7 +208,7 @@ class Live:
         """All that rests on a vanished pair is looked at, part by part, and found anew."""
         program = self.program
         weighted = lambda pairs: pairs.select("src", "dst", program.weight(F.col("src"), F.col("dst")).alias("w"))
-        out = settled(local.min_repair(self.state.all(), weighted(step.mid.pairs(self.n)), gone, weighted(gained), program.rooted, home, program.spread))
+        out = settled(local.min_repair(self.state.all(), weighted(step.mid.pairs(self.n, "dst")), gone, weighted(gained), program.rooted, home, program.spread))
         mid, last = (_keyed(out.where(F.col("phase") == i)) for i in (0, 1))
         lost, rounds = out.agg(F.count(F.when(F.col("phase") == 2, 1)), F.max("rounds")).first()
         discard(out, gone, gained)
