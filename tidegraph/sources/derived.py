@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.state import settled
+
 FIRST_YEARS = 1998
 #: The batch that deletes the returned lines of the first years up to these.
 RETURNS = {0: 1995, 1: 1997, 2: 1998}
@@ -34,14 +36,19 @@ def vertex_count(spark: SparkSession, sf_dir: str) -> int:
     return int(spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.max("p_partkey")).first()[0]) + 1
 
 
-def evolving_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The initial graph (src, dst, cnt), and the batches (batch_id, op, src, dst, cnt).  Every edge is read once."""
-    lines = order_lines(spark, sf_dir)
+def kept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, flag, year) of ``order_lines``, written: putting lines in order moves whole lines, so what is derived from them several times moves them once."""
+    return settled(order_lines(spark, sf_dir).select("src", "dst", "flag", "year"), "lines")
+
+
+def evolving_graph(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The initial graph (src, dst, cnt), and the batches (batch_id, op, src, dst, cnt), of ``kept_lines``."""
+    lines = kept_lines(spark, sf_dir) if lines is None else lines
     first = F.col("year") <= FIRST_YEARS
     initial = lines.where(first).groupBy("src", "dst").agg(F.count("*").alias("cnt"))
     own = F.col("year") - FIRST_YEARS - 1
     returned = F.coalesce(*[F.when(F.col("year") <= last, b) for b, last in RETURNS.items()], own)
-    event = lambda when, batch, op: F.when(when, F.struct(batch.cast("long").alias("batch_id"), F.lit(op).alias("op")))
-    both = F.array_compact(F.array(event(F.col("flag") == "R", returned, "d"), event(~first, own, "a")))
-    batches = lines.select("src", "dst", F.explode(both).alias("k")).groupBy("k.batch_id", "k.op", "src", "dst").agg(F.count("*").alias("cnt"))
+    ends = [F.col("src"), F.col("dst")]
+    asked = lines.where(F.col("flag") == "R").select(returned.cast("long").alias("batch_id"), F.lit("d").alias("op"), *ends).unionByName(lines.where(~first).select(own.cast("long").alias("batch_id"), F.lit("a").alias("op"), *ends))
+    batches = asked.groupBy("batch_id", "op", "src", "dst").agg(F.count("*").alias("cnt"))
     return initial, batches
