@@ -360,7 +360,7 @@ class LiveRanks:
     @classmethod
     def start(cls, edges: DataFrame | EdgeIndex, n: int, epsilon: float = ranks.EPSILON, max_rounds: int = ranks.MAX_ROUNDS, small: int | None = None) -> LiveRanks:
         index = edges if isinstance(edges, EdgeIndex) else EdgeIndex.of(edges)
-        state, rounds, _ = ranks.ranked(index.view(), n, epsilon, max_rounds, small, index.homes(n, small=small) if index.size > local.limit(small) else None)
+        state, rounds, _ = ranks.ranked(index.view(), n, epsilon, max_rounds, small)
         return cls(index, Layered.of(state, "v", ("v",), "rank"), n, epsilon, max_rounds, rounds)
 
     def result(self) -> DataFrame:
@@ -375,15 +375,8 @@ class LiveRanks:
             except TooMany:
                 pass
         touched = settled(step.touched())
-        home = self.edges.homes(self.n, step.gained(self.n))
-        if home is not None:
-            before = self.edges.view().join(touched, "src", "left_semi")
-            state, rounds, _ = ranks._in_one_task(self.state.all(), step.after.view(), self.n, self.epsilon, self.max_rounds, before, touched, home)
-            kept = Layered.of(state, "v", ("v",), "rank")
-            discard(touched)
-            return LiveRanks(step.after, kept, self.n, self.epsilon, self.max_rounds, rounds)
         mended = settled(ranks.amend(self.state.all(), self.edges.view(), step.after.view(), touched, self.n))
-        state, rounds, _ = ranks.converge(mended, ranks.shares(step.after.view(), self.n), self.epsilon, self.max_rounds)
+        state, rounds, _ = ranks.converge(mended, step.after.view(), self.n, self.epsilon, self.max_rounds, step.after.size)
         kept = Layered.of(state, "v", ("v",), "rank")
         discard(touched, mended, state)
         return LiveRanks(step.after, kept, self.n, self.epsilon, self.max_rounds, rounds)
