@@ -6,8 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidegraph.operators import live, pagerank
-from tidegraph.plans import blocks, local
+from tidegraph.operators import live, pagerank, programs, repair
+from tidegraph.plans import blocks, layers, local
 from tidegraph.plans.state import settled
 
 
@@ -61,8 +61,6 @@ def test_ranks_stop_at_the_cap_and_go_on(spark, in_blocks):
 
 
 def test_ranks_after_a_batch(spark, in_blocks, monkeypatch):
-    from tidegraph.plans import layers
-
     monkeypatch.setattr(layers, "FEW", 0)
     n, bag = 60, _bag(seed=7)
     edges = _edges(spark, bag)
@@ -76,3 +74,27 @@ def test_ranks_after_a_batch(spark, in_blocks, monkeypatch):
     assert done.converged and not found.by_lookups
     for state in (done.state, found.result()):
         assert np.allclose([r["rank"] for r in state.orderBy("v").collect()], want, atol=1e-7)
+
+
+@pytest.mark.parametrize("program", [programs.SSSP, programs.LABEL_WITNESS], ids=lambda p: p.name)
+def test_least_values_after_a_batch(spark, monkeypatch, program):
+    """One component, by blocks and in one task; rounds of jobs are an error."""
+    n, bag = 40, _bag(40, 160, 8)
+    edges = _edges(spark, bag)
+    own = [p for p in sorted(bag) if p[0] < n]
+    batch = settled(spark.createDataFrame([("d", *p) for p in random.Random(2).sample(own, 70)] + [("a", 1, 9), ("a", 9, 30), ("a", 20, 39), ("a", 2, n + 1)], "op string, src long, dst long"))
+    rows = lambda df: sorted(map(tuple, df.select("v", "value", "parent").collect()), key=str)
+    state = programs.solve(edges, program, n, 1)
+    done = repair.update(edges, state, batch, program, n)
+    want = [rows(x) for x in (state, done.after_delete, done.state)]
+    for module, name in ((programs, "candidates"), (repair, "tree_affected"), (live, "certified_affected")):
+        monkeypatch.setattr(module, name, None)
+    for name, most in (("FEW", 10), ("MOST", 60)):
+        monkeypatch.setattr(blocks, name, most)
+    monkeypatch.setattr(layers, "FEW", 0)
+    monkeypatch.setattr(local, "LOCAL_PAIRS", -1)
+    again = repair.update(edges, state, batch, program, n)
+    found = live.Live.start(edges, program, n, 1, small=-1).apply(batch)
+    assert not found.by_lookups
+    assert [rows(x) for x in (again.after_delete, again.state)] == want[1:]
+    assert [rows(x) for x in (found.after_delete.all(), found.live.result())] == want[1:]

@@ -24,10 +24,12 @@ from ..plans.state import discard, settled
 from . import pagerank as ranks
 from . import parts
 from .programs import MinProgram, refreshed, solve
-from .repair import certified_affected, insert, pull_repair
+from .repair import by_blocks, certified_affected, insert, pull_repair
 from .store import Step
 from .topology import batch_metrics, planned
 
+#: A batch over one pair in so many of the graph's goes by blocks, which read all of it; a smaller one by joins that look for proofs.
+SHARE = 64
 PLAN = "src bigint, dst bigint, have bigint, adds bigint, dels bigint, gone bigint, ok boolean"
 
 
@@ -179,9 +181,15 @@ class Live:
         state, mid = self.state.all(), self.state
         inside = (F.col("dst") >= 0) & (F.col("dst") < n)
         gone, gained = settled(step.vanished().where(inside)), settled(step.gained(n))
-        home = self.edges.homes(n, gained) if program.positive else None
+        home = self.edges.homes(n, gained)
         if home is not None:
             return self._by_parts(step, gone, gained, home)
+        if step.plan.count() * SHARE > step.after.size:
+            after_delete, after, affected, rounds = by_blocks(state, step.mid.pairs(n), gone, gained, program, n, step.after.size, limit)
+            lost = affected.count()
+            kept = _keyed(after_delete), _keyed(after)
+            discard(gone, gained)
+            return Outcome(Live(step.after, kept[1], program, n), kept[0], batch_metrics(step.plan), lost, lost, rounds, False, step)
         visited = lost = rounds = 0
         if not gone.isEmpty():
             affected, moved, visited = certified_affected(state, gone, step.mid.pairs(n, "dst"), program, limit)
@@ -203,7 +211,6 @@ class Live:
         discard(gone, gained)
         return Outcome(Live(step.after, last, program, n), mid, batch_metrics(step.plan), visited, lost, rounds, False, step)
 
-
     def _by_parts(self, step: IndexStep, gone: DataFrame, gained: DataFrame, home: DataFrame) -> Outcome:
         """All that rests on a vanished pair is looked at, part by part, and found anew."""
         program = self.program

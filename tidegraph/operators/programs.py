@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import Weight, endpoint_weight, no_weight, unit_weight
 from ..plans import local
+from ..plans.blocks import FAR, Blocks
 from ..plans.state import discard, settled
 from . import parts
 
@@ -145,6 +146,11 @@ def in_range_pairs(edges: DataFrame, n: int) -> DataFrame:
     return in_range(edges, n).distinct()
 
 
+def weighted(pairs: DataFrame, program: MinProgram) -> DataFrame:
+    """(src, dst, w) without loops, which improve nothing and prove nothing."""
+    return pairs.where("src != dst").select("src", "dst", program.weight(F.col("src"), F.col("dst")).alias("w"))
+
+
 def by_source(edges: DataFrame, n: int) -> DataFrame:
     """``in_range_pairs``, ordered by source and kept for the rounds: a round's join by source does not move them."""
     return settled(in_range_pairs(edges, n), key="src")
@@ -165,7 +171,7 @@ def solve(edges: DataFrame, program: MinProgram, n: int, source: int | None = 0,
 
 
 def solved(edges: DataFrame, program: MinProgram, n: int, source: int | None = 0, max_rounds: int | None = None, bucket: int | None = None, small: int | None = None, home: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """``solve``, and its rounds."""
+    """``solve``, and its rounds: in one task, by parts, or by blocks where a component is large; there with ``bucket`` by ranges of values."""
     spark = edges.sparkSession
     seeds = program.start(vertex_range(spark, n), clamp(source or 0, n) if program.rooted else None)
     empty, limit = seeds.limit(0), max_rounds or (n + 1) * (2 if bucket else 1)
@@ -175,6 +181,13 @@ def solved(edges: DataFrame, program: MinProgram, n: int, source: int | None = 0
     home = parts.homes_of(edges, n, size, small) if home is None else home
     if home is not None:
         return propagate(empty, seeds, in_range(edges, n), program, limit, size=size, home=home)
+    if not bucket:
+        blocks = Blocks.of(spark, n, size)
+        links = blocks.links(weighted(pairs, program), "w")
+        rows, rounds = blocks.least(blocks.state(seeds, ("value",), FAR, True), links, limit)
+        out = blocks.rooted(rows, links, program.rooted, program.spread)
+        discard(links, rows)
+        return out, rounds
     pairs = by_source(edges, n)
     state, rounds = propagate(empty, seeds, pairs, program, limit, bucket=bucket, size=size, small=small)
     out = settled(with_parents(state, pairs, program))

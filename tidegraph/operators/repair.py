@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import depends_on, label_depends
 from ..plans import local
+from ..plans.blocks import FAR, Blocks
 from ..plans.state import discard, settled
 from . import parts
-from .programs import MinProgram, best, candidates, improvements, propagate, refreshed
+from .programs import MinProgram, best, candidates, improvements, propagate, refreshed, weighted
 from .store import EdgeStore, Step
 from .topology import batch_metrics
 
@@ -129,6 +130,39 @@ def insert(state: DataFrame, added: DataFrame, pairs: DataFrame, program: MinPro
     return propagate(state, improvements(first, state), pairs, program, max_rounds, bucket=bucket, size=size, small=small)
 
 
+def by_blocks(state: DataFrame, stay: DataFrame, gone: DataFrame, gained: DataFrame, program: MinProgram, n: int, size: int, max_rounds: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(state after the deletes, after the adds, the affected vertices (v), rounds) of a large batch on a graph of any shape, for a program of positive weights.
+
+    What hangs on a vanished pair is found along the parents, then the values of all others are passed on, over the pairs that stay and then over all.
+    """
+    blocks = Blocks.of(state.sparkSession, n, size)
+    links = blocks.links(weighted(stay, program), "w")
+    hit = settled(state.join(gone.select(F.col("dst").alias("v"), F.col("src").alias("parent")), ["v", "parent"], "left_semi").select("v", F.lit(0).cast("long").alias("value")))
+    kept, mid, lost, rounds = state.select("v", "value"), state, hit.select("v"), 0
+    if not hit.isEmpty():
+        if n <= local.limit(None):
+            lost = settled(local.tree_closure(state, gone))
+        else:
+            tree = blocks.links(state.where("parent is not null").select(F.col("parent").alias("src"), F.col("v").alias("dst"), F.lit(0).cast("long").alias("w")), "w")
+            rows, rounds = blocks.least(blocks.state(hit, ("value",), FAR, True), tree, max_rounds)
+            lost = blocks.reached(rows)
+            discard(tree, rows)
+        kept = kept.join(lost, "v", "left_anti")
+        if not program.rooted:
+            kept = kept.unionByName(program.start(lost).select("v", "value"))
+        rows, more = blocks.least(blocks.state(kept, ("value",), FAR), links, max_rounds, every=True)
+        mid, rounds = blocks.rooted(rows, links, program.rooted, program.spread), rounds + more
+    else:
+        rows = settled(blocks.state(kept, ("value",), FAR), "blocks")
+    last = mid
+    if not gained.isEmpty():
+        links = blocks.links(weighted(gained, program), "w", onto=links)
+        rows, more = blocks.least(rows, links, max_rounds, every=True)
+        last, rounds = blocks.rooted(rows, links, program.rooted, program.spread), rounds + more
+    discard(rows, links)
+    return mid, last, lost, rounds
+
+
 @dataclass(frozen=True)
 class Repaired:
     """The outcome of a batch: the new edges, the state after either phase, metrics, the affected vertices, and the rounds of all propagation."""
@@ -175,11 +209,14 @@ def _repair(store: EdgeStore, step: Step, gone: DataFrame, stay: DataFrame, gain
     size = step.after.size + step.mid.size
     home = None if size <= local.limit(small) else step_homes(store, step, n, small)
     if home is not None or size <= local.limit(small):
-        weighted = lambda pairs: pairs.select("src", "dst", program.weight(F.col("src"), F.col("dst")).alias("w"))
-        out = settled(local.min_repair(state, weighted(stay), gone, weighted(gained), program.rooted, home, program.spread))
+        costs = lambda pairs: pairs.select("src", "dst", program.weight(F.col("src"), F.col("dst")).alias("w"))
+        out = settled(local.min_repair(state, costs(stay), gone, costs(gained), program.rooted, home, program.spread))
         phase = lambda i: out.where(F.col("phase") == i).select("v", "value", "parent")
         rounds = out.where("phase = 1").agg(F.max("rounds")).first()[0] or 0
         return Repaired(step.after, phase(0), phase(1), metrics, phase(2).select("v"), rounds, step)
+    if program.positive and not bucket:
+        mid, last, lost, rounds = by_blocks(state, stay, gone, gained, program, n, step.after.size, limit)
+        return Repaired(step.after, mid, last, metrics, lost, rounds, step)
     gone = settled(gone)
     affected = tree_affected(state, gone, limit, small) if program.rooted else label_affected(state, gone, stay, limit)
     rounds, mid = 0, state

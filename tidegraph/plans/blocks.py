@@ -22,7 +22,7 @@ from .state import discard, settled
 
 #: Edges that a block has at least, where there are fewer blocks than shuffle partitions, and about at most.
 FEW, MOST = 300_000, 1_500_000
-#: Rounds between two looks of the driver.
+#: Rounds between two looks of the driver; twice as many where a fixed point has taken more.
 TURN = 4
 FAR = 1 << 62
 ROWS = "block bigint, kind int, sender int, s0 double, s1 double, s2 double, s3 double, s4 double, s5 double, s6 double, at binary, x binary"
@@ -59,11 +59,8 @@ class Blocks:
     def block(self, v: Column) -> Column:
         return F.element_at(F.array(*[F.lit(k).cast("long") for k in self.keys]), F.pmod(v, F.lit(self.count)).cast("int") + 1)
 
-    def _kept(self, df: DataFrame) -> DataFrame:
-        return settled(df, "blocks", key="block", dealt=True, parts=self.count, dictionary=False)
-
-    def links(self, edges: DataFrame, weight: str, damping: float | None = None) -> DataFrame:
-        """The out-edges (src, dst, ``weight``) by block.
+    def links(self, edges: DataFrame, weight: str, damping: float | None = None, onto: DataFrame | None = None) -> DataFrame:
+        """The out-edges (src, dst, ``weight``) by block; ``onto`` adds them to links that are there, which are then not to be used without them.
 
         With ``damping``, weights are counts, and become that part of what the source sends: an edge to a destination out of range counts in its
         source's degree and delivers nothing.
@@ -91,7 +88,8 @@ class Blocks:
 
         inside = edges.where((F.col("src") >= 0) & (F.col("src") < self.n))
         rows = inside.select(self.block(F.col("src")).alias("block"), "src", "dst", F.col(weight).alias("w"))
-        return self._kept(rows.repartition(self.count, "block").groupBy("block").applyInArrow(built, LINKS))
+        rows = rows.repartition(self.count, "block").groupBy("block").applyInArrow(built, LINKS)
+        return settled(rows, "blocks", key="block", dealt=True, parts=self.count, dictionary=False, onto=onto)
 
     def state(self, rows: DataFrame, columns: tuple[str, ...], empty: float, new: bool | None = None) -> DataFrame:
         """Rows (v, ``columns``) as one row a block; vertices without a row have the value ``empty``, and ``new`` marks those with one."""
@@ -224,9 +222,9 @@ class Blocks:
 
     # -- least values ------------------------------------------------------------------------------------
 
-    def least(self, rows: DataFrame, links: list[DataFrame], max_rounds: int, every: bool = False) -> tuple[DataFrame, int]:
+    def least(self, rows: DataFrame, links: DataFrame, max_rounds: int, every: bool = False) -> tuple[DataFrame, int]:
         """(state, rounds) once no value of source + weight is less than its destination's; with ``every`` all vertices send first, not only new ones."""
-        keys, links = self.keys, _all(links)
+        keys = self.keys
 
         def taken(own: int, left: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             row, messages = _split(left)
@@ -258,25 +256,34 @@ class Blocks:
 
         rounds = 0
         while True:
-            old = rows
-            for i in range(TURN):
+            old, turn = rows, TURN if not rounds else 2 * TURN
+            for i in range(turn):
                 rows = self.round(rows, links, step(every and rounds + i == 0))
             rows = self.gathered(rows, end)
             discard(old)
-            rounds += TURN
+            rounds += turn
             if not rows.agg(F.sum("s0")).first()[0]:
                 return rows, rounds
             if rounds >= max_rounds:
                 raise RuntimeError(f"no fixed point in {max_rounds} rounds")
 
-    def rooted(self, rows: DataFrame, links: list[DataFrame], by_zero: bool, spread: int = 1) -> DataFrame:
+    def reached(self, rows: DataFrame) -> DataFrame:
+        """(v) of the vertices with a value."""
+        count = self.count
+
+        def rows_of(own: int, left: pa.Table) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(np.frombuffer(_split(left)[0]["x"], np.int64) < FAR) * count + own)], ["v"])
+
+        return settled(self.emitted(rows, rows_of, "v bigint"))
+
+    def rooted(self, rows: DataFrame, links: DataFrame, by_zero: bool, spread: int = 1) -> DataFrame:
         """(v, value, parent) of the reached vertices: the smallest source whose value and edge give the vertex's value; roots, with value 0 or their own id times ``spread``, have none."""
         keys, count = self.keys, self.count
 
         def step(own: int, left: pa.Table, right: pa.Table) -> list[tuple]:
             row, _ = _split(left)
             value = np.frombuffer(row["x"], np.int64)
-            out = [(keys[own], _STATE, own, *_NO, b"", row["x"])]
+            out = [(keys[own], _STATE, own, *_NO, b"", value.tobytes())]
             for bounds, target, first, source, weight in _links(right):
                 x = value[source] + weight
                 m = np.minimum.reduceat(x, first)
@@ -297,14 +304,7 @@ class Blocks:
             none = (parent == FAR) | (value == 0 if by_zero else value == v * spread)
             return pa.RecordBatch.from_arrays([pa.array(v[on]), pa.array(value[on]), pa.array(parent[on], mask=none[on])], ["v", "value", "parent"])
 
-        return settled(self.emitted(self.round(rows, _all(links), step), rows_of, "v bigint, value bigint, parent bigint"))
-
-
-def _all(links: list[DataFrame]) -> DataFrame:
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out
+        return settled(self.emitted(self.round(rows, links, step), rows_of, "v bigint, value bigint, parent bigint"))
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
